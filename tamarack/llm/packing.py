@@ -9,6 +9,7 @@ into full windows, and the last piece into windows of powers of two, which need
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,44 @@ OPEN_WINDOWS = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordEncoder:
-    """Ids of a text, word by word.
+#: A character that is one id of its own between white space, and how many words it parts in one call.
+PART, PART_WORDS = "\x01", 256
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1)]] = True
+MARK = np.zeros(256, bool)
+MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+
+def plain_form(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of the same ids but fewer distinct words: A-Z lower-cased, a space wherever a letter or digit meets a mark.
+
+    The tokenizer lower-cases, and its pre-tokens part there too. Marks are ASCII without the apostrophe,
+    which may begin a pre-token of letters; letters are ASCII and those of U+00C0 to U+00FF. A slice that
+    holds a special token's string stays as it is.
+    """
+    low = kernels.LOWER[raw]
+    if b"<|" in (data := low.tobytes()) and any(x in data for x in SPECIAL):
+        return raw, offsets
+    letter, mark = LETTER[low], MARK[low]
+    letter[1:] |= (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+    at = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & (letter[1:] | (low[1:] == 0xC3)) & ~_sign(low))) + 1
+    return np.insert(low, at, 0x20), offsets + np.searchsorted(at, offsets)
+
+
+def _sign(low: np.ndarray) -> np.ndarray:
+    """Of each byte but the first: does it begin one of the two signs among U+00C0 to U+00FF."""
+    after = np.zeros(len(low) - 1 if len(low) else 0, bool)
+    after[:-1] = (low[1:-1] == 0xC3) & ((low[2:] == 0x97) | (low[2:] == 0xB7))
+    return after
+
+
+class WordEncoder(dict):
+    """The ids of words, as little-endian 32-bit numbers.
 
     The tokenizer's pre-tokens never cross ASCII white space and it drops that white space, so the ids of a
     text are those of its words in order; a worker encodes each distinct word once while it remembers it.
@@ -39,33 +76,74 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set(words)
-        new = list(new)
-        got = self.batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian 32-bit numbers. A long text is cut at white space, so memory doesn't follow its length."""
-        out, a = [], 0
-        while a < len(text):
-            b = min(len(text), a + CHUNK_BYTES)
-            while b < len(text) and text[b] not in b" \t\n\r\x0b\x0c":
-                b += 1
-            words = text[a:b].split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(words)
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            a = b
-        return b"".join(out)
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+        tokenizer = Tokenizer.from_file(path)
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.call = lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
+        self.part = self.call([PART])[0]
+        self.new: set[bytes] = set()
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """One for each worker process, which tasks take over from each other."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def __missing__(self, word: bytes) -> None:
+        self.new.add(word)
+
+    def learn(self) -> None:
+        """Encode the words asked for in vain, many to a call: the library's cost of a call is above that of a word."""
+        together, alone = [], []
+        for w in self.new:
+            (alone if PART.encode() in w or len(self.part) != 1 else together).append(w)
+        self.new = set()
+        texts = [w.decode("utf-8", "replace") for w in together]
+        groups = [f" {PART} ".join(texts[a : a + PART_WORDS]) for a in range(0, len(texts), PART_WORDS)]
+        for k, ids in enumerate(self.call(groups)):
+            got = np.array(ids, "<u4")
+            ends = np.flatnonzero(got == self.part[0]).tolist()
+            data = got.tobytes()
+            at = together[k * PART_WORDS : (k + 1) * PART_WORDS]
+            self.update(zip(at, (data[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], [*ends, len(got)], strict=True)), strict=True))
+        for w, ids in zip(alone, self.call([w.decode("utf-8", "replace") for w in alone]), strict=True):
+            self[w] = np.array(ids, "<u4").tobytes()
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        found = list(map(self.__getitem__, words))
+        if self.new:
+            self.learn()
+            found = [self[w] if x is None else x for x, w in zip(found, words, strict=True)]
+        return found
+
+    def encode_rows(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text of a slice, read in its plain form."""
+        raw, offsets = plain_form(raw, offsets)
+        yield from self.encode_all(raw.tobytes(), offsets.tolist())
+
+    def encode_all(self, data: bytes, at: list[int]) -> Iterator[bytes]:
+        """The ids of each text data[at[k] : at[k + 1]]. A long text is cut at white space, so memory doesn't follow its length."""
+        if len(data) <= 2 * kernels.SLICE_BYTES:
+            each = [data[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+            found = self.ids([w for words in each for w in words])
+            a = 0
+            for words in each:
+                yield b"".join(found[a : a + len(words)])
+                a += len(words)
+            return
+        for a, end in zip(at, at[1:], strict=False):
+            out = []
+            while a < end:
+                b = min(end, a + CHUNK_BYTES)
+                while b < end and data[b] not in b" \t\n\r\x0b\x0c":
+                    b += 1
+                out.append(b"".join(self.ids(data[a:b].split())))
+                a = b
+            yield b"".join(out)
 
 
 class Packer:
@@ -155,17 +233,15 @@ def _pack(path: str, capacity: int, end_id: int):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(path), np.array([end_id], "<u4").tobytes()
         packer, out = Packer(capacity, TaskContext.get().partitionId() << 33), []
         for batch in batches:
             raw, offsets = kernels.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             for a, b in kernels.slices(offsets):
-                data, at = raw[offsets[a] : offsets[b]].tobytes(), (offsets[a : b + 1] - offsets[a]).tolist()
-                if len(data) <= 2 * kernels.SLICE_BYTES:
-                    encoder.learn(data.split())
-                for k in range(a, b):
-                    out += packer.add(ids[k], encoder.encode(data[at[k - a] : at[k - a + 1]]) + end)
+                got_rows = encoder.encode_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for doc, got in zip(ids[a:b], got_rows, strict=True):
+                    out += packer.add(doc, got + end)
                 if len(out) >= 4096:
                     yield batch_of(out)
                     out = []
