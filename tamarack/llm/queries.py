@@ -17,12 +17,39 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.chat import format_chats, read_back
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(given.unionByName(own)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarack.llm.rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarack.llm.vectors import near_vectors
 
@@ -40,7 +67,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_chat": op5_chat,
         "op7_quality_rules": op7_quality_rules,
+        "op8_html": op8_html,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_packing": op10_packing,
     }

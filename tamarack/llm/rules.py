@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, stored
+from tamarack.llm.shared import column, ddl, fresh_prefix, stored
 
 #: Ratio of neighbouring bucket bounds: values are known to 1 per cent.
 GROWTH = 1.02
@@ -90,7 +90,7 @@ def _measure(text: str, prefix: str):
             raw, offsets = kernels.buffers(batch.column(text))
             parts = [count_slice(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernels.slices(offsets)]
             found = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != prefix + "text"]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != text]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in keep), *(pa.array(np.ascontiguousarray(x)) for x in found.T)],
                 [*(batch.schema.names[i] for i in keep), *(prefix + c for c in COUNTS)],
@@ -99,13 +99,10 @@ def _measure(text: str, prefix: str):
     return run
 
 
-def measured(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the columns of COUNTS (long), whose names take ``prefix``. A null text has none of anything."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    given = docs.withColumn(prefix + "text", F.col(f"`{text_col}`").cast("string")) if prefix else docs
-    if not prefix:
-        return given.mapInArrow(_measure(text_col, "\0"), kept + "".join(f", {c} long" for c in COUNTS))
-    return given.mapInArrow(_measure(prefix + "text", prefix), kept + "".join(f", `{prefix}{c}` long" for c in COUNTS))
+def measured(docs: DataFrame, text, prefix: str = "") -> DataFrame:
+    """``docs`` with the columns of COUNTS (long), whose names take ``prefix``; ``text`` is the column to measure. A null text has none of anything."""
+    inner = fresh_prefix(docs, "measured") + "text"
+    return docs.withColumn(inner, text).mapInArrow(_measure(inner, prefix), ddl(docs) + ", ".join(f"`{prefix}{c}` long" for c in COUNTS))
 
 
 def base_failed(prefix: str = ""):
@@ -172,14 +169,15 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 def judged(counts: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
     """``counts`` with <prefix>base_failed and <prefix>kept. Spark broadcasts the fences only where their size allows it."""
-    limits = limits.select([F.col(c).alias(f"\0{c}") for c in limits.columns])
-    joined = counts.join(limits, F.col(lang).eqNullSafe(F.col("\0lang")) & F.col(source).eqNullSafe(F.col("\0source")), "left")
+    p = fresh_prefix(counts, "fence")
+    limits = limits.select([F.col(c).alias(p + c) for c in limits.columns])
+    joined = counts.join(limits, F.col(lang).eqNullSafe(F.col(p + "lang")) & F.col(source).eqNullSafe(F.col(p + "source")), "left")
     verdict = F.lit(True)
     for k, (name, (_, _, below)) in enumerate(MEASURES.items()):
         value = F.element_at(_values(prefix), k + 1)["value"]
-        verdict = verdict & F.coalesce(value <= F.col(f"\0{name}_high"), F.lit(True))
+        verdict = verdict & F.coalesce(value <= F.col(f"{p}{name}_high"), F.lit(True))
         if below is not None:
-            verdict = verdict & F.coalesce(value >= F.col(f"\0{name}_low"), F.lit(True))
+            verdict = verdict & F.coalesce(value >= F.col(f"{p}{name}_low"), F.lit(True))
     failed = base_failed(prefix)
     return joined.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~failed & verdict).drop(*limits.columns)
 
@@ -191,7 +189,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows are judged alike. An empty table gives an empty result.
     """
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), column(docs, source_col, "string").alias("source"))
-    counts = stored(measured(plain).drop("text"), "rules")
+    counts = stored(measured(plain, F.col("text")).drop("text"), "rules")
     return judged(counts, fences(sketches(counts))).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
@@ -201,8 +199,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     The texts are read twice, once for the sketches and once for the verdict, so that no shuffle and
     no stored copy carries them.
     """
-    p = "\0rule_"
+    p = fresh_prefix(docs, "rule")
+    text = column(docs, text_col, "string")
     keyed = docs.withColumns({f"{p}lang": column(docs, lang_col, "string"), f"{p}source": column(docs, source_col, "string")})
-    narrow = measured(keyed.select(f"`{p}lang`", f"`{p}source`", column(docs, text_col, "string").alias("text"))).drop("text")
+    narrow = measured(keyed.select(f"{p}lang", f"{p}source", text.alias(f"{p}text")), F.col(f"{p}text")).drop(f"{p}text")
     limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch")), "fences")
-    return judged(measured(keyed, text_col, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[f"`{c}`" for c in docs.columns])
+    return judged(measured(keyed, text, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,3 +56,16 @@ def has_rows(df: DataFrame) -> bool:
 def column(df: DataFrame, name: str, kind: str):
     """The column, or a null where the table lacks it."""
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
+
+
+def fresh_prefix(df: DataFrame, base: str) -> str:
+    """A prefix that no column of ``df`` begins with, so that added columns never clash."""
+    prefix = f"__{base}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string, for operators that hand them through."""
+    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema.fields)
