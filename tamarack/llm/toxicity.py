@@ -164,8 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.where("id is not null and y in (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.where("text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    some = [texts.join(marks.where(f"y = {y}"), "id").orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_DOCS) for y in (0, 1)]
-    rows = some[0].unionByName(some[1]).select("text", "y").toArrow()
+    # ids are chosen first, so no shuffle carries texts but those of the sample
+    there = texts.select("id").join(marks, "id").distinct()
+    some = [there.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for y in (0, 1)]
+    chosen = some[0].unionByName(some[1])  # 2 * SAMPLE_DOCS rows at most: small enough to broadcast at any size
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "y").select("text", "y").toArrow()
     return fit([t.encode() for t in rows["text"].to_pylist()], rows["y"].to_numpy())
 
 
