@@ -17,6 +17,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarack.llm.toxicity import toxicity
 
@@ -38,6 +44,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(given.unionByName(own)))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tamarack.llm.pieces import round_trips
+
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamarack.llm.rules import quality_rules
 
@@ -67,9 +81,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_chat": op5_chat,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_quality_rules": op7_quality_rules,
         "op8_html": op8_html,
         "op9_embedding_dedup": op9_embedding_dedup,
