@@ -25,8 +25,8 @@ from tamarack.llm import kernels
 from tamarack.llm.shared import column, ddl, fresh_prefix
 
 WINDOW = 128
-#: The training sample: labelled documents of each class at most, bytes of a document at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
+#: The training sample: labelled documents of each class at most, bytes of a document and windows of ordinary text at most.
+SAMPLE_DOCS, SAMPLE_BYTES, WINDOWS = 4000, 1 << 16, 60_000
 ORDINARY_BYTES, TOXIC_BYTES, TOXIC_ROUNDS = 2048, 8192, 3
 #: A telling word's surroundings at least (fewer where hardly any word has them), and its rate over that in ordinary text.
 SURROUNDINGS, RATE = 6, 50
@@ -54,16 +54,18 @@ def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b" ".join(dict.fromkeys(samples))[-size:]
 
 
-def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Of plain texts; each is split when it is read, so that no list of all words is held."""
     in_toxic, in_ordinary = Counter(), Counter()
-    for words in toxic:
-        in_toxic.update(set(words))
-    for words in ordinary:
-        in_ordinary.update(set(words))
+    for text in toxic:
+        in_toxic.update(set(text.split()))
+    for text in ordinary:
+        in_ordinary.update(w for w in set(text.split()) if w in in_toxic)
     scale = max(1, len(toxic)) / max(1, len(ordinary))
     rare = {w for w, n in in_toxic.items() if n >= RATE * scale * (in_ordinary[w] + 0.5)}
     around = defaultdict(set)
-    for words in toxic:
+    for text in toxic:
+        words = text.split()
         for before, w in zip([b"", *words], words, strict=False):
             if w in rare:
                 around[w].add(before)
@@ -118,35 +120,44 @@ def _packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def dictionaries(words: list[list[bytes]], labels: np.ndarray) -> Model:
-    """Train both dictionaries on documents given as their plain words."""
-    toxic = [w for w, y in zip(words, labels, strict=True) if y]
-    ordinary = [w for w, y in zip(words, labels, strict=True) if not y]
+def dictionaries(plain: list[bytes], labels: np.ndarray) -> Model:
+    """Train both dictionaries on plain texts; the ordinary one on WINDOWS windows at most."""
+    toxic = [t for t, y in zip(plain, labels, strict=True) if y]
+    ordinary = [t for t, y in zip(plain, labels, strict=True) if not y]
     telling = telling_words(toxic, ordinary)
-    samples = [b" " + w + b" " for ws in toxic for w in ws if w in telling]
+    samples = [b" " + w + b" " for t in toxic for w in t.split() if w in telling]
     content = b""
     for round_ in range(TOXIC_ROUNDS if samples else 0):  # a training run cuts some words that another leaves whole
         random.Random(round_).shuffle(samples)
         content += _content(samples, TOXIC_BYTES, 24, 6)
     # the trainer also stops early: telling words that no round left whole are put in front, the rarest first
-    cut = [b" " + w + b" " for w, _ in Counter(w for ws in toxic for w in set(ws) & telling).most_common() if b" " + w + b" " not in content]
+    cut = [b" " + w + b" " for w, _ in Counter(w for t in toxic for w in set(t.split()) & telling).most_common() if b" " + w + b" " not in content]
     content = b"".join(reversed(cut))[-TOXIC_BYTES:] + content
-    data, starts, ends, _ = windows(*_packed([b" ".join(w) for w in ordinary]))
-    return Model(_content([data[a:b] for a, b in zip(starts[:60_000].tolist(), ends[:60_000].tolist(), strict=True)], ORDINARY_BYTES, 32, 8), content)
+    some: list[bytes] = []
+    for a in range(0, len(ordinary), 64):
+        data, starts, ends, _ = windows(*_packed(ordinary[a : a + 64]))
+        some += [data[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if len(some) >= WINDOWS:
+            break
+    return Model(_content(some[:WINDOWS], ORDINARY_BYTES, 32, 8), content)
+
+
+def features_of(model: Model, texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([model.features(*_packed(texts[a : a + 64])) for a in range(0, len(texts), 64)])
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     """Train on all distinct texts; calibrate each half of them on dictionaries of the other half."""
     seen = dict(zip(texts, labels.tolist(), strict=True))
     texts, labels = list(seen), np.array(list(seen.values()), int)
-    words = [t.translate(PLAIN).split() for t in texts]
-    model = dictionaries(words, labels)
+    plain = [t.translate(PLAIN) for t in texts]
+    model = dictionaries(plain, labels)
     x, y = [], []
     for side in (0, 1):
         at = [i for i in range(len(texts)) if i % 2 == side]
         rest = [i for i in range(len(texts)) if i % 2 != side]
         if at and rest:
-            x.append(dictionaries([words[i] for i in rest], labels[rest]).features(*_packed([texts[i] for i in at])))
+            x.append(features_of(dictionaries([plain[i] for i in rest], labels[rest]), [texts[i] for i in at]))
             y.append(labels[at])
     if y and 0 < (y := np.concatenate(y).astype(float)).sum() < len(y):
         x = np.concatenate(x)
