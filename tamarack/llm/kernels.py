@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -137,23 +137,31 @@ def _forest(num: int, den: int):
             part = np.zeros((len(nodes), step), np.float32)
             part[owner[lo:hi], term[lo:hi] - a] = 1
             both += part[left] @ part.T
-        common = np.rint(both).astype(np.int64)
-        linked = den * common >= num * (sizes[left][:, None] + sizes[None, :] - common)
+        # row by row, so that whole numbers take no room beside the products
+        linked = np.empty(both.shape, bool)
+        for i in range(len(left)):
+            common = np.rint(both[i]).astype(np.int64)
+            linked[i] = den * common >= num * (sizes[left[i]] + sizes - common)
         linked[np.arange(len(left)), left] = False
-        root = np.arange(len(nodes))
-        out = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-            i = int(left[i])
-            a, b = i, j
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[j]))
+        # breadth first over rows and columns of the link matrix, which holds a row for each open member
+        row_of = np.full(len(nodes), -1)
+        row_of[left] = np.arange(len(left))
+        fresh, out = np.ones(len(nodes), bool), []
+        for start in left.tolist():
+            if not fresh[start]:
+                continue
+            fresh[start], queue = False, [start]
+            while queue:
+                i = queue.pop()
+                near = np.zeros(len(nodes), bool)
+                if row_of[i] >= 0:
+                    near |= linked[row_of[i]]
+                near[left] |= linked[:, i]
+                near &= fresh
+                fresh[near] = False
+                new = np.flatnonzero(near).tolist()
+                out += [(nodes[i], nodes[j]) for j in new]
+                queue += new
         out = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
