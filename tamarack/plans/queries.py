@@ -1,11 +1,377 @@
-"""Registered queries of the library and their DuckDB equivalents."""
+"""Registered queries over the star schema's tables and their DuckDB equivalents.
+
+The question-answer corpus is derived from orders, customers and nations: a question per order, whose query
+holds the customer as an entity and the nation as a property. Some ids have no label and some labels
+overlap, so every path of the masking is taken.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tamarack.functions import arrays, lcs, text
+from tamarack.operators import beams, encoding, evaluation, finalise, labels, masking, relations, validation
+from tamarack.plans import tasks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uid, q, a)."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    q = F.concat(F.lit("Wat is "), "n_name", F.lit(" van "), "c_name", F.lit("?"))
+    a = F.concat(F.lit("SELECT ?ans ?ans_1 WHERE { wd:Q"), F.col("c_custkey").cast("string"), F.lit(" wdt:P"), F.col("n_nationkey").cast("string"), F.lit(" ?ans_1 . ?ans_1 wdt:P31 ?ans }"))
+    return joined.select(F.col("o_orderkey").alias("uid"), q.alias("q"), a.alias("a"))
+
+
+def qa_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, labels)."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    q = customer.where("c_custkey % 10 <> 0").select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"), F.array("c_name").alias("labels"))
+    name = F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("is "), "n_name")).otherwise(F.col("n_name"))
+    p = nation.where("n_nationkey <> 31").select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("id"), F.array(name).alias("labels"))
+    own = spark.range(1).select(F.lit("P31").alias("id"), F.array(F.lit("is")).alias("labels"))
+    return q.unionByName(p).unionByName(own)
+
+
+def qa_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select("uid", text.ids_of(F.col("a")).alias("ids"))
+
+
+QA = """qa AS (SELECT o_orderkey AS uid, 'Wat is ' || n_name || ' van ' || c_name || '?' AS q,
+  'SELECT ?ans ?ans_1 WHERE { wd:Q' || c_custkey || ' wdt:P' || n_nationkey || ' ?ans_1 . ?ans_1 wdt:P31 ?ans }' AS a
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+NAMED = """named AS (SELECT 'Q' || c_custkey AS id, c_name AS label FROM customer WHERE c_custkey % 10 <> 0
+  UNION ALL SELECT 'P' || n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'is ' || n_name ELSE n_name END FROM nation UNION ALL SELECT 'P31', 'is')"""
+FLAT = "flat AS (SELECT DISTINCT uid, unnest(regexp_extract_all(a, '[QP][0-9]+')) AS id FROM qa)"
+FOUND = f"""WITH {QA}, {NAMED}, {FLAT}, found AS (SELECT flat.uid, flat.id, label, nullif(strpos(q, label), 0) AS s, nullif(strpos(q, label), 0) + length(label) - 1 AS e
+  FROM flat JOIN qa USING (uid) LEFT JOIN named USING (id))"""
+PAIRS = f"""{FOUND}, collision AS (SELECT DISTINCT uid FROM (SELECT uid, e, lead(s) OVER (PARTITION BY uid ORDER BY s, e) AS n FROM found WHERE s IS NOT NULL) WHERE e >= n),
+  kept AS (SELECT uid FROM found GROUP BY uid HAVING bool_and(s IS NOT NULL)), numbered AS (SELECT found.*, left(id, 1) || row_number() OVER (PARTITION BY uid, left(id, 1) ORDER BY id) AS mask FROM found),
+  folds AS (SELECT uid, list(label || '|' || mask ORDER BY id) AS ql, list(id || '|' || mask ORDER BY id) AS al FROM numbered WHERE uid IN (SELECT uid FROM kept) AND uid NOT IN (SELECT uid FROM collision) GROUP BY uid),
+  pairs AS (SELECT uid, list_reduce(list_concat([q], ql), lambda z, y: replace(z, split_part(y, '|', 1), split_part(y, '|', 2))) AS q,
+    list_reduce(list_concat([a], al), lambda z, y: replace(z, split_part(y, '|', 1), split_part(y, '|', 2))) AS a FROM qa JOIN folds USING (uid))"""
+FINISHED_Q = "regexp_replace(regexp_replace(regexp_replace(lower(q), '[pq][0-9]+', ' \\0 ', 'g'), '\\?$', ' ?'), ' {2,}', ' ', 'g')"
+BARE_A = "regexp_replace(replace(replace(replace(replace(replace(replace(lower(a), '{', ' brack_open '), '}', ' brack_close '), '(', ' attr_open '), ')', ' attr_close '), '.', ' sep_dot '), ',', ' , '), '[a-z]+:([pq][0-9]+)', '\\1', 'g')"
+FINISHED_A = f"regexp_replace(regexp_replace(replace(replace({BARE_A}, '?ans', 'var_1'), 'var_1_1', 'var_1_1'), ' {{2,}}', ' ', 'g'), ' +$', '')"
+WORDS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = qa(spark, sf_dir)
+    return masking.masked_pairs(pairs, qa_ids(pairs), qa_labels(spark, sf_dir))
+
+
+@query(f"{PAIRS} SELECT uid, {FINISHED_Q} AS q, {FINISHED_A} AS a FROM pairs")
+def masked_pairs(spark, sf_dir):
+    """The flagship: masked, linearised question-answer pairs."""
+    return finalise.finished(masked(spark, sf_dir))
+
+
+@query(f"{PAIRS} SELECT uid, q, a FROM pairs")
+def mask_question_answer_pairs(spark, sf_dir):
+    return masked(spark, sf_dir)
+
+
+@query("SELECT page_id, replace(replace(replace(html, '_', ' '), '{', ''), '}', '') AS html FROM pages")
+def symbol_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.symbols_replaced(F.col("html")).alias("html"))
+
+
+def _nested_replace(column: str) -> str:
+    for name, char in text.HTML_ENTITIES.items():
+        if name not in ("&amp;", "&frac12;"):
+            column = f"replace({column}, '{name}', '{char}')"
+    return f"replace({column}, '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {_nested_replace('html')} AS html FROM pages")
+def html_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_decoded(F.col("html")).alias("html"))
+
+
+@query("SELECT item_id, CASE WHEN length(left(text, item_id % 30)) > 15 THEN left(text, item_id % 30) WHEN length(left(text, item_id % 50)) > 20 THEN left(text, item_id % 50) ELSE text END AS question FROM benchmark")
+def question_choice(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    part = lambda n: F.expr(f"left(text, cast(item_id % {n} as int))")
+    return items.select("item_id", text.chosen_question(part(30), part(50), F.col("text")).alias("question"))
+
+
+@query("""SELECT uid, CASE WHEN uid % 3 = 0 THEN regexp_replace(regexp_replace('Wie is ERROR' || uid || ' van ' || n_name || ' ?', 'ERROR[0-9]+', n_name, 'g'), ' ?\\?$', '?')
+  ELSE 'Wie is ERROR' || uid || ' van ' || n_name || ' ?' END AS question FROM (SELECT n_nationkey AS uid, n_name FROM nation)""")
+def error_replace(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uid"), "n_name")
+    texts = nation.select("uid", F.concat(F.lit("Wie is ERROR"), F.col("uid").cast("string"), F.lit(" van "), "n_name", F.lit(" ?")).alias("question"))
+    return tasks.replace_errors(texts, nation.where("uid % 3 = 0").select("uid", F.col("n_name").alias("question")))
+
+
+@query(f"WITH {QA}, {FLAT} SELECT uid, string_agg(id, ',' ORDER BY id) AS ids FROM flat GROUP BY uid")
+def extract_ids(spark, sf_dir):
+    return qa_ids(qa(spark, sf_dir)).select("uid", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH {QA}, {FLAT} SELECT uid, count(*) AS n_ids, string_agg(id, ',' ORDER BY id) AS ids FROM flat GROUP BY uid")
+def id_map_round_trip(spark, sf_dir):
+    return labels.gathered(labels.exploded(qa_ids(qa(spark, sf_dir)))).select("uid", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH {QA}, {FLAT} SELECT DISTINCT id, CASE WHEN left(id, 1) = 'Q' THEN 'entity' ELSE 'property' END AS kind FROM flat")
+def distinct_ids(spark, sf_dir):
+    return labels.distinct_ids(qa_ids(qa(spark, sf_dir))).select("id", text.id_kind(F.col("id")).alias("kind"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti(spark, sf_dir):
+    return relations.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 15 AS chunk FROM documents")
+def chunked(spark, sf_dir):
+    return relations.chunked(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), F.floor(F.col("doc_id") / 10_000), 15).select("doc_id", "chunk")
+
+
+@query(f"WITH {QA}, {NAMED}, {FLAT} SELECT id, coalesce(string_agg(label, ';' ORDER BY label), '') AS labels, count(label) AS n_labels FROM (SELECT DISTINCT id FROM flat) LEFT JOIN named USING (id) GROUP BY id")
+def label_group(spark, sf_dir):
+    wanted = labels.distinct_ids(qa_ids(qa(spark, sf_dir)))
+    bindings = qa_labels(spark, sf_dir).select("id", F.posexplode("labels").alias("pos", "label"))
+    found = labels.from_bindings(wanted, bindings)
+    return found.select("id", F.array_join("labels", ";").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
+
+
+@query(f"{FOUND} SELECT uid, id, CASE WHEN s IS NOT NULL THEN label END AS label, s, CASE WHEN s IS NOT NULL THEN e END AS e FROM found")
+def label_match(spark, sf_dir):
+    pairs = qa(spark, sf_dir)
+    flat = labels.with_labels(qa_ids(pairs), qa_labels(spark, sf_dir)).join(pairs, "uid")
+    m = masking.best_match(F.col("q"), F.col("labels"))
+    return flat.select("uid", "id", m["label"].alias("label"), m["start"].alias("s"), m["end"].alias("e"))
+
+
+@query(f"{FOUND} SELECT DISTINCT uid FROM (SELECT uid, e, lead(s) OVER (PARTITION BY uid ORDER BY s, e) AS n FROM found WHERE s IS NOT NULL) WHERE e >= n")
+def collisions(spark, sf_dir):
+    found = label_match(spark, sf_dir).where("s is not null")
+    return masking.collisions_by_window(found.select("uid", F.col("s").alias("start"), F.col("e").alias("end")))
+
+
+@query(f"WITH {QA}, {FLAT} SELECT uid, id, left(id, 1) || row_number() OVER (PARTITION BY uid, left(id, 1) ORDER BY id) AS mask FROM flat")
+def mask_numbers(spark, sf_dir):
+    flat = labels.exploded(qa_ids(qa(spark, sf_dir)))
+    kind = F.substring("id", 1, 1)
+    rank = F.row_number().over(Window.partitionBy("uid", kind).orderBy("id"))
+    return flat.select("uid", "id", F.concat(kind, rank.cast("string")).alias("mask"))
+
+
+@query(f"WITH {QA} SELECT uid, {FINISHED_Q} AS q FROM qa")
+def finalise_question(spark, sf_dir):
+    return qa(spark, sf_dir).select("uid", text.question_finished(F.col("q")).alias("q"))
+
+
+@query(f"WITH {QA} SELECT uid, {FINISHED_A} AS a FROM qa")
+def finalise_answer(spark, sf_dir):
+    return qa(spark, sf_dir).select("uid", text.answer_finished(F.col("a")).alias("a"))
+
+
+@query(f"""WITH {QA}, placed AS (SELECT *, row_number() OVER (ORDER BY CAST(uid AS VARCHAR)) AS r, floor(count(*) OVER () * 0.1) AS m FROM qa)
+  SELECT CASE WHEN r <= m THEN 'validate' ELSE 'train' END AS part, CAST(CASE WHEN r <= m THEN r - 1 ELSE r - 1 - m END AS BIGINT) AS idx, q AS nl, a AS ql FROM placed""")
+def train_validate_split(spark, sf_dir):
+    return finalise.partitioned(qa(spark, sf_dir), "train", 0.1)
+
+
+@query(f"WITH {QA} SELECT CAST(sum(CASE WHEN uid % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS differences, count(*) AS total, 100 * sum(CASE WHEN uid % 7 = 0 THEN 1 ELSE 0 END) / count(*) AS percentage FROM qa")
+def validate_translation(spark, sf_dir):
+    reference = qa(spark, sf_dir).select("uid", F.col("q").alias("question"))
+    proposal = reference.withColumn("question", F.when(F.col("uid") % 7 == 0, F.concat("question", F.lit("!"))).otherwise(F.col("question")))
+    return validation.validate_translation(proposal, reference)
+
+
+@query(f"""{PAIRS} SELECT part, CAST(sum(d) AS BIGINT) AS differences, count(*) AS total, 100 * sum(d) / count(*) AS percentage FROM (
+  SELECT 'question' AS part, 0 AS d FROM pairs UNION ALL SELECT 'answer', CASE WHEN uid % 5 = 0 THEN 1 ELSE 0 END FROM pairs) GROUP BY part""")
+def validate_masking(spark, sf_dir):
+    """A reference with masks of other numbers is equal up to their names; every fifth answer differs."""
+    proposal = masked(spark, sf_dir)
+    other = lambda c: F.regexp_replace(F.regexp_replace(c, "([PQ])1([^0-9]|$)", "$17$2"), "([PQ])2([^0-9]|$)", "$18$2")
+    reference = proposal.withColumns({c: other(F.col(c)) for c in ("q", "a")})
+    proposal = proposal.withColumn("a", F.when(F.col("uid") % 5 == 0, F.concat("a", F.lit(" x"))).otherwise(F.col("a")))
+    return validation.validate_masking(proposal, reference)
+
+
+@query(f"WITH {QA} SELECT uid, CASE WHEN uid % 4 = 0 THEN 'new' ELSE 'old' END AS side FROM qa WHERE uid % 3 = 0 OR uid % 4 = 0")
+def set_ops(spark, sf_dir):
+    """Upsert: rows of the new batch replace those of the old one."""
+    pairs = qa(spark, sf_dir).select("uid")
+    old, new = pairs.where("uid % 3 = 0").withColumn("side", F.lit("old")), pairs.where("uid % 4 = 0").withColumn("side", F.lit("new"))
+    return relations.upserted(old, new, "uid")
+
+
+@query(f"WITH {QA} SELECT uid, CASE WHEN uid % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM qa WHERE (uid % 2 = 0) <> (uid % 3 = 0) AND (uid % 2 = 0 OR uid % 3 = 0)")
+def key_differences(spark, sf_dir):
+    pairs = qa(spark, sf_dir).select("uid")
+    return relations.key_differences(pairs.where("uid % 2 = 0"), pairs.where("uid % 3 = 0"), "uid")
+
+
+POINTS = "points AS (SELECT conv_id * 100 + turn AS idx, text FROM conversations)"
+VOCABULARY = f"vocabulary AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS INTEGER) AS id FROM (SELECT unnest({WORDS}) AS token FROM points) GROUP BY token ORDER BY count(*) DESC, token LIMIT 500)"
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), "text")
+
+
+@query(f"""WITH {POINTS}, {VOCABULARY}, flat AS (SELECT idx, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM (SELECT idx, list_slice({WORDS}, 1, 14) AS t FROM points)),
+  whole AS (SELECT idx, list_concat(list_concat([1], list(coalesce(id, 3) ORDER BY pos)), [2]) AS l FROM flat LEFT JOIN vocabulary USING (token) GROUP BY idx)
+  SELECT idx, array_to_string(list_concat(l, list_transform(range(16 - len(l)), lambda x: 0)), ',') AS ids, array_to_string(list_concat(list_transform(l, lambda x: 1), list_transform(range(16 - len(l)), lambda x: 0)), ',') AS mask FROM whole""")
+def encode_points(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    out = encoding.encoded(points, "text", encoding.vocabulary(points, "text", 500), 16, "ids", "mask")
+    return out.select("idx", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ids", "mask")])
+
+
+@query(f"WITH {POINTS} SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 32 AS batch FROM points")
+def minibatch(spark, sf_dir):
+    return encoding.batched(_points(spark, sf_dir), 32).select("idx", "batch")
+
+
+@query()
+def sample_hash(spark, sf_dir):
+    """A sampling operator: at most 100 points, the same in every run."""
+    return relations.sampled(_points(spark, sf_dir), F.col("idx"), 100, seed=7).select("idx")
+
+
+def _detok_sql(c: str) -> str:
+    c = f"replace(replace(trim({c}), '< ', '<'), ' >', '>')"
+    c = f"""regexp_replace({c}, ' ?([!"#$%&''(’)*+,\\-./:;=?@\\\\^_`{{|}}~]) ?', '\\1', 'g')"""
+    for old, new in (("attr_close>", "attr_close >"), ("_attr_open", "_ attr_open"), (" [ ", " ["), (" ] ", "] "), ("_obd_", " _obd_ "), ("_oba_", " _oba_ ")):
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+@query(f"WITH {QA} SELECT uid, {_detok_sql(FINISHED_A)} AS sentence FROM qa")
+def eval_detok(spark, sf_dir):
+    return qa(spark, sf_dir).select("uid", text.prediction_joined(text.answer_finished(F.col("a"))).alias("sentence"))
+
+
+def _bleu_pairs(spark, sf_dir):
+    """Each turn's text against its predecessor's of the same conversation."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("before", before).where("before is not null")
+    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), text.words_of(F.lower("text")).alias("pred"), F.array(text.words_of(F.lower("before"))).alias("refs"))
+
+
+@query(f"""WITH pairs AS (SELECT conv_id * 100 + turn AS idx, {WORDS} AS p, {WORDS.replace('text', 'b')} AS r FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL),
+  ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+  ours AS (SELECT idx, n, g, count(*) AS c FROM (SELECT idx, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(list_slice(p, i, i + n - 1), ' '))) AS g FROM pairs, ns) GROUP BY ALL),
+  theirs AS (SELECT idx, n, g, count(*) AS rc FROM (SELECT idx, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(list_slice(r, i, i + n - 1), ' '))) AS g FROM pairs, ns) GROUP BY ALL),
+  hits AS (SELECT n, sum(least(c, coalesce(rc, 0))) AS hit FROM ours LEFT JOIN theirs USING (idx, n, g) GROUP BY n),
+  totals AS (SELECT n, sum(greatest(1, len(p) - n + 1)) AS total FROM pairs, ns GROUP BY n), sizes AS (SELECT sum(len(p)) AS h, sum(len(r)) AS r FROM pairs)
+  SELECT round(100 * CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * p, 6) AS bleu FROM sizes, (SELECT exp(avg(ln(CASE WHEN hit > 0 THEN hit / total ELSE 2.2250738585072014e-308 END))) AS p FROM totals LEFT JOIN hits USING (n))""")
+def corpus_bleu(spark, sf_dir):
+    return evaluation.corpus_bleu(_bleu_pairs(spark, sf_dir)).select(F.round("bleu", 6).alias("bleu"))
+
+
+@query("""WITH l AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM l),
+  s AS (SELECT *, list_transform(x, lambda v: v - top - ln(list_sum(list_transform(x, lambda w: exp(w - top))))) AS lp FROM m)
+  SELECT vec_id, round(-(0.9 * lp[vec_id % 64 + 1] + 0.1 / 63 * (list_sum(lp) - lp[vec_id % 64 + 1])), 6) AS loss FROM s""")
+def smoothed_loss(spark, sf_dir):
+    logits = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    loss = arrays.smoothed_loss(F.col("lp"), (F.col("vec_id") % 64).cast("int"), 0.1)
+    return logits.withColumn("lp", arrays.log_softmax(F.col("x"))).select("vec_id", F.round(loss, 6).alias("loss"))
+
+
+def _beams(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("seq"), F.lit(1).alias("step"), (F.col("vec_id") % 4).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
+
+
+@query("""WITH f AS (SELECT vec_id // 4 AS seq, CAST(vec_id % 4 AS INTEGER) AS dep_beam, unnest(range(64)) AS token, unnest(embedding)::DOUBLE AS lp FROM embeddings),
+  s AS (SELECT *, lp - dep_beam * 0.5 AS score FROM f) SELECT seq, CAST(rank - 1 AS INTEGER) AS rank, dep_beam, CAST(token AS INTEGER) AS token, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, dep_beam, token) AS rank FROM s) WHERE rank <= 4""")
+def beam_topk(spark, sf_dir):
+    scores = _beams(spark, sf_dir).withColumn("parent_score", F.col("beam") * -0.5)
+    return beams.top_beams(scores, 4).select("seq", "rank", "dep_beam", "token", "score")
+
+
+@query()
+def beam_search(spark, sf_dir):
+    """Four steps of two beams for each group of eight vectors, taken as log probabilities."""
+    vectors = table(spark, sf_dir, "embeddings")
+    steps = vectors.select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.floor(F.col("vec_id") / 2) % 4).cast("int").alias("step"), (F.col("vec_id") % 2).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
+    return beams.decode(steps, 2, 1, 2)
+
+
+SUBSTRINGS = "list_distinct(flatten(list_transform(range(1, length({c}) + 1), lambda i: list_transform(range(1, length({c}) - i + 2), lambda k: substr({c}, i, k)))))"
+
+
+@query(f"""WITH s AS (SELECT n_name, r_name, unnest(list_intersect({SUBSTRINGS.format(c='n_name')}, {SUBSTRINGS.format(c='r_name')})) AS x FROM nation JOIN region ON n_regionkey = r_regionkey)
+  SELECT n_name, r_name, first(x ORDER BY length(x) DESC, x) AS common FROM s GROUP BY n_name, r_name""")
+def longest_common(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return joined.select("n_name", "r_name", text.longest_common_substring(F.col("n_name"), F.col("r_name")).alias("common")).where("common is not null")
+
+
+@query()
+def longest_common_long(spark, sf_dir):
+    """Each benchmark item against the next document of its number."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return items.join(docs, items.item_id == docs.doc_id).select("item_id", lcs.longest_common()(items.text, docs.text).alias("common"))
+
+
+@query(f"WITH {QA} SELECT uid, url_encode(q) AS q FROM qa")
+def url_encode(spark, sf_dir):
+    return qa(spark, sf_dir).select("uid", text.url_encoded(F.col("q")).alias("q"))
+
+
+_ONE = """'\t\tSELECT DISTINCT ?id ?label WHERE {' || chr(10) || '\t\t\tBIND("' || id || '" AS ?id) .' || chr(10) || '\t\t\t{' || chr(10) || '\t\t\t\twd:' || id || ' rdfs:label ?label .' || chr(10) || '\t\t\t} UNION {' || chr(10)
+  || '\t\t\t\twd:' || id || ' skos:altLabel ?label .' || chr(10) || '\t\t\t}' || chr(10) || '\t\t\tFILTER(LANG(?label) = "nl") .' || chr(10) || '\t\t}' || chr(10)"""
+
+
+@query(f"""WITH {QA}, {FLAT}, ids AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 15 AS chunk FROM (SELECT DISTINCT id FROM flat))
+  SELECT chunk, 'SELECT ?id ?label WHERE {{' || chr(10) || string_agg('\t{{' || chr(10) || {_ONE} || '\t}}' || chr(10), '\tUNION' || chr(10) ORDER BY id) || '}}' AS query FROM ids GROUP BY chunk""")
+def sparql_text(spark, sf_dir):
+    ids = labels.distinct_ids(qa_ids(qa(spark, sf_dir)))
+    return labels.labelling_queries(relations.chunked(ids, F.col("id"), F.substring("id", 1, 3), 15), "nl")
+
+
+@query(f"WITH {QA}, {NAMED} SELECT DISTINCT id, label FROM (SELECT DISTINCT unnest(regexp_extract_all(a, '[QP][0-9]+')) AS id FROM qa) JOIN named USING (id)")
+def local_labels(spark, sf_dir):
+    """What the labelling query asks for, over local tables: two sources, one language, distinct."""
+    named = qa_labels(spark, sf_dir).select("id", F.explode("labels").alias("label"))
+    both = [named.withColumn("lang", F.lit(x)) for x in ("nl", "en")]
+    return labels.local_lookup(labels.distinct_ids(qa_ids(qa(spark, sf_dir))), both[0].unionByName(both[1]), both[0], "nl")
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT user_id, event_id, value, round(sum(value) OVER w, 4) AS loss_sum, round(avg(value) OVER w, 6) AS loss_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def running_loss(spark, sf_dir):
+    losses = table(spark, sf_dir, "events").select(F.col("user_id").alias("epoch"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    out = evaluation.running_loss(losses, digits=6)
+    return out.select(F.col("epoch").alias("user_id"), F.col("step").alias("event_id"), F.col("loss").alias("value"), F.round("loss_sum", 4).alias("loss_sum"), "loss_mean")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT event_id, CASE WHEN event_id < 100 THEN event_id / 100 ELSE greatest(0.0, (1000 - event_id) / 900) END AS factor FROM events")
+def learning_rate(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", arrays.schedule(F.col("event_id"), 1000).alias("factor"))
