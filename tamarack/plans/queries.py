@@ -365,10 +365,10 @@ def local_labels(spark, sf_dir):
     return labels.local_lookup(labels.distinct_ids(qa_ids(qa(spark, sf_dir))), both[0].unionByName(both[1]), both[0], "nl")
 
 
-@query("SELECT user_id, event_id, value, round(sum(value) OVER w, 4) AS loss_sum, round(avg(value) OVER w, 6) AS loss_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT user_id, event_id, value, round(sum(value) OVER w, 4) AS loss_sum, round(avg(value) OVER w, 11) AS loss_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_loss(spark, sf_dir):
     losses = table(spark, sf_dir, "events").select(F.col("user_id").alias("epoch"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
-    out = evaluation.running_loss(losses, digits=6)
+    out = evaluation.running_loss(losses, digits=11)
     return out.select(F.col("epoch").alias("user_id"), F.col("step").alias("event_id"), F.col("loss").alias("value"), F.round("loss_sum", 4).alias("loss_sum"), "loss_mean")
 
 
