@@ -26,10 +26,10 @@ LEAST = 100
 WIDEN = 3
 #: name: (expression over the counts, slack above, slack below or None for no lower fence)
 MEASURES = {
-    "symbols": ("1000 * n_symbols div n_words", 1000, None),
-    "repeats": ("1000 * n_repeat_words div n_words", 300, None),
-    "lines": ("1000 * n_dup_lines div n_words", 60, None),
-    "length": ("100 * word_chars div n_words", 150, 150),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 1000, None),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 300, None),
+    "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 60, None),
+    "length": ("100 * word_chars div greatest(n_words, 1)", 150, 150),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
