@@ -15,7 +15,9 @@ and what follows them) in a row. A worker segments each distinct unit once while
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -29,8 +31,10 @@ from tamarack.llm.shared import column, ddl, fresh_prefix
 MARK = "▁"
 #: A byte that UTF-8 never holds, between units.
 CUT = b"\xff"
-#: Units that a worker remembers, and the bytes of a text that are segmented at once.
-UNITS, CHUNK_BYTES = 1_000_000, 1 << 20
+#: Units and meetings of pieces that a worker remembers, and the bytes of a text that are segmented at once.
+UNITS, MEETINGS, CHUNK_BYTES = 700_000, 300_000, 1 << 20
+#: Marks at the end of a unit.
+TAIL = re.compile(r"[^\w\s▁]+\Z")
 #: How far an uncovered character's score lies below the lowest piece's.
 UNKNOWN_BELOW = 10.0
 
@@ -51,7 +55,7 @@ class Codec(dict):
         self.byte_ids: dict[int, int] = {}
         plain, lowest = [], 0.0
         self.ids: dict[str, tuple[float, int]] = {}
-        self.meets: dict[tuple[int, int], bool] = {}
+        self.meets: dict[int, bool] = {}
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -68,6 +72,7 @@ class Codec(dict):
                     self.ids[piece] = (model.get_score(i), i)
                     self.automaton.add_word(piece, (len(piece), model.get_score(i), i))
         self.automaton.make_automaton()
+        self.pairs = {p[k : k + 2] for p in plain for k in range(len(p) - 1)}
         self.names = {i: p for p, (_, i) in self.ids.items()}
         #: Ranks of merges fall by one from piece to piece; log probabilities do not.
         ranks = [g for g, _ in self.ids.values() if g > -1e8]
@@ -97,44 +102,47 @@ class Codec(dict):
 
     def meet(self, left: int, right: int) -> bool:
         """Would the two pieces stand side by side; left -1: would the right one come out whole."""
-        known = self.meets.get((left, right))
-        if known is None:
-            want = ([self.names[left]] if left >= 0 else []) + [self.names[right]]
-            if len(self.meets) > UNITS:
-                self.meets.clear()
-            known = self.meets[left, right] = self.merged("".join(want)) == want
+        want = ([self.names[left]] if left >= 0 else []) + [self.names[right]]
+        if len(self.meets) > MEETINGS:
+            self.meets.clear()
+        known = self.meets[left << 32 | right] = self.merged("".join(want)) == want
         return known
 
     def best(self, unit: str) -> list[int]:
         """The ids of the best path."""
         if self.merges and MARK + MARK in unit:  # runs of marks have equal ranks, for which the pass isn't unique
             return [i for p in self.merged(unit) for i in ([self.ids[p][1]] if p in self.ids else self.fallback(p))]
-        n, merges, beyond = len(unit), self.merges, self.beyond
+        n, merges, beyond, meets = len(unit), self.merges, self.beyond, self.meets
         score: list = [0.0] + [None] * n
-        back: list = [(0, -1)] + [None] * n
+        sizes, ids = [0] * (n + 1), [-1] * (n + 1)
         at = 0  # ends up to here have all their edges
         for end, (size, gain, piece) in self.automaton.iter(unit):
             end += 1
             while at < end - 1:  # what no piece reaches is reached by its last character alone
                 at += 1
                 if score[at] is None:
-                    score[at], back[at] = score[at - 1] + beyond, (1, -1)
+                    score[at], sizes[at] = score[at - 1] + beyond, 1
             if merges:
-                if score[end] is None and self.meet(back[end - size][1], piece):
-                    score[end], back[end] = 0.0, (size, piece)
+                if score[end] is None:
+                    left = ids[end - size]
+                    known = meets.get(left << 32 | piece)
+                    if known or known is None and self.meet(left, piece):
+                        score[end], sizes[end], ids[end] = 0.0, size, piece
             else:
                 got = score[end - size] + gain
                 if score[end] is None or got > score[end]:
-                    score[end], back[end] = got, (size, piece)
+                    score[end], sizes[end], ids[end] = got, size, piece
         while at < n:
             at += 1
             if score[at] is None:
-                score[at], back[at] = score[at - 1] + beyond, (1, -1)
+                score[at], sizes[at] = score[at - 1] + beyond, 1
         out, end = [], n
         while end:
-            size, piece = back[end]
-            out += [piece] if piece >= 0 else reversed(self.fallback(unit[end - size : end]))
-            end -= size
+            if ids[end] >= 0:
+                out.append(ids[end])
+            else:
+                out += reversed(self.fallback(unit[end - sizes[end] : end]))
+            end -= sizes[end]
         return out[::-1]
 
     def fallback(self, char: str) -> list[int]:
@@ -144,7 +152,17 @@ class Codec(dict):
         if len(self) > UNITS:
             self.clear()
             self[b""] = b""
-        out = self[unit] = np.array(self.best(unit.decode()), "<u4").tobytes()
+        text = unit.decode()
+        tail = TAIL.search(text)
+        # a word and the marks after it are segmented apart where no piece holds the two characters that meet
+        if tail and tail.start() and text[tail.start() - 1 : tail.start() + 1] not in self.pairs and self.cuts:
+            core = text[: tail.start()].encode()
+            seen = core in self
+            out = self[core] + self[tail[0].encode()]
+            if seen:  # of a word met for the first time only the word is kept
+                self[unit] = out
+            return out
+        out = self[unit] = array("I", self.best(text)).tobytes()
         return out
 
     def encode(self, text: bytes) -> bytes:
@@ -178,6 +196,20 @@ class Codec(dict):
         out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if out.startswith(" ") else out
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """``decode`` of each ids[offsets[k] : offsets[k + 1]], by one gather of bytes for all."""
+        if not hasattr(self, "flat"):
+            self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+            self.sizes = np.array([len(b) for b in self.bytes_of], np.int32)
+            self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
+        data = self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + place].tobytes()
+        at = np.concatenate([[0], ends])[offsets].tolist()
+        texts = (data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
 
 def _encode(path: str, inner: str):
     def run(batches):
@@ -197,14 +229,15 @@ def _encode(path: str, inner: str):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ids array<int> and ids_crc32 long (over little-endian 32-bit ids), which replace columns of those names.
 
-    A null text is empty; an empty text has no ids. No shuffle.
+    A null text is empty; an empty text has no ids. Without ``keep_text`` the text column goes. No shuffle.
     """
-    rest = docs.drop("ids", "ids_crc32")
+    rest = docs.drop("ids", "ids_crc32", *([] if keep_text else [text_col]))
     inner = fresh_prefix(docs, "piece") + "text"
-    return rest.withColumn(inner, column(docs, text_col, "string")).mapInArrow(_encode(model_path, inner), f"{ddl(rest)}ids array<int>, ids_crc32 long")
+    given = docs.select(*[F.col(f"`{c}`") for c in rest.columns], column(docs, text_col, "string").alias(inner))
+    return given.mapInArrow(_encode(model_path, inner), f"{ddl(rest)}ids array<int>, ids_crc32 long")
 
 
 def _decode(path: str):
@@ -213,9 +246,11 @@ def _decode(path: str):
         for batch in batches:
             keep = batch.schema.names
             ids = batch.column("ids")
-            for a in range(0, len(batch), 512):
-                texts = [codec.decode(x) if x is not None else None for x in ids.slice(a, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, 512) for n in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
+            for a in range(0, len(batch), 256):
+                some = ids.slice(a, 256)
+                ends = np.concatenate([[0], np.cumsum(some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = pa.array(codec.decode_all(some.flatten().to_numpy(zero_copy_only=False), ends), pa.string(), mask=some.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, 256) for n in keep), texts], [*keep, "decoded"])
 
     return run
 
@@ -227,8 +262,12 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, round_trip): does decoding a document's ids give its text, marks read as spaces."""
-    plain = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    back = decode(encode(plain, model_path), model_path)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
+    """(doc_id, n_ids, ids_crc32, round_trip): does decoding a document's ids give its text, marks read as spaces.
+
+    Only a checksum and the length of the text travel past the encoder.
+    """
+    text = F.translate(F.coalesce(column(docs, "text", "string"), F.lit("")), MARK, " ")
+    plain = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), F.xxhash64(text).alias("sum"), F.length(text).alias("size"))
+    back = decode(encode(plain, model_path, keep_text=False), model_path)
+    same = (F.xxhash64("decoded") == F.col("sum")) & (F.length("decoded") == F.col("size"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", same.alias("round_trip"))

@@ -243,7 +243,7 @@ def test_pieces_by_scores():
     for i, (p, g) in enumerate(scores.items()):
         codec.automaton.add_word(p, (len(p), g, i))
     codec.automaton.make_automaton()
-    codec.merges, codec.beyond, codec.byte_ids, codec.unknown = False, -20.0, {ord("c"): 99}, 98
+    codec.merges, codec.beyond, codec.byte_ids, codec.unknown, codec.meets = False, -20.0, {ord("c"): 99}, 98, {}
     names = dict(enumerate(scores))
 
     def every(t):
