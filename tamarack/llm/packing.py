@@ -23,7 +23,7 @@ from tamarack.llm.shared import column
 
 CAPACITY, END_ID = 4096, 2
 #: Words kept with their ids by a worker, and bytes of a text encoded at once.
-CACHE_WORDS, CHUNK_BYTES = 1_000_000, 1 << 20
+CACHE_WORDS, CHUNK_BYTES = 400_000, 1 << 20
 #: Windows open at once in a task; beyond it they are joined and cut as at the end.
 OPEN_WINDOWS = 2048
 

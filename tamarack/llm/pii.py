@@ -19,10 +19,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix
+from tamarack.llm.shared import column, ddl, text_in_place
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and how many it shares with the next one; units of each LSTM; windows run at once.
@@ -487,11 +486,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(model: Network, inner: str, text_col: str):
+def _mask(model: Network, inner: str, text_col: str, drop: bool):
     def run(batches):
         finder = Finder(model)
         for batch in batches:
-            names = [n for n in batch.schema.names if n != inner]
+            names = [n for n in batch.schema.names if not (drop and n == inner)]
             given = batch.column(inner)
             for a, texts in _in_parts(given):
                 new = [masked(t, [(k, *s) for k in KINDS for s in base[k]] + more) for t, (base, more) in zip(texts, finder.find(texts), strict=True)]
@@ -504,5 +503,5 @@ def _mask(model: Network, inner: str, text_col: str):
 
 def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by its kind; nulls stay, other columns come as they were."""
-    inner = fresh_prefix(docs, "pii") + "text"
-    return docs.withColumn(inner, F.col(f"`{text_col}`").cast("string")).mapInArrow(_mask(network(), inner, text_col), ddl(docs).rstrip(", "))
+    given, inner, added = text_in_place(docs, text_col, "pii")
+    return given.mapInArrow(_mask(network(), inner, text_col, added), ddl(docs).rstrip(", "))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix, stored
+from tamarack.llm.shared import column, ddl, fresh_prefix, stored, text_in_place
 
 #: Ratio of neighbouring bucket bounds: values are known to 1 per cent.
 GROWTH = 1.02
@@ -84,13 +84,13 @@ def count_slice(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _measure(text: str, prefix: str):
+def _measure(text: str, prefix: str, drop: bool):
     def run(batches):
         for batch in batches:
             raw, offsets = kernels.buffers(batch.column(text))
             parts = [count_slice(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernels.slices(offsets)]
             found = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != text]
+            keep = [i for i, name in enumerate(batch.schema.names) if not (drop and name == text)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in keep), *(pa.array(np.ascontiguousarray(x)) for x in found.T)],
                 [*(batch.schema.names[i] for i in keep), *(prefix + c for c in COUNTS)],
@@ -99,10 +99,11 @@ def _measure(text: str, prefix: str):
     return run
 
 
-def measured(docs: DataFrame, text, prefix: str = "") -> DataFrame:
-    """``docs`` with the columns of COUNTS (long), whose names take ``prefix``; ``text`` is the column to measure. A null text has none of anything."""
-    inner = fresh_prefix(docs, "measured") + "text"
-    return docs.withColumn(inner, text).mapInArrow(_measure(inner, prefix), ddl(docs) + ", ".join(f"`{prefix}{c}` long" for c in COUNTS))
+def measured(docs: DataFrame, text_col: str = "text", prefix: str = "", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the columns of COUNTS (long), whose names take ``prefix``; without ``keep_text`` the text goes. A null text has none of anything."""
+    given, name, added = text_in_place(docs, text_col, "measured")
+    rest = docs if keep_text else docs.drop(text_col)
+    return given.mapInArrow(_measure(name, prefix, added or not keep_text), ddl(rest) + ", ".join(f"`{prefix}{c}` long" for c in COUNTS))
 
 
 def base_failed(prefix: str = ""):
@@ -189,7 +190,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows are judged alike. An empty table gives an empty result.
     """
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), column(docs, source_col, "string").alias("source"))
-    counts = stored(measured(plain, F.col("text")).drop("text"), "rules")
+    counts = stored(measured(plain, keep_text=False), "rules")
     return judged(counts, fences(sketches(counts))).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
@@ -200,8 +201,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     no stored copy carries them.
     """
     p = fresh_prefix(docs, "rule")
-    text = column(docs, text_col, "string")
     keyed = docs.withColumns({f"{p}lang": column(docs, lang_col, "string"), f"{p}source": column(docs, source_col, "string")})
-    narrow = measured(keyed.select(f"{p}lang", f"{p}source", text.alias(f"{p}text")), F.col(f"{p}text")).drop(f"{p}text")
+    narrow = measured(keyed.select(f"{p}lang", f"{p}source", column(docs, text_col, "string").alias("text")), keep_text=False)
     limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch")), "fences")
-    return judged(measured(keyed, text, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(measured(keyed, text_col, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -69,3 +69,11 @@ def fresh_prefix(df: DataFrame, base: str) -> str:
 def ddl(df: DataFrame) -> str:
     """The columns of ``df`` as a schema string, for operators that hand them through."""
     return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+
+
+def text_in_place(df: DataFrame, name: str, base: str) -> tuple[DataFrame, str, bool]:
+    """(frame, column to read, whether it was added): the text column itself where it is a string, so that it travels once."""
+    if name in df.columns and df.schema[name].dataType.simpleString() == "string":
+        return df, name, False
+    inner = fresh_prefix(df, base) + "text"
+    return df.withColumn(inner, column(df, name, "string")), inner, True

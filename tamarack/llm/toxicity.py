@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix
+from tamarack.llm.shared import column, ddl, text_in_place
 
 WINDOW = 128
 #: The training sample: labelled documents of each class at most, bytes of a document and windows of ordinary text at most.
@@ -183,14 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t.encode() for t in rows["text"].to_pylist()], rows["y"].to_numpy())
 
 
-def _score(model: Model, text: str, name: str):
+def _score(model: Model, text: str, name: str, drop: bool):
     def run(batches):
         compressors = model.compressors()
         for batch in batches:
             raw, offsets = kernels.buffers(batch.column(text))
             parts = [model.score(model.features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], compressors)) for a, b in kernels.slices(offsets)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != text]
+            keep = [i for i, n in enumerate(batch.schema.names) if not (drop and n == text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores)], [*(batch.schema.names[i] for i in keep), name])
 
     return run
@@ -198,8 +198,8 @@ def _score(model: Model, text: str, name: str):
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: the toxicity of the whole text, 0 to 1. A null text is scored as an empty one."""
-    inner = fresh_prefix(docs, "scored") + "text"
-    return docs.withColumn(inner, column(docs, text_col, "string")).mapInArrow(_score(model, inner, name), f"{ddl(docs)}`{name}` double")
+    given, inner, added = text_in_place(docs, text_col, "scored")
+    return given.mapInArrow(_score(model, inner, name, added), f"{ddl(docs)}`{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -46,7 +46,7 @@ def test_fences_reject_outliers_and_merge(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}  # groups of 67: the language's sketch
     assert got == {i: i % 20 != 0 for i in range(200)}
-    counts = rules.measured(docs, F.col("text"))
+    counts = rules.measured(docs)
     halves = [rules.sketches(counts.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
     merged = halves[0].unionByName(halves[1]).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
     assert merged.exceptAll(rules.sketches(counts)).isEmpty()
