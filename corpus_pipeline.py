@@ -22,8 +22,8 @@ TOXIC = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the fences of their language and source."""
-    return keep_good(docs)
+    """Documents inside the fences that their language and source's own spread gives."""
+    return keep_good(docs, derived=True)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

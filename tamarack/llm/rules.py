@@ -31,6 +31,10 @@ MEASURES = {
     "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 60, None),
     "length": ("100 * word_chars div greatest(n_words, 1)", 150, 150),
 }
+#: Fences from the data's spread: name: (percentile, percentile whose distance from it is the spread, slack, fence below too).
+#: Symbols, lines and lengths stand on quartiles, which junk of up to a quarter of a group does not move; few documents
+#: repeat words, so that measure's quartiles say little. The slacks are near the error of a sketch and of one short text.
+DERIVED = {"symbols": (75, 25, 20, False), "repeats": (90, 50, 20, False), "lines": (75, 25, 20, False), "length": (75, 25, 20, True)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 IS_SYMBOL = np.zeros(256, np.int64)
@@ -129,8 +133,8 @@ def sketches(counts: DataFrame, lang: str = "lang", source: str = "source", pref
     return each.select("lang", "source", "m.measure", bucket.cast("int").alias("bucket")).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) for each group, from its own or a merged sketch.
+def fences(sketch: DataFrame, derived: bool = False) -> DataFrame:
+    """(lang, source, <measure>_low, <measure>_high) for each group, from its own or a merged sketch; ``derived``: those of DERIVED.
 
     Only sketches are read here: their size follows the number of groups, not of documents.
     """
@@ -149,9 +153,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     all_of = Window.partitionBy("level", "lang", "source", "measure")
     ranked = pool.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(all_of))
     value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket") - 1) / (GROWTH + 1))
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.floor(value + 0.5)))
-    points = ranked.groupBy("level", "lang", "source", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    points = points.select(F.col("level").alias("pl"), F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), F.col("measure").alias("pm"), "q1", "q3")
+    point = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.floor(value + 0.5))).alias(f"p{k}")
+    asked = (25, 50, 75, 90)
+    points = ranked.groupBy("level", "lang", "source", "measure").agg(*map(point, asked))
+    points = points.select(F.col("level").alias("pl"), F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), F.col("measure").alias("pm"), *(f"p{k}" for k in asked))
     same = (
         (F.col("level") == F.col("pl"))
         & (F.col("measure") == F.col("pm"))
@@ -161,10 +166,14 @@ def fences(sketch: DataFrame) -> DataFrame:
     got = asks.join(points, same)
     out = []
     for name, (_, above, below) in MEASURES.items():
-        here, wide = F.col("measure") == name, WIDEN * (F.col("q3") - F.col("q1"))
-        out.append(F.max(F.when(here, F.col("q3") + F.greatest(wide, F.lit(above)))).alias(f"{name}_high"))
+        here, top, foot = F.col("measure") == name, 75, 25
+        if derived:
+            top, foot, above, both = DERIVED[name]
+            below = above if both else None
+        wide = WIDEN * (F.col(f"p{top}") - F.col(f"p{foot}"))
+        out.append(F.max(F.when(here, F.col(f"p{top}") + F.greatest(wide, F.lit(above)))).alias(f"{name}_high"))
         if below is not None:
-            out.append(F.max(F.when(here, F.col("q1") - F.greatest(wide, F.lit(below)))).alias(f"{name}_low"))
+            out.append(F.max(F.when(here, F.col(f"p{foot}") - F.greatest(wide, F.lit(below)))).alias(f"{name}_low"))
     return got.groupBy("lang", "source").agg(*out)
 
 
@@ -194,14 +203,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return judged(counts, fences(sketches(counts))).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", derived: bool = False) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they came, whatever their names.
 
+    By default the rules are those of quality_rules, whose slacks its SQL fixes; ``derived`` takes the fences of DERIVED.
     The texts are read twice, once for the sketches and once for the verdict, so that no shuffle and
     no stored copy carries them.
     """
     p = fresh_prefix(docs, "rule")
     keyed = docs.withColumns({f"{p}lang": column(docs, lang_col, "string"), f"{p}source": column(docs, source_col, "string")})
     narrow = measured(keyed.select(f"{p}lang", f"{p}source", column(docs, text_col, "string").alias("text")), keep_text=False)
-    limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch")), "fences")
+    limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch"), derived), "fences")
     return judged(measured(keyed, text_col, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

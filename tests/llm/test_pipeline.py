@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from tests.llm.helpers import empty, groups, odd_documents, shingles
@@ -30,6 +32,19 @@ def test_run(spark, sf):
     assert packed and {"doc_id", "sequence_id", "offset"} <= set(packed[0].asDict())
 
 
+def test_rules_follow_the_spread_of_the_data(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(3, 8)))
+    menu = lambda: " ".join(word() + (" |" if k % 3 == 2 else "") for k in range(90))
+    prose = lambda: " ".join(word() for _ in range(90))
+    rows = [(i, menu() if i % 12 == 0 else prose(), "en", "s") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in pipeline.quality_rules(spark, docs, "").collect()}
+    assert not any(i % 12 == 0 for i in kept) and len(kept) >= 216  # of 220 without marks
+    menus = spark.createDataFrame([(i, menu(), "en", "s") for i in range(240)], docs.schema)  # where all hold marks they are no outliers
+    assert pipeline.quality_rules(spark, menus, "").count() >= 235
+
+
 def test_odd_documents(spark, sf):
     for given in (odd_documents(spark), empty(odd_documents(spark))):
         for name, stage in pipeline.STAGES:
