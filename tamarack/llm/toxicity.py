@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, text_in_place
+from tamarack.llm.shared import column, ddl, stored, text_in_place
 
 WINDOW = 128
 #: The training sample: labelled documents of each class at most, bytes of a document and windows of ordinary text at most.
@@ -146,8 +146,12 @@ def features_of(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.concatenate([model.features(*_packed(texts[a : a + 64])) for a in range(0, len(texts), 64)])
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Model:
-    """Train on all distinct texts; calibrate each half of them on dictionaries of the other half."""
+def fit(texts: list[bytes], labels: np.ndarray, share: tuple[float, float] = (1, 1)) -> Model:
+    """Train on all distinct texts; calibrate each half of them on dictionaries of the other half.
+
+    ``share``: how many labelled documents one of the class stands for. Calibration rows weigh that much, so scores
+    are probabilities at the labels' own rate of toxic documents, whatever the sample's.
+    """
     seen = dict(zip(texts, labels.tolist(), strict=True))
     texts, labels = list(seen), np.array(list(seen.values()), int)
     plain = [t.translate(PLAIN) for t in texts]
@@ -161,26 +165,30 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
             y.append(labels[at])
     if y and 0 < (y := np.concatenate(y).astype(float)).sum() < len(y):
         x = np.concatenate(x)
+        weight = np.where(y == 1, share[1], share[0])
+        weight = weight * (len(y) / weight.sum())
         w = np.zeros(x.shape[1])
         for _ in range(30):  # Newton steps of a logistic regression with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
+            w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.1 * w)
         model.weights = w
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled documents outside the held-out fold: the first SAMPLE_DOCS of each class in the order of a hash of their ids."""
+    """Fit on labelled documents outside the held-out fold: the first SAMPLE_DOCS of each class in the order of a hash of their ids, weighted by the class's count over all."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marks = marks.where("id is not null and y in (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.where("text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
     # ids are chosen first, so no shuffle carries texts but those of the sample
-    there = texts.select("id").join(marks, "id").distinct()
+    there = stored(texts.select("id").join(marks, "id").distinct(), "labelled")
+    count = {r.y: r["count"] for r in there.groupBy("y").count().collect()}
+    share = tuple(count.get(y, 0) / max(1, min(count.get(y, 0), SAMPLE_DOCS)) or 1 for y in (0, 1))
     some = [there.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])  # 2 * SAMPLE_DOCS rows at most: small enough to broadcast at any size
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "y").select("text", "y").toArrow()
-    return fit([t.encode() for t in rows["text"].to_pylist()], rows["y"].to_numpy())
+    return fit([t.encode() for t in rows["text"].to_pylist()], rows["y"].to_numpy(), share)
 
 
 def _score(model: Model, text: str, name: str, drop: bool):

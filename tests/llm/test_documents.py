@@ -83,6 +83,25 @@ def test_held_out_labels_are_never_used(spark):
     assert scores[0] == scores[1]
 
 
+def test_scores_keep_the_rate_of_the_labels(spark, monkeypatch):
+    rng = random.Random(9)
+    bad = ["idiot", "worthless", "disgusting", "pathetic", "moron", "scumbag", "loserish", "trashy"]
+    rows = []
+    for i in range(1600):
+        w = ["".join(rng.choice(["th", "er", "on", "an", "re", "ti", "ha"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        if i % 16 == 0 or rng.random() < 0.1:  # some ordinary documents hold such a word too, so that scores are no certainties
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        rows.append((i, " ".join(w), int(i % 16 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    means = []
+    for bound in (4000, 80):
+        monkeypatch.setattr(toxicity, "SAMPLE_DOCS", bound)
+        held = [r.score for r in toxicity.toxicity(docs.drop("toxic"), labels).collect() if r.held_out]
+        means.append(sum(held) / len(held))
+    assert all(0.03 < m < 0.11 for m in means), means  # 1 of 16 is toxic
+
+
 def test_toxicity_on_odd_documents(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
