@@ -7,13 +7,15 @@ The blocks' words of all pages of a host form one token stream. Its suffixes are
 host's distinct pages covers its tokens. A block whose every token is covered is boilerplate wherever it
 stands; unique runs stay.
 
-Hosts above ``SHARD`` bytes are dealt by page into shards of about that size: what stands on half of a
-host's pages does so in every shard.
+Hosts above ``SHARD`` bytes never meet in one task. Their parsed pages are stored once; a run on half of a host's
+distinct pages is on half of those that some task reads, so each task names its own such runs, and these few are then
+counted exactly over the whole host.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from tamarack.llm import kernels
 from tamarack.llm.shared import column, stored
 
-#: Tokens of a run (a power of two), pages that must hold it at least, and bytes of HTML in a shard.
+#: Tokens of a run (a power of two), pages that must hold it at least, and bytes of HTML of a host that one task takes whole.
 RUN, PAGES, SHARD = 8, 5, 2 << 20
+#: Runs that a task of a large host's pages holds before it names those on half of what it holds.
+HELD = 2_000_000
 #: Large hosts that are broadcast at most; with more of them the pages are shuffled to their hosts' sizes.
 HOSTS = 50_000
 
@@ -175,7 +179,7 @@ def covered(tokens: np.ndarray, pages: np.ndarray, run: int = RUN, least: int =
     return np.cumsum(edge[:-1]) > 0
 
 
-PAGE_BLOCKS = "page_id long, url string, host string, shard long, blocks array<string>, inside array<boolean>"
+PAGE_BLOCKS = "page_id long, url string, host string, same long, blocks array<string>, inside array<boolean>"
 
 
 def _parse(batches):
@@ -183,13 +187,105 @@ def _parse(batches):
         html, kept = batch.column("html"), batch.num_rows
         for a in range(0, kept, 256):
             parsed = [blocks(x or "") for x in html.slice(a, 256).to_pylist()]
-            cols = [batch.column(c).slice(a, 256) for c in ("page_id", "url", "host", "shard")]
+            cols = [batch.column(c).slice(a, 256) for c in ("page_id", "url", "host")]
+            same = np.array([int.from_bytes(blake2b("\n".join(t for t, _ in p).encode(), digest_size=8).digest(), "little", signed=True) for p in parsed], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array([[t for t, _ in p] for p in parsed], pa.list_(pa.string())), pa.array([[i for _, i in p] for p in parsed], pa.list_(pa.bool_()))],
-                ["page_id", "url", "host", "shard", "blocks", "inside"],
+                [*cols, pa.array(same), pa.array([[t for t, _ in p] for p in parsed], pa.list_(pa.string())), pa.array([[i for _, i in p] for p in parsed], pa.list_(pa.bool_()))],
+                ["page_id", "url", "host", "same", "blocks", "inside"],
             )
 
 
+def page_runs(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's runs of ``run`` tokens, and the block of each token."""
+    flat = [t.encode() for t in texts]
+    raw = np.frombuffer(b"".join(flat), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in flat])]).astype(np.int64)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    starts, ends, block = kernels.words(raw, offsets)
+    out, size = kernels.span_hashes(raw, starts, ends), 1
+    if len(out) < run:
+        return np.zeros(0, np.uint64), block
+    while size < run:
+        out = kernels.mix(out[:-size] * kernels.MIX[3] + kernels.mix(out[size:] + kernels.MIX[4]))
+        size *= 2
+    return out, block
+
+
+def _named(batches):
+    """(host, run): the runs on half of the distinct pages of a host among those held at once."""
+    held: dict[str, list[np.ndarray]] = {}
+
+    def flush():
+        for host, pages in held.items():
+            runs, n = np.unique(np.concatenate(pages), return_counts=True)
+            runs = runs[2 * n >= len(pages)].view(np.int64)
+            for a in range(0, len(runs), 1 << 16):
+                part = runs[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part)], ["host", "run"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for host, texts in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+            held.setdefault(host, []).append(np.unique(page_runs(texts)[0]))
+            size += len(held[host][-1])
+            if size > HELD:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def _counted(batches):
+    """(host, run, n): the pages of a batch that hold each named run of their host."""
+    for batch in batches:
+        hits: dict[str, list[np.ndarray]] = {}
+        named: dict[str, np.ndarray] = {}
+        runs = batch.column("runs")
+        for i, (host, texts) in enumerate(zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True)):
+            if host not in named:
+                named[host] = runs[i].values.to_numpy().view(np.uint64)
+            hits.setdefault(host, []).append(np.intersect1d(page_runs(texts)[0], named[host]))
+        for host, pages in hits.items():
+            found, n = np.unique(np.concatenate(pages), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["host", "run", "n"])
+
+
+def _stripped(batches):
+    for batch in batches:
+        out, known = [], {}
+        hosts, runs = batch.column("host").to_pylist(), batch.column("runs")
+        for i, (texts, flags) in enumerate(zip(batch.column("blocks").to_pylist(), batch.column("inside").to_pylist(), strict=True)):
+            if hosts[i] not in known:
+                known[hosts[i]] = runs[i].values.to_numpy().view(np.uint64) if runs[i].is_valid else np.zeros(0, np.uint64)
+            free = np.ones(len(texts), bool)
+            if len(known[hosts[i]]):
+                own, block = page_runs(texts)
+                at = np.flatnonzero(np.isin(own, known[hosts[i]]))
+                edge = np.zeros(len(block) + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + RUN, -1)
+                if len(at):
+                    hit, words = np.cumsum(edge[:-1]) > 0, np.bincount(block, minlength=len(texts))
+                    free = (words == 0) | (np.bincount(block[hit], minlength=len(texts)) < words)
+            out.append("\n".join(t for t, f, k in zip(texts, flags, free.tolist(), strict=True) if f and k))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def _large(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text) of the pages of large hosts; copies of a page count as one."""
+    parsed = stored(pages.mapInArrow(_parse, PAGE_BLOCKS).withColumn("key", F.monotonically_increasing_id()), "pages")
+    first = stored(parsed.groupBy("host", "same").agg(F.min("key").alias("first")), "firsts")
+    copies = stored(parsed.select("host", "same", "key").join(first, ["host", "same"]).where("key <> first").select("key"), "copies")
+    distinct = parsed.join(copies, "key", "left_anti").select("host", "blocks")
+    named = stored(distinct.mapInArrow(_named, "host string, run long").groupBy("host").agg(F.collect_set("run").alias("runs")), "named")
+    counted = distinct.join(named, "host").mapInArrow(_counted, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    total = first.groupBy("host").agg(F.count("*").alias("total"))
+    common = counted.join(total, "host").where((F.col("n") >= PAGES) & (2 * F.col("n") >= F.col("total")))
+    common = stored(common.groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
+    return parsed.join(common, "host", "left").select("page_id", "url", "host", "blocks", "inside", "runs").mapInArrow(_stripped, "page_id long, url string, text string")
+
+
 def _unique(table: pa.Table) -> pa.Table:
     texts, inside = table["blocks"].to_pylist(), table["inside"].to_pylist()
     flat = [t.encode() for page in texts for t in page]
@@ -225,10 +321,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     plain = pages.select(column(pages, id_col, "long").alias("page_id"), column(pages, url_col, "string").alias("url"), column(pages, html_col, "string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     plain = plain.withColumn("host", host)
-    large = plain.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > SHARD).select(F.col("host").alias("h"), F.ceil(F.col("bytes") / SHARD).alias("shards"))
+    large = plain.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > SHARD).select(F.col("host").alias("h"))
     large = stored(large, "hosts")
-    if large.count() <= HOSTS:
+    some = large.count()
+    if some <= HOSTS:
         large = F.broadcast(large)
-    dealt = plain.join(large, F.col("host") == F.col("h"), "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
-    parsed = dealt.select("page_id", "url", "html", "host", "shard").mapInArrow(_parse, PAGE_BLOCKS)
-    return parsed.groupBy("host", "shard").applyInArrow(_unique, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    is_large = F.col("host") == F.col("h")
+    parsed = plain.join(large, is_large, "left_anti").select("page_id", "url", "html", "host").mapInArrow(_parse, PAGE_BLOCKS)
+    out = parsed.groupBy("host").applyInArrow(_unique, "page_id long, url string, text string")
+    if some:
+        out = out.unionByName(_large(plain.join(large, is_large, "left_semi").select("page_id", "url", "html", "host")))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -55,6 +55,20 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     assert {r.n_chars for r in html.extract(pages).collect()} == {len("Title of it\n" + " ".join(f"w{k}" for k in range(40)))}
 
 
+def test_large_hosts_are_counted_whole(spark, monkeypatch):
+    note = "we use small files to make this place better for all who come here"
+    rare = "this line of ten words stands on fewer than half"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = lambda i: f"<body><div><p>{note}</p><p>{rare if i % 5 < 2 else body(1000 + i)}</p><p>{body(i)}</p></div>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(40)]
+    rows += [(100 + i, f"https://h.example/copy{i}", page(0)) for i in range(60)]  # copies are one page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    whole = sorted(map(tuple, html.extract(pages).collect()))
+    monkeypatch.setattr(html, "SHARD", 400)  # shards of one page
+    assert sorted(map(tuple, html.extract(pages).collect())) == whole
+    assert all(note not in text for _, _, text, _ in whole) and sum(rare in text for _, _, text, _ in whole) == 76
+
+
 def test_odd_pages(spark):
     long = "<article>" + "".join(f"<p>para {i} of a long page</p>" for i in range(20_000))
     rows = [(1, None, None, 1), (None, "x", "<p>a", 1), (2, "https://h.example", "", 1), (3, "https://h.example", long, 1), (3, "https://h.example", long, 1)]
