@@ -120,8 +120,21 @@ def _packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
+def spread_windows(texts: list[bytes], most: int = WINDOWS) -> list[bytes]:
+    """The windows of ``texts`` in order, or ``most`` of them at even steps where there are more."""
+    total = sum(len(windows(*_packed(texts[a : a + 64]))[1]) for a in range(0, len(texts), 64))
+    out, at = [], 0
+    for a in range(0, len(texts), 64):
+        data, starts, ends, _ = windows(*_packed(texts[a : a + 64]))
+        place = at + np.arange(len(starts))
+        some = np.flatnonzero(place * most // total != (place - 1) * most // total) if total > most else np.arange(len(starts))
+        out += [data[x:y] for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        at += len(starts)
+    return out
+
+
 def dictionaries(plain: list[bytes], labels: np.ndarray) -> Model:
-    """Train both dictionaries on plain texts; the ordinary one on WINDOWS windows at most."""
+    """Train both dictionaries on plain texts; the ordinary one on WINDOWS windows at most, spread over all texts."""
     toxic = [t for t, y in zip(plain, labels, strict=True) if y]
     ordinary = [t for t, y in zip(plain, labels, strict=True) if not y]
     telling = telling_words(toxic, ordinary)
@@ -133,13 +146,7 @@ def dictionaries(plain: list[bytes], labels: np.ndarray) -> Model:
     # the trainer also stops early: telling words that no round left whole are put in front, the rarest first
     cut = [b" " + w + b" " for w, _ in Counter(w for t in toxic for w in set(t.split()) & telling).most_common() if b" " + w + b" " not in content]
     content = b"".join(reversed(cut))[-TOXIC_BYTES:] + content
-    some: list[bytes] = []
-    for a in range(0, len(ordinary), 64):
-        data, starts, ends, _ = windows(*_packed(ordinary[a : a + 64]))
-        some += [data[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if len(some) >= WINDOWS:
-            break
-    return Model(_content(some[:WINDOWS], ORDINARY_BYTES, 32, 8), content)
+    return Model(_content(spread_windows(ordinary), ORDINARY_BYTES, 32, 8), content)
 
 
 def features_of(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -102,6 +102,15 @@ def test_scores_keep_the_rate_of_the_labels(spark, monkeypatch):
     assert all(0.03 < m < 0.11 for m in means), means  # 1 of 16 is toxic
 
 
+def test_ordinary_windows_come_from_all_documents(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_content", lambda samples, *_: seen.append(samples) or b"x")
+    texts = [b" ".join(b"d%dw%d" % (i, k) for k in range(600)) for i in range(2000)]
+    toxicity.dictionaries(texts, np.zeros(len(texts), int))
+    of = [int(x[1 : x.index(b"w")]) for x in seen[-1]]
+    assert len(of) == toxicity.WINDOWS and set(of) == set(range(2000)) and of == sorted(of)
+
+
 def test_toxicity_on_odd_documents(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
