@@ -2,13 +2,14 @@
 
 A batch of texts is seen as one byte buffer with document offsets. Words,
 lines and their hashes come out of a handful of vectorised passes, so the cost
-of a row does not include a Python call per word. Hashes are 64-bit and are
-used only to compare strings inside one document or one candidate pair.
+of a row does not include a Python call per word. Hashes are 64-bit; where
+strings of one text are counted as equal, their bytes are compared as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,35 +18,17 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_rng.integers(2**61, 2**62)) * 2 + 1
 MIX = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(2**61, 2**62, 8)]
+#: Spans above this many bytes are hashed one by one.
+LONG_SPAN = 256
+#: The lowest 0 to 8 bytes of a number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.ones(1, np.uint64)
-            step = base
-            while len(p) < size:  # doubling: p[k + len] = p[k] * base**len
-                p = np.concatenate([p, p * np.uint64(step)])
-                step = step * step % (1 << 64)
-            out.append(p)
-        _powers = (out[0], out[1])
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX[0]
     x = (x ^ (x >> np.uint64(29))) * MIX[1]
@@ -91,12 +74,74 @@ def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span's bytes and length: differences of one prefix sum, shifted to a common place."""
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX[2])
+    """A hash of each span's bytes and length: eight bytes at a time, each mixed in turn; of a long span its BLAKE2 digest.
+
+    Hashes only bring strings together; who needs equality asks ``equal_spans``.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * MIX[2] + MIX[4])
+    far = size > LONG_SPAN
+    for i in np.flatnonzero(far).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    eights, at, k = _eights(raw), np.flatnonzero(~far), 0
+    while len(at):
+        rest = size[at] - k
+        got = eights[starts[at] + k] & LOW_BYTES[np.minimum(rest, 8)]
+        out[at] = mix((out[at] ^ got) * MIX[5] + MIX[6])
+        k += 8
+        at = at[rest > 8]
+    return out
+
+
+def equal_spans(raw: np.ndarray, first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Do the spans of ``sizes`` bytes from each pair of places hold the same bytes."""
+    out = np.ones(len(sizes), bool)
+    far = sizes > LONG_SPAN
+    for i in np.flatnonzero(far).tolist():
+        a, b, n = int(first[i]), int(second[i]), int(sizes[i])
+        out[i] = np.array_equal(raw[a : a + n], raw[b : b + n])
+    eights, at, k = _eights(raw), np.flatnonzero(~far), 0
+    while len(at):
+        rest = sizes[at] - k
+        out[at] &= ((eights[first[at] + k] ^ eights[second[at] + k]) & LOW_BYTES[np.minimum(rest, 8)]) == 0
+        k += 8
+        at = at[(rest > 8) & out[at]]
+    return out
+
+
+def seen(rows: np.ndarray, hashes: np.ndarray, equal, name) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item: does an equal one stand elsewhere in its row; does one stand earlier in its row.
+
+    Items come in order. ``equal(i, j)`` tells for arrays of items whether they are the same, ``name(i)`` gives one
+    item's own value: items that a hash brings together are compared, and where any of them differ all of that hash
+    are told apart by their values.
+    """
+    key = mix(hashes + rows.astype(np.uint64) * MIX[6])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    at = np.flatnonzero(same)
+    a, b = order[at], order[at + 1]
+    wrong = at[~((rows[a] == rows[b]) & equal(a, b))]
+    twice, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    later[order[1:]] = same
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    if len(wrong):
+        group = np.concatenate([[0], np.cumsum(~same)])
+        first: dict[tuple, int] = {}
+        for i in sorted(order[np.isin(group, group[wrong])].tolist()):
+            j = first.setdefault((int(rows[i]), name(i)), i)
+            later[i], twice[i] = j != i, j != i
+            if j != i:
+                twice[j] = True
+    return twice, later
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -39,7 +39,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, rows = kernels.words(raw, offsets)
     distinct = np.zeros(n)
     if len(starts):
-        _, later = rules._seen(rows, kernels.span_hashes(kernels.LOWER[raw], starts, ends))
+        low = kernels.LOWER[raw]
+        _, later = kernels.seen(rows, kernels.span_hashes(low, starts, ends), rules.word_equality(low, starts, ends), lambda i: low[starts[i] : ends[i]].tobytes())
         distinct = np.bincount(rows[~later], minlength=n).astype(float)
     short = np.bincount(rows, ends - starts <= 2, n) if len(starts) else np.zeros(n)
     ratio = lambda a, b: np.log((a + 0.5) / (b + 1))

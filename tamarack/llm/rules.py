@@ -48,16 +48,10 @@ def _sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[b] - total[a]
 
 
-def _seen(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each item: does the same hash occur elsewhere in its row; does it occur earlier in its row."""
-    key = kernels.mix(hashes + rows.astype(np.uint64) * kernels.MIX[6])
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    later[order[1:]] = same
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return twice, later
+def word_equality(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """A function of two arrays of words: are they the same bytes."""
+    sizes = ends - starts
+    return lambda i, j: (sizes[i] == sizes[j]) & kernels.equal_spans(raw, starts[i], starts[j], np.minimum(sizes[i], sizes[j]))
 
 
 def count_slice(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,13 +68,17 @@ def count_slice(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     a, b, line_rows = kernels.spans(raw, offsets, raw != 0x0A)
     full = np.searchsorted(starts, a) < np.searchsorted(starts, b)
     a, b, line_rows = a[full], b[full], line_rows[full]
-    _, later = _seen(line_rows, kernels.span_hashes(raw, a, b))
+    sizes = b - a
+    same = lambda i, j: (sizes[i] == sizes[j]) & kernels.equal_spans(raw, a[i], a[j], np.minimum(sizes[i], sizes[j]))
+    _, later = kernels.seen(line_rows, kernels.span_hashes(raw, a, b), same, lambda i: raw[a[i] : b[i]].tobytes())
     out[:, 3] = np.bincount(line_rows[later], minlength=n)
     hashes = kernels.span_hashes(raw, starts, ends)
     if len(hashes) >= 3:
         run = kernels.mix(hashes[:-2] * kernels.MIX[3] + kernels.mix(hashes[1:-1] + kernels.MIX[4]) * kernels.MIX[5] + kernels.mix(hashes[2:] ^ kernels.MIX[6]))
         at = np.flatnonzero(rows[:-2] == rows[2:])
-        twice, _ = _seen(rows[at], run[at])
+        alike = word_equality(raw, starts, ends)
+        same = lambda i, j: alike(at[i], at[j]) & alike(at[i] + 1, at[j] + 1) & alike(at[i] + 2, at[j] + 2)
+        twice, _ = kernels.seen(rows[at], run[at], same, lambda i: tuple(raw[starts[w] : ends[w]].tobytes() for w in range(at[i], at[i] + 3)))
         marked = np.zeros(len(hashes), bool)
         for k in range(3):
             marked[at[twice] + k] = True

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tests.llm.helpers import LONG, empty, odd_documents, rule_counts
+from tests.llm.helpers import LONG, empty, odd_documents, rule_counts, words
 
-from tamarack.llm import packing, pieces, pii, quality, rules, toxicity
+from tamarack.llm import kernels, packing, pieces, pii, quality, rules, toxicity
 
 BPE, SPM = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -28,6 +29,52 @@ def test_rule_counts(spark, sf):
         assert not (g.base_failed and g.kept)
 
 
+def thue_morse():
+    """Two words of 1,024 letters that polynomial hashes modulo a power of two take for one."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_that_a_polynomial_hash_confuses(spark):
+    a, b = thue_morse()
+    docs = spark.createDataFrame([(1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{a}"), (3, f"{a} x y {b} x y {a} x y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in rules.quality_rules(docs).collect()}
+    assert got == {i: rule_counts(t)[3:] for i, t in ((1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{a}"), (3, f"{a} x y {b} x y {a} x y"))}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab \n#é", max_size=60), min_size=1, max_size=4))
+def test_counts_do_not_rest_on_hashes(texts):
+    """With a hash that is the same for everything the bytes alone decide."""
+    raw, offsets = kernels.buffers(pa.array(texts))
+    wanted, kept = [rule_counts(t) for t in texts], kernels.span_hashes
+    assert [tuple(x) for x in rules.count_slice(raw, offsets).tolist()] == wanted
+    try:
+        kernels.span_hashes = lambda raw, starts, ends: np.zeros(len(starts), np.uint64)
+        assert [tuple(x) for x in rules.count_slice(raw, offsets).tolist()] == wanted
+    finally:
+        kernels.span_hashes = kept
+
+
+def test_statistics_against_a_plain_reading():
+    """All 14 statistics, each worked out from the text alone."""
+    texts = ["One two two THREE, 4! a|b # c\nx\nx", "", "é ß ñandú 12 | | .", LONG[:5000]]
+    raw, offsets = kernels.buffers(pa.array(texts))
+    for text, got in zip(texts, quality.statistics(raw, offsets), strict=True):
+        n, chars, symbols, dup, rep = rule_counts(text)
+        w, count = words(text), lambda f, text=text: sum(map(f, text))
+        ratio = lambda a, b: np.log((a + 0.5) / (b + 1))
+        low = {x.translate({c: c + 32 for c in range(65, 91)}) for x in w}
+        wanted = [
+            np.log1p(n), np.log((chars + 1) / (n + 1)), ratio(symbols, chars), ratio(text.count("\n"), n), ratio(dup, n), ratio(rep, n),
+            ratio(count(lambda c: "A" <= c <= "Z"), chars), ratio(count(lambda c: "0" <= c <= "9"), chars), ratio(count(lambda c: c in ".,;:?"), chars), ratio(text.count("!"), chars),
+            ratio(len(low), n), ratio(sum(len(x.encode()) <= 2 for x in w), n), ratio(text.count("|"), n), ratio(count(lambda c: ord(c) > 127), chars),
+        ]
+        assert np.allclose(got, wanted)
+
+
 def test_rules_on_odd_documents(spark):
     docs = odd_documents(spark)
     rows = rules.quality_rules(docs).collect()
