@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.minhash import near_duplicates
+from tamarack.llm.minhash import without_near_duplicates
 from tamarack.llm.packing import pack
 from tamarack.llm.pii import mask_personal
 from tamarack.llm.rules import keep_good
@@ -33,11 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by runs of five words at a similarity of 0.8; rows without an id stay."""
-    found = near_duplicates(docs, size=5, percent=80, bands=32, rows=5)
-    out = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(out, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of texts linked by runs of five words at a similarity of 0.8 the one with the smallest id; of rows that share an id no differing text goes."""
+    return without_near_duplicates(docs, size=5, percent=80, bands=32, rows=5).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

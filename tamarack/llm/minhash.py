@@ -5,11 +5,15 @@ each place a rank. Coordinate k of a signature is the smallest rank over the doc
 the second permutation is shifted circularly by k, so two permutations yield all coordinates: for a
 shingle they are one contiguous slice of the rank table.
 
-Plan: documents -> distinct sets (copies collapse to one class) -> band keys of the classes -> each
-bucket's smallest class leads it -> (leader, member) pairs, once each -> whole sets joined to the
-pairs. A member whose set matches its leader's is linked there. The others are compared exactly with
-every member of the same leader, in blocks of bounded size, and each block returns a spanning forest
-of its links, never its pairs. All pairs that share any bucket share a leader, so none is missed.
+Plan: documents -> distinct sets (copies collapse to one class with an id of its own) -> band keys of
+the classes -> each bucket's smallest class leads it -> (leader, member) pairs, once each -> whole sets
+joined to the pairs, a leader's dealt to its members in shares. A member whose set matches its leader's
+is linked there. The others are compared exactly with every member of the same leader, in blocks of
+bounded size that are dealt by block and not by leader, and each block returns a spanning forest of its
+links, never its pairs. All pairs that share any bucket share a leader, so none is missed.
+
+Shingles are 64-bit hashes of their words; a link is confirmed on the full sets of them. Two different
+shingles of a pair of documents with n shingles each meet with probability n^2 / 2^64 (5e-13 at 3,000).
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
 from tamarack.llm.graph import components
-from tamarack.llm.shared import stored
+from tamarack.llm.shared import column, fresh_prefix, stored
 
 POSITIONS = 1 << 20
 #: A pair at similarity 0.85 shares no bucket with probability 8e-7, one at 0.9 with 1e-9.
 BANDS, ROWS = 24, 5
 #: Most shingles and most members of one block of members.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 1024
+#: Members that one copy of a leader's set is dealt to.
+SHARE = 1024
 
 _ranks: dict[int, np.ndarray] = {}
 
@@ -80,7 +86,7 @@ def _describe(size: int, bands: int, rows: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             marks = marks.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], ["doc_id", "n", "x", "y", "keys"]
+                [batch.column("doc_id"), batch.column("sum"), pa.array(counts), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], ["doc_id", "sum", "n", "x", "y", "keys"]
             )
 
     return run
@@ -104,7 +110,7 @@ def _whole_sets(size: int):
 def _set_batch(batch: pa.RecordBatch, a: int, rows: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-    return pa.RecordBatch.from_arrays([batch.column("rep").slice(a, len(rows)), lists], ["rep", "shingles"])
+    return pa.RecordBatch.from_arrays([batch.column("cid").slice(a, len(rows)), lists], ["cid", "shingles"])
 
 
 def _forest(num: int, den: int):
@@ -112,8 +118,7 @@ def _forest(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        nodes = table["member"].to_numpy()
-        nodes, first = np.unique(nodes, return_index=True)  # a member of both sides of a block pair comes once
+        nodes, first = np.unique(table["member"].to_numpy(), return_index=True)
         table = table.take(pa.array(first))
         open_ = table["open"].to_numpy(zero_copy_only=False).astype(bool)
         lists = table["shingles"].combine_chunks()
@@ -168,46 +173,49 @@ def _forest(num: int, den: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+MARK = ["n", "x", "y"]
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its
-    distinct runs of ``size`` words, or its whole sequence when it has fewer. Documents are linked
-    where 100 * intersection >= percent * union. A null text is empty; an empty set is linked with
-    nothing (component_id = doc_id). Rows that repeat a doc_id count as one document with several
-    texts. A row whose doc_id is null is linked with nothing: component_id null, kept true. Extra
-    columns of ``docs`` are not read.
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, sum): ``sum`` tells the texts of one doc_id apart."""
+    text = column(docs, text_col, "string")
+    return docs.select(column(docs, id_col, "long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("sum"))
+
+
+def _classes(texts: DataFrame, size: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's mark (doc_id, sum, n, x, y, keys), and the classes of equal sets (n, x, y, cid, first, keys).
+
+    ``first`` is the smallest (doc_id, sum) of a class. The ids are given as the classes are written, so they stand
+    whatever is computed again.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    described = stored(texts.mapInArrow(_describe(size, bands, rows), "doc_id long, n long, x long, y long, keys array<long>"), "minhash")
-    mark = ["n", "x", "y"]
+    described = stored(texts.mapInArrow(_describe(size, bands, rows), "doc_id long, sum long, n long, x long, y long, keys array<long>"), "minhash")
     full = described.where("doc_id is not null and n > 0")
-    classes = stored(full.groupBy(*mark).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead")
-    pairs = stored(keyed.join(heads, "key").where("rep <> lead").select("lead", F.col("rep").alias("member")).distinct(), "pairs")
+    classes = full.groupBy(*MARK).agg(F.min(F.struct("doc_id", "sum")).alias("first"), F.first("keys").alias("keys"))
+    return described, stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
+def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): enough links between classes to connect all that any chain of links connects."""
+    keyed = classes.select("cid", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead <> last").select("key", "lead")
+    pairs = stored(keyed.join(heads, "key").where("cid <> lead").select("lead", F.col("cid").alias("member")).distinct(), "pairs")
 
     # the whole sets of the classes that share a bucket, read from the texts again rather than kept for all
-    named = pairs.select(F.col("lead").alias("rep")).unionByName(pairs.select(F.col("member").alias("rep"))).distinct()
-    chosen = full.join(classes.select("rep", *mark), mark).where("doc_id = rep").join(named, "rep", "left_semi").select("rep", *mark).distinct()
-    sets = texts.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = sets.mapInArrow(_whole_sets(size), "rep long, shingles array<long>")
-    mine = classes.select("rep", "n")
-    sets = stored(sets.withColumn("n", F.size("shingles").cast("long")).join(mine, ["rep", "n"], "left_semi").dropDuplicates(["rep", "n"]), "sets")
-
-    left = sets.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("shingles").alias("lead_shingles"))
-    right = sets.select(F.col("rep").alias("member"), "n", "shingles")
-    common = F.size(F.array_intersect("shingles", "lead_shingles"))
-    stars = pairs.join(right, "member").join(left, "lead").withColumn("common", common)
-    stars = stored(
-        stars.select("lead", "member", "n", "shingles", (100 * F.col("common") < percent * (F.col("n") + F.col("lead_n") - F.col("common"))).alias("open")), "stars"
-    )
+    named = pairs.select(F.col("lead").alias("cid")).unionByName(pairs.select(F.col("member").alias("cid"))).distinct()
+    chosen = classes.join(named, "cid", "left_semi").select("cid", "first.doc_id", "first.sum")
+    sets = texts.join(chosen, ["doc_id", "sum"]).select("cid", "text").mapInArrow(_whole_sets(size), "cid long, shingles array<long>")
+    sets = stored(sets.dropDuplicates(["cid"]), "sets")  # rows that repeat give their set once
+
+    shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "lead").select("lead", "member", F.pmod(F.xxhash64("member"), "shares").cast("int").alias("share"))
+    right = sets.select(F.col("cid").alias("member"), "shingles", F.size("shingles").cast("long").alias("n"))
+    left = sets.join(shares, sets.cid == shares.lead).select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("shingles").alias("lead_shingles"))
+    common, total = F.size(F.array_intersect("shingles", "lead_shingles")), F.size("shingles") + F.size("lead_shingles")
+    stars = dealt.join(right, "member").join(left, ["lead", "share"]).withColumn("common", common)
+    stars = stored(stars.select("lead", "member", "n", (100 * F.col("common") < percent * (total - F.col("common"))).alias("open")), "stars")
     # blocks: open members meet every member of their leader, settled ones need not meet each other
-    need = stars.groupBy("lead").agg(
-        *(F.greatest(F.ceil(F.sum(F.when(w, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.sum(F.when(w, 1)) / BLOCK_MEMBERS), F.lit(1)).cast("int").alias(c) for c, w in (("nu", F.col("open")), ("nv", ~F.col("open"))))
-    , F.max("open").alias("any")).where("any").drop("any")
+    many = lambda w: F.greatest(F.ceil(F.sum(F.when(w, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.sum(F.when(w, 1)) / BLOCK_MEMBERS), F.lit(1)).cast("int")
+    need = stars.groupBy("lead").agg(many(F.col("open")).alias("nu"), many(~F.col("open")).alias("nv"), F.max("open").alias("any")).where("any").drop("any")
     at = stars.join(need, "lead").withColumn("h", F.xxhash64("member"))
     own = F.when(F.col("open"), F.pmod("h", "nu")).otherwise(F.pmod("h", "nv"))
     at = at.withColumn("own", own.cast("int"))
@@ -220,16 +228,67 @@ def near_duplicates(
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("v"))))
     # one block of each kind: all of them meet in one place
     meets = F.when((F.col("nu") == 1) & (F.col("nv") == 1), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("v")))).otherwise(meets)
-    blocks = at.select("lead", "member", "open", "shingles", F.explode(meets).alias("to")).select("lead", "to.*", "member", "open", "shingles")
+    # the places come first and the sets after them, dealt by block: no task holds what one leader alone gathers
+    seats = at.select("lead", "member", "open", F.explode(meets).alias("to")).select("lead", "to.*", "member", "open")
+    blocks = seats.join(right.drop("n"), "member").repartition("lead", "i", "j", "v")
     more = blocks.groupBy("lead", "i", "j", "v").applyInArrow(_forest(percent, 100), "a long, b long")
     settled = stars.where("not open").select(F.col("lead").alias("a"), F.col("member").alias("b"))
+    return settled.unionByName(more)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its
+    distinct runs of ``size`` words, or its whole sequence when it has fewer. Documents are linked
+    where 100 * intersection >= percent * union. A null text is empty; an empty set is linked with
+    nothing (component_id = doc_id). Rows that repeat a doc_id count as one document with several
+    texts. A row whose doc_id is null is linked with nothing: component_id null, kept true. Texts of any
+    length are read whole; an empty table gives no rows. Extra columns of ``docs`` are not read.
+    """
+    texts = _read(docs, id_col, text_col)
+    described, classes = _classes(texts, size, bands, rows)
+    full = described.where("doc_id is not null and n > 0")
     # a doc_id of several texts joins their classes
-    member = full.join(classes.select("rep", *mark), mark).select("doc_id", "rep", *mark)
-    twice = full.groupBy("doc_id").agg(F.min(F.struct(*mark)).alias("u"), F.max(F.struct(*mark)).alias("w")).where("u <> w").select("doc_id")
-    twice = member.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stored(settled.unionByName(more).unionByName(twice), "links")
-    found = components(links)
-    named = classes.join(found, classes.rep == found.node, "left").select(*mark, F.coalesce("component", "rep").alias("component_id"))
-    linked = described.where("n > 0 and doc_id is not null").join(named, mark).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    twice = full.groupBy("doc_id").agg(F.min(F.struct(*MARK)).alias("u"), F.max(F.struct(*MARK)).alias("w")).where("u <> w").select("doc_id")
+    several = full.join(twice, "doc_id", "left_semi").join(classes.select(*MARK, "cid"), MARK).select("doc_id", "cid")
+    several = several.join(several.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
+    links = stored(_links(texts, classes, size, percent).unionByName(several), "links")
+    found = components(links).withColumnsRenamed({"node": "cid"})
+    # the smallest doc_id of each component, by a minimum that is combined before it is shuffled
+    reps = classes.select("cid", F.col("first.doc_id").alias("rep"))
+    least = found.join(reps, "cid").groupBy("component").agg(F.min("rep").alias("least"))
+    found = found.join(least, "component").select("cid", "least")
+    named = classes.join(found, "cid", "left").select(*MARK, F.coalesce("least", "first.doc_id").alias("component_id"))
+    linked = full.join(named, MARK).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = described.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each group of linked texts: that of the smallest doc_id, with its columns as they came.
+
+    Here a text is linked by its content alone: rows that share a doc_id but not their text go or stay each by its
+    own links, so no text is lost that has no near copy among those kept. Rows that repeat both are one. Rows without
+    a doc_id and texts without words are linked with nothing and stay. An empty table stays empty.
+    """
+    texts = _read(docs, id_col, text_col)
+    described, classes = _classes(texts, size, bands, rows)
+    found = components(stored(_links(texts, classes, size, percent), "links")).withColumnsRenamed({"node": "cid"})
+    best = found.join(classes.select("cid", "first"), "cid").groupBy("component").agg(F.min("first").alias("best"))
+    found = found.join(best, "component").select("cid", "best")
+    named = classes.join(found, "cid", "left").select(*MARK, F.coalesce("best", "first").alias("best"))
+    rows_ = described.where("doc_id is not null and n > 0").groupBy("doc_id", "sum", *MARK).agg(F.count("*").alias("times"))
+    rows_ = stored(rows_.join(named, MARK).select("doc_id", "sum", "times", (F.struct("doc_id", "sum") != F.col("best")).alias("goes")), "verdicts")
+    p = fresh_prefix(docs, "near")
+    keyed = docs.withColumns({f"{p}id": column(docs, id_col, "long"), f"{p}sum": F.xxhash64(column(docs, text_col, "string"), F.octet_length(column(docs, text_col, "string")))})
+    on = [f"{p}id", f"{p}sum"]
+    of = lambda w: rows_.where(w).select(F.col("doc_id").alias(on[0]), F.col("sum").alias(on[1]))
+    left = keyed.join(of("goes"), on, "left_anti")
+    again = of("times > 1 and not goes")
+    once = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
+    return once.drop(*on)

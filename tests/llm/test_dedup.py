@@ -46,19 +46,78 @@ def test_odd_documents(spark):
     assert minhash.near_duplicates(empty(odd_documents(spark))).collect() == []
 
 
+def one_id_many_texts():
+    """Doc 5 comes with texts of equal size; 30 is near the first, 90 near the second, 91 near none; 7 holds a copy and a text of its own."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    return [(5, a), (5, b), (30, a + " x"), (90, b + " y"), (91, c), (7, a + " z"), (7, c[::-1]), (8, b), (8, b)]
+
+
+def test_texts_of_one_id_keep_their_links(spark):
+    rows = one_id_many_texts()
+    wanted = {5: 5, 30: 5, 90: 5, 91: 91, 7: 5, 8: 5}
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(5)).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == wanted
+
+
+def test_repeated_ids_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = family(12, 4, 7, 60) + family(12, 6, 8, 60) + family(3, 1, 9, 60)
+    rows = [(rng.randrange(14), t) for t in texts]
+    sets = {k: shingles(t, 3) for k, (_, t) in enumerate(rows)}
+    root = groups(sets, 85)
+    wanted = {i: i for i, _ in rows}
+    for _ in rows:  # ids join what they share, texts what they match
+        for k, (i, _) in enumerate(rows):
+            for j, (h, _) in enumerate(rows):
+                if root[k] == root[j] or i == h:
+                    wanted[i] = wanted[h] = min(wanted[i], wanted[h])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == wanted
+
+
+def test_no_differing_text_is_dropped(spark):
+    rows = one_id_many_texts() + [(None, "no id here at all"), (None, "no id here at all"), (4, ""), (4, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, sum int")
+    kept = minhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    a, b, c = rows[0][1], rows[1][1], rows[4][1]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [(5, a), (5, b), (91, c), (7, c[::-1]), *rows[-5:]]))
+
+
+def test_blocks_are_dealt_by_block(spark):
+    """Neither the leader's members nor its copies meet in one task."""
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    texts = minhash._read(docs, "doc_id", "text")
+    _, classes = minhash._classes(texts, 3, 24, 5)
+    plan = minhash._links(texts, classes, 3, 85)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert re.search(r"FlatMapGroupsInArrow.*?\n.*?(Sort.*?\n.*?)?Exchange hashpartitioning\(lead#\d+L, i#\d+, j#\d+, v#\d+", physical, re.S)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from tests.llm.test_documents import thue_morse
+
+    a, b = thue_morse()
+    got = collected(minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")))
+    assert {i: r[1] for i, r in got.items()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_one_id_of_several_texts_joins_them(spark):
     a, b = "a b c d e f g h", "z y x w v u t s"
     docs = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b)], "doc_id long, text string")
     assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {3}
 
 
-def test_signature_is_circular(spark):
-    """Coordinate k is the minimum over the places shifted by k under one and the same ranking."""
-    hashes = np.random.default_rng(0).integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2)
+def test_signature_is_circular():
+    """Coordinate k is the minimum over the places shifted by k under one and the same ranking, round its end."""
+    rng = np.random.default_rng(0)
+    last = np.arange(minhash.POSITIONS - 40, minhash.POSITIONS, dtype=np.uint64) << np.uint64(44)  # shifts carry these round
     order = minhash.ranks(60)[:, 0]
-    places = (hashes >> np.uint64(44)).astype(int)
-    wanted = [min(order[(p + k) % minhash.POSITIONS] for p in places if (p + k) < len(order)) for k in range(60)]
-    assert minhash.signature(hashes, 60).tolist() == wanted
+    for hashes in (rng.integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2), last, last[-1:]):
+        places = (hashes >> np.uint64(44)).astype(int)
+        wanted = [min(order[(p + k) % minhash.POSITIONS] for p in places) for k in range(60)]
+        assert minhash.signature(hashes, 60).tolist() == wanted
 
 
 def test_components(spark):
