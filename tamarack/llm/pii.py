@@ -1,11 +1,15 @@
 """Personal data: fixed recognisers, and a character-level BiLSTM-CRF that adds spans.
 
-The network reads characters as classes (letters, digits, separators and so on), runs one LSTM each
-way over windows of a text and scores five labels for each character; a linear-chain CRF scores
-their transitions. It is trained in numpy by gradient descent on texts built with labelled spans.
-A long text is covered by overlapping windows; the labels of all of a text's windows are
-reconciled into one sequence, each character taking the window in whose middle it lies deepest, before
-spans are read off, so a span may cross any number of windows.
+The network reads characters (ASCII ones each by an embedding of its own, others by one of a fixed number
+that their code points share), runs one LSTM each way over windows of a text and scores nine labels for
+each character: plain, and the beginning and inside of each kind. A linear-chain CRF scores their
+transitions. It is trained in numpy by gradient descent on texts built with labelled spans.
+
+A long text is covered by overlapping windows. Where a window's scores leave no room for any label but the
+plain one, that is the best path there. Everything else is decoded globally: the scores of the windows in
+question and of their neighbours are averaged where they overlap, each weighted by how deep a character lies
+in it, and one Viterbi pass runs over the whole stretch, whatever its length. Nothing depends on which texts
+come in the same batch.
 
 Base spans always stay. A span of the network is added where it overlaps no base span and holds
 enough digits (or an address sign) for its kind.
@@ -26,7 +30,16 @@ from tamarack.llm.shared import column, ddl, text_in_place
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and how many it shares with the next one; units of each LSTM; windows run at once.
 WINDOW, OVERLAP, UNITS, BATCH = 256, 32, 8, 1024
-EMBED = 4
+#: Steps of training.
+STEPS = 1000
+#: Products of matrices round alike for every column where their number is a multiple of this.
+COLUMNS = 64
+EMBED, LABELS = 6, 1 + 2 * len(KINDS)
+#: Embeddings that characters beyond ASCII share, and of all.
+OTHERS = 64
+ALPHABET = 128 + OTHERS
+#: Characters times stretches that one pass over back pointers holds.
+STRETCH_CELLS = 1 << 21
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A start inside a run of digits, or a shorter run, finds nothing that the whole run does not.
@@ -80,114 +93,141 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 HAS_DIGIT = re.compile(r"[0-9]")
 
-#: Character classes: one for each separator that matters, the rest by what they are.
-SINGLE = "@.-+()% _:/\n,"
-CLASSES = len(SINGLE) + 5
-
-
-def _classes() -> np.ndarray:
-    out = np.full(128, len(SINGLE) + 4, np.uint8)  # other marks
-    for c in range(128):
-        if chr(c).isdigit():
-            out[c] = len(SINGLE)
-        elif chr(c).islower():
-            out[c] = len(SINGLE) + 1
-        elif chr(c).isupper():
-            out[c] = len(SINGLE) + 2
-    for i, c in enumerate(SINGLE):
-        out[ord(c)] = i
-    return out
-
-
-ASCII_CLASS = _classes()
 
-
-def classes(text: str) -> np.ndarray:
+def characters(text: str) -> np.ndarray:
+    """The embedding of each character."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(codes < 128, ASCII_CLASS[np.minimum(codes, 127)], np.uint8(len(SINGLE) + 3))
+    return np.where(codes < 128, codes, 128 + codes % OTHERS).astype(np.uint8)
 
 
 # --- training text ------------------------------------------------------------------------------
 
 
-def labelled_texts(rng: np.random.Generator, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, length) classes and labels of windows of made-up prose with spans of each kind, some in spellings that the patterns miss."""
-    letters = "aeioulnrstdmpcéüñ"
-
-    def word() -> str:
-        w = "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(1, 11)))
-        kind = rng.random()
-        if kind < 0.12:
-            w = w.title()
-        elif kind < 0.16:
-            w = w.upper() + "!!"
-        elif kind < 0.2:
-            w += ("***", "%%%", "&&&", "###", "$$$")[rng.integers(0, 5)]
-        elif kind < 0.24:
-            w = str(rng.integers(0, 10 ** int(rng.integers(1, 7))))  # plain numbers are not personal
-        elif kind < 0.26:
-            w = f"{rng.integers(1, 40)}.{rng.integers(0, 20)}" + (f".{rng.integers(0, 9)}" if rng.random() < 0.4 else "")
-        elif kind < 0.28:
-            w = f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
-        return w + ("", "", "", "", ".", ",", ":", ";")[rng.integers(0, 8)]
-
-    def digits(k: int) -> str:
-        return "".join(map(str, rng.integers(0, 10, k)))
-
-    def personal() -> tuple[int, str]:
-        kind = int(rng.integers(1, 5))
-        name = lambda: "".join(letters[i] for i in rng.integers(0, 14, rng.integers(3, 9)))
-        if kind == 1:
-            at = "@" if rng.random() < 0.8 else " @ "
-            return kind, name() + ("", "." + name(), str(rng.integers(0, 99)), "." + str(rng.integers(0, 99)))[rng.integers(0, 4)] + at + name() + str(rng.integers(0, 9)) * int(rng.integers(0, 2)) + "." + ("com", "example.com", "org", "net", "example.net")[rng.integers(0, 5)]
-        if kind == 2:
-            return kind, ".".join(str(x) for x in rng.integers(0, 256, 4))
-        if kind == 3:
-            sep = ("", " ", "-", ".")[rng.integers(0, 4)]
-            return kind, sep.join(digits(4) for _ in range(4))
-        area = digits(3)
-        return kind, (f"+{rng.integers(1, 99)} ({area}) {digits(3)}-{digits(4)}", f"+{rng.integers(1, 99)} {area} {digits(3)} {digits(4)}", f"({area}) {digits(3)}-{digits(4)}", f"+{rng.integers(1, 99)}{digits(9)}", f"{area}-{digits(3)}-{digits(4)}")[rng.integers(0, 5)]
+#: Where made-up words take their letters and endings from.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "aaeeiioouulnrstdmpc", "aeioulnrstdmpcéüñäößçàèê")
+
+
+def _digits(rng: np.random.Generator, k: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, k)))
+
+
+def _name(rng: np.random.Generator) -> str:
+    return "".join(LETTERS[1][i] for i in rng.integers(0, len(LETTERS[1]), rng.integers(2, 9)))
+
+
+def made_up_word(rng: np.random.Generator) -> str:
+    letters = LETTERS[rng.integers(0, 3)]
+    w = "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(1, 11)))
+    kind = rng.random()
+    if kind < 0.12:
+        w = w.title()
+    elif kind < 0.16:
+        w = w.upper() + "!!"
+    elif kind < 0.2:
+        w += "***%%%&&&###$$$"[(k := 3 * int(rng.integers(0, 5))) : k + 3]
+    elif kind < 0.24:
+        w = str(rng.integers(0, 10 ** int(rng.integers(1, 7))))  # plain numbers are not personal
+    elif kind < 0.26:
+        w = f"{rng.integers(1, 40)}.{rng.integers(0, 20)}" + (f".{rng.integers(0, 9)}" if rng.random() < 0.4 else "")
+    elif kind < 0.28:
+        w = f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+    elif kind < 0.30:
+        w = f"{rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}" if rng.random() < 0.5 else f"{rng.integers(1, 999)},{_digits(rng, 3)}.{_digits(rng, 2)}"
+    elif kind < 0.32:
+        w = "".join(chr(c) for c in rng.integers(33, 127, rng.integers(1, 7)) if c != ord("@"))
+    elif kind < 0.34:
+        w = "".join(chr(c) for c in rng.integers(0xA1, 0x3000, rng.integers(1, 6)))
+    return w + ("", "", "", "", ".", ",", ":", ";")[rng.integers(0, 8)]
+
+
+def personal(rng: np.random.Generator, missed: bool = False) -> tuple[int, str]:
+    """(number of a kind, text); ``missed``: only spellings that the fixed patterns do not find."""
+    kind = int(rng.integers(0, 4))
+    if kind == 1 and missed:
+        kind = 3
+    if kind == 0:
+        name = _name(rng) + ("", "." + _name(rng), str(rng.integers(0, 99)), "." + str(rng.integers(0, 99)))[rng.integers(0, 4)]
+        host = _name(rng) + str(rng.integers(0, 9)) * int(rng.integers(0, 2)) + "." + ("com", "example.com", "org", "net", "example.net")[rng.integers(0, 5)]
+        return kind, name + (" @ " if missed or rng.random() < 0.25 else "@") + host
+    if kind == 1:
+        return kind, ".".join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == 2:
+        sep = "." if missed else ("", " ", "-", ".")[rng.integers(0, 4)]
+        body = _digits(rng, 15)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        return kind, sep.join(body[k : k + 4] for k in range(0, 16, 4))
+    area, three, four, land = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4), rng.integers(1, 99)
+    forms = (f"({area}) {three}-{four}", f"{area}-{three}-{four}", f"+{land} ({area}) {three}-{four}", f"+{land} {area} {three} {four}", f"+{land}{_digits(rng, 9)}")
+    return kind, forms[rng.integers(0, 2 if missed else 5)]
+
+
+def labelled_text(rng: np.random.Generator, length: int, share: float = 0.05, missed: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """Made-up prose of ``length`` characters at least, and its spans (number of a kind, start, end)."""
+    parts, marks, size = [], [], 0
+    while size < length:
+        if rng.random() < (0.25 if marks and marks[-1][2] == size - 1 else share):  # now and then one after another
+            kind, t = personal(rng, missed)
+            marks.append((kind, size, size + len(t)))
+        else:
+            t = made_up_word(rng)
+        t += ("\n" if rng.random() < 0.03 else " ") if not marks or marks[-1][2] != size + len(t) or rng.random() < 0.8 else (", ", ". ", "; ")[rng.integers(0, 3)]
+        parts.append(t)
+        size += len(t)
+    return "".join(parts), marks
+
+
+def label_row(marks: list[tuple[int, int, int]], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int8)
+    for kind, a, b in marks:
+        out[a:b] = 2 + 2 * kind
+        out[a] = 1 + 2 * kind
+    return out
+
 
+def labelled_windows(rng: np.random.Generator, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, length) characters and labels of windows of labelled texts."""
     x, y = np.zeros((n, length), np.uint8), np.zeros((n, length), np.int8)
     for i in range(n):
-        text, marks = "", []
-        while len(text) < length + 20:
-            if rng.random() < 0.05:
-                kind, t = personal()
-                marks.append((kind, len(text), len(text) + len(t)))
-                text += t
-            else:
-                text += word()
-            text += "\n" if rng.random() < 0.03 else " "
+        text, marks = labelled_text(rng, length + 20)
         off = int(rng.integers(0, 20))
-        x[i] = classes(text[off : off + length])
-        for kind, a, b in marks:
-            y[i, max(0, a - off) : max(0, b - off)] = kind
+        x[i], y[i] = characters(text)[off : off + length], label_row(marks, len(text))[off : off + length]
     return x, y
 
 
+def _forbidden() -> np.ndarray:
+    """What the inside of a kind may not follow: a fixed cost of transitions."""
+    out = np.zeros((LABELS, LABELS), np.float32)
+    for k in range(len(KINDS)):
+        out[:, 2 + 2 * k] = -50
+        out[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
+    return out
+
+
+FORBIDDEN = _forbidden()
+
+
 class Network:
     """Both LSTMs, the label scores and the CRF transitions, with their gradients."""
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, seed: int = 4):
         rng = np.random.default_rng(seed)
-        g, labels = 4 * UNITS, len(KINDS) + 1
+        g, labels = 4 * UNITS, LABELS
         draw = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        self.p = {"embed": draw(CLASSES, EMBED), "out": draw(2 * UNITS, labels), "bias": np.zeros(labels, np.float32), "trans": np.zeros((labels, labels), np.float32)}
+        self.p = {"embed": draw(ALPHABET, EMBED), "out": draw(2 * UNITS, labels), "bias": np.zeros(labels, np.float32), "trans": np.zeros((labels, labels), np.float32)}
         for way in "fb":
             self.p[f"w{way}"] = draw(EMBED + UNITS + 1, g)
             self.p[f"w{way}"][-1, UNITS : 2 * UNITS] = 1  # remember at first
 
     def _lstm(self, x: np.ndarray, w: np.ndarray):
-        """x (time, batch, embed) -> hidden (time, batch, units), with what the gradient needs."""
-        steps, n, _ = x.shape
-        h, c = np.zeros((n, UNITS), np.float32), np.zeros((n, UNITS), np.float32)
-        one, hidden, kept = np.ones((n, 1), np.float32), np.zeros((steps, n, UNITS), np.float32), []
+        """x (time, way, batch, embed) and w (way, inputs, gates) -> hidden (time, way, batch, units), with what the gradient needs."""
+        steps, ways, n, _ = x.shape
+        h, c = np.zeros((ways, n, UNITS), x.dtype), np.zeros((ways, n, UNITS), x.dtype)
+        one, hidden, kept = np.ones((ways, n, 1), x.dtype), np.zeros((steps, ways, n, UNITS), x.dtype), []
         for t in range(steps):
-            z = np.concatenate([x[t], h, one], axis=1)
+            z = np.concatenate([x[t], h, one], axis=2)
             a = z @ w
-            i, f, o = (1 / (1 + np.exp(-a[:, k * UNITS : (k + 1) * UNITS])) for k in range(3))
-            g = np.tanh(a[:, 3 * UNITS :])
+            gates, g = 1 / (1 + np.exp(-a[:, :, : 3 * UNITS])), np.tanh(a[:, :, 3 * UNITS :])
+            i, f, o = gates[:, :, :UNITS], gates[:, :, UNITS : 2 * UNITS], gates[:, :, 2 * UNITS :]
             before, c = c, f * c + i * g
             tc = np.tanh(c)
             h = o * tc
@@ -196,61 +236,61 @@ class Network:
         return hidden, kept
 
     def _lstm_back(self, grad: np.ndarray, kept: list, w: np.ndarray):
-        steps, n, _ = grad.shape
-        dw, dx = np.zeros_like(w), np.zeros((steps, n, EMBED), np.float32)
-        dh, dc = np.zeros((n, UNITS), np.float32), np.zeros((n, UNITS), np.float32)
+        steps, ways, n, _ = grad.shape
+        dw, dx = np.zeros_like(w), np.zeros((steps, ways, n, EMBED), grad.dtype)
+        dh, dc = np.zeros((ways, n, UNITS), grad.dtype), np.zeros((ways, n, UNITS), grad.dtype)
+        back = w.transpose(0, 2, 1)
         for t in range(steps - 1, -1, -1):
             z, i, f, o, g, before, tc = kept[t]
             dh = dh + grad[t]
             dc = dc + dh * o * (1 - tc * tc)
-            da = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            dw += z.T @ da
-            dz = da @ w.T
-            dx[t], dh, dc = dz[:, :EMBED], dz[:, EMBED : EMBED + UNITS], dc * f
+            da = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            dw += z.transpose(0, 2, 1) @ da
+            dz = da @ back
+            dx[t], dh, dc = dz[:, :, :EMBED], dz[:, :, EMBED : EMBED + UNITS], dc * f
         return dw, dx
 
+    def _hidden(self, x: np.ndarray):
+        """Both ways' states (time, batch, 2 * units) of windows (batch, time)."""
+        e = self.p["embed"][x.T]
+        h, kept = self._lstm(np.stack([e, e[::-1]], axis=1), np.stack([self.p["wf"], self.p["wb"]]))
+        return np.concatenate([h[:, 0], h[::-1, 1]], axis=2), kept
+
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the CRF over (batch, time) windows, and its gradient."""
         p, n, steps = self.p, len(x), x.shape[1]
-        e = p["embed"][x.T]
-        hf, kf = self._lstm(e, p["wf"])
-        hb, kb = self._lstm(e[::-1], p["wb"])
-        h = np.concatenate([hf, hb[::-1]], axis=2)
+        h, kept = self._hidden(x)
         scores = (h @ p["out"] + p["bias"]).astype(np.float64)
-        trans = p["trans"].astype(np.float64)
-        alpha, beta = np.zeros_like(scores), np.zeros_like(scores)
-        alpha[0] = scores[0]
-
-        def lse(a, axis):
-            m = a.max(axis=axis, keepdims=True)
-            return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-        for t in range(1, steps):
-            alpha[t] = scores[t] + lse(alpha[t - 1][:, :, None] + trans, 1)
-        for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        gold, yt, rows = np.zeros(n), y.T.astype(int), np.arange(n)
-        dscores, dtrans = np.exp(alpha + beta - z[None, :, None]), np.zeros_like(trans)
+        trans = (p["trans"] + FORBIDDEN).astype(np.float64)
+        # forward and backward sums, scaled to one at each step
+        top = scores.max(axis=2, keepdims=True)
+        odds, ways = np.exp(scores - top), np.exp(trans)
+        alpha, beta, scale = np.zeros_like(odds), np.ones_like(odds), np.zeros((steps, n, 1))
         for t in range(steps):
-            gold += scores[t, rows, yt[t]]
-            dscores[t, rows, yt[t]] -= 1
-            if t:
-                gold += trans[yt[t - 1], yt[t]]
-                dtrans += np.exp(alpha[t - 1][:, :, None] + trans + (scores[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
-                np.add.at(dtrans, (yt[t - 1], yt[t]), -1)
-        d = (dscores / (n * steps)).astype(np.float32)
-        grad = {"out": np.tensordot(h, d, ((0, 1), (0, 1))), "bias": d.sum(axis=(0, 1)), "trans": (dtrans / (n * steps)).astype(np.float32)}
+            now = odds[t] if t == 0 else (alpha[t - 1] @ ways) * odds[t]
+            scale[t] = now.sum(axis=1, keepdims=True)
+            alpha[t] = now / scale[t]
+        for t in range(steps - 2, -1, -1):
+            beta[t] = (odds[t + 1] * beta[t + 1]) @ ways.T / scale[t + 1]
+        z = (np.log(scale) + top).sum()
+        yt, at, rows = y.T.astype(int), np.arange(steps)[:, None], np.arange(n)
+        gold = scores[at, rows, yt].sum() + trans[yt[:-1], yt[1:]].sum()
+        d = alpha * beta
+        d[at, rows, yt] -= 1
+        dtrans = ways * np.tensordot(alpha[:-1], odds[1:] * beta[1:] / scale[1:], ((0, 1), (0, 1)))
+        np.add.at(dtrans, (yt[:-1], yt[1:]), -1)
+        d = (d / (n * steps)).astype(h.dtype)
+        grad = {"out": np.tensordot(h, d, ((0, 1), (0, 1))), "bias": d.sum(axis=(0, 1)), "trans": (dtrans / (n * steps)).astype(h.dtype)}
         dh = d @ p["out"].T
-        grad["wf"], dxf = self._lstm_back(dh[:, :, :UNITS], kf, p["wf"])
-        grad["wb"], dxb = self._lstm_back(dh[::-1, :, UNITS:], kb, p["wb"])
-        grad["embed"] = np.zeros_like(p["embed"])
-        np.add.at(grad["embed"], x.T, dxf + dxb[::-1])
-        return float((z - gold).sum() / (n * steps)), grad
+        both, dx = self._lstm_back(np.stack([dh[:, :, :UNITS], dh[::-1, :, UNITS:]], axis=1), kept, np.stack([p["wf"], p["wb"]]))
+        grad["wf"], grad["wb"] = both
+        flat, dx = x.T.ravel(), (dx[:, 0] + dx[::-1, 1]).reshape(-1, EMBED)
+        grad["embed"] = np.stack([np.bincount(flat, dx[:, k], ALPHABET) for k in range(EMBED)], axis=1).astype(h.dtype)
+        return float((z - gold) / (n * steps)), grad
 
-    def fit(self, steps: int = 260, batch: int = 48, length: int = 96, seed: int = 11) -> Network:
+    def fit(self, steps: int, batch: int = 128, length: int = 64, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
-        x, y = labelled_texts(rng, 1500, length)
+        x, y = labelled_windows(rng, 6000, length)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             at = rng.integers(0, len(x), batch)
@@ -264,8 +304,8 @@ class Network:
 
     # --- decoding ---
 
-    def _run(self, x: np.ndarray, way: str) -> np.ndarray:
-        """Hidden states (time, units, batch) of windows (time, batch) read forwards or backwards.
+    def _run(self, x: np.ndarray, width: np.ndarray, way: str) -> np.ndarray:
+        """Hidden states (time, units, batch) of windows (time, batch) read forwards, or backwards from their ends.
 
         Units come first, so every step works on long rows; the gates are one product over the embedding,
         the hidden state and a constant, and sigmoids are tanh of half their argument, so one call serves all.
@@ -278,6 +318,7 @@ class Network:
         z[EMBED:-1] = 0
         c, a, tc = np.zeros((UNITS, n), np.float32), np.empty((4 * UNITS, n), np.float32), np.empty((UNITS, n), np.float32)
         hidden = np.empty((steps, UNITS, n), np.float32)
+        least = int(width.min())
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             np.take(embed, x[t], axis=1, out=z[:EMBED], mode="clip")
             np.matmul(w, z, out=a)
@@ -291,48 +332,90 @@ class Network:
             c += i
             np.tanh(c, out=tc)
             np.multiply(o, tc, out=hidden[t])
+            if way == "b" and t >= least:  # a window begins at its own last character, with nothing behind it
+                c *= t < width
+                hidden[t] *= t < width
             z[EMBED:-1] = hidden[t]
         return hidden
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best label sequences of windows (batch, time)."""
+    def scores(self, x: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Scores (time, labels, batch) of windows (batch, time), each of its own width; what lies beyond means nothing."""
         n, steps = x.shape
-        xt = np.ascontiguousarray(x.T).astype(np.int64)
-        hf, hb = self._run(xt, "f"), self._run(xt, "b")
+        full = -(-n // COLUMNS) * COLUMNS
+        xt = np.zeros((steps, full), np.int64)
+        xt[:, :n] = x.T
+        wide = np.full(full, steps)
+        wide[:n] = width
+        hf, hb = self._run(xt, wide, "f"), self._run(xt, wide, "b")
         of, ob = self.p["out"][:UNITS].T.copy(), self.p["out"][UNITS:].T.copy()
-        best = np.empty((steps, len(KINDS) + 1, n), np.float32)
-        trans, bias = self.p["trans"], self.p["bias"][:, None]
-        for t in range(steps):
-            s = of @ hf[t] + ob @ hb[t] + bias
-            if t:
-                before = best[t - 1]
-                for k in range(len(KINDS) + 1):
-                    most = before[0] + trans[0, k]
-                    for j in range(1, len(KINDS) + 1):
-                        np.maximum(most, before[j] + trans[j, k], out=most)
-                    s[k] += most
-            best[t] = s
-        out = np.zeros((n, steps), np.uint8)
-        labels = best[-1].argmax(axis=0)
-        # only windows whose best path leaves the plain label somewhere are traced back
-        touched = np.flatnonzero(self._leaves(best))
-        for t in range(steps - 1, -1, -1):
-            if t < steps - 1:
-                labels[touched] = (best[t][:, touched] + trans[:, labels[touched]]).argmax(axis=0)
-            out[touched, t] = labels[touched]
-        return out
+        out = np.matmul(of, hf)
+        out += np.matmul(ob, hb)
+        out += self.p["bias"][:, None]
+        return out[:, :, :n]
+
+    def plain(self, scores: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Windows where no label but the plain one can pay.
 
-    def _leaves(self, best: np.ndarray) -> np.ndarray:
-        """Windows whose best path isn't the plain one: at some step, a label other than 0 is ahead by what going back costs, or at the end."""
-        trans = self.p["trans"]
-        lead = (best[:, 1:] + trans[1:, 0][None, :, None]).max(axis=1) > best[:, 0] + trans[0, 0]
-        return lead.any(axis=0) | (best[-1].argmax(axis=0) > 0)
+        Each kind's best gain over the plain label is followed from character to character: it begins with the kind's
+        first label, after the plain one or another kind, goes on with its inside, and pays where it outweighs the way back.
+        """
+        trans = self.p["trans"] + FORBIDDEN
+        first, inner = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+        begin = scores[:, first] - scores[:, :1]
+        go_on = scores[:, inner] - scores[:, :1] + (np.maximum(trans[first, inner], trans[inner, inner]) - trans[0, 0])[:, None]
+        enter = (trans[0, first] - trans[0, 0])[:, None]
+        change = (np.maximum(trans[np.ix_(first, first)], trans[np.ix_(inner, first)]).max(axis=1) - trans[0, 0])[:, None]
+        leave = np.maximum(np.maximum(trans[first, 0], trans[inner, 0]) - trans[0, 0], 0)[:, None]
+        gain = begin[0] + np.maximum(enter, 0)
+        most, least = gain.copy(), int(width.min())
+        for t in range(1, len(scores)):
+            fresh = np.maximum((gain + change).max(axis=0), enter)
+            fresh += begin[t]
+            gain += go_on[t]
+            np.maximum(gain, fresh, out=gain)
+            if t >= least:
+                gain[:, t >= width] = -1e9
+            np.maximum(most, gain, out=most)
+        return (most + leave <= 0).all(axis=0)
+
+    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each stretch (time, labels) of scores; an inside cannot come first."""
+        trans = (self.p["trans"] + FORBIDDEN)[:, :, None]
+        out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(stretches)
+        order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
+        while order:
+            some = order[: max(1, STRETCH_CELLS // len(stretches[order[0]]))]
+            order = order[len(some) :]
+            sizes = np.array([len(stretches[i]) for i in some])  # the longest come first
+            going = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")  # stretches that reach beyond each place
+            scores = np.zeros((int(sizes[0]), LABELS, len(some)), np.float32)
+            for j, i in enumerate(some):
+                scores[: sizes[j], :, j] = stretches[i]
+            scores[0, 2::2] -= 50
+            back, best = np.zeros(scores.shape, np.uint8), scores[0]
+            labels = np.zeros(len(some), np.int64)
+            for t in range(1, len(scores)):
+                k = int(going[t])
+                if k < best.shape[1]:
+                    labels[k : best.shape[1]] = best[:, k:].argmax(axis=0)
+                ways = best[:, None, :k] + trans
+                back[t, :, :k] = ways.argmax(axis=0)
+                best = ways.max(axis=0) + scores[t, :, :k]
+            labels[: best.shape[1]] = best.argmax(axis=0)
+            path = np.zeros((len(scores), len(some)), np.uint8)
+            for t in range(len(scores) - 1, -1, -1):
+                k = int(going[t])
+                path[t, :k] = labels[:k]
+                labels[:k] = back[t, labels[:k], np.arange(k)]
+            for j, i in enumerate(some):
+                out[i] = path[: sizes[j], j]
+        return out
 
 
 _networks: dict[tuple[int, int], Network] = {}
 
 
-def network(steps: int = 260, seed: int = 3) -> Network:
+def network(steps: int = STEPS, seed: int = 4) -> Network:
     """The trained network; training is the same in every run, so a driver does it once."""
     if (steps, seed) not in _networks:
         _networks[steps, seed] = Network(seed).fit(steps)
@@ -347,32 +430,32 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, step), n - WINDOW]
 
 
-def reconciled(starts: list[int], labels: np.ndarray, n: int) -> np.ndarray:
-    """One label for each of n characters: from the window in which it stands farthest from an edge."""
-    out = np.zeros(n, np.uint8)
-    for k, a in enumerate(starts):
-        lo = a if k == 0 else (a + starts[k - 1] + WINDOW) // 2
-        hi = n if k == len(starts) - 1 else (starts[k + 1] + a + WINDOW) // 2
-        out[lo:hi] = labels[k, lo - a : hi - a]
-    return out
+def depth(a: int, size: int, n: int) -> np.ndarray:
+    """How far each character of a window lies from an edge that is not the text's, OVERLAP at most."""
+    place = np.arange(size)
+    left = place + 1 if a else np.full(size, OVERLAP)
+    right = size - place if a + size < n else np.full(size, OVERLAP)
+    return np.minimum(np.minimum(left, right), OVERLAP).astype(np.float32)
 
 
 def plausible(kind: str, text: str) -> bool:
-    digits = sum(c.isdigit() and c.isascii() for c in text)
+    digits = NOT_DIGIT.sub("", text)
     if kind == "email":
         return "@" in text and "." in text.split("@")[-1] and len(text) >= 6
     if kind == "ip":
-        return text.count(".") == 3 and 4 <= digits <= 12 and not set(text) - set("0123456789.")
-    return {"card": 13 <= digits <= 19, "phone": 9 <= digits <= 15}[kind] and not set(text) - set("0123456789 +().-")
+        return IP.fullmatch(text) is not None and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    if set(text) - set("0123456789 +().-"):
+        return False
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
 def added_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the network's labels, trimmed of what cannot end one, that overlap nothing found before."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], labels, [0]]).astype(np.int16)))
+    at = np.flatnonzero(labels % 2)
+    inside = np.concatenate([(labels > 0) & (labels % 2 == 0), [False]])
     out = []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if not (kind := int(labels[a])):
-            continue
+    for a in at.tolist():
+        name, b = KINDS[(int(labels[a]) - 1) // 2], a + 1 + int(np.argmin(inside[a + 1 :]))
         # whole words: a label that breaks off inside a word goes on to its end
         while b < len(text) and not text[b].isspace() and text[b - 1].isalnum() and text[b].isalnum():
             b += 1
@@ -382,7 +465,6 @@ def added_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int]]) ->
             a += 1
         while a < b and not text[b - 1].isalnum():
             b -= 1
-        name = KINDS[kind - 1]
         if a < b and plausible(name, text[a:b]) and not any(a < y and x < b for x, y in taken):
             out.append((name, a, b))
             taken.append((a, b))
@@ -395,37 +477,58 @@ class Finder:
     def __init__(self, model: Network):
         self.model = model
 
-    def labels(self, texts: list[str]) -> list[np.ndarray]:
-        joined = classes("".join(texts))
-        sizes = np.array([len(t) for t in texts])
-        ends = np.cumsum(sizes)
-        owner, starts = [], []
-        for i, n in enumerate(sizes.tolist()):
-            if n:
-                s = window_starts(n)
-                owner += [i] * len(s)
-                starts += s
-        owner, starts = np.array(owner, np.int64), np.array(starts, np.int64)
-        first = (ends - sizes)[owner] + starts
-        width = np.minimum(WINDOW, sizes[owner] - starts) if len(owner) else starts
-        out = np.zeros((len(owner), WINDOW), np.uint8)
-        order = np.argsort(width, kind="stable")  # short texts run together, without the padding of long ones
+    def _batches(self, joined, first, width):
+        """(windows, their scores) in batches, in the order of their widths."""
+        order = np.argsort(width, kind="stable")
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
             place = np.arange(int(width[rows].max()))
             x = joined[np.minimum(first[rows, None] + place, len(joined) - 1)]
-            beyond = place >= width[rows, None]
-            x[beyond] = SINGLE.index("\n")
-            found = self.model.decode(x)
-            found[beyond] = 0
-            out[rows, : len(place)] = found
-        result, k = [], 0
-        for i, n in enumerate(sizes.tolist()):
-            s = window_starts(n) if n else []
-            rows = out[k : k + len(s)]
-            result.append(reconciled(s, rows, n) if n and rows.any() else np.zeros(0, np.uint8))
-            k += len(s)
-        return result
+            x[place >= width[rows, None]] = 0
+            yield rows, self.model.scores(x, width[rows])
+
+    def labels(self, texts: list[str]) -> list[np.ndarray]:
+        """The best labels of each text's characters; none for a text that is plain throughout."""
+        out = [np.zeros(0, np.uint8)] * len(texts)
+        joined = characters("".join(texts))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        each = [window_starts(n) if n else [] for n in sizes.tolist()]
+        starts = np.array([a for s in each for a in s], np.int64)
+        if not len(starts):
+            return out
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in each])
+        first, width = begins[owner] + starts, np.minimum(WINDOW, sizes[owner] - starts)
+        asked = np.zeros(len(starts), bool)
+        for rows, scores in self._batches(joined, first, width):
+            asked[rows] = ~self.model.plain(scores, width[rows])
+        # with its neighbours, so that a stretch ends in the plain
+        wanted = asked.copy()
+        wanted[1:] |= asked[:-1] & (owner[1:] == owner[:-1])
+        wanted[:-1] |= asked[1:] & (owner[1:] == owner[:-1])
+        chosen = np.flatnonzero(wanted)
+        if not len(chosen):
+            return out
+        apart = np.ones(len(chosen), bool)
+        apart[1:] = (np.diff(chosen) > 1) | (owner[chosen[1:]] != owner[chosen[:-1]])
+        stretch = np.cumsum(apart) - 1
+        heads, tails = chosen[apart], chosen[np.append(np.flatnonzero(apart)[1:], len(chosen)) - 1]
+        sums = [np.zeros((int(starts[b] + width[b] - starts[a]), LABELS), np.float64) for a, b in zip(heads, tails, strict=True)]
+        weights = [np.zeros((len(s), 1)) for s in sums]
+        for rows, scores in self._batches(joined, first[chosen], width[chosen]):
+            for column_, j in enumerate(rows.tolist()):
+                w, g = chosen[j], stretch[j]
+                at, size = int(starts[w] - starts[heads[g]]), int(width[w])
+                deep = depth(int(starts[w]), size, int(sizes[owner[w]]))[:, None]
+                sums[g][at : at + size] += scores[:size, :, column_] * deep
+                weights[g][at : at + size] += deep
+        for g, path in enumerate(self.model.decode([(s / w).astype(np.float32) for s, w in zip(sums, weights, strict=True)])):
+            if path.any():
+                i, a = owner[heads[g]], int(starts[heads[g]])
+                if not len(out[i]):
+                    out[i] = np.zeros(sizes[i], np.uint8)
+                out[i][a : a + len(path)] = path
+        return out
 
     def find(self, texts: list[str]) -> list[tuple[dict, list[tuple[str, int, int]]]]:
         """(base spans by kind, added spans) of each text."""
@@ -470,7 +573,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
 
     Counts and digest are of the base spans; ``spans`` lists those and the network's as kind:start:end, code
-    points, end exclusive. A null text is empty and has none. Repeated rows are searched each. No shuffle.
+    points, end exclusive. A null text is empty and has none; a long one is searched to its end. Repeated rows
+    are searched each, ties go to the lower label. An empty table gives no rows. No shuffle.
     """
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"))
     return plain.mapInArrow(_find(network()), f"doc_id long, {FOUND}")

@@ -234,46 +234,100 @@ def test_base_spans_against_the_plain_patterns(text):
     assert got["email"] == emails and got["ip"] == ips
 
 
-def test_network_decodes_as_plain_viterbi():
-    net = pii.network()
-    x, y = pii.labelled_texts(np.random.default_rng(5), 40, 80)
-    found, p = net.decode(x), net.p
-    for row, got in zip(x, found, strict=True):
-        e = p["embed"][row][:, None, :]
-        h = np.concatenate([net._lstm(e, p["wf"])[0], net._lstm(e[::-1], p["wb"])[0][::-1]], axis=2)[:, 0]
-        s = (h @ p["out"] + p["bias"]).astype(float)
-        best, back = s[0], []
-        for t in range(1, len(row)):
-            m = best[:, None] + p["trans"]
-            back.append(m.argmax(axis=0))
-            best = m.max(axis=0) + s[t]
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        assert got.tolist() == path[::-1]
-    assert (found == y).mean() > 0.97
+def plain_viterbi(net, scores):
+    trans = (net.p["trans"] + pii.FORBIDDEN).astype(float)
+    best, back = scores[0].astype(float), []
+    best[2::2] -= 50
+    for row in scores[1:]:
+        ways = best[:, None] + trans
+        back.append(ways.argmax(axis=0))
+        best = ways.max(axis=0) + row
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_network_scores_and_decodes_as_plain_loops():
+    net, rng = pii.network(), np.random.default_rng(5)
+    x, y = pii.labelled_windows(rng, 70, 80)
+    width = rng.integers(1, 81, len(x))
+    scores, right = net.scores(x, width), 0
+    fine = net.plain(scores, width)
+    each = [scores[:w, :, i] for i, w in enumerate(width)]
+    for i, (got, w) in enumerate(zip(net.decode(each), width, strict=True)):
+        h = net._hidden(x[i : i + 1, :w])[0][:, 0]
+        wanted = h @ net.p["out"] + net.p["bias"]
+        assert np.allclose(each[i], wanted, atol=1e-3)
+        assert got.tolist() == plain_viterbi(net, each[i])
+        assert not fine[i] or not got.any()
+        right += (got == y[i, :w]).sum()
+    assert right / width.sum() > 0.97 and fine.any()
+
+
+def test_long_texts_are_decoded_globally():
+    """Of the whole text's averaged scores the best path, in which no window's seam shows."""
+    net, rng = pii.network(), np.random.default_rng(21)
+    finder = pii.Finder(net)
+    for share in (0.3, 0.02):
+        text, _ = pii.labelled_text(rng, 1500, share)
+        n, starts = len(text), pii.window_starts(len(text))
+        total, weight = np.zeros((n, pii.LABELS)), np.zeros((n, 1))
+        for a in starts:
+            s = net.scores(pii.characters(text[a : a + pii.WINDOW])[None], np.array([pii.WINDOW]))[:, :, 0]
+            deep = pii.depth(a, pii.WINDOW, n)[:, None]
+            total[a : a + pii.WINDOW] += s * deep
+            weight[a : a + pii.WINDOW] += deep
+        wanted = plain_viterbi(net, (total / weight).astype(np.float32))
+        assert finder.labels([text])[0].tolist() == wanted and any(wanted)
+        assert all(b % 2 or not b or a in (b, b - 1) for a, b in zip(wanted, wanted[1:], strict=False))
+
+
+def test_spellings_that_the_patterns_miss():
+    """Held out: other texts than those of the training, spans that no fixed pattern finds."""
+    finder, rng = pii.Finder(pii.network()), np.random.default_rng(4321)
+    found = wanted = wrong = 0
+    for _ in range(100):
+        text, marks = pii.labelled_text(rng, 400, 0.02, missed=True)
+        base, more = finder.find([text])[0]
+        right = {(pii.KINDS[k], a, b) for k, a, b in marks}
+        assert not {(k, *s) for k in base for s in base[k]} & right
+        found, wanted, wrong = found + len(right & set(more)), wanted + len(right), wrong + len(set(more) - right)
+    assert wanted > 60 and found / wanted > 0.9 and wrong / found < 0.1, (found, wanted, wrong)
+
+
+def test_neighbours_of_one_kind_stay_apart():
+    base, more = pii.Finder(pii.network()).find(["ask (312) 555-0199 (415) 555-2671 today"])[0]
+    assert more == [("phone", 4, 18), ("phone", 19, 33)]
+
+
+def test_spans_do_not_depend_on_the_batch(spark, sf):
+    rng = np.random.default_rng(8)
+    rows = [(-1 - k, pii.labelled_text(rng, int(rng.integers(1, 700)), 0.1, bool(k % 2))[0]) for k in range(150)] + [(-900, "(312) 555-0199")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [sorted((r.doc_id, r.spans, r.base_sha256) for r in pii.personal_data(docs.repartition(n)).collect()) for n in (1, 7, 211)]
+    assert got[0] == got[1] == got[2] and ("phone:0:14" in {s for i, s, _ in got[0] if i == -900})
 
 
 def test_network_gradient():
     net = pii.Network(1)
-    x, y = pii.labelled_texts(np.random.default_rng(6), 3, 20)
+    x, y = pii.labelled_windows(np.random.default_rng(6), 3, 20)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     _, grad = net.loss(x, y)
-    for k, at in (("embed", (15, 1)), ("wf", (2, 5)), ("wb", (6, 20)), ("out", (3, 1)), ("trans", (0, 0))):
-        step, kept = 1e-2, net.p[k][at]
+    for k, at in (("embed", (int(x[0, 3]), 1)), ("wf", (2, 5)), ("wb", (6, 20)), ("out", (3, 1)), ("trans", (0, 0)), ("trans", (1, 2))):
+        step, kept = 1e-4, net.p[k][at]
         net.p[k][at] = kept + step
         up = net.loss(x, y)[0]
         net.p[k][at] = kept - step
         down = net.loss(x, y)[0]
         net.p[k][at] = kept
-        assert abs((up - down) / (2 * step) - grad[k][at]) < 2e-3
+        assert abs((up - down) / (2 * step) - grad[k][at]) < 1e-6
 
 
-def test_windows_cover_and_reconcile():
+def test_windows_cover():
     for n in (1, 255, 256, 257, 300, 1000, 5000):
         starts = pii.window_starts(n)
-        labels = np.array([[(a + i) % 5 for i in range(pii.WINDOW)] for a in starts], np.uint8)
-        assert pii.reconciled(starts, labels, n).tolist() == [i % 5 for i in range(n)]
+        assert starts[0] == 0 and starts[-1] + pii.WINDOW >= n and all(b - a <= pii.WINDOW - pii.OVERLAP for a, b in zip(starts, starts[1:], strict=False))
 
 
 def test_personal_data(spark):
