@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tamarack.llm import rules
-
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 
 OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
@@ -26,39 +24,42 @@ OP5 = f"""{_TURNS} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role |
   CAST(sum(around + length(text) + length(regexp_replace(text, '[^\\[<\\\\]', '', 'g'))) AS BIGINT) AS formatted_chars, bool_and(fine) AND arg_max(role, turn) = 'assistant' AS valid FROM x GROUP BY conv_id"""
 
 
-def _op7() -> str:
-    values, tests, arms = [], [], []
-    for name, (expression, above, below) in rules.MEASURES.items():
-        expression = expression.replace(" div ", " // ")
-        values.append(f"{{'measure': '{name}', 'value': {expression}}}")
-        arms.append(f"max(CASE WHEN a.measure = '{name}' THEN q3 + greatest({rules.WIDEN} * (q3 - q1), {above}) END) AS {name}_high")
-        tests.append(f"coalesce({expression} <= {name}_high, true)")
-        if below is not None:
-            arms.append(f"max(CASE WHEN a.measure = '{name}' THEN q1 - greatest({rules.WIDEN} * (q3 - q1), {below}) END) AS {name}_low")
-            tests.append(f"coalesce({expression} >= {name}_low, true)")
-    g, least = rules.GROWTH, rules.LEAST
-    return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+#: The measures of rules and their constants, stated here on their own.
+_VALUES = {"symbols": "1000 * n_symbols // n_words", "repeats": "1000 * n_repeat_words // n_words", "lines": "1000 * n_dup_lines // n_words", "length": "100 * word_chars // n_words", "words": "n_words"}
+_POINTS = ", ".join(f"min(CASE WHEN 100 * upto >= {k} * total THEN CAST(floor(CASE WHEN bucket = 0 THEN 0 ELSE 2 * pow(1.02, bucket - 1) / 2.02 END + 0.5) AS BIGINT) END) AS p{k}" for k in (20, 50, 80))
+
+
+def _ranked(by: str) -> str:
+    keys = f"{by}, measure" if by else "measure"
+    merged = f"SELECT {keys}, bucket, sum(n) AS n FROM sketch GROUP BY {keys}, bucket"
+    return f"SELECT {keys}, CAST(max(total) AS BIGINT) AS n, {_POINTS} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM ({merged})) GROUP BY {keys}"
+
+
+def _lean(n: str, p: str, q: str) -> str:
+    return f"({n} * {p} + 100 * {q}) // ({n} + 100)"
+
+
+OP7 = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
   lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, {_WORD}) GROUP BY doc_id),
   grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
   twice AS (SELECT doc_id, i FROM grams JOIN (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
   repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
   counts AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
-  each AS (SELECT lang, source, unnest([{', '.join(values)}], recursive := true) FROM counts WHERE n_words > 0),
-  sketch AS (SELECT lang, source, measure, CASE WHEN value <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(value) / ln({g})) AS INTEGER) END AS bucket, count(*) AS n FROM each GROUP BY ALL),
-  asks AS (SELECT lang, source, measure, CASE WHEN own >= {least} THEN 0 WHEN sum(own) OVER (PARTITION BY lang, measure) >= {least} THEN 1 ELSE 2 END AS level FROM (SELECT lang, source, measure, sum(n) AS own FROM sketch GROUP BY ALL)),
-  pool AS (SELECT 0 AS level, lang, source, measure, bucket, n FROM sketch UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM sketch GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM sketch GROUP BY ALL),
-  ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total, CASE WHEN bucket = 0 THEN 0 ELSE 2 * pow({g}, bucket - 1) / ({g} + 1) END AS v FROM pool),
-  points AS (SELECT level, lang, source, measure, min(CASE WHEN 4 * upto >= total THEN floor(v + 0.5) END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN floor(v + 0.5) END) AS q3 FROM ranked GROUP BY ALL),
-  fences AS (SELECT a.lang, a.source, {', '.join(arms)} FROM asks a JOIN points p ON a.level = p.level AND a.measure = p.measure AND p.lang IS NOT DISTINCT FROM CASE WHEN a.level < 2 THEN a.lang END
-    AND p.source IS NOT DISTINCT FROM CASE WHEN a.level < 1 THEN a.source END GROUP BY a.lang, a.source)
+  each AS (SELECT lang, source, unnest([{', '.join(f"{{'measure': '{m}', 'value': {x}}}" for m, x in _VALUES.items())}], recursive := true) FROM counts WHERE n_words > 0),
+  sketch AS (SELECT lang, source, measure, CASE WHEN value <= 0 THEN 0 ELSE 1 + CAST(ceil(ln(value) / ln(1.02)) AS INTEGER) END AS bucket, count(*) AS n FROM each GROUP BY ALL),
+  own AS ({_ranked('lang, source')}), language AS ({_ranked('lang')}), whole AS ({_ranked('')}),
+  named AS (SELECT l.lang, l.measure, {', '.join(f"{_lean('l.n', f'l.p{k}', f'w.p{k}')} AS p{k}, w.p{k} AS w{k}" for k in (20, 50, 80))} FROM language l JOIN whole w USING (measure)),
+  placed AS (SELECT o.lang, o.source, o.measure, {', '.join(f"{_lean('o.n', f'o.p{k}', f'l.p{k}')} AS p{k}, l.p{k} AS l{k}, l.w{k}" for k in (20, 50, 80))} FROM own o JOIN named l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure),
+  spread AS (SELECT *, greatest(p80 - p50, p50 - p20, l80 - l50, l50 - l20, w80 - w50, w50 - w20, p80 // 50) AS wide FROM placed),
+  middle AS (SELECT lang, source, greatest(p50, 1) AS words FROM spread WHERE measure = 'words'),
+  fences AS (SELECT s.lang, s.source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN p80 + 3 * greatest(wide, {least} // words) END) AS {m}_high" for m, least in (("symbols", 1000), ("repeats", 6000), ("lines", 1000), ("length", 0)))},
+    max(CASE WHEN measure = 'length' THEN p20 - 3 * wide END) AS length_low
+    FROM spread s JOIN middle m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source GROUP BY s.lang, s.source)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {' AND '.join(tests)} AS kept
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {' AND '.join(f"{_VALUES[m]} <= {m}_high" for m in ("symbols", "repeats", "lines", "length"))} AND {_VALUES['length']} >= length_low AS kept
   FROM counts LEFT JOIN fences ON counts.lang IS NOT DISTINCT FROM fences.lang AND counts.source IS NOT DISTINCT FROM fences.source"""
 
-
-OP7 = _op7()
-
 OP9 = """WITH RECURSIVE v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
   good AS (SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),
   edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),

@@ -3,38 +3,37 @@
 Every document is measured (words, symbols, repeated lines and words). The measures of each
 (language, source) go into a quantile sketch: counts of logarithmic buckets, whose relative error is
 fixed by ``GROWTH`` and which merge by addition, so Spark builds them with a partial aggregate and
-any two may be merged. From the sketches come upper and lower fences, quartiles widened by three
-times the distance between them; a document outside a fence of its group is rejected. A group of
-fewer than ``LEAST`` documents uses the merged sketch of its language, and one of a small language
-that of all documents.
+any two may be merged. A group's percentiles are averaged with those of its language, weighted by its
+documents against ``PRIOR``, and the language's with those of all documents: a small group leans on the
+merged sketches, a large one on its own, with no step between.
+
+A fence stands ``WIDEN`` times the spread beyond the 80th (or 20th) percentile of a measure; the spread is the
+distance from either to the median, the widest of the group's, its language's and the whole's, so that copies
+which fill a group do not close it, and no less than the sketch's buckets are wide. Where hardly any document holds what is measured that distance is nothing; then the
+least that a document of the group's median length can hold takes its place. A document outside a fence is rejected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix, stored, text_in_place
+from tamarack.llm.shared import column, ddl, fresh_prefix, quoted, stored, text_in_place, unclashed
 
 #: Ratio of neighbouring bucket bounds: values are known to 1 per cent.
 GROWTH = 1.02
-LEAST = 100
-#: Widening of the quartiles, and what a fence stands off a quartile at least (in the measure's unit).
-WIDEN = 3
-#: name: (expression over the counts, slack above, slack below or None for no lower fence)
+#: Documents that the merged sketch counts as in a group's percentiles, and how many spreads a fence stands off.
+PRIOR, WIDEN = 100, 3
+#: name: (expression over the counts, the least that a document holds if any in 1000 of its words, is there a lower fence)
 MEASURES = {
-    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 1000, None),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 300, None),
-    "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 60, None),
-    "length": ("100 * word_chars div greatest(n_words, 1)", 150, 150),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 1000, False),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 6000, False),
+    "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 1000, False),
+    "length": ("100 * word_chars div greatest(n_words, 1)", 0, True),
 }
-#: Fences from the data's spread: name: (percentile, percentile whose distance from it is the spread, slack, fence below too).
-#: Symbols, lines and lengths stand on quartiles, which junk of up to a quarter of a group does not move; few documents
-#: repeat words, so that measure's quartiles say little. The slacks are near the error of a sketch and of one short text.
-DERIVED = {"symbols": (75, 25, 20, False), "repeats": (90, 50, 20, False), "lines": (75, 25, 20, False), "length": (75, 25, 20, True)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 IS_SYMBOL = np.zeros(256, np.int64)
@@ -114,65 +113,58 @@ def base_failed(prefix: str = ""):
 
 
 def _values(prefix: str = ""):
-    counted = {c: f"`{prefix}{c}`" for c in COUNTS}
+    counted = {c: quoted(prefix + c) for c in COUNTS}
     out = []
     for name, (text, *_) in MEASURES.items():
         for c, real in counted.items():
             text = text.replace(c, real)
         out.append(F.struct(F.lit(name).alias("measure"), F.expr(text).alias("value")))
-    return F.array(*out)
+    return F.array(*out, F.struct(F.lit("words").alias("measure"), F.expr(counted["n_words"]).alias("value")))
 
 
 def sketches(counts: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """(lang, source, measure, bucket, n): one mergeable sketch for each group and measure. Texts without words are left out."""
+    """(lang, source, measure, bucket, n): one mergeable sketch for each group and measure, and of its texts' words. Texts without words are left out."""
     each = counts.where(F.col(prefix + "n_words") > 0).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(_values(prefix)).alias("m"))
     value = F.col("m.value")
     bucket = F.when(value <= 0, 0).otherwise(1 + F.ceil(F.log(value.cast("double")) / F.log(F.lit(GROWTH))))
     return each.select("lang", "source", "m.measure", bucket.cast("int").alias("bucket")).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, derived: bool = False) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) for each group, from its own or a merged sketch; ``derived``: those of DERIVED.
+def points(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """(by, <prefix>measure, <prefix>n, <prefix>p20, p50, p80) of sketches merged over all but ``by``."""
+    merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "measure")
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket") - 1) / (GROWTH + 1))
+    point = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.floor(value + 0.5))).alias(f"{prefix}p{k}")
+    found = ranked.groupBy(*by, "measure").agg(F.max("total").alias(f"{prefix}n"), *(point(k) for k in (20, 50, 80)))
+    return found.withColumnsRenamed({c: prefix + c for c in (*by, "measure")})
+
 
-    Only sketches are read here: their size follows the number of groups, not of documents.
+def fences(sketch: DataFrame) -> DataFrame:
+    """(lang, source, <measure>_high, <measure>_low) for each group.
+
+    Only sketches are read here: their size follows the number of groups, not of documents. Whole numbers throughout, so
+    any engine finds the same.
     """
-    by = ["lang", "source", "measure"]
-    sizes = sketch.groupBy(*by).agg(F.sum("n").alias("own_n"))
-    language = sketch.groupBy("lang", "measure").agg(F.sum("n").alias("lang_n"))
-    level = F.when(F.col("own_n") >= LEAST, 0).when(F.col("lang_n") >= LEAST, 1).otherwise(2)
-    asks = sizes.join(language.withColumnsRenamed({"lang": "l", "measure": "m"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).select(*by, level.alias("level"))
-    own = sketch.withColumn("level", F.lit(0))
-    merged = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "measure", "bucket", "n", F.lit(1).alias("level"))
-    whole = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bucket", "n", F.lit(2).alias("level"))
-    pool = own.unionByName(merged).unionByName(whole)
-    from pyspark.sql import Window
-
-    running = Window.partitionBy("level", "lang", "source", "measure").orderBy("bucket")
-    all_of = Window.partitionBy("level", "lang", "source", "measure")
-    ranked = pool.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(all_of))
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket") - 1) / (GROWTH + 1))
-    point = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.floor(value + 0.5))).alias(f"p{k}")
-    asked = (25, 50, 75, 90)
-    points = ranked.groupBy("level", "lang", "source", "measure").agg(*map(point, asked))
-    points = points.select(F.col("level").alias("pl"), F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), F.col("measure").alias("pm"), *(f"p{k}" for k in asked))
-    same = (
-        (F.col("level") == F.col("pl"))
-        & (F.col("measure") == F.col("pm"))
-        & F.col("p_lang").eqNullSafe(F.when(F.col("level") < 2, F.col("lang")))
-        & F.col("p_source").eqNullSafe(F.when(F.col("level") < 1, F.col("source")))
-    )
-    got = asks.join(points, same)
+    own, language, whole = points(sketch, ["lang", "source"], ""), points(sketch, ["lang"], "l_"), points(sketch, [], "w_")
+    both = own.join(language, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
+    every = both.join(whole, F.col("measure") == F.col("w_measure"))
+    ask = (20, 50, 80)
+    lean = lambda n, p, q: F.expr(f"({n} * {p} + {PRIOR} * {q}) div ({n} + {PRIOR})")
+    every = every.withColumns({f"l_p{k}": lean("l_n", f"l_p{k}", f"w_p{k}") for k in ask})
+    every = every.withColumns({f"p{k}": lean("n", f"p{k}", f"l_p{k}") for k in ask})
+    # the widest distance on either side, and no less than a sketch can tell apart
+    sides = [f"{x}p{a} - {x}p{b}" for x in ("", "l_", "w_") for a, b in ((80, 50), (50, 20))]
+    every = every.withColumn("spread", F.expr(f"greatest({', '.join(sides)}, p80 div 50)"))
+    of = lambda name, c: F.max(F.when(F.col("measure") == name, F.col(c))).alias(f"{name}_{c}")
+    wide = every.groupBy("lang", "source").agg(of("words", "p50"), *(of(m, c) for m in MEASURES for c in ("p20", "p80", "spread")))
     out = []
-    for name, (_, above, below) in MEASURES.items():
-        here, top, foot = F.col("measure") == name, 75, 25
-        if derived:
-            top, foot, above, both = DERIVED[name]
-            below = above if both else None
-        wide = WIDEN * (F.col(f"p{top}") - F.col(f"p{foot}"))
-        out.append(F.max(F.when(here, F.col(f"p{top}") + F.greatest(wide, F.lit(above)))).alias(f"{name}_high"))
-        if below is not None:
-            out.append(F.max(F.when(here, F.col(f"p{foot}") - F.greatest(wide, F.lit(below)))).alias(f"{name}_low"))
-    return got.groupBy("lang", "source").agg(*out)
+    for name, (_, least, lower) in MEASURES.items():
+        out.append(F.expr(f"{name}_p80 + {WIDEN} * greatest({name}_spread, {least} div greatest(words_p50, 1))").alias(f"{name}_high"))
+        if lower:
+            out.append(F.expr(f"{name}_p20 - {WIDEN} * {name}_spread").alias(f"{name}_low"))
+    return wide.select("lang", "source", *out)
 
 
 def judged(counts: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
@@ -181,10 +173,10 @@ def judged(counts: DataFrame, limits: DataFrame, lang: str = "lang", source: str
     limits = limits.select([F.col(c).alias(p + c) for c in limits.columns])
     joined = counts.join(limits, F.col(lang).eqNullSafe(F.col(p + "lang")) & F.col(source).eqNullSafe(F.col(p + "source")), "left")
     verdict = F.lit(True)
-    for k, (name, (_, _, below)) in enumerate(MEASURES.items()):
+    for k, (name, (_, _, lower)) in enumerate(MEASURES.items()):
         value = F.element_at(_values(prefix), k + 1)["value"]
         verdict = verdict & F.coalesce(value <= F.col(f"{p}{name}_high"), F.lit(True))
-        if below is not None:
+        if lower:
             verdict = verdict & F.coalesce(value >= F.col(f"{p}{name}_low"), F.lit(True))
     failed = base_failed(prefix)
     return joined.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~failed & verdict).drop(*limits.columns)
@@ -194,22 +186,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, counts, base_failed, kept) for each row; null texts have no words and fail.
 
     Null languages and sources form groups of their own; a table without the columns is one group.
-    Repeated rows are judged alike. An empty table gives an empty result.
+    Texts of any length are counted whole. Repeated rows are judged alike, and a value on a fence is inside. An empty
+    table gives an empty result.
     """
+    docs = unclashed(docs, id_col, text_col, lang_col, source_col)
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), column(docs, source_col, "string").alias("source"))
     counts = stored(measured(plain, keep_text=False), "rules")
     return judged(counts, fences(sketches(counts))).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", derived: bool = False) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they came, whatever their names.
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that quality_rules would keep, with their columns as they came, whatever their names.
 
-    By default the rules are those of quality_rules, whose slacks its SQL fixes; ``derived`` takes the fences of DERIVED.
-    The texts are read twice, once for the sketches and once for the verdict, so that no shuffle and
-    no stored copy carries them.
+    Null texts have no words and go; null languages and sources are groups of their own, as is a table without the
+    columns; repeated rows go or stay together; a value on a fence is inside; an empty table stays empty. The texts are
+    read twice, once for the sketches and once for the verdict, so that no shuffle and no stored copy carries them.
     """
+    names, docs = docs.columns, unclashed(docs, text_col, lang_col, source_col)
     p = fresh_prefix(docs, "rule")
     keyed = docs.withColumns({f"{p}lang": column(docs, lang_col, "string"), f"{p}source": column(docs, source_col, "string")})
     narrow = measured(keyed.select(f"{p}lang", f"{p}source", column(docs, text_col, "string").alias("text")), keep_text=False)
-    limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch"), derived), "fences")
-    return judged(measured(keyed, text_col, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    limits = stored(fences(stored(sketches(narrow, f"{p}lang", f"{p}source"), "sketch")), "fences")
+    kept = judged(measured(keyed, text_col, p), limits, f"{p}lang", f"{p}source", p).where(F.col(p + "kept"))
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns]).toDF(*names)

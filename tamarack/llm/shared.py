@@ -53,9 +53,23 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(df: DataFrame, name: str, kind: str):
     """The column, or a null where the table lacks it."""
-    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
+    return (F.col(quoted(name)) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def unclashed(df: DataFrame, *wanted: str) -> DataFrame:
+    """``df`` under names without back-ticks that differ however they are cased: of those that clash the wanted one, else the first, keeps its own."""
+    names, taken = [c.replace("`", "_") for c in df.columns], set()
+    for i in sorted(range(len(names)), key=lambda i: (names[i] not in wanted, i)):
+        while names[i].lower() in taken:
+            names[i] = "_" + names[i]
+        taken.add(names[i].lower())
+    return df if names == df.columns else df.toDF(*names)
 
 
 def fresh_prefix(df: DataFrame, base: str) -> str:
@@ -68,7 +82,7 @@ def fresh_prefix(df: DataFrame, base: str) -> str:
 
 def ddl(df: DataFrame) -> str:
     """The columns of ``df`` as a schema string, for operators that hand them through."""
-    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+    return "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in df.schema.fields)
 
 
 def text_in_place(df: DataFrame, name: str, base: str) -> tuple[DataFrame, str, bool]:

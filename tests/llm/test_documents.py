@@ -91,7 +91,7 @@ def test_fences_reject_outliers_and_merge(spark):
     text = lambda sym: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(3, 8))) + ("###" if sym else "") for _ in range(80))
     rows = [(i, text(i % 20 == 0), "en", f"s{i % 3}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}  # groups of 67: the language's sketch
+    got = {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}
     assert got == {i: i % 20 != 0 for i in range(200)}
     counts = rules.measured(docs)
     halves = [rules.sketches(counts.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
@@ -99,6 +99,45 @@ def test_fences_reject_outliers_and_merge(spark):
     assert merged.exceptAll(rules.sketches(counts)).isEmpty()
 
 
+def test_fences_move_with_the_spread(spark):
+    """The same document stays where words of its length are common and goes where they are not."""
+    rng = random.Random(6)
+    prose = lambda low, high: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high))) for _ in range(120))
+    rows = [(i, prose(4, 6), "a", "x") for i in range(600)] + [(1000 + i, prose(2 + i % 5, 4 + 2 * (i % 5)), "b", "y") for i in range(600)]
+    odd = prose(7, 9)
+    docs = spark.createDataFrame(rows + [(5000, odd, "a", "x"), (6000, odd, "b", "y")], "doc_id long, text string, lang string, source string")
+    counts = rules.measured(docs, keep_text=False)
+    limits = {r.lang: r for r in rules.fences(rules.sketches(counts.where("lang = 'a'"))).collect() + rules.fences(rules.sketches(counts.where("lang = 'b'"))).collect()}
+    assert limits["b"].length_high - limits["b"].length_low > 2 * (limits["a"].length_high - limits["a"].length_low)
+    alone = {x: {r.doc_id: r.kept for r in rules.quality_rules(docs.where(f"lang = '{x}'")).collect()} for x in "ab"}
+    assert not alone["a"][5000] and alone["b"][6000]
+
+
+def test_without_spread_fences_reject_much(spark, sf, monkeypatch):
+    """What the spread does: without it one document in five stands outside."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    share = lambda: rules.quality_rules(docs).where("kept").count()
+    wide = share()
+    monkeypatch.setattr(rules, "WIDEN", 0)
+    assert share() < 0.8 * wide
+
+
+def test_copies_do_not_close_the_fences(spark):
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    copy = prose()
+    rows = [(i, copy, "en", "hot") for i in range(900)] + [(1000 + i, prose(), "en", ("hot", "s1", "s2")[i % 3]) for i in range(900)]
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sum(not r.kept for r in got) < 20
+
+
+def test_names_that_clash_only_in_case(spark):
+    docs = spark.createDataFrame([(1, "x " * 60, "a b c " * 30, "en", "s", 5)], ["doc_id", "TEXT", "text", "lang", "so`urce", "Lang"])
+    assert [r.n_words for r in rules.quality_rules(docs).collect()] == [90]
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns
+
+
 # --- classifiers
 
 
