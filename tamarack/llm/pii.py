@@ -6,10 +6,10 @@ each character: plain, and the beginning and inside of each kind. A linear-chain
 transitions. It is trained in numpy by gradient descent on texts built with labelled spans.
 
 A long text is covered by overlapping windows. Where a window's scores leave no room for any label but the
-plain one, that is the best path there. Everything else is decoded globally: the scores of the windows in
-question and of their neighbours are averaged where they overlap, each weighted by how deep a character lies
-in it, and one Viterbi pass runs over the whole stretch, whatever its length. Nothing depends on which texts
-come in the same batch.
+plain one, that is the best path there. Everything else is decoded globally: over each stretch of characters that
+may bear another label the scores of all windows that hold them are averaged, each weighted by how deep a character
+lies in it, and one Viterbi pass runs over the whole stretch, whatever its length and however many windows it
+crosses. Nothing depends on which texts come in the same batch.
 
 Base spans always stay. A span of the network is added where it overlaps no base span and holds
 enough digits (or an address sign) for its kind.
@@ -32,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, OVERLAP, UNITS, BATCH = 256, 32, 8, 1024
 #: Steps of training.
 STEPS = 1000
+#: Plain characters on either side of a stretch that is decoded.
+MARGIN = 16
 #: Products of matrices round alike for every column where their number is a multiple of this.
 COLUMNS = 64
 EMBED, LABELS = 6, 1 + 2 * len(KINDS)
@@ -353,11 +355,12 @@ class Network:
         out += self.p["bias"][:, None]
         return out[:, :, :n]
 
-    def plain(self, scores: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """Windows where no label but the plain one can pay.
+    def live(self, scores: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows where a label but the plain one can pay, and for each of them (time, windows): the characters that may bear one.
 
         Each kind's best gain over the plain label is followed from character to character: it begins with the kind's
-        first label, after the plain one or another kind, goes on with its inside, and pays where it outweighs the way back.
+        first label, after the plain one or another kind, goes on with its inside, and pays where it outweighs the way
+        back. What follows a character is bounded in the same way from the other end.
         """
         trans = self.p["trans"] + FORBIDDEN
         first, inner = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
@@ -366,17 +369,26 @@ class Network:
         enter = (trans[0, first] - trans[0, 0])[:, None]
         change = (np.maximum(trans[np.ix_(first, first)], trans[np.ix_(inner, first)]).max(axis=1) - trans[0, 0])[:, None]
         leave = np.maximum(np.maximum(trans[first, 0], trans[inner, 0]) - trans[0, 0], 0)[:, None]
+        gains, least = np.empty_like(begin), int(width.min())
         gain = begin[0] + np.maximum(enter, 0)
-        most, least = gain.copy(), int(width.min())
+        gains[0] = gain
         for t in range(1, len(scores)):
             fresh = np.maximum((gain + change).max(axis=0), enter)
             fresh += begin[t]
-            gain += go_on[t]
-            np.maximum(gain, fresh, out=gain)
+            gain = np.maximum(gain + go_on[t], fresh, out=gains[t])
             if t >= least:
                 gain[:, t >= width] = -1e9
-            np.maximum(most, gain, out=most)
-        return (most + leave <= 0).all(axis=0)
+        asked = np.flatnonzero((gains.max(axis=0) + leave > 0).any(axis=0))
+        out = np.zeros((len(scores), len(asked)), bool)
+        if len(asked):
+            begin, go_on, ends = begin[:, :, asked], go_on[:, :, asked], width[asked] - 1
+            rest = np.broadcast_to(leave, begin[0].shape)
+            for t in range(len(scores) - 1, -1, -1):
+                if t + 1 < len(scores):
+                    rest = np.maximum(np.maximum(rest + go_on[t + 1], (rest + begin[t + 1]).max(axis=0) + change), leave)
+                rest = np.where(t >= ends, leave, rest)
+                out[t] = (gains[t][:, asked] + rest > 0).any(axis=0)
+        return asked, out
 
     def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each stretch (time, labels) of scores; an inside cannot come first."""
@@ -499,35 +511,36 @@ class Finder:
             return out
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in each])
         first, width = begins[owner] + starts, np.minimum(WINDOW, sizes[owner] - starts)
-        asked = np.zeros(len(starts), bool)
+        ranges = []
         for rows, scores in self._batches(joined, first, width):
-            asked[rows] = ~self.model.plain(scores, width[rows])
-        # with its neighbours, so that a stretch ends in the plain
-        wanted = asked.copy()
-        wanted[1:] |= asked[:-1] & (owner[1:] == owner[:-1])
-        wanted[:-1] |= asked[1:] & (owner[1:] == owner[:-1])
-        chosen = np.flatnonzero(wanted)
-        if not len(chosen):
+            asked, live = self.model.live(scores, width[rows])
+            t, j = np.nonzero(live)
+            ranges.append(first[rows[asked[j]]] + t)
+        at = np.unique(np.concatenate(ranges))  # places in the joined texts
+        if not len(at):
             return out
-        apart = np.ones(len(chosen), bool)
-        apart[1:] = (np.diff(chosen) > 1) | (owner[chosen[1:]] != owner[chosen[:-1]])
-        stretch = np.cumsum(apart) - 1
-        heads, tails = chosen[apart], chosen[np.append(np.flatnonzero(apart)[1:], len(chosen)) - 1]
-        sums = [np.zeros((int(starts[b] + width[b] - starts[a]), LABELS), np.float64) for a, b in zip(heads, tails, strict=True)]
-        weights = [np.zeros((len(s), 1)) for s in sums]
+        text = np.searchsorted(begins + sizes, at, "right")
+        apart = np.flatnonzero((np.diff(at) > 2 * MARGIN) | (np.diff(text) > 0)) + 1
+        heads, tails = np.concatenate([[0], apart]), np.append(apart, len(at)) - 1
+        lo = np.maximum(at[heads] - MARGIN, begins[text[heads]])
+        hi = np.minimum(at[tails] + 1 + MARGIN, (begins + sizes)[text[heads]])
+        chosen = np.flatnonzero(np.searchsorted(hi, first, "right") < np.searchsorted(lo, first + width, "left"))
+        sums = [np.zeros((n, LABELS), np.float32) for n in (hi - lo).tolist()]
+        weights = [np.zeros((len(s), 1), np.float32) for s in sums]
         for rows, scores in self._batches(joined, first[chosen], width[chosen]):
-            for column_, j in enumerate(rows.tolist()):
-                w, g = chosen[j], stretch[j]
-                at, size = int(starts[w] - starts[heads[g]]), int(width[w])
+            for column_, w in enumerate(chosen[rows].tolist()):
+                a, size = int(first[w]), int(width[w])
                 deep = depth(int(starts[w]), size, int(sizes[owner[w]]))[:, None]
-                sums[g][at : at + size] += scores[:size, :, column_] * deep
-                weights[g][at : at + size] += deep
-        for g, path in enumerate(self.model.decode([(s / w).astype(np.float32) for s, w in zip(sums, weights, strict=True)])):
+                for g in range(int(np.searchsorted(hi, a, "right")), int(np.searchsorted(lo, a + size, "left"))):
+                    x, y = max(a, int(lo[g])), min(a + size, int(hi[g]))
+                    sums[g][x - lo[g] : y - lo[g]] += scores[x - a : y - a, :, column_] * deep[x - a : y - a]
+                    weights[g][x - lo[g] : y - lo[g]] += deep[x - a : y - a]
+        for g, path in enumerate(self.model.decode([s / w for s, w in zip(sums, weights, strict=True)])):
             if path.any():
-                i, a = owner[heads[g]], int(starts[heads[g]])
+                i = text[heads[g]]
                 if not len(out[i]):
                     out[i] = np.zeros(sizes[i], np.uint8)
-                out[i][a : a + len(path)] = path
+                out[i][lo[g] - begins[i] : hi[g] - begins[i]] = path
         return out
 
     def find(self, texts: list[str]) -> list[tuple[dict, list[tuple[str, int, int]]]]:
