@@ -6,8 +6,8 @@ output links through the pieces that end there, longest first; each relaxes its
 For a model of piece scores (unigram) the best sum of scores wins, ties to the longest last piece. In a
 model of merges (BPE) a score is a merge's rank and the sum means nothing: there a piece extends the
 path of its start where the two pieces that meet would also come out side by side if their strings were
-merged alone. Exactly one piece at each position does, so the same pass gives the merges' result.
-A character that no piece covers alone stands below all scores and falls back to its bytes.
+merged alone. Exactly one piece at each position does, so the same pass gives the merges' result. Runs of marks
+are the one exception, as their pieces have equal ranks: they merge after all else, from the left. A character that no piece covers alone stands below all scores and falls back to its bytes.
 
 Pieces hold the space mark only at their front, so the path of a text is that of its units (marks
 and what follows them) in a row. A worker segments each distinct unit once while it remembers it.
@@ -15,6 +15,7 @@ and what follows them) in a row. A worker segments each distinct unit once while
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix
+from tamarack.llm.shared import column, ddl, fresh_prefix, quoted, unclashed
 
 MARK = "▁"
 #: A byte that UTF-8 never holds, between units.
@@ -78,6 +79,11 @@ class Codec(dict):
         ranks = [g for g, _ in self.ids.values() if g > -1e8]
         self.merges = len(ranks) > 1 and all(g == int(g) for g in ranks) and ranks == sorted(ranks, reverse=True)
         self.beyond = lowest - UNKNOWN_BELOW
+        #: Pieces of marks alone rank below all others, and no other piece holds two marks.
+        runs = {p for p in self.ids if not p.strip(MARK)}
+        lowest_word = min((g for p, (g, _) in self.ids.items() if p not in runs and len(p) > 1), default=0.0)
+        self.marks_last = MARK in runs and all(self.ids[p][0] < lowest_word for p in runs) and not any(MARK + MARK in p for p in self.ids if p not in runs)
+        self.runs: dict[int, list[int]] = {}
         #: Without these a unit would not be a place to cut.
         self.cuts = all(MARK not in p.lstrip(MARK) for p in plain)
         self.line_cuts = self.cuts and not any("\n" in p for p in plain)
@@ -89,16 +95,41 @@ class Codec(dict):
         return _codecs[path]
 
     def merged(self, text: str) -> list[str]:
-        """The parts of a short string after all merges: the best-ranked neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            got = [self.ids.get(x + y, (None,))[0] for x, y in zip(parts, parts[1:], strict=False)]
-            most = max((g for g in got if g is not None), default=None)
-            if most is None:
-                break
-            k = got.index(most)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """The parts of a string after all merges: the best-ranked neighbours first, the leftmost of equals.
+
+        A queue holds the pairs that may merge, so the time follows the length (and its logarithm) however long a string is.
+        """
+        parts, n = list(text), len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        asks: list[tuple[float, int, str]] = []
+
+        def ask(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                both = parts[i] + parts[after[i]]
+                if both in self.ids:
+                    heapq.heappush(asks, (-self.ids[both][0], i, both))
+
+        for i in range(n - 1):
+            ask(i)
+        while asks:
+            _, i, both = heapq.heappop(asks)
+            if not parts[i] or after[i] >= n or parts[i] + parts[after[i]] != both:
+                continue  # one of the two has merged with another since
+            j = after[i]
+            parts[i], parts[j], after[i] = both, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            ask(i)
+            ask(before[i])
+        return [p for p in parts if p]
+
+    def run_of_marks(self, n: int) -> list[int]:
+        """The ids of n marks in a row; what a run comes to is remembered by its length."""
+        if n not in self.runs:
+            if len(self.runs) > 4096:
+                self.runs.clear()
+            self.runs[n] = [self.ids[p][1] for p in self.merged(MARK * n)]
+        return self.runs[n]
 
     def meet(self, left: int, right: int) -> bool:
         """Would the two pieces stand side by side; left -1: would the right one come out whole."""
@@ -110,8 +141,14 @@ class Codec(dict):
 
     def best(self, unit: str) -> list[int]:
         """The ids of the best path."""
-        if self.merges and MARK + MARK in unit:  # runs of marks have equal ranks, for which the pass isn't unique
-            return [i for p in self.merged(unit) for i in ([self.ids[p][1]] if p in self.ids else self.fallback(p))]
+        if self.merges and unit.startswith(MARK + MARK):  # pieces of marks alone have equal ranks, for which the pass isn't unique
+            word = unit.lstrip(MARK)
+            marks = len(unit) - len(word)
+            if not self.marks_last:
+                return [i for p in self.merged(unit) for i in ([self.ids[p][1]] if p in self.ids else self.fallback(p))]
+            # they merge after everything else: the word and the mark before it first, then what marks are left
+            rest = self.best(MARK + word) if word else []
+            return self.run_of_marks(marks - 1) + rest if rest and rest[0] != self.ids[MARK][1] else self.run_of_marks(marks) + rest[1:]
         n, merges, beyond, meets = len(unit), self.merges, self.beyond, self.meets
         score: list = [0.0] + [None] * n
         sizes, ids = [0] * (n + 1), [-1] * (n + 1)
@@ -232,11 +269,14 @@ def _encode(path: str, inner: str):
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ids array<int> and ids_crc32 long (over little-endian 32-bit ids), which replace columns of those names.
 
-    A null text is empty; an empty text has no ids. Without ``keep_text`` the text column goes. No shuffle.
+    A null text is empty; an empty text has no ids; a long one is encoded whole; repeated rows each; an empty table stays
+    empty. Of names that differ in case alone all but one get a leading underscore. Without ``keep_text`` the text
+    column goes. No shuffle.
     """
+    docs = unclashed(docs, text_col)
     rest = docs.drop("ids", "ids_crc32", *([] if keep_text else [text_col]))
     inner = fresh_prefix(docs, "piece") + "text"
-    given = docs.select(*[F.col(f"`{c}`") for c in rest.columns], column(docs, text_col, "string").alias(inner))
+    given = docs.select(*[F.col(quoted(c)) for c in rest.columns], column(docs, text_col, "string").alias(inner))
     return given.mapInArrow(_encode(model_path, inner), f"{ddl(rest)}ids array<int>, ids_crc32 long")
 
 
@@ -264,8 +304,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, round_trip): does decoding a document's ids give its text, marks read as spaces.
 
-    Only a checksum and the length of the text travel past the encoder.
+    Only a checksum and the length of the text travel past the encoder. A null text is empty; an empty table gives no rows.
     """
+    docs = unclashed(docs, "doc_id", "text")
     text = F.translate(F.coalesce(column(docs, "text", "string"), F.lit("")), MARK, " ")
     plain = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), F.xxhash64(text).alias("sum"), F.length(text).alias("size"))
     back = decode(encode(plain, model_path, keep_text=False), model_path)

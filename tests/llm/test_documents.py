@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -401,6 +403,26 @@ def test_pieces_as_the_library(spark):
         assert ids == model.encode(t) and codec.decode(ids) == model.decode(ids)
 
 
+def test_pieces_of_hostile_texts_take_linear_time():
+    import sentencepiece
+
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=SPM), pieces.Codec(SPM)
+    for text in (" " * 300_000, "a" + " " * 200_000 + "b", " " * 70_001 + "日" + " " * 50_000 + "the end ", "x" * 200_000, "ab" * 100_000, ("  the   " * 20_000)):
+        began = time.perf_counter()
+        ids = np.frombuffer(codec.encode(text.encode()), "<u4").tolist()
+        assert time.perf_counter() - began < 5
+        assert ids == model.encode(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(" athe▁日x", max_size=60))
+def test_runs_of_marks_as_the_library(text):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=SPM)
+    assert np.frombuffer(pieces.Codec.of(SPM).encode(text.encode()), "<u4").tolist() == model.encode(text)
+
+
 def test_pieces_by_scores():
     """A model of scores: the best sum, against all segmentations."""
     codec = pieces.Codec.__new__(pieces.Codec)
@@ -475,6 +497,21 @@ def test_packing_odd_documents(spark):
     assert packing.pack(empty(docs), BPE).collect() == []
 
 
+def test_a_bound_on_open_windows_keeps_the_levels(spark, sf, monkeypatch):
+    """Beyond the bound the two fullest windows are joined; the others keep their places and the rule goes on."""
+    monkeypatch.setattr(packing, "OPEN_WINDOWS", 5)
+    rng, packer, pieces_, ids = random.Random(1), packing.Packer(64, 0), [], {}
+    for doc in range(400):
+        ids[doc] = np.array([rng.randrange(1000) for _ in range(rng.randint(1, 150))], "<u4")
+        before = packer.count.copy()
+        pieces_ += packer.add(doc, ids[doc].tobytes())
+        assert packer.open <= 5 and packer.count.sum() == packer.open == sum(map(len, packer.windows.values()))
+        assert np.abs(packer.count - before).sum() <= 5  # a placement and one joining, no more
+    pieces_ += packer.join_open()
+    rows = [SimpleNamespace(**dict(zip("doc_id start length ids_crc32 doc_tokens sequence_id offset".split(), x, strict=True))) for x in pieces_]
+    check_pieces(rows, {i: x.tolist() for i, x in ids.items()}, 64)
+
+
 def test_level_minimises_the_sum_of_squares():
     rng = random.Random(2)
     packer = packing.Packer(32, 0)
