@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column
+from tamarack.llm.shared import column, unclashed
 
 CAPACITY, END_ID = 4096, 2
 #: Words kept with their ids by a worker, and bytes of a text encoded at once.
 CACHE_WORDS, CHUNK_BYTES = 400_000, 1 << 20
-#: Windows open at once in a task; beyond it they are joined and cut as at the end.
-OPEN_WINDOWS = 2048
+#: Windows open at once in a task, which bounds its memory; beyond it the two fullest are joined and cut, the others stay.
+OPEN_WINDOWS = 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -192,9 +192,34 @@ class Packer:
             self.count[at + size] += 1
             self.windows.setdefault(at + size, []).append(pieces)
             if self.open > OPEN_WINDOWS:
-                yield from self.join_open(last=False)
+                yield from self.join_fullest()
+
+    def join_fullest(self) -> Iterator[tuple]:
+        """The two fullest windows joined: one full window and what is left over, at its own level."""
+        both, size = [], 0
+        for _ in range(2):
+            level = int(np.flatnonzero(self.count)[-1])
+            both += self.windows[level].pop()
+            self.count[level] -= 1
+            size += level
+        self.open -= 2
+        if size >= self.capacity:
+            now, room = [], self.capacity
+            while room:
+                doc, start, ids, total = both.pop(0)
+                cut = min(room, len(ids) // 4)
+                now.append((doc, start, ids[: 4 * cut], total))
+                if 4 * cut < len(ids):
+                    both.insert(0, (doc, start + cut, ids[4 * cut :], total))
+                room -= cut
+            size -= self.capacity
+            yield from self.close(now)
+        if size:
+            self.windows.setdefault(size, []).append(both)
+            self.count[size] += 1
+            self.open += 1
 
-    def join_open(self, last: bool) -> Iterator[tuple]:
+    def join_open(self) -> Iterator[tuple]:
         left: list = []
         size = 0
         for at in sorted(self.windows, reverse=True):
@@ -209,9 +234,7 @@ class Packer:
                         size += len(ids) // 4
         self.windows, self.open = {}, 0
         self.count[:] = 0
-        if size and not last:
-            self.windows[size], self.open, self.count[size] = [left], 1, 1
-        while size and last:
+        while size:
             width = 1 << (size.bit_length() - 1)
             now, need = [], width
             while need:
@@ -245,7 +268,7 @@ def _pack(path: str, capacity: int, end_id: int):
                 if len(out) >= 4096:
                     yield batch_of(out)
                     out = []
-        out += packer.join_open(last=True)
+        out += packer.join_open()
         if out:
             yield batch_of(out)
 
@@ -257,7 +280,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     No shuffle: a task packs what it reads, and a sequence_id carries the number of its partition. A null
     text is empty and gives its end id alone; a null doc_id stays null; repeated rows are packed each.
-    ``ids_crc32`` is over the piece's ids as little-endian unsigned 32-bit numbers. An empty table gives no rows.
+    ``ids_crc32`` is over the piece's ids as little-endian unsigned 32-bit numbers. A long text fills windows of its own
+    before its rest is placed; of equally good levels the fullest is taken. An empty table gives no rows.
     """
+    docs = unclashed(docs, id_col, text_col)
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"))
     return plain.mapInArrow(_pack(tokenizer_path, capacity, end_id), SCHEMA)
