@@ -15,6 +15,7 @@ counted exactly over the whole host.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, stored
+from tamarack.llm.shared import column, stored, unclashed
 
 #: Tokens of a run (a power of two), pages that must hold it at least, and bytes of HTML of a host that one task takes whole.
-RUN, PAGES, SHARD = 8, 5, 2 << 20
+RUN, PAGES, SHARD = 8, 3, 1 << 19
 #: Runs that a task of a large host's pages holds before it names those on half of what it holds.
 HELD = 2_000_000
 #: Large hosts that are broadcast at most; with more of them the pages are shuffled to their hosts' sizes.
@@ -35,38 +36,61 @@ HOSTS = 50_000
 
 #: Elements that are left out with all they hold; those of RAW hold text that is no markup.
 RAW = {"script", "style", "noscript", "iframe", "noembed", "noframes", "xmp", "textarea", "title"}
-OUT = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "template", "svg", "canvas", "object", "menu", "menuitem", "audio", "video", "math", "fieldset"} | RAW
+OUT = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "template", "svg", "canvas", "object", "menu", "menuitem", "audio", "video", "fieldset"} | RAW
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A paragraph ends where one of these begins.
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "aside"}
 #: Elements whose end tag may be missing, and what the start of which ends them.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
-#: Words of class and id names, and roles, that mark what surrounds a text.
+#: Words of class and id names that mark what surrounds a text, on their own or (the second list) with another such word.
 WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert",
-    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "rail", "widget", "widgets", "header", "masthead", "footer", "foot", "pagination", "pager",
-    "comment", "comments", "commentlist", "disqus", "respond", "replies", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "toolbar", "copyright", "skip", "hidden",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "masthead", "header", "footer", "pagination", "comment", "comments", "commentlist", "disqus", "newsletter",
+}
+WEAK = {
+    "banner", "promotion", "notification", "alert", "aside", "rail", "widget", "widgets", "foot", "pager", "respond", "replies", "related", "recommended", "share", "sharing", "social",
+    "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "toolbar", "copyright", "skip", "hidden",
+}
+#: Words that say where or what kind of a box something is and leave the meaning to the others.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "div", "footer", "global", "group", "head", "icon", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "outer",
+    "page", "panel", "post", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "the", "title", "top", "unit", "wrap", "wrapper",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "status"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+#: A quote opens a value only after an equals sign and where it closes again, so that no tag is read twice.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
+WORD_CUT = re.compile(r"[^a-z0-9]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def _marks(token: str, inside: bool) -> bool:
+    """Does a class or id mark what surrounds a text. Inside an article all of its words must be known, and a weak one needs another."""
+    words = [w for w in WORD_CUT.split(token) if w and not w.isdigit()]
+    strong = sum(w in WORDS for w in words)
+    weak = sum(w in WEAK for w in words)
+    if strong and not inside:
+        return True
+    if not strong + weak or any(w not in WORDS and w not in WEAK and w not in NEUTRAL for w in words):
+        return False
+    return strong > 0 or weak > 1 or not inside
 
 
-def _surrounds(name: str, attributes: str) -> bool:
+def _surrounds(name: str, attributes: str, inside: bool) -> bool:
     if name in OUT:
         return True
     if not attributes or attributes == "/" or name in ("body", "html", "article", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id") and any(_marks(t, inside) for t in value.split()):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "style" and HIDDEN.search(value):
             return True
     return False
 
@@ -79,6 +103,7 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     """
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, in an article or main element, left out within a line
+    opened: Counter[str] = Counter()  # names on the stack
     parts: list[str] = []
     nowhere = place = (False, False, False)
     any_main = False
@@ -108,11 +133,13 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             continue
         name = name.lower()
         if closing:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name in BLOCK:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    opened[top := stack.pop()[0]] -= 1
+                    if top == name:
+                        break
                 place = stack[-1][1:] if stack else nowhere
             elif name == "p":
                 flush()
@@ -124,24 +151,28 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if name in BLOCK:
             flush()
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             # an open paragraph ends even below inline elements that were left open
-            if name in BLOCK and any(x[0] == "p" for x in stack[-8:]):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if all(x[0] not in BLOCK for x in stack[k + 1 :]):
+            if opened["p"]:
+                k = len(stack) - 1
+                while k > 0 and stack[k][0] not in BLOCK:
+                    k -= 1
+                if stack[k][0] == "p":
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
             place = stack[-1][1:] if stack else nowhere
         elif name == "br":
             parts.append("\n")
         if name in VOID or attributes.endswith("/") and name not in BLOCK | OUT:
             continue
-        if _surrounds(name, attributes) and not place[0]:
+        if not place[0] and _surrounds(name, attributes, place[1]):
             # within a line its text goes at once; a block's is kept for the host's token stream
             place = (True, place[1], name not in BLOCK)
         if name in MAIN or "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes):
             place = (place[0], True, place[2])
             any_main |= not place[0]
         stack.append((name, *place))
+        opened[name] += 1
     flush()
     return [(text, not left_out and (inside or not any_main)) for text, inside, left_out in out]
 
@@ -316,8 +347,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     A null html is empty and gives an empty text; a null url, or one without a host, belongs to a host
-    of its own kind. Repeated rows are extracted alike. Extra columns are not read.
+    of its own kind. Pages of any length are read whole, in time that follows their length. Repeated rows are extracted
+    alike and count as one page. An empty table gives no rows. Extra columns are not read.
     """
+    pages = unclashed(pages, id_col, url_col, html_col)
     plain = pages.select(column(pages, id_col, "long").alias("page_id"), column(pages, url_col, "string").alias("url"), column(pages, html_col, "string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     plain = plain.withColumn("host", host)

@@ -1,8 +1,10 @@
 import hashlib
 import html as plain_html
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tamarack.llm import chat, html
@@ -49,6 +51,39 @@ def test_host_boilerplate_goes_and_unique_text_stays(spark):
     assert all(got[i] == body(i) for i in range(8)) and all(got[100 + i] == f"{note}\n{body(i)}" for i in range(2))
 
 
+def test_without_covered_runs_boilerplate_stays(spark, monkeypatch):
+    """What the suffix array does: a line in an article's own element, without any mark, on two pages of three."""
+    note = "read more of our best stories every day on this place of ours"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"https://h.example/{i}", f"<article><p>{body(i)}</p>" + f"<p>{note}</p>" * (i % 3 > 0) + "</article>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages).collect()} == {body(i) for i in range(9)}
+    monkeypatch.setattr(html, "covered", lambda tokens, pages: np.zeros(len(tokens), bool))
+    table = pa.table({"page_id": list(range(9)), "url": [""] * 9, "blocks": [[t for t, _ in html.blocks(h)] for _, _, h in rows], "inside": [[f for _, f in html.blocks(h)] for _, _, h in rows]})
+    assert sum(note in t for t in html._unique(table)["text"].to_pylist()) == 6
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<article><p>one</p><p class='share-price'>two</p><section id='rail'><p>three</p></section><p>a<math><mi>x</mi></math></p></article>", "one\ntwo\nthree\nax"),
+        ("<article><p>one</p><div class='social-share'>two</div><div class='ad box-2'>three</div><div id='comments'>four</div></article>", "one"),
+        ("<body><p>one</p><div class='share-price'>two</div><div id='rail'>three</div><div class='cookie-law-info'>four</div></body>", "one\ntwo"),
+        ("<article><p>one <a href=\"x>two</a> three</p></article>", "one two three"),
+        ("<article><p title=\"5\" tall\">one</p><p class=\"x\">two</p></article>", "one\ntwo"),
+    ],
+)
+def test_names_are_weighed(page, wanted):
+    assert "\n".join(t for t, inside in html.blocks(page) if inside) == wanted
+
+
+@pytest.mark.parametrize("page", ["<b></i>" * 150_000, "<a " * 300_000 + '"', "<p>" * 300_000, "<i>" * 150_000 + "<div></b>" * 60_000, "<p>" + "<b>" * 100_000 + "<p><b>" * 50_000, "<a b='" * 150_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - began < 8
+
+
 def test_copies_of_a_page_are_no_boilerplate(spark):
     page = "<article><h1>Title of it</h1><p>" + " ".join(f"w{k}" for k in range(40)) + "</p></article>"
     pages = spark.createDataFrame([(i, "https://h.example/x", page, "t") for i in range(9)], "page_id long, url string, html string, text string")
