@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, stored, text_in_place
+from tamarack.llm.shared import column, ddl, stored, text_in_place, unclashed
 
 WINDOW = 128
-#: The training sample: labelled documents of each class at most, bytes of a document and windows of ordinary text at most.
+#: The training sample: labelled documents of each class at most, bytes of a document's windows (spread over all of it) and windows of ordinary text at most.
 SAMPLE_DOCS, SAMPLE_BYTES, WINDOWS = 4000, 1 << 16, 60_000
 ORDINARY_BYTES, TOXIC_BYTES, TOXIC_ROUNDS = 2048, 8192, 3
 #: A telling word's surroundings at least (fewer where hardly any word has them), and its rate over that in ordinary text.
@@ -47,11 +47,13 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np
 
 def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """A dictionary trained on ``samples``, to be used as raw content (its tables then are a few bytes that match nothing);
-    where they are too few to train on, the distinct samples themselves."""
+    where they are too few to train on, of the distinct samples themselves what fits."""
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d, steps=1, level=1).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(dict.fromkeys(samples))[-size:]
+        some = list(dict.fromkeys(samples))
+        step = max(1, -(-sum(map(len, some)) // size))  # at even steps where not all fit
+        return b" ".join(some[::step])
 
 
 def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
@@ -182,19 +184,37 @@ def fit(texts: list[bytes], labels: np.ndarray, share: tuple[float, float] = (1,
     return model
 
 
+def _thinned(batches):
+    """Of a text above SAMPLE_BYTES as many of its windows as fit, at even steps from its beginning to its end."""
+    for batch in batches:
+        raw, offsets = kernels.buffers(batch.column("text"))
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = raw[a:b]
+            if len(text) > SAMPLE_BYTES:
+                _, starts, ends, _ = windows(text, np.array([0, len(text)]))
+                at = np.unique(np.linspace(0, len(starts) - 1, SAMPLE_BYTES // (WINDOW + 16)).astype(int)) if len(starts) else starts
+                text = b" ".join(text[x:y].tobytes()[:SAMPLE_BYTES] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True))
+            else:
+                text = text.tobytes()
+            out.append(text.decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(out, pa.string())], ["id", "y", "text"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents outside the held-out fold: the first SAMPLE_DOCS of each class in the order of a hash of their ids, weighted by the class's count over all."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marks = marks.where("id is not null and y in (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = texts.where("text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    texts = texts.where("text <> ''")
     # ids are chosen first, so no shuffle carries texts but those of the sample
     there = stored(texts.select("id").join(marks, "id").distinct(), "labelled")
     count = {r.y: r["count"] for r in there.groupBy("y").count().collect()}
     share = tuple(count.get(y, 0) / max(1, min(count.get(y, 0), SAMPLE_DOCS)) or 1 for y in (0, 1))
     some = [there.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])  # 2 * SAMPLE_DOCS rows at most: small enough to broadcast at any size
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "y").select("text", "y").toArrow()
+    thin = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(_thinned, "id long, y int, text string")
+    rows = thin.groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id", "y").select("text", "y").toArrow()
     return fit([t.encode() for t in rows["text"].to_pylist()], rows["y"].to_numpy(), share)
 
 
@@ -221,8 +241,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Without labels of both classes all scores are 0. Repeated rows and ties of labels are used as they
-    come; a null doc_id is never held out. Other columns of the tables are not read.
+    come; a null doc_id is never held out; a null text is an empty one; texts of any length are scored whole; an empty
+    table gives no rows. Other columns of the tables are not read.
     """
+    docs, labels = unclashed(docs, "doc_id", "text"), unclashed(labels, "doc_id", "toxic")
     model = train(docs, labels)
     plain = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
