@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
 from tamarack.llm.graph import components
-from tamarack.llm.shared import column, stored
+from tamarack.llm.shared import column, stored, unclashed
 
 TABLES, PROJECTIONS, WIDTH = 32, 10, 2.0
 BLOCK = 1024
@@ -41,7 +41,7 @@ def keys_of(unit: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _read(tables: int):
+def _read(tables: int, single: bool):
     def run(batches):
         for batch in batches:
             lists = batch.column("embedding")
@@ -72,7 +72,8 @@ def _read(tables: int):
             flags = pa.array(good)
             key_lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             marks = marks.view(np.int64)
-            clean = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.nan_to_num(values)))
+            clean = pa.array(np.where(np.isfinite(values), values, 0.0).astype(np.float32 if single else np.float64))
+            clean = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), clean)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), flags, pa.array(marks[:, 0]), pa.array(marks[:, 1]), key_lists, clean], ["vec_id", "good", "x", "y", "keys", "v"])
 
     return run
@@ -85,6 +86,7 @@ def _compare(threshold: float):
         rep, mine, times = (table[c].to_numpy() for c in ("rep", "own", "times"))
         matrix = lambda c: np.array(table[c].combine_chunks().flatten()).reshape(len(rep), -1)
         lists, keys = matrix("v"), matrix("keys")
+        lists = lists.astype(np.float64)
         lists = lists / np.abs(lists).max(axis=1, keepdims=True)
         norm = np.sqrt((lists * lists).sum(axis=1))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -129,11 +131,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n_links counts the other rows linked directly (cosine >= threshold, found through a shared key);
     component_id is the smallest vec_id reachable. A null or zero vector, or one that holds a null or a
     non-finite component, links with nothing, as do vectors of different lengths. Repeated rows are rows
-    of their own and link with each other. A null vec_id has links counted, and a null component.
-    Extra columns are not read.
+    of their own and link with each other, and a cosine of just the threshold links. A null vec_id has links counted, and a
+    null component. Long vectors are read whole; an empty table gives no rows. Extra columns are not read.
     """
+    vectors = unclashed(vectors, id_col, vector_col)
+    single = vector_col in vectors.columns and vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # travels as such
     plain = vectors.select(column(vectors, id_col, "long").alias("vec_id"), column(vectors, vector_col, "array<double>").alias("embedding"))
-    read = stored(plain.mapInArrow(_read(tables), "vec_id long, good boolean, x long, y long, keys array<int>, v array<double>"), "vectors")
+    read = stored(plain.mapInArrow(_read(tables, single), f"vec_id long, good boolean, x long, y long, keys array<int>, v array<{'float' if single else 'double'}>"), "vectors")
     mark = ["x", "y"]
     good = read.where("good")
     classes = good.groupBy(*mark).agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("keys").alias("keys"), F.first("v").alias("v"))
