@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
 from tamarack.llm.graph import components
-from tamarack.llm.shared import column, fresh_prefix, stored
+from tamarack.llm.shared import column, fresh_prefix, stored, unclashed
 
 POSITIONS = 1 << 20
 #: A pair at similarity 0.85 shares no bucket with probability 8e-7, one at 0.9 with 1e-9.
 BANDS, ROWS = 24, 5
 #: Most shingles and most members of one block of members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 1024
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 512
 #: Members that one copy of a leader's set is dealt to.
 SHARE = 1024
 
@@ -248,7 +248,7 @@ def near_duplicates(
     texts. A row whose doc_id is null is linked with nothing: component_id null, kept true. Texts of any
     length are read whole; an empty table gives no rows. Extra columns of ``docs`` are not read.
     """
-    texts = _read(docs, id_col, text_col)
+    texts = _read(unclashed(docs, id_col, text_col), id_col, text_col)
     described, classes = _classes(texts, size, bands, rows)
     full = described.where("doc_id is not null and n > 0")
     # a doc_id of several texts joins their classes

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, text_in_place
+from tamarack.llm.shared import column, ddl, text_in_place, unclashed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and how many it shares with the next one; units of each LSTM; windows run at once.
@@ -589,6 +589,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points, end exclusive. A null text is empty and has none; a long one is searched to its end. Repeated rows
     are searched each, ties go to the lower label. An empty table gives no rows. No shuffle.
     """
+    docs = unclashed(docs, id_col, text_col)
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"))
     return plain.mapInArrow(_find(network()), f"doc_id long, {FOUND}")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels, rules
-from tamarack.llm.shared import column, stored
+from tamarack.llm.shared import column, stored, unclashed
 
 STATISTICS = ("words", "word_length", "symbols", "lines", "dup_lines", "repeats", "upper", "digits", "stops", "bangs", "distinct", "short", "bars", "other")
 #: Shares of the pooled covariance and of the diagonal in a class covariance.
@@ -135,9 +135,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Without two labelled rows of either class all scores are 0.5. An empty or null text has the
-    statistics of an empty one. Repeated rows count as often as they come; a null doc_id is never held
-    out. Other columns are not read.
+    statistics of an empty one; a long one is read whole. Repeated rows count as often as they come; a null doc_id is
+    never held out; an empty table gives no rows. Other columns are not read.
     """
+    docs, labels = unclashed(docs, "doc_id", "text"), unclashed(labels, "doc_id", "quality")
     x = stored(described(docs), "statistics")
     model = fit(x, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -13,10 +13,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests), a local folder of this process."""
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset in local mode (tests), a folder of this process."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="tamarack-shared-")
@@ -41,12 +43,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def _drop() -> None:
     for path, spark in _written.items():
-        try:
+        try:  # one table that cannot be deleted, or a session that has ended, keeps none of the others
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before
-            return
+        except Exception:
+            continue
 
 
 def has_rows(df: DataFrame) -> bool:

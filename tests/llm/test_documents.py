@@ -133,6 +133,15 @@ def test_copies_do_not_close_the_fences(spark):
     assert sum(not r.kept for r in got) < 20
 
 
+def test_names_that_clash_only_in_case_everywhere(spark):
+    docs = spark.createDataFrame([(1, "x", "a b c " * 30, 0), (2, "y", "some other words here", 0)], ["doc_id", "TEXT", "text", "Doc_ID"])
+    labels = spark.createDataFrame([(1, 1, 1, 5), (2, 0, 0, 5)], ["doc_id", "toxic", "quality", "Toxic"])
+    from tamarack.llm import minhash
+
+    for frame in (pii.personal_data(docs), toxicity.toxicity(docs, labels), quality.quality(docs, labels), pieces.round_trips(docs, SPM), packing.pack(docs, BPE), minhash.near_duplicates(docs)):
+        assert {r.doc_id for r in frame.collect()} == {1, 2}
+
+
 def test_names_that_clash_only_in_case(spark):
     docs = spark.createDataFrame([(1, "x " * 60, "a b c " * 30, "en", "s", 5)], ["doc_id", "TEXT", "text", "lang", "so`urce", "Lang"])
     assert [r.n_words for r in rules.quality_rules(docs).collect()] == [90]
@@ -199,6 +208,16 @@ def test_ordinary_windows_come_from_all_documents(monkeypatch):
     assert len(of) == toxicity.WINDOWS and set(of) == set(range(2000)) and of == sorted(of)
 
 
+def test_long_labelled_documents_train(spark):
+    """Toxic words stand only in documents above the bound of a sample's bytes, at their ends too."""
+    docs, labels = toxic_table(spark, 300)
+    filler = " ".join(f"th{k % 7}er on{k % 11}an" for k in range(9000))
+    long = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.concat(F.lit(filler + " "), F.repeat(F.concat("text", F.lit(" ")), 20))).otherwise(F.col("text")).alias("text"))
+    assert long.where(F.octet_length("text") > toxicity.SAMPLE_BYTES).count() == 60
+    model = toxicity.train(long, labels)
+    assert model.weights is not None and sum(w in model.toxic for w in (b"idiot", b"worthless", b"moron", b"scumbag")) >= 3
+
+
 def test_toxicity_on_odd_documents(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()

@@ -5,6 +5,7 @@ import pytest
 from tests.llm.helpers import empty, groups, odd_documents, shingles
 
 from tamarack.llm import queries as llm
+from tamarack.llm import shared
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -45,6 +46,28 @@ def test_rules_follow_the_spread_of_the_data(spark):
     assert pipeline.quality_rules(spark, menus, "").count() >= 235
 
 
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://there/x"}
+    assert shared.shared_dir(Session()) == "hdfs://there/x"
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, "c " + b), (1, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [(1, a), (1, b)]
+
+
 def test_odd_documents(spark, sf):
     for given in (odd_documents(spark), empty(odd_documents(spark))):
         for name, stage in pipeline.STAGES:
