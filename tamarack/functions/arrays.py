@@ -25,10 +25,27 @@ def unique(values: Column) -> Column:
     return F.array_distinct(values)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def log_softmax(logits: Column) -> Column:
-    most = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    return F.transform(logits, lambda x: x - most - F.log(total))
+    """The largest logit and the sum are each worked out once for an array, not once for each of its items."""
+    def shifted(most: Column) -> Column:
+        total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
+        return bound(most + F.log(total), lambda all_: F.transform(logits, lambda x: x - all_))
+
+    return F.when(F.size(logits) > 0, bound(F.array_max(logits), shifted)).otherwise(logits)
+
+
+def causal_mask(length: int) -> Column:
+    """For each place a row of 1 up to itself and 0 beyond it."""
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: (j <= i).cast("int")))
+
+
+def activated(values: Column) -> Column:
+    return F.transform(values, F.tanh)
 
 
 def smoothed_loss(log_probs: Column, target: Column, smoothing: float) -> Column:
@@ -43,6 +60,11 @@ def active(log_probs_and_targets: Column, mask: Column) -> Column:
     return F.filter(log_probs_and_targets, lambda _, i: F.element_at(mask, i + 2) != 0)
 
 
+def scaled_loss(losses: Column, mask: Column) -> Column:
+    """struct(length, loss): how many tokens are active, and their mean loss times that number."""
+    return bound(active(losses, mask), lambda kept: F.struct(F.size(kept).alias("length"), F.coalesce(F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)).alias("loss")))
+
+
 def schedule(step: Column, total: int, share: float = 0.1) -> Column:
     """Learning-rate factor: linear up over the first share of the steps, then linear down to 0."""
     warm = int(total * share)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions import arrays
+
 #: The score of anything after an end token: a fixed value.
 IMPROBABLE = -1e20
 
@@ -34,18 +36,26 @@ class BeamSearch:
         self.finished: list[tuple[float, int, int]] = []
         self.best_ended = False
 
-    def advance(self, rows: list[list[float]]) -> None:
+    def advance(self, rows) -> None:
+        """One step: ``rows`` holds the log probabilities that follow each beam."""
+        options = np.array([np.asarray(r, np.float64) for r in (rows[: self.k] if self.parents else rows[:1])])
         if self.parents:
-            ended = [t == self.end for t in self.tokens[-1]]
-            options = ((IMPROBABLE if ended[b] else self.scores[b] + p, b, t) for b, row in enumerate(rows[: self.k]) for t, p in enumerate(row))
-        else:
-            options = ((p, 0, t) for t, p in enumerate(rows[0]))
-        best = heapq.nsmallest(self.k, options, key=lambda o: (-o[0], o[1], o[2]))
-        self.scores = [s for s, _, _ in best]
-        self.parents.append([b for _, b, _ in best])
-        self.tokens.append([t for _, _, t in best])
-        self.finished += [(s, len(self.parents), i) for i, (s, _, t) in enumerate(best) if t == self.end]
-        self.best_ended |= bool(best) and best[0][2] == self.end
+            options += np.array(self.scores)[: len(options), None]
+            options[[t == self.end for t in self.tokens[-1][: len(options)]]] = IMPROBABLE
+        flat, width = options.ravel(), options.shape[1]
+        at = np.arange(len(flat))
+        if len(flat) > self.k:  # all that are as good as the k-th, so that ties go by their place
+            at = np.flatnonzero(flat >= np.partition(flat, len(flat) - self.k)[len(flat) - self.k])
+        at = at[np.lexsort((at, -flat[at]))][: self.k]
+        self.scores, beams, tokens = flat[at].tolist(), (at // width).tolist(), (at % width).tolist()
+        self.parents.append(beams)
+        self.tokens.append(tokens)
+        self.finished += [(s, len(self.parents), i) for i, (s, t) in enumerate(zip(self.scores, tokens, strict=True)) if t == self.end]
+        self.best_ended |= bool(tokens) and tokens[0] == self.end
+
+    def current(self) -> tuple[list[int], list[int]]:
+        """The last step's tokens, and the beams that they follow (none before the first step)."""
+        return self.tokens[-1], self.parents[-1] if self.parents else []
 
     def done(self) -> bool:
         return self.best_ended and len(self.finished) >= self.k
@@ -74,7 +84,7 @@ def _decoder(k: int, start: int, end: int) -> Callable[[pd.DataFrame], pd.DataFr
         for _, step in rows.sort_values(["step", "beam"]).groupby("step", sort=True):
             if search.done():
                 break
-            search.advance([list(x) for x in step["logprobs"]])
+            search.advance(list(step["logprobs"]))
         best = search.final()
         return pd.DataFrame({"seq": rows["seq"].iloc[0], "rank": range(len(best)), "score": [b[0] for b in best], "tokens": [search.sentence(b) for b in best]})
 
@@ -89,10 +99,13 @@ def decode(logprobs: DataFrame, k: int, start: int, end: int) -> DataFrame:
     return logprobs.groupBy("seq").applyInPandas(_decoder(k, start, end), "seq long, rank int, score double, tokens array<int>")
 
 
-def sentences(beams: DataFrame, words: DataFrame, pad: int = 0, length: int | None = None) -> DataFrame:
-    """(seq, sentence): the best beam cut at the padding id, its ids as words."""
-    from tamarack.functions import arrays
+def padded(beams: DataFrame, length: int, pad: int = 0) -> DataFrame:
+    """``beams`` with tokens of one length: cut, or filled with the padding id."""
+    return beams.withColumn("tokens", arrays.padded(F.col("tokens"), length, pad))
 
+
+def sentences(beams: DataFrame, words: DataFrame, pad: int = 0) -> DataFrame:
+    """(seq, sentence): the best beam cut at the padding id, its ids as words."""
     best = beams.where("rank = 0").select("seq", arrays.before(F.col("tokens"), pad).alias("t"))
     flat = best.select("seq", F.posexplode_outer("t").alias("pos", "id")).join(words, "id", "left")
     out = flat.groupBy("seq").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("l"))
@@ -104,5 +117,5 @@ def stream(search: BeamSearch, model: Callable[[list[int], list[int]], list[list
     for step in range(most):
         if search.done():
             return
-        search.advance(model(search.tokens[-1], search.parents[-1] if search.parents else []))
+        search.advance(model(*search.current()))
         yield step

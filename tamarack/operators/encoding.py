@@ -16,7 +16,7 @@ def vocabulary(texts: DataFrame, column: str, most: int = 30_000) -> DataFrame:
     """(token, id): the commonest words, ids by falling count, then by token. Stands in for a hosted tokeniser."""
     counts = texts.select(F.explode(text.words_of(F.lower(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(most)
-    placed = ranked(top, F.struct(-F.col("n"), F.col("token")), F.lit(0), "_rank")  # a bounded table
+    placed = ranked(top, F.struct(-F.col("n"), F.col("token")), -F.col("n"), "_rank")  # a bounded table
     return placed.select("token", (F.col("_rank") + FIRST - 1).cast("int").alias("id"))
 
 
@@ -46,7 +46,7 @@ def tensors(encoded_points: DataFrame, stage: str) -> DataFrame:
 def batched(points: DataFrame, size: int, order: Column | None = None) -> DataFrame:
     """``points`` with a batch number in the order of idx."""
     order = order if order is not None else F.col("idx")
-    return ranked(points, order, F.floor(F.col("idx") / 100_000), "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+    return ranked(points, order, F.col("idx"), "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
 
 
 def raw_points(points: DataFrame, sample: bool = False, most: int = 1000, seed: int = 0) -> DataFrame:

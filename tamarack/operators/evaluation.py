@@ -24,11 +24,13 @@ def corpus_bleu(pairs: DataFrame, orders: int = 4) -> DataFrame:
         one = lambda n: F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(0), F.size(column) - n), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(column, i + 1, F.lit(n)), "\x1f").alias("g")))).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
         return F.flatten(F.array(*[one(n) for n in range(1, orders + 1)]))
 
-    ours = pairs.select("idx", F.explode(grams(F.col("pred"))).alias("x")).groupBy("idx", "x.n", "x.g").agg(F.count("*").alias("c"))
-    each = pairs.select("idx", F.posexplode("refs").alias("r", "ref"))
-    theirs = each.select("idx", "r", F.explode(grams(F.col("ref"))).alias("x")).groupBy("idx", "r", "x.n", "x.g").agg(F.count("*").alias("rc"))
-    theirs = theirs.groupBy("idx", "n", "g").agg(F.max("rc").alias("rc"))
-    matched = ours.join(theirs, ["idx", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit"))
+    # both sides of a pair go to one place first, so its n-grams are counted and matched there without another exchange
+    here = pairs.repartition("idx")
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.col("pred").alias("t"))), F.transform("refs", lambda t, i: F.struct(i.alias("r"), t.alias("t"))))
+    each = here.select("idx", F.explode(sides).alias("s")).select("idx", "s.r", F.explode(grams(F.col("s.t"))).alias("x"))
+    counted = each.groupBy("idx", "x.n", "x.g", "r").agg(F.count("*").alias("c")).groupBy("idx", "n", "g")
+    clipped = counted.agg(F.least(F.sum(F.when(F.col("r") < 0, F.col("c"))), F.max(F.when(F.col("r") >= 0, F.col("c")))).alias("hit"), F.max(F.when(F.col("r") >= 0, 1)).alias("there"), F.max(F.when(F.col("r") < 0, 1)).alias("ours"))
+    matched = clipped.where("there = 1 and ours = 1").groupBy("n").agg(F.sum("hit").alias("hit"))
     # as the library counts: a sentence shorter than n still has one n-gram in the total
     totals = pairs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.greatest(F.lit(1), F.size("pred") - n + 1).alias("t")) for n in range(1, orders + 1)])).alias("x")).groupBy("x.n").agg(F.sum("x.t").alias("total"))
     hyp = F.size("pred")
@@ -48,6 +50,6 @@ def running_loss(losses: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def improvements(scores: DataFrame) -> DataFrame:
-    """(epoch, bleu) with the best before and whether this one is strictly better."""
+    """(epoch, bleu) with the best before and whether this one is strictly better. A training's epochs are few: one window holds them."""
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     return scores.withColumn("best_before", F.max("bleu").over(before)).withColumn("improved", F.col("best_before").isNull() | (F.col("bleu") > F.col("best_before")))

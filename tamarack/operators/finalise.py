@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators.relations import ranked
+from tamarack.operators.relations import ranked, text_key
 
 
 def finished(pairs: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def partitioned(pairs: DataFrame, split: str, fraction: float) -> DataFrame:
     if not 0 <= fraction <= 1:
         raise ValueError("a fraction is between 0 and 1")
     if "pos" in pairs.columns:
-        order, bucket = F.col("pos"), F.floor(F.col("pos") / 100_000)
+        order, key = F.col("pos"), F.col("pos")
     else:
         order = F.col("uid").cast("string")
-        bucket = F.substring(order, 1, 3)
-    placed = ranked(pairs, order, bucket, "_place")
+        key = text_key(order)
+    placed = ranked(pairs, order, key, "_place")
     if split == "test":
         return placed.select(F.lit("test").alias("part"), (F.col("_place") - 1).alias("idx"), F.col("q").alias("nl"), F.col("a").alias("ql"))
     most = pairs.agg(F.floor(F.count("*") * F.lit(fraction)).cast("long").alias("_most"))

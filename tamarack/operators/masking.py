@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators import labels as lb
 from tamarack.operators.relations import assert_covers
 
 
@@ -60,10 +59,14 @@ def masked_pairs(pairs: DataFrame, ids: DataFrame, labels: DataFrame, mode: str
     ids stays as it is. ``safe_ids`` keeps an id from matching inside a longer one.
     """
     pairs = pairs.select("uid", F.coalesce("q", F.lit("")).alias("q"), "a")
-    flat = pairs.join(ids, "uid").select("uid", "q", "a", F.explode_outer("ids").alias("id"))
-    found = flat.join(labels, "id", "left").withColumn("m", best_match(F.col("q"), F.col("labels"), mode))
-    match = F.when(F.col("id").isNotNull(), F.struct("id", F.col("m.label").alias("label"), F.col("m.start").alias("start"), F.col("m.end").alias("end")))
-    grouped = found.groupBy("uid").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.array_sort(F.collect_list(match)).alias("ms"))
+    # ids meet their labels first, and only these small lists meet the texts, once
+    flat = ids.select("uid", F.explode_outer("ids").alias("id")).join(labels, "id", "left")
+    lists = flat.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))))).alias("ls"))
+    each = pairs.join(lists, "uid").select("uid", "q", "a", F.explode_outer("ls").alias("l"))
+    m = best_match(F.col("q"), F.col("l.labels"), mode)
+    match = F.when(F.col("l").isNotNull(), F.struct(F.col("l.id").alias("id"), F.col("m.label").alias("label"), F.col("m.start").alias("start"), F.col("m.end").alias("end")))
+    # the rows of a pair are where the join left them
+    grouped = each.withColumn("m", m).groupBy("uid").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.array_sort(F.collect_list(match)).alias("ms"))
     kept = grouped.where(F.forall("ms", lambda m: m["start"].isNotNull())).where(~collides(F.col("ms")))
     steps = kept.withColumn("ms", numbered(F.col("ms")))
     if mode == "literal":
@@ -83,5 +86,3 @@ def mask_task(source: DataFrame, translations: DataFrame, ids: DataFrame, labels
     pairs = source.select("uid", F.col("sparql_wikidata").alias("a")).join(translations.select("uid", F.col("question").alias("q")), "uid", "left").select("uid", "q", "a")
     return masked_pairs(pairs, ids, labels, mode)
 
-
-__all__ = ["best_match", "collides", "collisions_by_window", "label_match", "lb", "mask_task", "masked_pairs", "numbered"]

@@ -55,14 +55,27 @@ def first_of_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return least.select(key, *[F.col("first")[c].alias(c) for c in rest])
 
 
-def ranked(rows: DataFrame, order: Column, bucket: Column, name: str = "rank") -> DataFrame:
+#: Ranges that rows are ranked in, and how many digits of accuracy their bounds are found with.
+RANGES, ACCURACY = 256, 10_000
+
+
+def text_key(text: Column) -> Column:
+    """A number that never falls as the bytes of a text rise: its first seven."""
+    return F.conv(F.hex(F.rpad(F.substring(F.encode(text, "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+
+
+def ranked(rows: DataFrame, order: Column, key: Column, name: str = "rank") -> DataFrame:
     """``rows`` with their place (from 1) in the order of ``order``, without one task holding them all.
 
-    ``bucket`` must never fall as ``order`` rises (a prefix of a text, a quotient of a number). Places are
-    counted inside each bucket, and the counts of the buckets before are added: only one row per bucket
-    meets in one place.
+    ``key``: a number that never falls as ``order`` rises (the number itself, or a text's ``text_key``). Its percentiles
+    cut the rows into ranges of about equal size, whatever their spread. Places are counted inside each
+    range, and the counts of the ranges before are added: only one row per range meets in one place.
     """
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_key", key.cast("double"))
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    bounds = rows.agg(F.percentile_approx("_key", cuts, ACCURACY).alias("_bounds"))
+    # one row of bounds, sorted: a row's range is the number of bounds below its key
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_bucket", F.coalesce(F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_key"))), F.lit(-1))).drop("_key", "_bounds")
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -71,20 +84,33 @@ def ranked(rows: DataFrame, order: Column, bucket: Column, name: str = "rank") -
     return joined.withColumn(name, F.col("_inside") + F.col("_before")).drop("_bucket", "_b", "_inside", "_before")
 
 
-def chunked(rows: DataFrame, order: Column, bucket: Column, size: int) -> DataFrame:
+def chunked(rows: DataFrame, order: Column, key: Column, size: int) -> DataFrame:
     """``rows`` with a chunk number: ``size`` rows each in the given order, the last may have fewer."""
     if size < 1:
         raise ValueError("a chunk holds one row at least")
-    return ranked(rows, order, bucket, "_rank").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+    return ranked(rows, order, key, "_rank").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+
+
+def drawn(key: Column, seed: int) -> Column:
+    """A hash of a key and a seed that any engine finds the same."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def sampled(rows: DataFrame, key: Column, most: int, seed: int = 0) -> DataFrame:
     """``most`` rows in the order of a hash of their key: random, but the same in every run."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    return rows.orderBy(drawn(key, seed), key).limit(most)
 
 
 def shuffled(rows: DataFrame, key: Column, seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return rows.orderBy(drawn(key, seed), key)
+
+
+def sharded(rows: DataFrame, key: Column, shards: int, shuffle: bool = True, seed: int = 0) -> DataFrame:
+    """``rows`` with the shard (from 0) that reads each: dealt by hash, or by turns in the order of a whole-number key."""
+    if shards < 1:
+        raise ValueError("there is one shard at least")
+    turn = F.conv(F.substring(drawn(key, seed), 1, 8), 16, 10).cast("long") if shuffle else key
+    return rows.withColumn("shard", F.pmod(turn, F.lit(shards)).cast("int"))
 
 
 def zipped(left: DataFrame, right: DataFrame, on: str = "idx") -> DataFrame:

@@ -154,7 +154,7 @@ def pending_anti(spark, sf_dir):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 15 AS chunk FROM documents")
 def chunked(spark, sf_dir):
-    return relations.chunked(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), F.floor(F.col("doc_id") / 10_000), 15).select("doc_id", "chunk")
+    return relations.chunked(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), F.col("doc_id"), 15).select("doc_id", "chunk")
 
 
 @query(f"WITH {QA}, {NAMED}, {FLAT} SELECT id, coalesce(string_agg(label, ';' ORDER BY label), '') AS labels, count(label) AS n_labels FROM (SELECT DISTINCT id FROM flat) LEFT JOIN named USING (id) GROUP BY id")
@@ -354,7 +354,7 @@ _ONE = """'\t\tSELECT DISTINCT ?id ?label WHERE {' || chr(10) || '\t\t\tBIND("'
   SELECT chunk, 'SELECT ?id ?label WHERE {{' || chr(10) || string_agg('\t{{' || chr(10) || {_ONE} || '\t}}' || chr(10), '\tUNION' || chr(10) ORDER BY id) || '}}' AS query FROM ids GROUP BY chunk""")
 def sparql_text(spark, sf_dir):
     ids = labels.distinct_ids(qa_ids(qa(spark, sf_dir)))
-    return labels.labelling_queries(relations.chunked(ids, F.col("id"), F.substring("id", 1, 3), 15), "nl")
+    return labels.labelling_queries(relations.chunked(ids, F.col("id"), relations.text_key(F.col("id")), 15), "nl")
 
 
 @query(f"WITH {QA}, {NAMED} SELECT DISTINCT id, label FROM (SELECT DISTINCT unnest(regexp_extract_all(a, '[QP][0-9]+')) AS id FROM qa) JOIN named USING (id)")

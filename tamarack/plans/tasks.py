@@ -18,7 +18,7 @@ def translate(source: DataFrame, done: DataFrame, make, language: str, per_chunk
     relations.assert_covers(done, source, "uid")
     todo = relations.pending(source, done, "uid")
     chosen = source.join(todo, "uid").select("uid", text.chosen_question(F.col("question"), F.col("paraphrased_question"), F.col("NNQT_question")).alias("question"))
-    chunks = relations.chunked(chosen.select("uid"), F.col("uid"), F.floor(F.col("uid") / 100_000), per_chunk)
+    chunks = relations.chunked(chosen.select("uid"), F.col("uid"), F.col("uid"), per_chunk)
     return services.translated(chosen, make, language).join(chunks, "uid")
 
 
@@ -36,7 +36,7 @@ def replace_errors(texts: DataFrame, replacements: DataFrame) -> DataFrame:
 def label_ids(ids: DataFrame, done: DataFrame, make, language: str, per_request: int = 15, pause: float = 3.0) -> DataFrame:
     """(id, labels) of ids without labels so far."""
     todo = relations.pending(labels.distinct_ids(ids), done, "id")
-    chunks = relations.chunked(todo, F.col("id"), F.substring("id", 1, 3), per_request)
+    chunks = relations.chunked(todo, F.col("id"), relations.text_key(F.col("id")), per_request)
     found = services.labelled(labels.labelling_queries(chunks, language), make, pause)
     return labels.from_bindings(todo, found)
 
