@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions import arrays, text
-from tamarack.operators.relations import ranked, sampled
+from tamarack.operators.relations import drawn, ranked, sampled
 
 #: Ids before the vocabulary's.
 PAD, CLS, SEP, UNKNOWN, FIRST = 0, 1, 2, 3, 4
@@ -56,3 +56,12 @@ def raw_points(points: DataFrame, sample: bool = False, most: int = 1000, seed:
 
 def first_points(points: DataFrame, n: int = 5) -> DataFrame:
     return points.orderBy("idx").limit(n)
+
+
+def loaded(points: DataFrame, inputs: DataFrame, outputs: DataFrame, in_length: int, out_length: int, stage: str, size: int, seed: int = 0) -> DataFrame:
+    """The loader of a stage: encoded points, the columns it reads, and a batch for each; in training they are shuffled first."""
+    ready = tensors(data_points(points, inputs, outputs, in_length, out_length, stage), stage)
+    if stage != "train":
+        return batched(ready, size)
+    turn = F.conv(F.substring(drawn(F.col("idx"), seed), 1, 13), 16, 10).cast("long")
+    return ranked(ready.withColumn("_turn", turn), F.struct("_turn", "idx"), F.col("_turn"), "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank", "_turn")

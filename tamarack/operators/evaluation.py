@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
+from tamarack.operators.beams import sentences
 
 
 def evaluation_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
@@ -53,3 +56,13 @@ def improvements(scores: DataFrame) -> DataFrame:
     """(epoch, bleu) with the best before and whether this one is strictly better. A training's epochs are few: one window holds them."""
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     return scores.withColumn("best_before", F.max("bleu").over(before)).withColumn("improved", F.col("best_before").isNull() | (F.col("bleu") > F.col("best_before")))
+
+
+def epoch(best: DataFrame, words: DataFrame, truths: DataFrame, save: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(n, bleu) of an evaluation epoch: beams (seq, rank, tokens) become sentences, meet the true queries (idx, ql), are
+    handed to ``save`` where it is given, and are scored."""
+    predictions = sentences(best, words).withColumnRenamed("seq", "idx")
+    pairs = evaluation_pairs(predictions, truths)
+    if save is not None:
+        save(pairs)
+    return corpus_bleu(pairs).crossJoin(pairs.agg(F.count("*").alias("n"))).select("n", "bleu")  # one row each

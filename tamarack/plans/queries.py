@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import arrays, lcs, text
 from tamarack.operators import beams, encoding, evaluation, finalise, labels, masking, relations, validation
 from tamarack.plans import tasks
+from tamarack.sources import services
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -257,12 +258,61 @@ def minibatch(spark, sf_dir):
     return encoding.batched(_points(spark, sf_dir), 32).select("idx", "batch")
 
 
-@query()
+@query(f"WITH {POINTS} SELECT idx FROM points ORDER BY md5(idx || ':7'), idx LIMIT 100")
 def sample_hash(spark, sf_dir):
     """A sampling operator: at most 100 points, the same in every run."""
     return relations.sampled(_points(spark, sf_dir), F.col("idx"), 100, seed=7).select("idx")
 
 
+@query(f"WITH {POINTS} SELECT idx, CAST(CAST('0x' || left(md5(idx || ':3'), 8) AS BIGINT) % 4 AS INTEGER) AS shard FROM points")
+def sharded_points(spark, sf_dir):
+    """Which of four readers gets each point."""
+    return relations.sharded(_points(spark, sf_dir), F.col("idx"), 4, seed=3).select("idx", "shard")
+
+
+@query(f"WITH {POINTS} SELECT idx, text FROM points ORDER BY idx LIMIT 16")
+def first_points(spark, sf_dir):
+    """The first points, as a debugging run reads them."""
+    return encoding.first_points(_points(spark, sf_dir), 16)
+
+
+def _halves(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.col("text").alias("nl"), F.col("role").alias("ql"))
+
+
+def _whole(column: str, most: int) -> str:
+    words = WORDS.replace("text", column)
+    return f"""{column}_words AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS INTEGER) AS id FROM (SELECT unnest({words}) AS token FROM halves) GROUP BY token),
+  {column}_flat AS (SELECT idx, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM (SELECT idx, list_slice({words}, 1, {most - 2}) AS t FROM halves)),
+  {column}_whole AS (SELECT idx, list_concat(list_concat([1], list(coalesce(id, 3) ORDER BY pos)), [2]) AS l FROM {column}_flat LEFT JOIN {column}_words USING (token) GROUP BY idx)"""
+
+
+def _written(lists: str, most: int) -> str:
+    return f"array_to_string(list_concat({lists}, list_transform(range({most} - len({lists})), lambda x: 0)), ',')"
+
+
+_ENCODED = f"""WITH halves AS (SELECT conv_id * 100 + turn AS idx, text AS nl, role AS ql FROM conversations), {_whole('nl', 12)}, {_whole('ql', 4)},
+  joined AS (SELECT idx, n.l AS n, q.l AS q FROM nl_whole n JOIN ql_whole q USING (idx))"""
+
+
+@query(f"{_ENCODED} SELECT idx, {_written('n', 12)} AS inp_ids, {_written('list_transform(n, lambda x: 1)', 12)} AS inp_att_mask, {_written('q', 4)} AS out_ids, {_written('list_transform(q, lambda x: 1)', 4)} AS out_att_mask FROM joined")
+def data_points(spark, sf_dir):
+    """Both halves of each point with their masks, under vocabularies of all words."""
+    halves = _halves(spark, sf_dir)
+    words = [encoding.vocabulary(halves, c, 1 << 30) for c in ("nl", "ql")]
+    out = encoding.data_points(halves, *words, 12, 4, "train")
+    return out.select("idx", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("inp_ids", "inp_att_mask", "out_ids", "out_att_mask")])
+
+
+@query(f"{_ENCODED} SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 16 AS batch, {_written('n', 12)} AS inp_ids, {_written('list_transform(n, lambda x: 1)', 12)} AS inp_att_mask FROM joined")
+def loaded_batches(spark, sf_dir):
+    """The loader of a stage outside of training: input halves in batches, in order."""
+    halves = _halves(spark, sf_dir)
+    words = [encoding.vocabulary(halves, c, 1 << 30) for c in ("nl", "ql")]
+    out = encoding.loaded(halves, *words, 12, 4, "validate", 16)
+    return out.select("idx", "batch", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("inp_ids", "inp_att_mask")])
+
+
 def _detok_sql(c: str) -> str:
     c = f"replace(replace(trim({c}), '< ', '<'), ' >', '>')"
     c = f"""regexp_replace({c}, ' ?([!"#$%&''(’)*+,\\-./:;=?@\\\\^_`{{|}}~]) ?', '\\1', 'g')"""
@@ -334,11 +384,12 @@ def longest_common(spark, sf_dir):
     return joined.select("n_name", "r_name", text.longest_common_substring(F.col("n_name"), F.col("r_name")).alias("common")).where("common is not null")
 
 
-@query()
+@query(f"""WITH s AS (SELECT p_partkey, unnest(list_intersect({SUBSTRINGS.format(c='a')}, {SUBSTRINGS.format(c='b')})) AS x FROM (SELECT p_partkey, p_name AS a, lower(p_type) || ' ' || p_brand AS b FROM part))
+  SELECT p_partkey, first(x ORDER BY length(x) DESC, x) AS common FROM s GROUP BY p_partkey""")
 def longest_common_long(spark, sf_dir):
-    """Each benchmark item against the next document of its number."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    return items.join(docs, items.item_id == docs.doc_id).select("item_id", lcs.longest_common()(items.text, docs.text).alias("common"))
+    """What a part's name shares with its type and brand, by the function for long texts."""
+    other = F.concat(F.lower("p_type"), F.lit(" "), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", lcs.longest_common()(F.col("p_name"), other).alias("common")).where("common is not null")
 
 
 @query(f"WITH {QA} SELECT uid, url_encode(q) AS q FROM qa")
@@ -375,3 +426,150 @@ def running_loss(spark, sf_dir):
 @query("SELECT event_id, CASE WHEN event_id < 100 THEN event_id / 100 ELSE greatest(0.0, (1000 - event_id) / 900) END AS factor FROM events")
 def learning_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", arrays.schedule(F.col("event_id"), 1000).alias("factor"))
+
+
+QA_GAPS = QA.replace("'Wat is ' || n_name || ' van ' || c_name || '?' AS q", "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'Wat is ' || n_name || ' van ' || c_name || '?' END AS q")
+
+
+@query(f"{PAIRS.replace(QA, QA_GAPS)} SELECT uid, q, a FROM pairs")
+def mask_task(spark, sf_dir):
+    """The whole masking task; a quarter of the questions have no translation and so no label in them."""
+    pairs = qa(spark, sf_dir)
+    source = pairs.select("uid", F.col("a").alias("sparql_wikidata"))
+    translations = pairs.where("uid % 4 <> 0").select("uid", F.col("q").alias("question"))
+    return masking.mask_task(source, translations, qa_ids(pairs), qa_labels(spark, sf_dir))
+
+
+@query(f"{PAIRS} SELECT uid, q, a FROM pairs")
+def mask_by_pattern(spark, sf_dir):
+    """Labels read as patterns; these hold no signs, so the result is that of the literal ones."""
+    pairs = qa(spark, sf_dir)
+    return masking.masked_pairs(pairs, qa_ids(pairs), qa_labels(spark, sf_dir), mode="regex")
+
+
+@query(f"WITH {QA} SELECT uid % 500 AS uid, array_to_string(list_sort(list_distinct(regexp_extract_all(arg_min(a, uid), '[QP][0-9]+'))), ',') AS ids FROM qa GROUP BY uid % 500")
+def question_ids(spark, sf_dir):
+    """The id map of a split whose uids repeat: the first row of each counts."""
+    source = qa(spark, sf_dir).select((F.col("uid") % 500).alias("uid"), F.col("a").alias("sparql_wikidata"), F.col("uid").alias("at"))
+    return labels.question_ids(source, order=F.col("at")).select("uid", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH {QA}, {FLAT} SELECT DISTINCT id FROM flat WHERE id NOT IN (SELECT 'Q' || c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def unlabelled_ids(spark, sf_dir):
+    """Ids still to be labelled where half of the entities have been."""
+    done = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"))
+    return relations.pending(labels.distinct_ids(qa_ids(qa(spark, sf_dir))), done, "id")
+
+
+@query("SELECT n_nationkey AS uid, chr(65 + n_nationkey) || ' ' || replace(n_name, '_', ' ') || ' &quot; < é &Eacute; &#99999; &' AS question FROM nation")
+def special_symbols(spark, sf_dir):
+    """Symbols first, then named and numeric references, the ampersand last."""
+    marked = F.concat(F.lit("&#"), (F.col("n_nationkey") + 65).cast("string"), F.lit(";_{"), "n_name", F.lit("} &amp;quot; &lt; &#233; &Eacute; &#99999; &#38;"))
+    return tasks.replace_special_symbols(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uid"), marked.alias("question")))
+
+
+@query(f"""WITH {QA}, placed AS (SELECT *, row_number() OVER (ORDER BY CAST(uid AS VARCHAR)) AS r, floor(count(*) OVER () * 0.25) AS m FROM qa)
+  SELECT CASE WHEN r <= m THEN 'validate' ELSE 'train' END AS part, CAST(CASE WHEN r <= m THEN r - 1 ELSE r - 1 - m END AS BIGINT) AS idx, {FINISHED_Q} AS nl, {FINISHED_A} AS ql FROM placed""")
+def finalise_dataset(spark, sf_dir):
+    """The whole finalising task: both texts finished, then split."""
+    return tasks.finalise_dataset(qa(spark, sf_dir), "train", 0.25)
+
+
+@query("""WITH f AS (SELECT vec_id // 4 AS seq, vec_id // 2 % 2 AS step, vec_id % 2 AS beam, unnest(range(64)) AS token, unnest(embedding)::DOUBLE AS lp FROM embeddings),
+  one AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY lp DESC, token) - 1 AS rank FROM f WHERE step = 0 AND beam = 0 QUALIFY rank < 2),
+  two AS (SELECT one.seq, one.token AS first, f.token AS second, one.lp + f.lp AS score, row_number() OVER (PARTITION BY one.seq ORDER BY one.lp + f.lp DESC, f.beam, f.token) AS place FROM one JOIN f ON f.seq = one.seq AND f.step = 1 AND f.beam = one.rank)
+  SELECT seq, CAST(k AS INTEGER) AS rank, round(score, 6) AS score, first || ',' || second AS tokens FROM two, (SELECT unnest([0, 1]) AS k) WHERE place = 1""")
+def beam_two_steps(spark, sf_dir):
+    """Two steps of two beams without an end: the first beam stands for the finished ones that are missing, then again for itself."""
+    vectors = table(spark, sf_dir, "embeddings")
+    steps = vectors.select(F.floor(F.col("vec_id") / 4).alias("seq"), (F.floor(F.col("vec_id") / 2) % 2).cast("int").alias("step"), (F.col("vec_id") % 2).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
+    return beams.decode(steps, 2, 1, 999).select("seq", "rank", F.round("score", 6).alias("score"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+@query("SELECT n_nationkey AS epoch, n_nationkey * 37 % 11 / 10 AS bleu, max(n_nationkey * 37 % 11 / 10) OVER w AS best_before, coalesce(n_nationkey * 37 % 11 / 10 > max(n_nationkey * 37 % 11 / 10) OVER w, true) AS improved FROM nation WINDOW w AS (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def improvements(spark, sf_dir):
+    return evaluation.improvements(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("epoch"), (F.col("n_nationkey") * 37 % 11 / 10).alias("bleu")))
+
+
+@query(r"""SELECT p_partkey, NOT regexp_matches(n, 'bias|LayerNorm\.weight') AS decays, starts_with(n, 'random-') AS random, regexp_matches(['P1', 'x2', 'Q33'][p_size % 3 + 1], '^[PQ][0-9]+$') AS mask, array_to_string([regexp_extract('1' || p_size || '.' || p_size || '.3', '^(\d+)\.(\d+)', 1), regexp_extract('1' || p_size || '.' || p_size || '.3', '^(\d+)\.(\d+)', 2)], '.') AS version,
+  CASE WHEN p_size % 2 = 0 THEN 'character' ELSE 'numeric' END AS entity FROM (SELECT *, ['random-', 'dense.', 'LayerNorm.'][p_size % 3 + 1] || ['bias', 'weight'][p_size % 2 + 1] AS n FROM part)""")
+def predicates(spark, sf_dir):
+    """Which parameters decay, random models, mask symbols, versions and kinds of references."""
+    item = lambda *of: F.element_at(F.array(*map(F.lit, of)), (F.col("p_size") % len(of) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").withColumn("n", F.concat(item("random-", "dense.", "LayerNorm."), item("bias", "weight")))
+    size = F.col("p_size").cast("string")
+    version = F.array_join(text.major_minor(F.concat(F.lit("1"), size, F.lit("."), size, F.lit(".3"))).cast("array<string>"), ".")
+    return parts.select("p_partkey", arrays.decays(F.col("n")).alias("decays"), arrays.is_random_model(F.col("n")).alias("random"), text.is_mask_symbol(item("P1", "x2", "Q33")).alias("mask"), version.alias("version"), text.entity_kind(item("&lt;", "&#60;")).alias("entity"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(p_name || '(a.b)*$', '([.()\[\]|{}*+\-?^$/\\])', '\\\1', 'g') AS escaped, nullif(strpos(p_name, 'e'), 0) AS starts, nullif(strpos(p_name, 'e'), 0) AS ends,
+  CASE WHEN strpos(p_name, 'e') > 0 THEN left(p_name, strpos(p_name, 'e') - 1) || '<>' || substr(p_name, strpos(p_name, 'e') + 1) ELSE p_name END AS replaced,
+  array_to_string(list_sort(list_distinct(string_split(p_name, ''))), '') AS points, decode(encode(p_name)) AS decoded FROM part""")
+def text_tools(spark, sf_dir):
+    """Escaping, the first occurrence and its replacement, distinct characters, decoding."""
+    name = F.col("p_name")
+    bounds = text.first_bounds(name, F.lit("e"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.regex_escaped(F.concat(name, F.lit("(a.b)*$"))).alias("escaped"), bounds["start"].alias("starts"), bounds["end"].alias("ends"),
+        text.first_replaced(name, F.lit("e"), F.lit("<>")).alias("replaced"), F.array_join(text.unique_code_points(name), "").alias("points"), text.decoded(F.encode(name, "UTF-8")).alias("decoded"),
+    )
+
+
+_LIST = "list_transform(range(1, 9), lambda i: (doc_id * i) % 5)"
+
+
+@query(f"""SELECT doc_id, array_to_string(CASE WHEN list_position(l, 0) > 0 THEN list_slice(l, 1, list_position(l, 0) - 1) ELSE l END, ',') AS before, array_to_string(list_filter(l, lambda x, i: i = list_position(l, x)), ',') AS distinct_,
+  array_to_string(list_reverse(l), ',') AS turned, CAST(len(list_filter(l[1:7], lambda x, i: l[i + 1] <> 0)) AS BIGINT) AS length, round(list_sum(list_concat([0.0], list_transform(list_filter(l[1:7], lambda x, i: l[i + 1] <> 0), lambda x: x / 4.0))), 6) AS loss FROM (SELECT doc_id, {_LIST} AS l FROM documents)""")
+def list_tools(spark, sf_dir):
+    """Cutting at the first 0, distinct items in order, reversal, active tokens and their summed loss."""
+    l = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("doc_id") * i % 5)  # noqa: E741
+    rows = table(spark, sf_dir, "documents").select("doc_id", l.alias("l"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    scaled = arrays.scaled_loss(F.transform(F.slice("l", 1, 7), lambda x: x / 4.0), F.col("l"))
+    return rows.select("doc_id", joined(arrays.before(F.col("l"), 0)).alias("before"), joined(arrays.unique(F.col("l"))).alias("distinct_"), joined(F.reverse("l")).alias("turned"), scaled["length"].cast("long").alias("length"), F.round(scaled["loss"], 6).alias("loss"))
+
+
+@query("SELECT vec_id, round(list_sum([tanh(x::DOUBLE) for x in embedding]), 6) AS total, array_to_string(flatten(list_transform(range(4), lambda i: list_transform(range(4), lambda j: CASE WHEN j <= i THEN 1 ELSE 0 END))), '') AS mask FROM embeddings")
+def activations(spark, sf_dir):
+    """Hyperbolic tangents and the mask of places that a token may see."""
+    values = arrays.activated(F.col("embedding").cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.array_join(F.flatten(arrays.causal_mask(4)).cast("array<string>"), "").alias("mask"))
+
+
+@query(f"""WITH {QA}, l AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS idx, q FROM qa), r AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS idx, a FROM qa) SELECT idx, q, a FROM l JOIN r USING (idx)""")
+def zipped_lines(spark, sf_dir):
+    """Two files' lines side by side by their places."""
+    pairs = qa(spark, sf_dir)
+    side = lambda c: relations.ranked(pairs.select("uid", c), F.col("uid"), F.col("uid")).select((F.col("rank") - 1).alias("idx"), c)
+    return relations.zipped(side("q"), side("a"))
+
+
+@query(f"""WITH {QA}, todo AS (SELECT uid, CASE WHEN length(q) > 15 THEN q ELSE 'template of ' || uid END AS question FROM qa WHERE uid % 5 <> 0)
+  SELECT uid, question, (row_number() OVER (ORDER BY uid) - 1) // 100 AS chunk FROM todo""")
+def translate_task(spark, sf_dir):
+    """Questions not yet translated, by a translator that knows none of them, with their chunks."""
+    pairs = qa(spark, sf_dir)
+    source = pairs.select("uid", F.col("q").alias("question"), F.lit(None).cast("string").alias("paraphrased_question"), F.concat(F.lit("template of "), F.col("uid").cast("string")).alias("NNQT_question"))
+    done = pairs.where("uid % 5 = 0").select("uid", F.col("q").alias("question"))
+    return tasks.translate(source, done, lambda: services.TableTranslator({}), "nl", 100)
+
+
+_EVALUATED = f"""{_detok_sql(FINISHED_A)}"""
+
+
+@query(f"""WITH {QA}, s AS (SELECT uid, {_EVALUATED} AS t FROM qa), w AS (SELECT uid, string_split_regex(CASE WHEN uid % 3 = 0 THEN t || ' extra word' ELSE t END, '\\s+') AS p, string_split_regex(t, '\\s+') AS r FROM s),
+  ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+  ours AS (SELECT uid, n, g, count(*) AS c FROM (SELECT uid, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(list_slice(p, i, i + n - 1), ' '))) AS g FROM w, ns) GROUP BY ALL),
+  theirs AS (SELECT uid, n, g, count(*) AS rc FROM (SELECT uid, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(list_slice(r, i, i + n - 1), ' '))) AS g FROM w, ns) GROUP BY ALL),
+  hits AS (SELECT n, sum(least(c, rc)) AS hit FROM ours JOIN theirs USING (uid, n, g) GROUP BY n),
+  totals AS (SELECT n, sum(greatest(1, len(p) - n + 1)) AS total FROM w, ns GROUP BY n), sizes AS (SELECT sum(len(p)) AS h, sum(len(r)) AS r FROM w)
+  SELECT count AS n, round(100 * CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * p, 6) AS bleu FROM sizes, (SELECT exp(avg(ln(hit / total))) AS p FROM totals JOIN hits USING (n)), (SELECT count(*) AS count FROM w)""")
+def evaluation_epoch(spark, sf_dir):
+    """An epoch from best beams to its score: beams become sentences, meet the truth, and are compared."""
+    sentences = qa(spark, sf_dir).select(F.col("uid").alias("idx"), text.prediction_joined(text.answer_finished(F.col("a"))).alias("t"))
+    words = sentences.select(F.explode(F.concat(text.words_of(F.col("t")), F.array(F.lit("extra"), F.lit("word")))).alias("token")).distinct()
+    words = words.select("token", (F.abs(F.xxhash64("token")) + 1).alias("id"))
+    flat = sentences.select("idx", F.posexplode(F.concat(text.words_of(F.col("t")), F.when(F.col("idx") % 3 == 0, F.array(F.lit("extra"), F.lit("word"))).otherwise(F.array().cast("array<string>")))).alias("pos", "token"))
+    ids = flat.join(words, "token").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l"))
+    best = ids.select(F.col("idx").alias("seq"), F.lit(0).alias("rank"), F.transform("l", lambda x: x["id"]).alias("tokens"))
+    return evaluation.epoch(best, words, sentences.select("idx", F.col("t").alias("ql"))).select("n", F.round("bleu", 6).alias("bleu"))
