@@ -154,7 +154,8 @@ def words_of(text: Column) -> Column:
 
 
 def decoded(binary: Column) -> Column:
-    return F.decode(binary, "UTF-8")
+    """The text of UTF-8 bytes; other bytes are an error."""
+    return F.validate_utf8(binary.cast("string"))
 
 
 def major_minor(version: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,48 @@ def label_ids(ids: DataFrame, done: DataFrame, make, language: str, per_request:
     return labels.from_bindings(todo, found)
 
 
+def saved_by_chunk(todo: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, at_once: int) -> int:
+    """Run ``work`` on ``at_once`` chunks after the other and append each result to a Parquet sink; returns the number of appends.
+
+    The rows to work on are written down first, so chunks keep their numbers while the sink grows. What a run that was
+    broken off has appended is done: the next one starts from what is left.
+    """
+    spark, plan = todo.sparkSession, sink.rstrip("/") + ".todo"
+    todo.write.mode("overwrite").parquet(plan)
+    todo = spark.read.schema(todo.schema).parquet(plan)
+    last = todo.agg(F.max("chunk")).collect()[0][0]
+    starts = range(0, -1 if last is None else last + 1, at_once)
+    for a in starts:
+        work(todo.where(F.col("chunk").between(a, a + at_once - 1))).write.mode("append").parquet(sink)
+    return len(starts)
+
+
+def translate_into(source: DataFrame, sink: str, make, language: str, per_chunk: int = 1000, at_once: int = 1) -> int:
+    """Translate what the sink (uid, question) lacks, chunk by chunk."""
+    spark = source.sparkSession
+    done = files.readable(spark, sink, "uid int, question string")
+    todo = source.select("uid") if done is None else relations.pending(source, done, "uid")
+    chosen = source.join(todo.distinct(), "uid").select("uid", text.chosen_question(F.col("question"), F.col("paraphrased_question"), F.col("NNQT_question")).alias("question"))
+    work = lambda rows: services.translated(rows, make, language)
+    return saved_by_chunk(relations.chunked(chosen, F.col("uid"), F.col("uid"), per_chunk).select("uid", "question", "chunk"), work, sink, at_once)
+
+
+def label_into(ids: DataFrame, sink: str, make, language: str, per_request: int = 15, pause: float = 3.0, at_once: int = 100) -> int:
+    """Label the ids that the sink (id, labels) lacks, a hundred requests to an append."""
+    spark = ids.sparkSession
+    done = files.readable(spark, sink, schemas.LABELS)
+    wanted = labels.distinct_ids(ids)
+    todo = wanted if done is None else relations.pending(wanted, done, "id")
+    chunks = relations.chunked(todo, F.col("id"), relations.text_key(F.col("id")), per_request)
+    work = lambda rows: labels.from_bindings(rows, services.labelled(labels.labelling_queries(rows, language), make, pause))
+    return saved_by_chunk(chunks.select("id", "chunk"), work, sink, at_once)
+
+
 def finalise_dataset(pairs: DataFrame, split: str, fraction: float) -> DataFrame:
     return finalise.partitioned(finalise.finished(pairs), split, fraction)
 
 
-TASKS = ("replace-special-symbols", "replace-errors", "question-ids", "mask", "finalise", "validate-translation", "validate-masking")
+TASKS = ("translate", "replace-special-symbols", "replace-errors", "question-ids", "label", "mask", "finalise", "validate-translation", "validate-masking")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,6 +95,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ids")
     p.add_argument("--labels")
     p.add_argument("--output")
+    p.add_argument("--service", help="the label endpoint's address, or module:factory of a translator")
+    p.add_argument("--per-chunk", type=int)
     p.add_argument("--split", choices=schemas.SPLITS, default="train")
     p.add_argument("--language", choices=schemas.LANGUAGES, default="nl")
     p.add_argument("--fraction", type=float, default=0.1)
@@ -71,7 +112,15 @@ def needed(args: argparse.Namespace, *names: str) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tamarack").getOrCreate()
-    if args.task == "replace-special-symbols":
+    if args.task == "translate":
+        needed(args, "output", "service")
+        module, _, name = args.service.partition(":")
+        translate_into(files.read_questions(spark, args.input), args.output, getattr(importlib.import_module(module), name), args.language, args.per_chunk or 1000)
+    elif args.task == "label":
+        needed(args, "output", "service")
+        address = args.service
+        label_into(files.read_lists(spark, args.input, "uid", "ids"), args.output, lambda: services.SparqlEndpoint(address), args.language, args.per_chunk or 15)
+    elif args.task == "replace-special-symbols":
         needed(args, "output")
         files.write_texts(replace_special_symbols(files.read_texts(spark, args.input, "error")), args.output)
     elif args.task == "replace-errors":

@@ -59,6 +59,15 @@ def read_texts(spark: SparkSession, path: str, missing: str = "empty") -> DataFr
     return rows.select("pos", F.col("key").cast("int").alias("uid"), F.col("value").alias("question"))
 
 
+def replacements_path(folder: str, split: str, language: str) -> str:
+    """Where the texts stand that replace the error marks of a split's translation."""
+    return f"{folder}/{schemas.choice(split, schemas.SPLITS)}-{schemas.choice(language, schemas.LANGUAGES)}-error-replacements.json"
+
+
+def read_replacements(spark: SparkSession, folder: str, split: str, language: str) -> DataFrame:
+    return read_texts(spark, replacements_path(folder, split, language), "error")
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(pos, uid, q, a) of masked pairs, in the file's order."""
     rows = read_map(spark, path, "struct<q:string,a:string>")
@@ -72,7 +81,10 @@ def read_lists(spark: SparkSession, path: str, key: str, values: str, missing: s
 
 
 def write_map(rows: DataFrame, key: str, value: Column, path: str) -> None:
-    """One JSON object, keys in the order of their bytes; for the exchange format of small files. Large results go to Parquet."""
+    """One JSON object, keys in the order of their bytes; for the exchange format of small files. Large results go to Parquet:
+    above MOST_ENTRIES rows this is an error."""
+    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} rows for one JSON object: write Parquet instead")
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), value.alias("value"))))
     rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
@@ -93,6 +105,23 @@ def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return old.select("key", "value").join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
+#: Rows of a JSON object at most: the format makes one task hold them all.
+MOST_ENTRIES = 5_000_000
+
+
+def append_map(rows: DataFrame, path: str, value: str = "array<string>") -> None:
+    """Add (key, value) to a JSON object, which is made where there is none; new values stand for old ones.
+
+    The whole is written beside the old object first and takes its place when it is complete.
+    """
+    spark = rows.sparkSession
+    whole, beside = merged(read_map(spark, path, value, "none"), rows), path.rstrip("/") + ".next"
+    write_map(whole, "key", F.col("value"), beside)
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+    fs.rename(_path(spark, beside)[1], at)
+
+
 def appended(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if old is None else old.unionByName(new)
 

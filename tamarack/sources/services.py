@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -45,18 +49,42 @@ def translated(questions: DataFrame, make: Callable[[], Translator], target: str
     return questions.select("uid", "question").mapInPandas(run, "uid int, question string")
 
 
-def labelled(queries: DataFrame, make: Callable[[], LabelClient], pause: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(chunk, pos, id, label): a request per (chunk, query) row, a pause after each that succeeds."""
+class SparqlEndpoint:
+    """A label client over HTTP: one GET for each query, JSON back; a busy server says so by status 429."""
+
+    def __init__(self, url: str, agent: str = "tamarack", timeout: float = 60.0):
+        self.url, self.agent, self.timeout = url, agent, timeout
+
+    def bindings(self, query: str) -> list[tuple[str, str]]:
+        asked = urllib.request.Request(
+            f"{self.url}?{urllib.parse.urlencode({'query': query, 'format': 'json'})}", headers={"Accept": "application/sparql-results+json", "User-Agent": self.agent}
+        )
+        try:
+            with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+                found = json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code == 429:
+                raise Busy from e
+            raise
+        return [(b["id"]["value"], b["label"]["value"]) for b in found["results"]["bindings"]]
+
+
+def labelled(queries: DataFrame, make: Callable[[], LabelClient], pause: float = 3.0, sleep: Callable[[float], None] = time.sleep, clients: int = 1) -> DataFrame:
+    """(chunk, pos, id, label): a request per (chunk, query) row, a pause after each that succeeds.
+
+    ``clients`` tasks ask side by side and share the pace: each pauses that many times as long.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for part in parts:
             for chunk, query in zip(part["chunk"], part["query"], strict=True):
                 got = patient(lambda query=query: client.bindings(query), sleep=sleep)
-                sleep(pause)
-                yield pd.DataFrame({"chunk": chunk, "pos": range(len(got)), "id": [x for x, _ in got], "label": [y for _, y in got]})
+                sleep(pause * clients)
+                column = lambda values, kind: pd.Series(list(values), dtype=kind)
+                yield pd.DataFrame({"chunk": column([chunk] * len(got), "int64"), "pos": column(range(len(got)), "int64"), "id": column((x for x, _ in got), object), "label": column((y for _, y in got), object)})
 
-    return queries.select("chunk", "query").mapInPandas(run, "chunk long, pos long, id string, label string")
+    return queries.select("chunk", "query").repartition(clients).mapInPandas(run, "chunk long, pos long, id string, label string")
 
 
 class TableTranslator:

@@ -1,6 +1,8 @@
 """Masking, labels, finalising, validation, encoding, beams, scores, sources and resumption on small relations."""
 
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +191,71 @@ def test_files(spark, tmp_path):
     assert (q.uid, q.question, q.template_id) == (1, None, "3")
 
 
+def test_translation_is_saved_by_chunk(spark, tmp_path):
+    source = spark.createDataFrame([(u, None, f"a question number {u}", None) for u in range(1, 8)], "uid int, paraphrased_question string, question string, NNQT_question string")
+    sink = str(tmp_path / "sink")
+    assert tasks.translate_into(source.where("uid < 4"), sink, lambda: services.TableTranslator({"a question number 1": "een"}), "nl", 2) == 2
+    assert tasks.translate_into(source, sink, lambda: services.TableTranslator({}), "nl", 2) == 2  # four are left
+    assert tasks.translate_into(source, sink, lambda: services.TableTranslator({}), "nl", 2) == 0
+    assert rows(spark.read.parquet(sink), "uid", "question") == [(1, "een"), *((u, f"a question number {u}") for u in range(2, 8))]
+
+
+def test_labels_from_an_endpoint(spark, tmp_path):
+    asked = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(429 if len(asked) == 1 else 200)
+            self.end_headers()
+            if len(asked) > 1:
+                self.wfile.write(json.dumps({"results": {"bindings": [{"id": {"value": "Q1"}, "label": {"value": "een"}}] if "wd%3AQ1+" in self.path else []}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address, kept = f"http://127.0.0.1:{server.server_port}/sparql", services.patient.__defaults__
+    try:
+        with pytest.raises(services.Busy):
+            services.SparqlEndpoint(address).bindings("x")
+        ids = spark.createDataFrame([(1, ["Q1", "P2"]), (2, ["P2", "Q33"])], "uid int, ids array<string>")
+        sink = str(tmp_path / "labels")
+        assert tasks.label_into(ids, sink, lambda: services.SparqlEndpoint(address), "nl", 2, 0.0, 1) == 2
+        assert rows(spark.read.parquet(sink)) == [("P2", []), ("Q1", ["een"]), ("Q33", [])] and len(asked) == 3
+        assert tasks.label_into(ids, sink, lambda: services.SparqlEndpoint(address), "nl", 2, 0.0, 1) == 0
+    finally:
+        services.patient.__defaults__ = kept
+        server.shutdown()
+
+
+def test_maps_grow(spark, tmp_path):
+    path = str(tmp_path / "labels.json")
+    new = lambda *of: spark.createDataFrame(list(of), "key string, value array<string>")
+    files.append_map(new(("Q1", ["a"]), ("Q2", [])), path)
+    files.append_map(new(("Q2", ["b"]), ("Q3", ["c"])), path)
+    assert rows(files.read_lists(spark, path, "id", "labels")) == [("Q1", ["a"]), ("Q2", ["b"]), ("Q3", ["c"])]
+    assert files.replacements_path("x", "train", "nl") == "x/train-nl-error-replacements.json"
+    with pytest.raises(ValueError):
+        files.replacements_path("x", "validate", "nl")
+    with pytest.raises(Exception, match="(?i)utf"):
+        spark.createDataFrame([(bytearray(b"\xff\xfe"),)], "b binary").select(text.decoded(F.col("b"))).collect()
+
+
+def test_shards_and_loader(spark):
+    ids = spark.range(1000).select(F.col("id").alias("idx"))
+    by_turns = relations.sharded(ids, F.col("idx"), 3, shuffle=False)
+    assert rows(by_turns.groupBy("shard").count()) == [(0, 334), (1, 333), (2, 333)]
+    dealt = rows(relations.sharded(ids, F.col("idx"), 4).groupBy("shard").count())
+    assert sum(n for _, n in dealt) == 1000 and all(n > 180 for _, n in dealt)
+    words = spark.createDataFrame([(w, i) for i, w in enumerate("abcd", 4)], "token string, id int")
+    points = spark.createDataFrame([(k, "a b", "c") for k in range(10)], "idx long, nl string, ql string")
+    batches = encoding.loaded(points, words, words, 5, 4, "train", 4, seed=1).collect()
+    assert sorted(r.batch for r in batches) == [0] * 4 + [1] * 4 + [2] * 2 and {tuple(r.out_ids) for r in batches} == {(1, 6, 2, 0)}
+    assert [r.idx for r in sorted(batches, key=lambda r: r.batch)] != list(range(10))
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "in.json").write_text('{"1": "a_b &amp; c"}')
     tasks.main(["replace-special-symbols", "--input", str(tmp_path / "in.json"), "--output", str(tmp_path / "out")], spark)
