@@ -53,7 +53,7 @@ OP7 = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, re
   placed AS (SELECT o.lang, o.source, o.measure, {', '.join(f"{_lean('o.n', f'o.p{k}', f'l.p{k}')} AS p{k}, l.p{k} AS l{k}, l.w{k}" for k in (20, 50, 80))} FROM own o JOIN named l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure),
   spread AS (SELECT *, greatest(p80 - p50, p50 - p20, l80 - l50, l50 - l20, w80 - w50, w50 - w20, p80 // 50) AS wide FROM placed),
   middle AS (SELECT lang, source, greatest(p50, 1) AS words FROM spread WHERE measure = 'words'),
-  fences AS (SELECT s.lang, s.source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN p80 + 3 * greatest(wide, {least} // words) END) AS {m}_high" for m, least in (("symbols", 1000), ("repeats", 6000), ("lines", 1000), ("length", 0)))},
+  fences AS (SELECT s.lang, s.source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN p80 + 3 * greatest(wide, {least} // words) END) AS {m}_high" for m, least in (("symbols", 1000), ("repeats", 24000), ("lines", 2000), ("length", 0)))},
     max(CASE WHEN measure = 'length' THEN p20 - 3 * wide END) AS length_low
     FROM spread s JOIN middle m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source GROUP BY s.lang, s.source)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -27,11 +27,11 @@ from tamarack.llm.shared import column, ddl, fresh_prefix, quoted, stored, text_
 GROWTH = 1.02
 #: Documents that the merged sketch counts as in a group's percentiles, and how many spreads a fence stands off.
 PRIOR, WIDEN = 100, 3
-#: name: (expression over the counts, the least that a document holds if any in 1000 of its words, is there a lower fence)
+#: name: (expression over the counts, 1000 times the least that tells: a symbol, a line of twelve words said twice, two such lines; is there a lower fence)
 MEASURES = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 1000, False),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 6000, False),
-    "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 1000, False),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 24000, False),
+    "lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 2000, False),
     "length": ("100 * word_chars div greatest(n_words, 1)", 0, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
