@@ -28,7 +28,7 @@ from tamarack.llm import kernels
 from tamarack.llm.shared import column, stored, unclashed
 
 #: Tokens of a run (a power of two), pages that must hold it at least, and bytes of HTML of a host that one task takes whole.
-RUN, PAGES, SHARD = 8, 3, 1 << 19
+RUN, PAGES, SHARD = 8, 3, 2 << 20
 #: Runs that a task of a large host's pages holds before it names those on half of what it holds.
 HELD = 2_000_000
 #: Large hosts that are broadcast at most; with more of them the pages are shuffled to their hosts' sizes.
