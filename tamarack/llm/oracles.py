@@ -67,4 +67,35 @@ OP9 = """WITH RECURSIVE v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e
   SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
   FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) ON a = vec_id JOIN (SELECT d, min(r) AS m FROM reach GROUP BY d) ON d = vec_id"""
 
-SQL = {"op1_minhash": OP1, "op5_chat": OP5, "op7_quality_rules": OP7, "op9_embedding_dedup": OP9}
+_BITS = " + ".join(f"CASE WHEN {x} THEN {1 << k} ELSE 0 END" for k, x in enumerate(("len(w) < 200", "100 * len(list_distinct(w)) < 50 * len(w)", "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)", "regexp_matches(t, '[#$%&*|]')", "w.doc_id > m.least")))
+OP12 = f"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+  m AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+  known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+  failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {_BITS} AS fails FROM w JOIN m USING (t) LEFT JOIN known ON known.doc_id = w.doc_id),
+  l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+  orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  each AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails),
+  firsts AS (SELECT *, coalesce(list_position(list_transform(bits, lambda b: (fails & b) > 0), true), 6) AS first FROM each, orders),
+  steps AS (SELECT *, unnest(bits) AS bit, unnest([1, 2, 3, 4, 5]) AS step FROM firsts),
+  counted AS (SELECT part, filter_order, step, any_value(bit) AS bit, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN (fails & bit) > 0 AND first < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost FROM steps GROUP BY part, filter_order, step)
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, {', '.join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM counted"""
+
+#: An unsigned crc32 of a short ASCII string, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda y: CAST(ascii(y) AS BIGINT))), lambda s, y: list_reduce(list_prepend(xor(s, y), range(8)), lambda z, k: xor(z >> 1, (z & 1) * 3988292384))))"
+OP13 = f"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS (SELECT c, c - c % 100 AS b, {_CRC.format(x="CAST(c AS VARCHAR)")} % 6 AS h FROM o GROUP BY c),
+  sized AS (SELECT c, b, h, least(h, (SELECT count(*) FROM o WHERE o.c = convs.b)) AS m FROM convs),
+  turns AS (SELECT s.c, o.i AS d, r, x FROM sized s JOIN o ON o.c = s.b AND o.i <= s.m UNION ALL SELECT s.c, s.m + o.i - s.h, r, x FROM sized s JOIN o ON o.c = s.c AND o.i > s.h),
+  paths AS (SELECT c, d, length(x) AS chars, string_agg(sha256(length(r) || ':' || r || x), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS p FROM turns UNION ALL SELECT c, 0, 0, '' FROM convs),
+  tops AS (SELECT c, max(d) AS top FROM paths GROUP BY c),
+  nodes AS (SELECT p, max(d) AS d, min(paths.c) AS conv, count(*) AS n, max(chars) AS chars, sha256(coalesce(string_agg(CAST(paths.c AS VARCHAR), ',' ORDER BY paths.c) FILTER (d = top), '')) AS ends FROM paths JOIN tops ON tops.c = paths.c GROUP BY p),
+  kids AS (SELECT left(p, length(p) - 64) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+  own AS (SELECT nodes.*, coalesce(k, 0) AS k, (n - 1) * chars AS saved FROM nodes LEFT JOIN kids USING (p)),
+  below AS (SELECT paths.p, sum(CASE WHEN own.k = 0 THEN 1 ELSE 0 END) AS leaves, sum(own.saved) AS saved FROM own JOIN paths ON paths.c = own.conv AND paths.d <= own.d GROUP BY paths.p)
+  SELECT own.conv AS conv_id, CAST(own.d AS BIGINT) AS depth, up.conv AS parent_conv_id, own.n AS n_convs, own.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+  FROM own JOIN below USING (p) LEFT JOIN nodes up ON own.d > 0 AND up.p = left(own.p, length(own.p) - 64)"""
+
+SQL = {"op1_minhash": OP1, "op5_chat": OP5, "op7_quality_rules": OP7, "op9_embedding_dedup": OP9, "op12_filter_audit": OP12, "op13_prefix_trie": OP13}

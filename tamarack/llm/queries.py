@@ -78,6 +78,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tamarack.llm.shared import scratch
+    from tamarack.llm.tokenfile import read_ids, write_ids
+
+    folder = scratch(spark, "token-planes")
+    write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, folder)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamarack.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -90,6 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_packing": op10_packing,
+        "op11_token_planes": op11_token_planes,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 

@@ -33,12 +33,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     The tables go when the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing stands at yet; what is written there goes when the driver process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_drop)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _drop() -> None:
@@ -55,6 +61,24 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+#: Keys that hold more than one in so many rows go by broadcast; there are fewer of them than this.
+SHARE = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], fan: str) -> DataFrame:
+    """``left`` with the columns of ``right``, a stored table of one row for each key, nulls where it has none.
+
+    ``fan`` counts the rows of ``left`` that a key has. Those with over a thousandth of all rows, of which there cannot
+    be a thousand, are broadcast, so that their rows stay where they are; only the others are shuffled by key. Rows
+    with a null key find nothing.
+    """
+    most = -(-left.count() // SHARE)
+    hot, cold = right.where(F.col(fan) > most), right.where(F.col(fan) <= most)
+    found = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return found.unionByName(rest)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
