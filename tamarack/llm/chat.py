@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.shared import column
+from tamarack.llm.shared import column, unclashed
 
 ESCAPE = "\\"
 
@@ -153,9 +153,10 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     Turns are ordered by turn, ties by role and text; null texts and roles are empty. ``valid`` tells
     whether the order of turns was legal up to there; the empty segment that ends each conversation,
     whether all of it was. Illegal conversations are formatted all the same. Rows without a conv_id
-    are one conversation. One shuffle deals out the turns; tasks stream over them, so memory follows
+    are one conversation; an empty table gives no segments; other columns play no part, whatever their names. One shuffle deals out the turns; tasks stream over them, so memory follows
     neither the length of a conversation nor their number.
     """
+    turns = unclashed(turns, "conv_id", "turn", "role", "text")
     empty = lambda c: F.coalesce(column(turns, c, "string"), F.lit(""))
     rows = turns.select(column(turns, "conv_id", "long").alias("conv_id"), column(turns, "turn", "long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

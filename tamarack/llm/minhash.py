@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
 from tamarack.llm.graph import components
-from tamarack.llm.shared import column, fresh_prefix, stored, unclashed
+from tamarack.llm.shared import column, fresh_prefix, neutral, stored, unclashed
 
 POSITIONS = 1 << 20
 #: A pair at similarity 0.85 shares no bucket with probability 8e-7, one at 0.9 with 1e-9.
@@ -95,12 +95,13 @@ def _describe(size: int, bands: int, rows: int):
 def _whole_sets(size: int):
     def run(batches):
         for batch in batches:
-            rows, a = [], 0
+            rows, a, held = [], 0, 0
             for i, s in enumerate(_sets(batch.column("text"), size)):
                 rows.append(s.view(np.int64))
-                if sum(map(len, rows[-1:])) > 1 << 20 or i + 1 - a == 256:
+                held += len(rows[-1])
+                if held > 1 << 20 or i + 1 - a == 256:
                     yield _set_batch(batch, a, rows)
-                    rows, a = [], i + 1
+                    rows, a, held = [], i + 1, 0
             if rows:
                 yield _set_batch(batch, a, rows)
 
@@ -274,8 +275,10 @@ def without_near_duplicates(
 
     Here a text is linked by its content alone: rows that share a doc_id but not their text go or stay each by its
     own links, so no text is lost that has no near copy among those kept. Rows that repeat both are one. Rows without
-    a doc_id and texts without words are linked with nothing and stay. An empty table stays empty.
+    a doc_id and texts without words are linked with nothing and stay. An empty table stays empty. Other columns may
+    have any names.
     """
+    names, docs = docs.columns, neutral(docs, id_col, text_col)
     texts = _read(docs, id_col, text_col)
     described, classes = _classes(texts, size, bands, rows)
     found = components(stored(_links(texts, classes, size, percent), "links")).withColumnsRenamed({"node": "cid"})
@@ -291,4 +294,4 @@ def without_near_duplicates(
     left = keyed.join(of("goes"), on, "left_anti")
     again = of("times > 1 and not goes")
     once = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
-    return once.drop(*on)
+    return once.drop(*on).toDF(*names)

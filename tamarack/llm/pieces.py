@@ -34,8 +34,8 @@ MARK = "▁"
 CUT = b"\xff"
 #: Units and meetings of pieces that a worker remembers, and the bytes of a text that are segmented at once.
 UNITS, MEETINGS, CHUNK_BYTES = 700_000, 300_000, 1 << 20
-#: Marks at the end of a unit.
-TAIL = re.compile(r"[^\w\s▁]+\Z")
+#: Marks at the end of a unit, read backwards: a search from the front would begin anew at each sign of a long run.
+TAIL = re.compile(r"[^\w\s▁]+")
 #: How far an uncovered character's score lies below the lowest piece's.
 UNKNOWN_BELOW = 10.0
 
@@ -190,12 +190,13 @@ class Codec(dict):
             self.clear()
             self[b""] = b""
         text = unit.decode()
-        tail = TAIL.search(text)
+        tail = TAIL.match(text[::-1])
+        at = len(text) - tail.end() if tail else 0
         # a word and the marks after it are segmented apart where no piece holds the two characters that meet
-        if tail and tail.start() and text[tail.start() - 1 : tail.start() + 1] not in self.pairs and self.cuts:
-            core = text[: tail.start()].encode()
+        if at and text[at - 1 : at + 1] not in self.pairs and self.cuts:
+            core = text[:at].encode()
             seen = core in self
-            out = self[core] + self[tail[0].encode()]
+            out = self[core] + self[text[at:].encode()]
             if seen:  # of a word met for the first time only the word is kept
                 self[unit] = out
             return out

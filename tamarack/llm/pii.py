@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, text_in_place, unclashed
+from tamarack.llm.shared import column, ddl, neutral, text_in_place, unclashed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and how many it shares with the next one; units of each LSTM; windows run at once.
@@ -461,25 +461,44 @@ def plausible(kind: str, text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def word_at(text: str, at: int) -> tuple[int, int]:
+    """Bounds of the run of letters and digits around a place."""
+    a, b = at, at + 1
+    while a > 0 and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b].isalnum():
+        b += 1
+    return a, b
+
+
 def added_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the network's labels, trimmed of what cannot end one, that overlap nothing found before."""
     at = np.flatnonzero(labels % 2)
-    inside = np.concatenate([(labels > 0) & (labels % 2 == 0), [False]])
-    out = []
-    for a in at.tolist():
-        name, b = KINDS[(int(labels[a]) - 1) // 2], a + 1 + int(np.argmin(inside[a + 1 :]))
-        # whole words: a label that breaks off inside a word goes on to its end
-        while b < len(text) and not text[b].isspace() and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
-            a -= 1
+    stops = np.append(np.flatnonzero((labels == 0) | (labels % 2 == 1)), len(labels))
+    ends = stops[np.searchsorted(stops, at, "right")]
+    covered, out = np.zeros(len(text), bool), []
+    for a, b in taken:
+        covered[a:b] = True
+    word, refused = (0, 0), set()
+    for a, b in zip(at.tolist(), ends.tolist(), strict=True):
+        name = KINDS[(int(labels[a]) - 1) // 2]
+        # whole words: a label that breaks off inside a word goes on to its end; a word's bounds are looked for once
+        if b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            word = word if word[0] <= b < word[1] else word_at(text, b)
+            b = word[1]
+        if a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+            word = word if word[0] <= a < word[1] else word_at(text, a)
+            a = word[0]
+        if (name, a, b) in refused:
+            continue
+        refused.add((name, a, b))
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while a < b and not text[b - 1].isalnum():
             b -= 1
-        if a < b and plausible(name, text[a:b]) and not any(a < y and x < b for x, y in taken):
+        if a < b and not covered[a:b].any() and plausible(name, text[a:b]):
             out.append((name, a, b))
-            taken.append((a, b))
+            covered[a:b] = True
     return out
 
 
@@ -620,6 +639,11 @@ def _mask(model: Network, inner: str, text_col: str, drop: bool):
 
 
 def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind; nulls stay, other columns come as they were."""
+    """``docs`` with every span in ``text_col`` replaced by its kind; other columns come as they were, whatever their names.
+
+    A null text stays null and an empty one empty; a long one is masked to its end; repeated rows are masked alike. An
+    empty table stays empty.
+    """
+    names, docs = docs.columns, neutral(docs, text_col)
     given, inner, added = text_in_place(docs, text_col, "pii")
-    return given.mapInArrow(_mask(network(), inner, text_col, added), ddl(docs).rstrip(", "))
+    return given.mapInArrow(_mask(network(), inner, text_col, added), ddl(docs).rstrip(", ")).toDF(*names)

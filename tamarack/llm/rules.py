@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, fresh_prefix, quoted, stored, text_in_place, unclashed
+from tamarack.llm.shared import column, ddl, fresh_prefix, neutral, quoted, stored, text_in_place, unclashed
 
 #: Ratio of neighbouring bucket bounds: values are known to 1 per cent.
 GROWTH = 1.02
@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     columns; repeated rows go or stay together; a value on a fence is inside; an empty table stays empty. The texts are
     read twice, once for the sketches and once for the verdict, so that no shuffle and no stored copy carries them.
     """
-    names, docs = docs.columns, unclashed(docs, text_col, lang_col, source_col)
+    names, docs = docs.columns, neutral(docs, text_col, lang_col, source_col)
     p = fresh_prefix(docs, "rule")
     keyed = docs.withColumns({f"{p}lang": column(docs, lang_col, "string"), f"{p}source": column(docs, source_col, "string")})
     narrow = measured(keyed.select(f"{p}lang", f"{p}source", column(docs, text_col, "string").alias("text")), keep_text=False)

@@ -98,6 +98,18 @@ def unclashed(df: DataFrame, *wanted: str) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
+def neutral(df: DataFrame, *wanted: str) -> DataFrame:
+    """``df`` with every column but the ``wanted`` ones under a name of its own that no expression can misread.
+
+    The order stays, so ``toDF`` with the old names undoes it.
+    """
+    names, seen = [], set()
+    for k, c in enumerate(df.columns):
+        names.append(c if c in wanted and c not in seen else f"__other_{k}")
+        seen.add(c)
+    return df.toDF(*names)
+
+
 def fresh_prefix(df: DataFrame, base: str) -> str:
     """A prefix that no column of ``df`` begins with, so that added columns never clash."""
     prefix = f"__{base}_"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, ddl, stored, text_in_place, unclashed
+from tamarack.llm.shared import column, ddl, neutral, quoted, stored, text_in_place, unclashed
 
 WINDOW = 128
 #: The training sample: labelled documents of each class at most, bytes of a document's windows (spread over all of it) and windows of ordinary text at most.
@@ -203,9 +203,10 @@ def _thinned(batches):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents outside the held-out fold: the first SAMPLE_DOCS of each class in the order of a hash of their ids, weighted by the class's count over all."""
-    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    docs, labels = unclashed(docs, id_col, text_col), unclashed(labels, id_col, label_col)
+    marks = labels.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(label_col)).cast("int").alias("y"))
     marks = marks.where("id is not null and y in (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     texts = texts.where("text <> ''")
     # ids are chosen first, so no shuffle carries texts but those of the sample
     there = stored(texts.select("id").join(marks, "id").distinct(), "labelled")
@@ -232,9 +233,21 @@ def _score(model: Model, text: str, name: str, drop: bool):
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the toxicity of the whole text, 0 to 1. A null text is scored as an empty one."""
+    """``docs`` with a last column ``name``: the toxicity of the whole text, 0 to 1.
+
+    A null text is scored as an empty one; long ones are scored whole, repeated rows alike. Other columns come as they
+    were, whatever their names; one that is called ``name`` keeps its place before the new one. An empty table stays empty.
+    """
+    names, docs = docs.columns, neutral(docs, text_col)
     given, inner, added = text_in_place(docs, text_col, "scored")
-    return given.mapInArrow(_score(model, inner, name, added), f"{ddl(docs)}`{name}` double")
+    return given.mapInArrow(_score(model, inner, "__score", added), f"{ddl(docs)}`__score` double").toDF(*names, name)
+
+
+def below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``, with their columns as they came."""
+    names = docs.columns
+    told = scored(neutral(docs, text_col), model, text_col, "__score")
+    return told.where(F.col("__score") < threshold).drop("__score").toDF(*names)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
