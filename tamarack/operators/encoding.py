@@ -12,11 +12,11 @@ from tamarack.operators.relations import drawn, ranked, sampled
 PAD, CLS, SEP, UNKNOWN, FIRST = 0, 1, 2, 3, 4
 
 
-def vocabulary(texts: DataFrame, column: str, most: int = 30_000) -> DataFrame:
-    """(token, id): the commonest words, ids by falling count, then by token. Stands in for a hosted tokeniser."""
+def vocabulary(texts: DataFrame, column: str, most: int | None = 30_000) -> DataFrame:
+    """(token, id): the commonest words, ids by falling count, then by token; None keeps all of them. Whole words: ``subwords`` learns parts."""
     counts = texts.select(F.explode(text.words_of(F.lower(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(most)
-    placed = ranked(top, F.struct(-F.col("n"), F.col("token")), -F.col("n"), "_rank")  # a bounded table
+    top = counts.orderBy(F.desc("n"), "token").limit(most) if most is not None else counts
+    placed = ranked(top, [-F.col("n"), F.col("token")], "_rank")
     return placed.select("token", (F.col("_rank") + FIRST - 1).cast("int").alias("id"))
 
 
@@ -43,10 +43,10 @@ def tensors(encoded_points: DataFrame, stage: str) -> DataFrame:
     return encoded_points if stage == "train" else encoded_points.select("idx", "inp_ids", "inp_att_mask")
 
 
-def batched(points: DataFrame, size: int, order: Column | None = None) -> DataFrame:
+def batched(points: DataFrame, size: int, order: Column | list[Column] | None = None) -> DataFrame:
     """``points`` with a batch number in the order of idx."""
     order = order if order is not None else F.col("idx")
-    return ranked(points, order, F.col("idx"), "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+    return ranked(points, order, "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
 
 
 def raw_points(points: DataFrame, sample: bool = False, most: int = 1000, seed: int = 0) -> DataFrame:
@@ -64,4 +64,4 @@ def loaded(points: DataFrame, inputs: DataFrame, outputs: DataFrame, in_length:
     if stage != "train":
         return batched(ready, size)
     turn = F.conv(F.substring(drawn(F.col("idx"), seed), 1, 13), 16, 10).cast("long")
-    return ranked(ready.withColumn("_turn", turn), F.struct("_turn", "idx"), F.col("_turn"), "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank", "_turn")
+    return batched(ready, size, [turn, F.col("idx")])

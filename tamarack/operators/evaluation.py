@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators.beams import sentences
+from tamarack.sources.scratch import stored
 
 
 def evaluation_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
@@ -17,33 +18,38 @@ def evaluation_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return joined.select("idx", text.words_of(text.prediction_joined(F.col("sentence"))).alias("pred"), F.array(text.words_of(F.col("ql"))).alias("refs"))
 
 
-def corpus_bleu(pairs: DataFrame, orders: int = 4) -> DataFrame:
-    """(bleu): corpus BLEU times 100 of (idx, pred, refs), uniform weights, unsmoothed.
+def scores(pairs: DataFrame, orders: int = 4) -> DataFrame:
+    """(n, bleu): the number of pairs (idx, pred, refs) and their corpus BLEU times 100, uniform weights, unsmoothed.
 
-    n-grams are counted per pair and order on both sides; clipped matches and totals are sums, so what meets in one
-    place is one row per order. The closest reference length counts, the shorter of two.
+    One pass: a pair becomes a row for each n-gram of each side, and beside those one for each sum that the score needs, all
+    of them dealt by idx, where n-grams are counted and clipped without another exchange. What meets in one place is a
+    row for each order and sum. The closest reference length counts, the shorter of two.
     """
     def grams(column):
-        one = lambda n: F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(0), F.size(column) - n), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(column, i + 1, F.lit(n)), "\x1f").alias("g")))).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
+        one = lambda n: F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(0), F.size(column) - n), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(column, i + 1, F.lit(n)), "\x1f").alias("g"), F.lit(1).cast("long").alias("v")))).otherwise(F.array().cast("array<struct<n:int,g:string,v:bigint>>"))
         return F.flatten(F.array(*[one(n) for n in range(1, orders + 1)]))
 
-    # both sides of a pair go to one place first, so its n-grams are counted and matched there without another exchange
-    here = pairs.repartition("idx")
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.col("pred").alias("t"))), F.transform("refs", lambda t, i: F.struct(i.alias("r"), t.alias("t"))))
-    each = here.select("idx", F.explode(sides).alias("s")).select("idx", "s.r", F.explode(grams(F.col("s.t"))).alias("x"))
-    counted = each.groupBy("idx", "x.n", "x.g", "r").agg(F.count("*").alias("c")).groupBy("idx", "n", "g")
-    clipped = counted.agg(F.least(F.sum(F.when(F.col("r") < 0, F.col("c"))), F.max(F.when(F.col("r") >= 0, F.col("c")))).alias("hit"), F.max(F.when(F.col("r") >= 0, 1)).alias("there"), F.max(F.when(F.col("r") < 0, 1)).alias("ours"))
-    matched = clipped.where("there = 1 and ours = 1").groupBy("n").agg(F.sum("hit").alias("hit"))
-    # as the library counts: a sentence shorter than n still has one n-gram in the total
-    totals = pairs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.greatest(F.lit(1), F.size("pred") - n + 1).alias("t")) for n in range(1, orders + 1)])).alias("x")).groupBy("x.n").agg(F.sum("x.t").alias("total"))
     hyp = F.size("pred")
     nearest = F.array_sort(F.transform("refs", lambda r: F.struct(F.abs(F.size(r) - hyp).alias("d"), F.size(r).alias("l"))))[0]["l"]
-    lengths = pairs.agg(F.sum(hyp).alias("h"), F.sum(nearest).alias("r"))
-    precision = F.when(F.coalesce("hit", F.lit(0)) > 0, F.col("hit") / F.col("total")).otherwise(F.lit(2.2250738585072014e-308))
-    logs = totals.join(matched, "n", "left").agg(F.exp(F.avg(F.log(precision))).alias("p"), F.max(F.when((F.col("n") == 1) & (F.coalesce("hit", F.lit(0)) > 0), 1).otherwise(0)).alias("any"))
-    brevity = F.when(F.col("h") > F.col("r"), 1.0).when(F.col("h") == 0, 0.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
-    both = lengths.crossJoin(logs)  # one row each
-    return both.select(F.when((F.col("any") == 1) & (F.col("h") > 0), 100 * brevity * F.col("p")).otherwise(0.0).alias("bleu"))
+    # as the library counts: a sentence shorter than n still has one n-gram in the total
+    sums = {"pairs": F.lit(1), "ours": hyp, "theirs": nearest, **{f"total{n}": F.greatest(F.lit(1), hyp - n + 1) for n in range(1, orders + 1)}}
+    told = F.array(*[F.struct(F.lit(0).alias("n"), F.lit(k).alias("g"), v.cast("long").alias("v")) for k, v in sums.items()])
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.concat(grams(F.col("pred")), told).alias("x"))), F.transform("refs", lambda t, i: F.struct(i.alias("r"), grams(t).alias("x"))))
+    each = pairs.repartition("idx").select("idx", F.explode(sides).alias("s")).select("idx", "s.r", F.explode("s.x").alias("x"))
+    counted = each.groupBy("idx", "x.n", "x.g", "r").agg(F.sum("x.v").alias("c")).groupBy("idx", "n", "g")
+    ours, theirs = F.sum(F.when(F.col("r") < 0, F.col("c"))), F.max(F.when(F.col("r") >= 0, F.col("c")))
+    clipped = counted.agg(F.coalesce(ours, F.lit(0)).alias("ours"), F.coalesce(theirs, F.lit(0)).alias("theirs"))
+    met = clipped.groupBy(F.when(F.col("n") == 0, F.col("g")).otherwise(F.concat(F.lit("hit"), F.col("n").cast("string"))).alias("k")).agg(F.sum(F.when(F.col("n") == 0, F.col("ours")).otherwise(F.least("ours", "theirs"))).alias("v"))
+    row = met.agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0)).alias(k) for k in (*sums, *(f"hit{n}" for n in range(1, orders + 1)))])
+    logs = [F.log(F.when(F.col(f"hit{n}") > 0, F.col(f"hit{n}") / F.col(f"total{n}")).otherwise(F.lit(2.2250738585072014e-308))) for n in range(1, orders + 1)]
+    brevity = F.when(F.col("ours") > F.col("theirs"), 1.0).when(F.col("ours") == 0, 0.0).otherwise(F.exp(1 - F.col("theirs") / F.nullif(F.col("ours"), F.lit(0))))
+    some = (F.col("hit1") > 0) & (F.col("ours") > 0)
+    return row.select(F.col("pairs").alias("n"), F.when(some, 100 * brevity * F.exp(sum(logs[1:], logs[0]) / orders)).otherwise(0.0).alias("bleu"))
+
+
+def corpus_bleu(pairs: DataFrame, orders: int = 4) -> DataFrame:
+    """(bleu) of (idx, pred, refs)."""
+    return scores(pairs, orders).select("bleu")
 
 
 def running_loss(losses: DataFrame, digits: int = 4) -> DataFrame:
@@ -64,5 +70,6 @@ def epoch(best: DataFrame, words: DataFrame, truths: DataFrame, save: Callable[[
     predictions = sentences(best, words).withColumnRenamed("seq", "idx")
     pairs = evaluation_pairs(predictions, truths)
     if save is not None:
+        pairs = stored(pairs, "evaluated")
         save(pairs)
-    return corpus_bleu(pairs).crossJoin(pairs.agg(F.count("*").alias("n"))).select("n", "bleu")  # one row each
+    return scores(pairs)

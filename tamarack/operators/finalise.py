@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators.relations import ranked, text_key
+from tamarack.operators.relations import ranked
 
 
 def finished(pairs: DataFrame) -> DataFrame:
@@ -20,16 +20,11 @@ def partitioned(pairs: DataFrame, split: str, fraction: float) -> DataFrame:
     """
     if not 0 <= fraction <= 1:
         raise ValueError("a fraction is between 0 and 1")
-    if "pos" in pairs.columns:
-        order, key = F.col("pos"), F.col("pos")
-    else:
-        order = F.col("uid").cast("string")
-        key = text_key(order)
-    placed = ranked(pairs, order, key, "_place")
+    order = F.col("pos") if "pos" in pairs.columns else F.col("uid").cast("string")
+    placed = ranked(pairs, order, "_place", "_total")
     if split == "test":
         return placed.select(F.lit("test").alias("part"), (F.col("_place") - 1).alias("idx"), F.col("q").alias("nl"), F.col("a").alias("ql"))
-    most = pairs.agg(F.floor(F.count("*") * F.lit(fraction)).cast("long").alias("_most"))
-    cut = placed.crossJoin(F.broadcast(most))  # one row: the number of pairs to validate
+    cut = placed.withColumn("_most", F.floor(F.col("_total") * F.lit(fraction)).cast("long"))
     part = F.when(F.col("_place") <= F.col("_most"), "validate").otherwise("train")
     idx = F.col("_place") - 1 - F.when(F.col("_place") > F.col("_most"), F.col("_most")).otherwise(0)
     return cut.select(part.alias("part"), idx.alias("idx"), F.col("q").alias("nl"), F.col("a").alias("ql"))

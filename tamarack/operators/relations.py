@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.sources.scratch import stored
+
 
 class MissingKeys(ValueError):
     """A relation lacks keys that another one has."""
@@ -55,40 +57,33 @@ def first_of_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return least.select(key, *[F.col("first")[c].alias(c) for c in rest])
 
 
-#: Ranges that rows are ranked in, and how many digits of accuracy their bounds are found with.
-RANGES, ACCURACY = 256, 10_000
-
-
-def text_key(text: Column) -> Column:
-    """A number that never falls as the bytes of a text rise: its first seven."""
-    return F.conv(F.hex(F.rpad(F.substring(F.encode(text, "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
-
-
-def ranked(rows: DataFrame, order: Column, key: Column, name: str = "rank") -> DataFrame:
-    """``rows`` with their place (from 1) in the order of ``order``, without one task holding them all.
+def ranked(rows: DataFrame, order: Column | list[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """``rows`` with their place (from 1) in an order, and their number as ``total`` if it is named.
 
-    ``key``: a number that never falls as ``order`` rises (the number itself, or a text's ``text_key``). Its percentiles
-    cut the rows into ranges of about equal size, whatever their spread. Places are counted inside each
-    range, and the counts of the ranges before are added: only one row per range meets in one place.
+    Spark deals the rows by ranges of the order itself, which its own sample finds, whatever the keys look like; equal keys are
+    dealt by the task that read them, so that even one key of very many rows is spread. Each range is sorted and written
+    once, numbered from its own beginning. What is added to a row's number is the count of the ranges before: one row
+    for each task. Ties have an arbitrary order, but one for all that is read from the result.
     """
-    rows = rows.withColumn("_key", key.cast("double"))
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = rows.agg(F.percentile_approx("_key", cuts, ACCURACY).alias("_bounds"))
-    # one row of bounds, sorted: a row's range is the number of bounds below its key
-    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_bucket", F.coalesce(F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_key"))), F.lit(-1))).drop("_key", "_bounds")
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    joined = rows.withColumn("_inside", inside).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return joined.withColumn(name, F.col("_inside") + F.col("_before")).drop("_bucket", "_b", "_inside", "_before")
-
-
-def chunked(rows: DataFrame, order: Column, key: Column, size: int) -> DataFrame:
+    order = order if isinstance(order, list) else [order]
+    keys = [f"_key{k}" for k in range(len(order))]
+    keyed = rows.withColumns({**dict(zip(keys, order, strict=True)), "_task": F.spark_partition_id()})
+    dealt = keyed.repartitionByRange(*keys, "_task").sortWithinPartitions(*keys, "_task").drop(*keys, "_task")
+    numbered = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    here, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(here), F.lit(0)).alias("_before"), *([F.sum("_n").over(every).alias(total)] if total else []))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = numbered.withColumn("_part", part).join(F.broadcast(before), "_part")  # as many rows as tasks wrote
+    return joined.withColumn(name, inside + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
+def chunked(rows: DataFrame, order: Column | list[Column], size: int) -> DataFrame:
     """``rows`` with a chunk number: ``size`` rows each in the given order, the last may have fewer."""
     if size < 1:
         raise ValueError("a chunk holds one row at least")
-    return ranked(rows, order, key, "_rank").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
+    return ranked(rows, order, "_rank").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
 
 
 def drawn(key: Column, seed: int) -> Column:

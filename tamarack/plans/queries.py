@@ -16,6 +16,7 @@ from tamarack.functions import arrays, lcs, text
 from tamarack.operators import beams, encoding, evaluation, finalise, labels, masking, relations, validation
 from tamarack.plans import tasks
 from tamarack.sources import services
+from tamarack.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,7 +156,7 @@ def pending_anti(spark, sf_dir):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 15 AS chunk FROM documents")
 def chunked(spark, sf_dir):
-    return relations.chunked(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), F.col("doc_id"), 15).select("doc_id", "chunk")
+    return relations.chunked(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 15).select("doc_id", "chunk")
 
 
 @query(f"WITH {QA}, {NAMED}, {FLAT} SELECT id, coalesce(string_agg(label, ';' ORDER BY label), '') AS labels, count(label) AS n_labels FROM (SELECT DISTINCT id FROM flat) LEFT JOIN named USING (id) GROUP BY id")
@@ -215,7 +216,7 @@ def validate_translation(spark, sf_dir):
   SELECT 'question' AS part, 0 AS d FROM pairs UNION ALL SELECT 'answer', CASE WHEN uid % 5 = 0 THEN 1 ELSE 0 END FROM pairs) GROUP BY part""")
 def validate_masking(spark, sf_dir):
     """A reference with masks of other numbers is equal up to their names; every fifth answer differs."""
-    proposal = masked(spark, sf_dir)
+    proposal = stored(masked(spark, sf_dir), "proposal")  # both sides come from it
     other = lambda c: F.regexp_replace(F.regexp_replace(c, "([PQ])1([^0-9]|$)", "$17$2"), "([PQ])2([^0-9]|$)", "$18$2")
     reference = proposal.withColumns({c: other(F.col(c)) for c in ("q", "a")})
     proposal = proposal.withColumn("a", F.when(F.col("uid") % 5 == 0, F.concat("a", F.lit(" x"))).otherwise(F.col("a")))
@@ -299,7 +300,7 @@ _ENCODED = f"""WITH halves AS (SELECT conv_id * 100 + turn AS idx, text AS nl, r
 def data_points(spark, sf_dir):
     """Both halves of each point with their masks, under vocabularies of all words."""
     halves = _halves(spark, sf_dir)
-    words = [encoding.vocabulary(halves, c, 1 << 30) for c in ("nl", "ql")]
+    words = [encoding.vocabulary(halves, c, None) for c in ("nl", "ql")]
     out = encoding.data_points(halves, *words, 12, 4, "train")
     return out.select("idx", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("inp_ids", "inp_att_mask", "out_ids", "out_att_mask")])
 
@@ -308,7 +309,7 @@ def data_points(spark, sf_dir):
 def loaded_batches(spark, sf_dir):
     """The loader of a stage outside of training: input halves in batches, in order."""
     halves = _halves(spark, sf_dir)
-    words = [encoding.vocabulary(halves, c, 1 << 30) for c in ("nl", "ql")]
+    words = [encoding.vocabulary(halves, c, None) for c in ("nl", "ql")]
     out = encoding.loaded(halves, *words, 12, 4, "validate", 16)
     return out.select("idx", "batch", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("inp_ids", "inp_att_mask")])
 
@@ -405,7 +406,7 @@ _ONE = """'\t\tSELECT DISTINCT ?id ?label WHERE {' || chr(10) || '\t\t\tBIND("'
   SELECT chunk, 'SELECT ?id ?label WHERE {{' || chr(10) || string_agg('\t{{' || chr(10) || {_ONE} || '\t}}' || chr(10), '\tUNION' || chr(10) ORDER BY id) || '}}' AS query FROM ids GROUP BY chunk""")
 def sparql_text(spark, sf_dir):
     ids = labels.distinct_ids(qa_ids(qa(spark, sf_dir)))
-    return labels.labelling_queries(relations.chunked(ids, F.col("id"), relations.text_key(F.col("id")), 15), "nl")
+    return labels.labelling_queries(relations.chunked(ids, F.col("id"), 15), "nl")
 
 
 @query(f"WITH {QA}, {NAMED} SELECT DISTINCT id, label FROM (SELECT DISTINCT unnest(regexp_extract_all(a, '[QP][0-9]+')) AS id FROM qa) JOIN named USING (id)")
@@ -540,7 +541,7 @@ def activations(spark, sf_dir):
 def zipped_lines(spark, sf_dir):
     """Two files' lines side by side by their places."""
     pairs = qa(spark, sf_dir)
-    side = lambda c: relations.ranked(pairs.select("uid", c), F.col("uid"), F.col("uid")).select((F.col("rank") - 1).alias("idx"), c)
+    side = lambda c: relations.ranked(pairs.select("uid", c), F.col("uid")).select((F.col("rank") - 1).alias("idx"), c)
     return relations.zipped(side("q"), side("a"))
 
 

@@ -20,7 +20,7 @@ def translate(source: DataFrame, done: DataFrame, make, language: str, per_chunk
     relations.assert_covers(done, source, "uid")
     todo = relations.pending(source, done, "uid")
     chosen = source.join(todo, "uid").select("uid", text.chosen_question(F.col("question"), F.col("paraphrased_question"), F.col("NNQT_question")).alias("question"))
-    chunks = relations.chunked(chosen.select("uid"), F.col("uid"), F.col("uid"), per_chunk)
+    chunks = relations.chunked(chosen.select("uid"), F.col("uid"), per_chunk)
     return services.translated(chosen, make, language).join(chunks, "uid")
 
 
@@ -38,7 +38,7 @@ def replace_errors(texts: DataFrame, replacements: DataFrame) -> DataFrame:
 def label_ids(ids: DataFrame, done: DataFrame, make, language: str, per_request: int = 15, pause: float = 3.0) -> DataFrame:
     """(id, labels) of ids without labels so far."""
     todo = relations.pending(labels.distinct_ids(ids), done, "id")
-    chunks = relations.chunked(todo, F.col("id"), relations.text_key(F.col("id")), per_request)
+    chunks = relations.chunked(todo, F.col("id"), per_request)
     found = services.labelled(labels.labelling_queries(chunks, language), make, pause)
     return labels.from_bindings(todo, found)
 
@@ -50,13 +50,18 @@ def saved_by_chunk(todo: DataFrame, work: Callable[[DataFrame], DataFrame], sink
     broken off has appended is done: the next one starts from what is left.
     """
     spark, plan = todo.sparkSession, sink.rstrip("/") + ".todo"
-    todo.write.mode("overwrite").parquet(plan)
-    todo = spark.read.schema(todo.schema).parquet(plan)
-    last = todo.agg(F.max("chunk")).collect()[0][0]
-    starts = range(0, -1 if last is None else last + 1, at_once)
-    for a in starts:
-        work(todo.where(F.col("chunk").between(a, a + at_once - 1))).write.mode("append").parquet(sink)
-    return len(starts)
+    # one folder for each append, so that none reads the others' rows
+    turn = F.floor(F.col("chunk") / at_once).cast("long")
+    todo.withColumn("turn", turn).repartition("turn").write.mode("overwrite").partitionBy("turn").parquet(plan)
+    last = spark.read.schema(f"{ddl(todo)}, turn long").parquet(plan).agg(F.max("turn")).first()[0]
+    turns = range(0, -1 if last is None else last + 1)
+    for k in turns:
+        work(spark.read.schema(todo.schema).parquet(f"{plan}/turn={k}")).write.mode("append").parquet(sink)
+    return len(turns)
+
+
+def ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
 
 def translate_into(source: DataFrame, sink: str, make, language: str, per_chunk: int = 1000, at_once: int = 1) -> int:
@@ -66,7 +71,7 @@ def translate_into(source: DataFrame, sink: str, make, language: str, per_chunk:
     todo = source.select("uid") if done is None else relations.pending(source, done, "uid")
     chosen = source.join(todo.distinct(), "uid").select("uid", text.chosen_question(F.col("question"), F.col("paraphrased_question"), F.col("NNQT_question")).alias("question"))
     work = lambda rows: services.translated(rows, make, language)
-    return saved_by_chunk(relations.chunked(chosen, F.col("uid"), F.col("uid"), per_chunk).select("uid", "question", "chunk"), work, sink, at_once)
+    return saved_by_chunk(relations.chunked(chosen, F.col("uid"), per_chunk).select("uid", "question", "chunk"), work, sink, at_once)
 
 
 def label_into(ids: DataFrame, sink: str, make, language: str, per_request: int = 15, pause: float = 3.0, at_once: int = 100) -> int:
@@ -75,7 +80,7 @@ def label_into(ids: DataFrame, sink: str, make, language: str, per_request: int
     done = files.readable(spark, sink, schemas.LABELS)
     wanted = labels.distinct_ids(ids)
     todo = wanted if done is None else relations.pending(wanted, done, "id")
-    chunks = relations.chunked(todo, F.col("id"), relations.text_key(F.col("id")), per_request)
+    chunks = relations.chunked(todo, F.col("id"), per_request)
     work = lambda rows: labels.from_bindings(rows, services.labelled(labels.labelling_queries(rows, language), make, pause))
     return saved_by_chunk(chunks.select("id", "chunk"), work, sink, at_once)
 

@@ -69,12 +69,12 @@ def test_partition_order(spark):
 
 def test_chunks_and_ranks(spark):
     ids = spark.range(57).select(F.col("id"))
-    got = relations.chunked(ids, F.col("id"), F.col("id"), 20).groupBy("chunk").count()
+    got = relations.chunked(ids, F.col("id"), 20).groupBy("chunk").count()
     assert rows(got) == [(0, 20), (1, 20), (2, 17)]
-    assert rows(relations.chunked(ids.where("id < 0"), F.col("id"), F.col("id"), 20)) == []
+    assert rows(relations.chunked(ids.where("id < 0"), F.col("id"), 20)) == []
     with pytest.raises(ValueError):
-        relations.chunked(ids, F.col("id"), F.lit(0), 0)
-    assert rows(relations.ranked(ids, -F.col("id"), -F.col("id")).where("rank <= 2")) == [(55, 2), (56, 1)]
+        relations.chunked(ids, F.col("id"), 0)
+    assert rows(relations.ranked(ids, -F.col("id")).where("rank <= 2")) == [(55, 2), (56, 1)]
 
 
 def test_sets(spark):
