@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import arrays
+from tamarack.sources.scratch import stored
 
 #: The score of anything after an end token: a fixed value.
 IMPROBABLE = -1e20
+#: How much two log probabilities may differ and still give one score when a long sequence's is added.
+NEAR = 1e-6
 
 
 def top_beams(scores: DataFrame, k: int) -> DataFrame:
@@ -25,78 +24,80 @@ def top_beams(scores: DataFrame, k: int) -> DataFrame:
     return flat.withColumn("rank", rank).where(F.col("rank") <= k).select("seq", "step", (F.col("rank") - 1).alias("rank"), F.col("beam").alias("dep_beam"), "token", "score")
 
 
-class BeamSearch:
-    """One sequence's beams: scores now, and for each step the parents and tokens chosen."""
-
-    def __init__(self, k: int, start: int, end: int):
-        self.k, self.end = k, end
-        self.scores = [0.0] * k
-        self.tokens = [[start] + [0] * (k - 1)]
-        self.parents: list[list[int]] = []
-        self.finished: list[tuple[float, int, int]] = []
-        self.best_ended = False
-
-    def advance(self, rows) -> None:
-        """One step: ``rows`` holds the log probabilities that follow each beam."""
-        options = np.array([np.asarray(r, np.float64) for r in (rows[: self.k] if self.parents else rows[:1])])
-        if self.parents:
-            options += np.array(self.scores)[: len(options), None]
-            options[[t == self.end for t in self.tokens[-1][: len(options)]]] = IMPROBABLE
-        flat, width = options.ravel(), options.shape[1]
-        at = np.arange(len(flat))
-        if len(flat) > self.k:  # all that are as good as the k-th, so that ties go by their place
-            at = np.flatnonzero(flat >= np.partition(flat, len(flat) - self.k)[len(flat) - self.k])
-        at = at[np.lexsort((at, -flat[at]))][: self.k]
-        self.scores, beams, tokens = flat[at].tolist(), (at // width).tolist(), (at % width).tolist()
-        self.parents.append(beams)
-        self.tokens.append(tokens)
-        self.finished += [(s, len(self.parents), i) for i, (s, t) in enumerate(zip(self.scores, tokens, strict=True)) if t == self.end]
-        self.best_ended |= bool(tokens) and tokens[0] == self.end
-
-    def current(self) -> tuple[list[int], list[int]]:
-        """The last step's tokens, and the beams that they follow (none before the first step)."""
-        return self.tokens[-1], self.parents[-1] if self.parents else []
-
-    def done(self) -> bool:
-        return self.best_ended and len(self.finished) >= self.k
-
-    def final(self) -> list[tuple[float, int, int]]:
-        """The finished beams by score, filled up with the best of the others; with none finished, beam 0 comes first besides."""
-        steps = len(self.parents)
-        out = sorted(self.finished or [(self.scores[0], steps, 0)], key=lambda b: -b[0])
-        rest = sorted(((self.scores[i], steps, i) for i, t in enumerate(self.tokens[-1]) if t != self.end), key=lambda b: -b[0])
-        return (out + rest[: max(0, self.k - len(out))])[: self.k]
-
-    def sentence(self, beam: tuple[float, int, int]) -> list[int]:
-        """The tokens on the way to a beam, up to its end token."""
-        _, steps, at = beam
-        out = []
-        for step in range(steps, 0, -1):
-            out.append(self.tokens[step][at])
-            at = self.parents[step - 1][at]
-        out.reverse()
-        return out[: out.index(self.end)] if self.end in out else out
-
-
-def _decoder(k: int, start: int, end: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        search = BeamSearch(k, start, end)
-        for _, step in rows.sort_values(["step", "beam"]).groupby("step", sort=True):
-            if search.done():
-                break
-            search.advance(list(step["logprobs"]))
-        best = search.final()
-        return pd.DataFrame({"seq": rows["seq"].iloc[0], "rank": range(len(best)), "score": [b[0] for b in best], "tokens": [search.sentence(b) for b in best]})
-
-    return run
+def candidates(logprobs: DataFrame, k: int) -> DataFrame:
+    """(seq, n, rows): the steps of each sequence, counted from 1, with what each of the first k beams may go on with.
+
+    A beam's successors among the k best of all beams are among its own k best, or as good as those once scores are
+    added and rounded, or the first k tokens where nothing tells them apart any more.
+    """
+    best = F.array_sort(F.transform("logprobs", lambda x: -x))
+    edge = -F.get(best, F.least(F.lit(k), F.size("logprobs")) - 1) - NEAR
+    some = F.filter(F.transform("logprobs", lambda x, i: F.struct(i.cast("int").alias("token"), x.alias("lp"))), lambda c: (c["lp"] >= F.col("edge")) | (c["token"] < k))
+    each = logprobs.withColumn("edge", edge).select("seq", "step", "beam", some.alias("options"))
+    place = F.row_number().over(Window.partitionBy("seq", "step").orderBy("beam"))
+    few = each.withColumn("place", place).where(F.col("place") <= k)
+    steps = few.groupBy("seq", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "options"))), lambda x: x["options"]).alias("rows"))  # k at most
+    return steps.withColumn("n", F.row_number().over(Window.partitionBy("seq").orderBy("step"))).select("seq", "n", "rows")
+
+
+#: Every row holds one sequence's beams, best first; the next step's come from them and the options that follow each.
+SEARCH = """WITH RECURSIVE search(seq, n, beams, finished, best_ended) MAX RECURSION LEVEL {{level}} AS (
+  SELECT seq, 0, array(named_struct('score', CAST(0 AS DOUBLE), 'token', {start}, 'dep', 0)), 0, false FROM (SELECT seq FROM {{steps}} WHERE n = 1)
+  UNION ALL
+  SELECT seq, n, beams, finished + size(filter(beams, b -> b.token = {end})), best_ended OR coalesce(beams[0].token = {end}, false) FROM (
+    SELECT s.seq, t.n, s.finished, s.best_ended, transform(slice(array_sort(flatten(transform(slice(t.rows, 1, size(s.beams)), (options, i) ->
+      transform(options, c -> named_struct('loss', -(CASE WHEN s.n > 0 AND s.beams[i].token = {end} THEN {improbable} ELSE s.beams[i].score + c.lp END), 'dep', i, 'token', c.token))))), 1, {k}),
+      x -> named_struct('score', -x.loss, 'token', x.token, 'dep', x.dep)) AS beams
+    FROM search s JOIN {{steps}} t ON t.seq = s.seq AND t.n = s.n + 1 WHERE NOT (s.best_ended AND s.finished >= {k})))
+  SELECT seq, n, beams FROM search WHERE n > 0"""
+
+#: From final beams back to the first step, one token a round.
+TRACE = """WITH RECURSIVE path(seq, rank, score, n, at, tokens) MAX RECURSION LEVEL {{level}} AS (
+  SELECT seq, rank, score, n, at, CAST(array() AS array<int>) FROM {{final}}
+  UNION ALL
+  SELECT p.seq, p.rank, p.score, p.n - 1, c.dep, concat(array(c.token), p.tokens) FROM path p JOIN {{chosen}} c ON c.seq = p.seq AND c.n = p.n AND c.at = p.at)
+  SELECT seq, rank, score, CASE WHEN array_contains(tokens, {end}) THEN slice(tokens, 1, CAST(array_position(tokens, {end}) AS INT) - 1) ELSE tokens END AS tokens FROM path WHERE n = 0"""
+
+
+def _recursive(spark: SparkSession, query: str, level: int, **frames: DataFrame) -> DataFrame:
+    # Spark's bound on rows is meant for recursions that never end; these end with the steps that they join
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(query, level=level, **frames)
+
+
+def searched(logprobs: DataFrame, k: int, start: int, end: int) -> tuple[DataFrame, int]:
+    """(seq, n, at, score, token, dep): the beams chosen at each step with the ones they follow, and the number of steps.
+
+    A sequence is done when its best beam has ended at some step and k beams have ended in all.
+    """
+    spark = logprobs.sparkSession
+    steps = stored(candidates(logprobs, k), "steps")
+    most = steps.agg(F.max("n")).first()[0] or 0
+    query = SEARCH.format(start=start, end=end, k=k, improbable=f"CAST({IMPROBABLE} AS DOUBLE)")
+    beams = stored(_recursive(spark, query, most + 2, steps=steps), "beams")
+    return beams.select("seq", "n", F.posexplode("beams").alias("at", "b")).select("seq", "n", "at", "b.*"), most
+
+
+def final(chosen: DataFrame, k: int, end: int) -> DataFrame:
+    """(seq, rank, score, n, at): the ended beams by score, filled up with the best of the last step's others; with none ended, its first beam comes first besides."""
+    ended = F.col("token") == end
+    whole = chosen.withColumns({"last": F.max("n").over(Window.partitionBy("seq")), "some": F.max(ended.cast("int")).over(Window.partitionBy("seq"))})
+    last = F.col("n") == F.col("last")
+    roles = F.array_compact(F.array(F.when(ended | (last & (F.col("at") == 0) & (F.col("some") == 0)), F.lit(0)), F.when(last & ~ended, F.lit(1))))
+    each = whole.select("seq", "n", "at", "score", F.explode(roles).alias("role"))
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy("role", F.desc("score"), "n", "at")) - 1
+    return each.withColumn("rank", rank).where(F.col("rank") < k).select("seq", "rank", "score", "n", "at")
 
 
 def decode(logprobs: DataFrame, k: int, start: int, end: int) -> DataFrame:
     """(seq, rank, score, tokens) of the k final beams of each sequence, given (seq, step, beam, logprobs) for every step.
 
-    A sequence's steps depend on each other and are few, so each is one group.
+    Both directions are recursive queries: forward, each round joins the beams so far with the next step's options of all
+    sequences; backward, each final beam follows its pointers. Rounds are as many as the longest sequence has steps.
     """
-    return logprobs.groupBy("seq").applyInPandas(_decoder(k, start, end), "seq long, rank int, score double, tokens array<int>")
+    chosen, most = searched(logprobs, k, start, end)
+    query = TRACE.format(end=end)
+    return _recursive(logprobs.sparkSession, query, most + 2, final=final(chosen, k, end), chosen=chosen)
 
 
 def padded(beams: DataFrame, length: int, pad: int = 0) -> DataFrame:
@@ -110,12 +111,3 @@ def sentences(beams: DataFrame, words: DataFrame, pad: int = 0) -> DataFrame:
     flat = best.select("seq", F.posexplode_outer("t").alias("pos", "id")).join(words, "id", "left")
     out = flat.groupBy("seq").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("l"))
     return out.select("seq", F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("sentence"))
-
-
-def stream(search: BeamSearch, model: Callable[[list[int], list[int]], list[list[float]]], most: int) -> Iterator[int]:
-    """Advance a search with a model's callback until it is done or ``most`` steps are made; yields the steps."""
-    for step in range(most):
-        if search.done():
-            return
-        search.advance(model(*search.current()))
-        yield step

@@ -13,7 +13,8 @@ def label_match(question: Column, label: Column, mode: str = "literal") -> Colum
     """struct(label, start, end) of the label's first place in the question, counted from 1; start null if it has none.
 
     'literal' looks for the label's characters. 'regex' reads a label as a pattern in which only brackets are
-    literal; a label that is no valid pattern then fails the job.
+    literal; a label that is no valid pattern then fails the job. ``masked_pairs`` replaces the label as a pattern throughout, brackets
+    too, as the format does: a label in brackets is found as it stands, and then each of its characters is replaced.
     """
     if mode == "literal":
         start, size = F.position(label, question), F.length(label)

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import arrays, lcs, text
-from tamarack.operators import beams, encoding, evaluation, finalise, labels, masking, relations, validation
+from tamarack.operators import beams, encoding, epochs, evaluation, finalise, labels, masking, relations, substrings, subwords, validation
 from tamarack.plans import tasks
-from tamarack.sources import services
-from tamarack.sources.scratch import stored
+from tamarack.sources import entries, files, services, versions
+from tamarack.sources.scratch import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -366,12 +366,41 @@ def beam_topk(spark, sf_dir):
     return beams.top_beams(scores, 4).select("seq", "rank", "dep_beam", "token", "score")
 
 
-@query()
-def beam_search(spark, sf_dir):
-    """Four steps of two beams for each group of eight vectors, taken as log probabilities."""
+def _beam_sql(k: int, end: int) -> str:
+    """The whole search in DuckDB: rows of beams instead of lists, a window in each round."""
+    return f"""WITH RECURSIVE f AS (SELECT vec_id // 8 AS seq, vec_id // 2 % 4 AS step, vec_id % 2 AS beam, unnest(range(64)) AS tok, unnest(embedding)::DOUBLE AS lp FROM embeddings WHERE vec_id % 2 < {k}),
+  steps AS (SELECT seq, step, row_number() OVER (PARTITION BY seq ORDER BY step) AS n FROM (SELECT DISTINCT seq, step FROM f)),
+  search AS (SELECT DISTINCT seq, 0::BIGINT AS n, 0::BIGINT AS place, 0::BIGINT AS dep, 1::BIGINT AS token, 0::DOUBLE AS score, 0::BIGINT AS finished, false AS best FROM f
+    UNION ALL SELECT seq, n, place, dep, token, score, finished + CAST(sum(CASE WHEN token = {end} THEN 1 ELSE 0 END) OVER (PARTITION BY seq) AS BIGINT), best OR bool_or(place = 0 AND token = {end}) OVER (PARTITION BY seq) FROM (
+      SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, dep, token) - 1 AS place FROM (
+        SELECT s.seq, t.n, s.place AS dep, f.tok AS token, CASE WHEN s.n > 0 AND s.token = {end} THEN -1e20 ELSE s.score + f.lp END AS score, s.finished, s.best
+        FROM search s JOIN steps t ON t.seq = s.seq AND t.n = s.n + 1 JOIN f ON f.seq = t.seq AND f.step = t.step AND f.beam = s.place WHERE NOT (s.best AND s.finished >= {k})) QUALIFY place < {k})),
+  chosen AS (SELECT * FROM search WHERE n > 0), ends AS (SELECT seq, max(n) AS last, bool_or(token = {end}) AS any_end FROM chosen GROUP BY seq),
+  roles AS (SELECT c.*, 0 AS role FROM chosen c JOIN ends USING (seq) WHERE token = {end} OR (n = last AND place = 0 AND NOT any_end) UNION ALL SELECT c.*, 1 FROM chosen c JOIN ends USING (seq) WHERE n = last AND token <> {end}),
+  final AS (SELECT seq, n, place, score, row_number() OVER (PARTITION BY seq ORDER BY role, score DESC, n, place) - 1 AS rank FROM roles QUALIFY rank < {k}),
+  path AS (SELECT seq, rank, score, n, place, []::BIGINT[] AS tokens FROM final UNION ALL SELECT p.seq, p.rank, p.score, p.n - 1, c.dep, list_concat([c.token], p.tokens) FROM path p JOIN chosen c ON c.seq = p.seq AND c.n = p.n AND c.place = p.place)
+  SELECT seq, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, array_to_string(CASE WHEN list_contains(tokens, {end}) THEN tokens[: list_position(tokens, {end}) - 1] ELSE tokens END, ',') AS tokens FROM path WHERE n = 0"""
+
+
+def _beam_steps(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    steps = vectors.select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.floor(F.col("vec_id") / 2) % 4).cast("int").alias("step"), (F.col("vec_id") % 2).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
-    return beams.decode(steps, 2, 1, 2)
+    return vectors.select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.floor(F.col("vec_id") / 2) % 4).cast("int").alias("step"), (F.col("vec_id") % 2).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
+
+
+def _beam_rows(found: DataFrame) -> DataFrame:
+    return found.select("seq", "rank", F.round("score", 6).alias("score"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+@query(_beam_sql(2, 2))
+def beam_search(spark, sf_dir):
+    """Four steps of two beams for each group of eight vectors, taken as log probabilities, with an end token."""
+    return _beam_rows(beams.decode(_beam_steps(spark, sf_dir), 2, 1, 2))
+
+
+@query(_beam_sql(2, 7))
+def beam_search_greedy_ends(spark, sf_dir):
+    """The same with another end token, whose searches stop at other steps."""
+    return _beam_rows(beams.decode(_beam_steps(spark, sf_dir), 2, 1, 7))
 
 
 SUBSTRINGS = "list_distinct(flatten(list_transform(range(1, length({c}) + 1), lambda i: list_transform(range(1, length({c}) - i + 2), lambda k: substr({c}, i, k)))))"
@@ -484,7 +513,7 @@ def beam_two_steps(spark, sf_dir):
     """Two steps of two beams without an end: the first beam stands for the finished ones that are missing, then again for itself."""
     vectors = table(spark, sf_dir, "embeddings")
     steps = vectors.select(F.floor(F.col("vec_id") / 4).alias("seq"), (F.floor(F.col("vec_id") / 2) % 2).cast("int").alias("step"), (F.col("vec_id") % 2).cast("int").alias("beam"), F.col("embedding").cast("array<double>").alias("logprobs"))
-    return beams.decode(steps, 2, 1, 999).select("seq", "rank", F.round("score", 6).alias("score"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+    return _beam_rows(beams.decode(steps, 2, 1, 999))
 
 
 @query("SELECT n_nationkey AS epoch, n_nationkey * 37 % 11 / 10 AS bleu, max(n_nationkey * 37 % 11 / 10) OVER w AS best_before, coalesce(n_nationkey * 37 % 11 / 10 > max(n_nationkey * 37 % 11 / 10) OVER w, true) AS improved FROM nation WINDOW w AS (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -558,13 +587,18 @@ def translate_task(spark, sf_dir):
 _EVALUATED = f"""{_detok_sql(FINISHED_A)}"""
 
 
-@query(f"""WITH {QA}, s AS (SELECT uid, {_EVALUATED} AS t FROM qa), w AS (SELECT uid, string_split_regex(CASE WHEN uid % 3 = 0 THEN t || ' extra word' ELSE t END, '\\s+') AS p, string_split_regex(t, '\\s+') AS r FROM s),
+def _epoch_sql(third: int) -> str:
+    """(n, bleu) where every answer whose uid ``third`` divides has two words too many."""
+    return f"""WITH {QA}, s AS (SELECT uid, {_EVALUATED} AS t FROM qa), w AS (SELECT uid, string_split_regex(CASE WHEN uid % {third} = 0 THEN t || ' extra word' ELSE t END, '\\s+') AS p, string_split_regex(t, '\\s+') AS r FROM s),
   ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
   ours AS (SELECT uid, n, g, count(*) AS c FROM (SELECT uid, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(list_slice(p, i, i + n - 1), ' '))) AS g FROM w, ns) GROUP BY ALL),
   theirs AS (SELECT uid, n, g, count(*) AS rc FROM (SELECT uid, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(list_slice(r, i, i + n - 1), ' '))) AS g FROM w, ns) GROUP BY ALL),
   hits AS (SELECT n, sum(least(c, rc)) AS hit FROM ours JOIN theirs USING (uid, n, g) GROUP BY n),
   totals AS (SELECT n, sum(greatest(1, len(p) - n + 1)) AS total FROM w, ns GROUP BY n), sizes AS (SELECT sum(len(p)) AS h, sum(len(r)) AS r FROM w)
-  SELECT count AS n, round(100 * CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * p, 6) AS bleu FROM sizes, (SELECT exp(avg(ln(hit / total))) AS p FROM totals JOIN hits USING (n)), (SELECT count(*) AS count FROM w)""")
+  SELECT count AS n, round(100 * CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * p, 6) AS bleu FROM sizes, (SELECT exp(avg(ln(hit / total))) AS p FROM totals JOIN hits USING (n)), (SELECT count(*) AS count FROM w)"""
+
+
+@query(_epoch_sql(3))
 def evaluation_epoch(spark, sf_dir):
     """An epoch from best beams to its score: beams become sentences, meet the truth, and are compared."""
     sentences = qa(spark, sf_dir).select(F.col("uid").alias("idx"), text.prediction_joined(text.answer_finished(F.col("a"))).alias("t"))
@@ -574,3 +608,108 @@ def evaluation_epoch(spark, sf_dir):
     ids = flat.join(words, "token").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l"))
     best = ids.select(F.col("idx").alias("seq"), F.lit(0).alias("rank"), F.transform("l", lambda x: x["id"]).alias("tokens"))
     return evaluation.epoch(best, words, sentences.select("idx", F.col("t").alias("ql"))).select("n", F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"""WITH {QA}, f AS (SELECT uid, q, a FROM qa) SELECT CAST(uid AS VARCHAR) AS uid, q, a FROM f""")
+def pair_files(spark, sf_dir):
+    """Masked-pair files: an object from each task, read back entry by entry from byte ranges."""
+    folder = scratch(spark, "pairs")
+    versions.write_parts(qa(spark, sf_dir), "uid", F.struct("q", "a"), folder)
+    return entries.map_entries(spark, folder, "struct<q:string,a:string>").select(F.col("key").alias("uid"), "value.q", "value.a")
+
+
+@query(f"""WITH {QA}, {FLAT}, ids AS (SELECT uid, string_agg(id, ',' ORDER BY id) AS ids FROM flat GROUP BY uid)
+  SELECT CAST(uid AS VARCHAR) AS uid, CASE WHEN uid % 6 = 0 THEN 'none' ELSE ids END AS ids FROM ids""")
+def grown_map(spark, sf_dir):
+    """An id map written, then added to: even uids first, then the others and every third of the even ones anew."""
+    ids, path = qa_ids(qa(spark, sf_dir)).select(F.col("uid").cast("string").alias("key"), F.col("ids").alias("value"), "uid"), scratch(spark, "map")
+    files.append_map(ids.where("uid % 2 = 0").select("key", "value"), path)
+    again = F.when(F.col("uid") % 6 == 0, F.array(F.lit("none"))).otherwise(F.col("value"))
+    files.append_map(ids.where("uid % 2 = 1 OR uid % 6 = 0").select("key", again.alias("value")), path)
+    return versions.read_map(spark, path, "array<string>").select(F.col("key").alias("uid"), F.array_join("value", ",").alias("ids"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey, half) - 1 AS place, o_orderkey AS uid, o_orderpriority AS question FROM orders, (SELECT unnest([0, 1]) AS half) WHERE half = o_orderkey % 2 AND half = 0 UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) + row_number() OVER (ORDER BY o_orderkey) - 1, o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1")
+def grown_list(spark, sf_dir):
+    """A question array written and added to: even keys, then odd ones, read back in order."""
+    path, orders = scratch(spark, "list"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("question"), F.col("o_orderkey").alias("at"))
+    for half in (0, 1):
+        versions.append_list(orders.where(F.col("at") % 2 == half), "at", path)
+    rows = versions.read_list(spark, path, "uid bigint, question string")
+    return relations.ranked(rows, F.col("order"), "rank").select((F.col("rank") - 1).alias("place"), "uid", "question")
+
+
+@query(f"""WITH {QA}, placed AS (SELECT *, row_number() OVER (ORDER BY CAST(uid AS VARCHAR)) AS r, floor(count(*) OVER () * 0.1) AS m FROM qa)
+  SELECT CAST(r - 1 - m AS BIGINT) AS idx, q AS nl, a AS ql FROM placed WHERE r > m""")
+def parallel_files(spark, sf_dir):
+    """The train part as two line-aligned files of many parts, read back by their lines' numbers."""
+    folder = scratch(spark, "parallel")
+    files.write_parallel(finalise.partitioned(qa(spark, sf_dir), "train", 0.1), folder, "nl")
+    return files.read_parallel(spark, *files.parallel_paths(folder, "train", "nl"))
+
+
+@query()
+def benchmark_overlap(spark, sf_dir):
+    """Of each document the longest passage that any benchmark item holds too, letter by letter."""
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    right = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("id"), "text")
+    return substrings.longest_with_any(left, right).select(F.col("id").alias("doc_id"), "length", "common")
+
+
+@query(f"""WITH ours AS (SELECT p_partkey, unnest({SUBSTRINGS.format(c='p_name')}) AS x FROM part), theirs AS (SELECT DISTINCT unnest({SUBSTRINGS.format(c='t')}) AS x FROM (SELECT DISTINCT lower(p_type) || ' ' || p_brand AS t FROM part))
+  SELECT p_partkey, first(CAST(length(x) AS BIGINT) ORDER BY length(x) DESC, x) AS length, first(x ORDER BY length(x) DESC, x) AS common FROM ours JOIN theirs USING (x) GROUP BY p_partkey""")
+def longest_common_any(spark, sf_dir):
+    """What a part's name shares at most with any part's type and brand."""
+    part = table(spark, sf_dir, "part")
+    kinds = part.select(F.concat(F.lower("p_type"), F.lit(" "), F.col("p_brand")).alias("text")).distinct().withColumn("id", F.xxhash64("text"))
+    found = substrings.longest_with_any(part.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("text")), kinds)
+    return found.select(F.col("id").alias("p_partkey"), "length", "common")
+
+
+def _whole_pieces(most: int) -> str:
+    return f"""counts AS (SELECT token AS word, count(*) AS n FROM (SELECT unnest({WORDS}) AS token FROM points) GROUP BY token),
+  common AS (SELECT 0 AS kind, -n AS o, word AS piece FROM counts WHERE length(word) BETWEEN 2 AND 32 ORDER BY n DESC, word LIMIT {most}),
+  letters AS (SELECT DISTINCT 1 AS kind, 0 AS o, unnest(string_split(word, '')) AS piece FROM counts),
+  pieces AS (SELECT piece, begins, row_number() OVER (ORDER BY kind, o, piece, NOT begins) + 3 AS id FROM (SELECT * FROM common UNION ALL SELECT * FROM letters WHERE piece <> ''), (SELECT unnest([true, false]) AS begins))"""
+
+
+@query(f"""WITH RECURSIVE {POINTS}, {_whole_pieces(300)}, front AS (SELECT idx, list_slice({WORDS}, 1, 14) AS w FROM points), flat AS (SELECT idx, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM front),
+  walk AS (SELECT DISTINCT word, 0::BIGINT AS place, []::BIGINT[] AS ids FROM flat
+    UNION ALL SELECT word, place + length(piece), list_concat(ids, [id]) FROM (SELECT w.*, piece, id FROM walk w JOIN pieces p ON p.begins = (w.place = 0) AND substr(w.word, w.place + 1, length(p.piece)) = p.piece WHERE w.place < length(w.word)) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(piece) DESC) = 1),
+  whole AS (SELECT idx, list_concat(list_concat([1], list_slice(flatten(list(ids ORDER BY pos)), 1, 14)), [2]) AS l FROM flat JOIN walk USING (word) WHERE place = length(word) GROUP BY idx)
+  SELECT idx, array_to_string(list_concat(l, list_transform(range(16 - len(l)), lambda x: 0)), ',') AS ids, CAST(len(l) AS BIGINT) AS used FROM whole""")
+def encode_pieces(spark, sf_dir):
+    """Subword ids: common words and single characters, the longest that fits first."""
+    points = _points(spark, sf_dir)
+    out = subwords.encoded(points, "text", subwords.pieces(points, "text", 300), 16)
+    return out.select("idx", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("used"))
+
+
+@query(f"WITH scored AS ({' UNION ALL '.join(f'SELECT {e} AS epoch, * FROM ({_epoch_sql(k)})' for e, k in enumerate((3, 2, 5)))}) SELECT CAST(epoch AS BIGINT) AS epoch, n, bleu, max(bleu) OVER w AS best_before, coalesce(bleu > max(bleu) OVER w, true) AS improved FROM scored WINDOW w AS (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def training_epochs(spark, sf_dir):
+    """Three epochs whose predictions go wrong for every third, second and fifth pair; the run is broken off after the second and goes on."""
+    folder = scratch(spark, "training")
+    truth = qa(spark, sf_dir).select(F.col("uid").alias("idx"), text.prediction_joined(text.answer_finished(F.col("a"))).alias("t"))
+    truth = stored(truth.select("idx", text.words_of(F.col("t")).alias("words")), "truth")
+    wrong = (3, 2, 5)
+    state = lambda e: truth.select("idx", F.when(F.col("idx") % wrong[e] == 0, F.concat("words", F.array(F.lit("extra"), F.lit("word")))).otherwise(F.col("words")).alias("pred"))
+    pairs = lambda e, now: now.join(truth, "idx").select("idx", "pred", F.array("words").alias("refs"))
+    epochs.run(spark, folder, 2, state, pairs)
+    found = epochs.run(spark, folder, 3, state, pairs)
+    return found.select("epoch", "n", F.round("bleu", 6).alias("bleu"), F.round("best_before", 6).alias("best_before"), "improved")
+
+
+_SIGNS = """WITH qa AS (SELECT o_orderkey AS uid, 'Wat is [' || n_name || '] van ' || c_name || '?' AS q, 'SELECT wd:Q' || c_custkey || ' wdt:P' || n_nationkey AS a, c_custkey, n_nationkey, n_name, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  named AS (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN '[' || n_name || ']' ELSE left(n_name, 2) || '.' || substr(n_name, 4) END AS p, replace(c_name, '#', '.') AS c FROM qa)"""
+
+
+@query(f"{_SIGNS} SELECT uid, regexp_replace(regexp_replace(q, p, 'P1', 'g'), c, 'Q1', 'g') AS q, replace(replace(a, 'P' || n_nationkey, 'P1'), 'Q' || c_custkey, 'Q1') AS a FROM named")
+def mask_by_signs(spark, sf_dir):
+    """Labels with signs, read as patterns: a point stands for any character; brackets are looked for as they are, but replaced as a class of
+    characters, which the format has always done."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    pairs = rows.select(F.col("o_orderkey").alias("uid"), F.concat(F.lit("Wat is ["), "n_name", F.lit("] van "), "c_name", F.lit("?")).alias("q"), F.concat(F.lit("SELECT wd:Q"), F.col("c_custkey").cast("string"), F.lit(" wdt:P"), F.col("n_nationkey").cast("string")).alias("a"))
+    place = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("["), "n_name", F.lit("]"))).otherwise(F.concat(F.expr("left(n_name, 2)"), F.lit("."), F.expr("substr(n_name, 4)")))
+    named = nation.select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("id"), F.array(place).alias("labels")).unionByName(customer.select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.replace("c_name", F.lit("#"), F.lit("."))).alias("labels")))
+    return masking.masked_pairs(pairs, qa_ids(pairs), named, mode="regex")

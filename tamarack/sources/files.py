@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tamarack import schemas
+from tamarack.operators import relations
+from tamarack.sources import versions
 
 
 def _path(spark: SparkSession, path: str):
@@ -20,6 +22,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+#: Bytes of a file up to which one task reads it: less than a range that Spark would cut.
+RANGE = 16 << 20
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, at = _path(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
 def ensure_directory(spark: SparkSession, path: str) -> None:
     fs, at = _path(spark, path)
     fs.mkdirs(at)
@@ -36,19 +47,26 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def read_map(spark: SparkSession, path: str, value: str = "string", missing: str = "error") -> DataFrame | None:
     """A JSON object as (pos, key, value); ``value`` is the type of its values.
 
-    Of a repeated key the last value counts. A missing file is an error, or None with missing='none', or no
+    Of a repeated key the last value counts; ``pos`` rises with the place in the file. A file of one byte range is read by the
+    one task that it makes, a larger one by many (``entries``), and one that ``append_map`` has added to by its generations. A missing file is an error, or None with missing='none', or no
     rows with missing='empty'. Anything but an object is an error.
     """
+    if exists(spark, versions.versions_of(path)):
+        rows = versions.read_map(spark, path, value)
+        return relations.ranked(rows, F.col("order"), "pos").select("pos", "key", "value")
     if not exists(spark, path):
         if missing == "none":
             return None
         if missing == "empty":
-            return spark.createDataFrame([], f"pos int, key string, value {value}")
+            return spark.createDataFrame([], f"pos long, key string, value {value}")
         raise FileNotFoundError(path)
+    if size(spark, path) > RANGE:
+        rows = versions.read_map(spark, path, value)
+        return rows.select("order.pos", "key", "value")
     whole = spark.read.text(path, wholetext=True)
     fine = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("{"), F.from_json("value", f"map<string,{value}>"))
     parsed = whole.select(F.coalesce(fine, F.raise_error(F.lit(f"no JSON object in {path}")).cast(f"map<string,{value}>")).alias("m"))
-    entries = parsed.select(F.posexplode(F.map_entries("m")).alias("pos", "e")).select("pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    entries = parsed.select(F.posexplode(F.map_entries("m")).alias("pos", "e")).select(F.col("pos").cast("long").alias("pos"), F.col("e.key").alias("key"), F.col("e.value").alias("value"))
     last = entries.groupBy("key").agg(F.max_by(F.struct("pos", "value"), "pos").alias("x"))
     return last.select(F.col("x.pos").alias("pos"), "key", F.col("x.value").alias("value"))
 
@@ -81,12 +99,18 @@ def read_lists(spark: SparkSession, path: str, key: str, values: str, missing: s
 
 
 def write_map(rows: DataFrame, key: str, value: Column, path: str) -> None:
-    """One JSON object, keys in the order of their bytes; for the exchange format of small files. Large results go to Parquet:
-    above MOST_ENTRIES rows this is an error."""
+    """One JSON object in one file, keys in the order of their bytes: the exchange format of small maps.
+
+    It stands in place of all that was there. A file is one task's work, so above MOST_ENTRIES rows it is an error;
+    ``versions.write_parts`` writes any number.
+    """
     if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} rows for one JSON object: write Parquet instead")
+        raise ValueError(f"more than {MOST_ENTRIES} rows for one JSON object: write its parts instead")
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), value.alias("value"))))
     rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    spark = rows.sparkSession
+    if exists(spark, versions.versions_of(path)):
+        versions.replaced(spark, path, [path])
 
 
 def write_texts(rows: DataFrame, path: str) -> None:
@@ -109,17 +133,12 @@ def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
 MOST_ENTRIES = 5_000_000
 
 
-def append_map(rows: DataFrame, path: str, value: str = "array<string>") -> None:
+def append_map(rows: DataFrame, path: str) -> None:
     """Add (key, value) to a JSON object, which is made where there is none; new values stand for old ones.
 
-    The whole is written beside the old object first and takes its place when it is complete.
+    Only the new rows are written, as a generation beside the old ones; a writer that stops at any step loses nothing.
     """
-    spark = rows.sparkSession
-    whole, beside = merged(read_map(spark, path, value, "none"), rows), path.rstrip("/") + ".next"
-    write_map(whole, "key", F.col("value"), beside)
-    fs, at = _path(spark, path)
-    fs.delete(at, True)
-    fs.rename(_path(spark, beside)[1], at)
+    versions.append_map(rows, path)
 
 
 def appended(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -134,24 +153,38 @@ def readable(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
         return None
 
 
+def write_lines(rows: DataFrame, order: str, line: Column, path: str) -> None:
+    """A text file of many parts, lines in the order of a column over all of them. Parts appear together, when all are written."""
+    lines = rows.select(F.col(order).alias("_order"), line.alias("value"))
+    lines.repartitionByRange("_order").sortWithinPartitions("_order").select("value").write.mode("overwrite").text(path)
+
+
 def write_parallel(parts: DataFrame, folder: str, language: str) -> None:
-    """Two line-aligned text files for each part, lines in the order of idx. A file is one task's work, as its format asks."""
+    """Two line-aligned text files for each part (train, validate or test), lines in the order of idx."""
     for part in [r[0] for r in parts.select("part").distinct().collect()]:
         for column, name in (("nl", language), ("ql", "sparql")):
-            lines = parts.where(F.col("part") == part).select("idx", F.col(column).alias("value"))
-            lines.coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(f"{folder}/{part}-{name}.txt")
+            write_lines(parts.where(F.col("part") == part), "idx", F.col(column), f"{folder}/{part}-{name}.txt")
+
 
+def numbered_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(idx, text) of a text file or of a file of many parts, lines stripped and counted from 0 over all of them.
 
-def _numbered_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(idx, text) of one text file: the whole file is split, so its order is sure."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r?\n$", "").alias("v"))
-    lines = whole.where("v <> ''").select(F.posexplode(F.split("v", "\r?\n")).alias("idx", "t"))
-    return lines.select(F.col("idx").cast("long").alias("idx"), F.regexp_replace("t", r"^\s+|\s+$", "").alias(column))
+    Byte ranges are read by many tasks. A line's place in its range comes with the scan; a first scan, of no text, counts the lines of each
+    range, and the counts of those before are added: one row for each range.
+    """
+    source = spark.read.option("lineSep", "\n").text(path)
+    scan = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    counts = scan.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    number = F.coalesce(F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).try_cast("long"), F.lit(0))
+    before = Window.orderBy(number, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first", "before")
+    rows = scan.join(F.broadcast(starts), ["file", "block"])
+    return rows.select((F.col("id") - F.col("first") + F.col("before")).alias("idx"), F.regexp_replace("value", r"^\s+|\s+$", "").alias(column))
 
 
 def read_parallel(spark: SparkSession, natural: str, query: str, limit: int | None = None) -> DataFrame:
     """(idx, nl, ql) of two line-aligned files, which must be equally long; ``limit`` takes the first lines (a smoke run)."""
-    left, right = _numbered_lines(spark, natural, "nl"), _numbered_lines(spark, query, "ql")
+    left, right = numbered_lines(spark, natural, "nl"), numbered_lines(spark, query, "ql")
     joined = left.join(right, "idx", "full_outer")
     fine = F.col("nl").isNotNull() & F.col("ql").isNotNull()
     checked = joined.withColumn("idx", F.when(fine, F.col("idx")).otherwise(F.raise_error(F.lit("the files differ in length")).cast("long")))
@@ -167,5 +200,4 @@ def write_evaluation(pairs: DataFrame, folder: str, stage: str, separator: str =
     """idx, tab, sentence: predictions and true sentences of (idx, pred, refs)."""
     truth = F.array_join(F.transform("refs", lambda r: F.array_join(r, " ")), separator)
     for name, sentence in (("predicted", F.array_join("pred", " ")), ("ground-truth", truth)):
-        lines = pairs.select("idx", F.concat_ws("\t", F.col("idx").cast("string"), sentence).alias("value"))
-        lines.coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(f"{folder}/{stage}-{name}.txt")
+        write_lines(pairs, "idx", F.concat_ws("\t", F.col("idx").cast("string"), sentence), f"{folder}/{stage}-{name}.txt")
