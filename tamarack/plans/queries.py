@@ -17,6 +17,7 @@ from tamarack.operators import beams, encoding, epochs, evaluation, finalise, la
 from tamarack.plans import tasks
 from tamarack.sources import entries, files, services, versions
 from tamarack.sources.scratch import scratch, stored
+from tamarack.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -713,3 +714,88 @@ def mask_by_signs(spark, sf_dir):
     place = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("["), "n_name", F.lit("]"))).otherwise(F.concat(F.expr("left(n_name, 2)"), F.lit("."), F.expr("substr(n_name, 4)")))
     named = nation.select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("id"), F.array(place).alias("labels")).unionByName(customer.select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.replace("c_name", F.lit("#"), F.lit("."))).alias("labels")))
     return masking.masked_pairs(pairs, qa_ids(pairs), named, mode="regex")
+
+
+@query(f"WITH {QA} SELECT uid, CASE WHEN uid % 3 = 0 THEN q || ' Zeg het' ELSE q END AS question FROM qa")
+def question_files(spark, sf_dir):
+    """A split's source file, a JSON array of many parts: written, read back with its empty lists as nulls, and a text chosen for each question."""
+    folder = scratch(spark, "questions")
+    source = qa(spark, sf_dir).select(F.col("uid").alias("at"), "uid", F.when(F.col("uid") % 3 == 0, F.concat("q", F.lit(" Zeg het"))).otherwise(F.lit("[]")).alias("question"), F.lit("[]").alias("paraphrased_question"), F.col("q").alias("NNQT_question"), F.col("a").alias("sparql_wikidata"))
+    versions.write_list_parts(source, "at", folder)
+    rows = files.read_questions(spark, folder)
+    return rows.select("uid", text.chosen_question(F.col("question"), F.col("paraphrased_question"), F.col("NNQT_question")).alias("question"))
+
+
+@query("""SELECT n_nationkey AS uid, CASE WHEN n_nationkey % 3 = 0 THEN 'Wie is ' || n_name || '?' ELSE 'Wie is ERROR' || n_nationkey || ' ?' END AS question FROM nation""")
+def replacement_files(spark, sf_dir):
+    """Translations and error replacements from their files in the exchange format, joined."""
+    folder, nation = scratch(spark, "supplements"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("uid"), "n_name")
+    files.ensure_directory(spark, folder)
+    files.write_texts(nation.select("uid", F.concat(F.lit("Wie is ERROR"), F.col("uid").cast("string"), F.lit(" ?")).alias("question")), f"{folder}/train-nl.json")
+    files.write_texts(nation.where("uid % 3 = 0").select("uid", F.col("n_name").alias("question")), files.replacements_path(folder, "train", "nl"))
+    changed = tasks.replace_errors(files.read_texts(spark, f"{folder}/train-nl.json"), files.read_replacements(spark, folder, "train", "nl"))
+    return changed.select("uid", "question")
+
+
+@query(f"{PAIRS} SELECT row_number() OVER (ORDER BY CAST(uid AS VARCHAR)) - 1 AS place, uid, q, a FROM pairs")
+def masked_pair_files(spark, sf_dir):
+    """Masked pairs saved in the exchange format and read back in the file's order."""
+    path = f"{scratch(spark, 'masked')}.json"
+    files.write_pairs(masked(spark, sf_dir), path)
+    rows = files.read_pairs(spark, path)
+    return relations.ranked(rows, F.col("pos"), "rank").select((F.col("rank") - 1).alias("place"), "uid", "q", "a")
+
+
+@query(f"WITH {QA} SELECT row_number() OVER (ORDER BY uid) - 1 AS place, uid || chr(9) || array_to_string(list_filter(string_split_regex(a, '\\s+'), lambda w: w <> ''), ' ') AS line FROM qa")
+def evaluation_files(spark, sf_dir):
+    """Predictions written as numbered sentences, and the lines of that file counted."""
+    folder = scratch(spark, "evaluation")
+    files.write_evaluation(qa(spark, sf_dir).select(F.col("uid").cast("long").alias("idx"), text.words_of(F.col("a")).alias("pred"), F.array(text.words_of(F.col("q"))).alias("refs")), folder, "test")
+    return files.numbered_lines(spark, f"{folder}/test-predicted.txt", "line").select(F.col("idx").alias("place"), "line")
+
+
+@query("SELECT CAST(k AS INTEGER) AS pos, 'Q' || c_custkey AS id, CASE k WHEN 0 THEN c_name ELSE c_mktsegment END AS label FROM customer, (SELECT unnest([0, 1]) AS k)")
+def endpoint_answers(spark, sf_dir):
+    """Labels out of an endpoint's JSON answers."""
+    id_ = F.concat(F.lit("Q"), F.col("c_custkey").cast("string"))
+    one = lambda label: F.struct(F.struct(id_.alias("value")).alias("id"), F.struct(F.col(label).alias("value")).alias("label"))
+    body = F.to_json(F.struct(F.struct(F.array(one("c_name"), one("c_mktsegment")).alias("bindings")).alias("results")))
+    return labels.parsed_response(table(spark, sf_dir, "customer").select(body.alias("body")))
+
+
+class EchoClient:
+    """An offline label client: every id it is asked for is named after itself, those that end in 7 not at all."""
+
+    def bindings(self, query: str) -> list[tuple[str, str]]:
+        import re
+
+        return [(i, f"naam van {i}") for i in re.findall(r'BIND\("([PQ][0-9]+)"', query) if not i.endswith("7")]
+
+
+@query(f"WITH {QA}, {FLAT} SELECT DISTINCT id, CASE WHEN id LIKE '%7' THEN '' ELSE 'naam van ' || id END AS labels FROM flat WHERE id NOT LIKE 'Q%5'")
+def label_task(spark, sf_dir):
+    """Ids without labels so far, asked for in chunks of 15."""
+    ids = qa_ids(qa(spark, sf_dir))
+    done = labels.distinct_ids(ids).where("id LIKE 'Q%5'")
+    found = tasks.label_ids(ids, done, EchoClient, "nl", 15, 0.0)
+    return found.select("id", F.array_join("labels", ";").alias("labels"))
+
+
+@query(f"WITH {QA} SELECT uid, q AS question FROM qa")
+def arriving_translations(spark, sf_dir):
+    """Questions that arrive in four files, two before a stop and two after it; what is done is not done again."""
+    source, sink, checkpoint = (scratch(spark, x) for x in ("arriving", "translated", "progress"))
+    rows = stored(qa(spark, sf_dir).select("uid", F.col("q").alias("question")), "questions")
+    schema = "uid long, question string"
+    work = lambda batch: services.translated(batch.withColumn("uid", F.col("uid").cast("int")), lambda: services.TableTranslator({}), "nl").withColumn("uid", F.col("uid").cast("long"))
+    for turns in ((0, 1), (1, 2, 3)):  # the second file arrives once more
+        for k in turns:
+            rows.where(F.col("uid") % 4 == k).select(F.col("uid").cast("long").alias("uid"), "question").write.mode("append").parquet(source)
+        incremental.work_through(spark, source, schema, work, sink, schema, "uid", checkpoint).awaitTermination()
+    return spark.read.schema(schema).parquet(sink)
+
+
+@query(f"WITH {POINTS} SELECT idx FROM points ORDER BY md5(idx || ':0'), idx LIMIT 1000")
+def raw_points_sample(spark, sf_dir):
+    """A sampling operator: at most a thousand raw points for the evaluations during training."""
+    return encoding.raw_points(_points(spark, sf_dir), sample=True).select("idx")

@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tamarack import schemas
 from tamarack.operators import relations
-from tamarack.sources import versions
+from tamarack.sources import entries, versions
 
 
 def _path(spark: SparkSession, path: str):
@@ -37,8 +37,12 @@ def ensure_directory(spark: SparkSession, path: str) -> None:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of source questions; an empty list stands for a missing text."""
-    rows = spark.read.schema(schemas.SOURCE_QA).json(path, multiLine=True)
+    """A JSON array of source questions, or one in each of a folder's files; an empty list stands for a missing text."""
+    if size(spark, path) > RANGE:
+        items = entries.entries(spark, path, "[")
+        rows = items.select(F.from_json("entry", schemas.SOURCE_QA).alias("x")).select("x.*")
+    else:
+        rows = spark.read.schema(schemas.SOURCE_QA).json(path, multiLine=True)
     empty = lambda c: F.when(F.col(c) != "[]", F.col(c)).alias(c)
     texts = {"question", "paraphrased_question", "template", "subgraph"}
     return rows.select(*[empty(c) if c in texts else c for c in rows.columns])

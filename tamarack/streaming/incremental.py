@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tamarack.operators.relations import pending
 from tamarack.sources.files import readable
 
 
@@ -30,6 +29,3 @@ def work_through(spark: SparkSession, source: str, schema: str, work: Callable[[
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-__all__ = ["pending", "resumed", "work_through"]
