@@ -1,9 +1,12 @@
 """Sum-of-squares packing of tokenised documents into fixed windows.
 
-Each task packs the documents it reads, one at a time. It keeps, for every fill level, the number of
-windows filled so far to that level; a document goes to the level (or a new window) for which the sum
-of the squares of these numbers ends up smallest, and to the fuller one of equals. Whole windows of a
-long document are cut off first. What is still open when the task ends is joined end to end and cut
+Each task packs the documents it reads, one at a time. Windows are counted by fill level, UNIT tokens to a level; a document goes
+to the level with a window that it fits (or to a new window) for which the sum of the squares of these numbers ends up smallest,
+and to the fuller one of equals. A window is done when fewer than UNIT tokens are missing, which the next document's
+first tokens fill: nothing is padded. Whole windows of a long document are cut off first.
+
+What a task has open at its end it does not close: those documents go, each whole, through one exchange into few tasks, where
+they are many again, and are placed by the same rule. Only what is open at the end of that is joined end to end and cut
 into full windows, and the last piece into windows of powers of two, which need no padding.
 """
 
@@ -19,13 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, unclashed
+from tamarack.llm.shared import column, stored, unclashed
 
 CAPACITY, END_ID = 4096, 2
 #: Words kept with their ids by a worker, and bytes of a text encoded at once.
 CACHE_WORDS, CHUNK_BYTES = 400_000, 1 << 20
-#: Windows open at once in a task, which bounds its memory; beyond it the two fullest are joined and cut, the others stay.
+#: Tokens to a fill level, and what may be missing in a window that is done.
+UNIT = 32
+#: Windows open at once in a task, which bounds its memory. Beyond it the fullest one's documents go on to the second pass;
+#: there, where they have no other place to go, the two fullest are joined and cut.
 OPEN_WINDOWS = 4096
+#: Documents left open that make one task of the second pass.
+SECOND = 50_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -149,21 +157,31 @@ class WordEncoder(dict):
 class Packer:
     """Places documents and yields the pieces of each window when it is done."""
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id = capacity, first_id
-        self.count = np.zeros(capacity + 1, np.int64)  # windows by fill level
-        self.windows: dict[int, list[list]] = {}
+    def __init__(self, capacity: int, first_id: int, unit: int = 1, last: bool = True):
+        self.capacity, self.next_id, self.unit, self.last = capacity, first_id, unit, last
+        self.levels = -(-capacity // self.unit)
+        self.count = np.zeros(self.levels + 1, np.int64)  # windows by fill level
+        self.fill = np.zeros(self.levels + 1, np.int64)  # of the window of each level that is next to be filled; nothing where there is none
+        self.windows: dict[int, list[tuple[list, int]]] = {}
         self.open = 0
+        self.short: tuple[list, int] | None = None  # a window that is done, and the tokens that it lacks
+        self.left: list[tuple] = []  # documents for the second pass
 
     def level(self, size: int) -> int:
         """The fill level to add ``size`` to; 0 opens a window."""
-        room = self.capacity - size + 1
-        now, then = self.count[:room], self.count[size : self.capacity + 1]
-        change = 2 * (then - now + 1)  # one window less at the old level, one more at the new
-        change[0] += 2 * now[0] - 1  # a new window leaves no level
-        change[-1] = -2 * now[-1] + 1 if room > 1 else -1  # a full window counts at no level
-        change[1:][now[1:] == 0] = np.iinfo(np.int64).max
-        return room - 1 - int(np.argmin(change[::-1]))
+        now, first = self.count, -(-size // self.unit)
+        done = lambda fill: fill > self.capacity - self.unit
+        new = -1 if done(size) else 2 * int(now[first]) + 1
+        at = np.flatnonzero(now[1:]) + 1
+        at = at[self.fill[at] + size <= self.capacity]
+        if not len(at):
+            return 0
+        fill = self.fill[at] + size
+        then = -(-fill // self.unit)
+        # one window less at the old level, one more at the new; a window that is done counts at none
+        change = np.where(done(fill), 1 - 2 * now[at], np.where(then == at, 0, 2 * (now[then] - now[at] + 1)))
+        best = int(change.min())
+        return int(at[np.flatnonzero(change == best)[-1]]) if best <= new else 0
 
     def close(self, pieces: list) -> Iterator[tuple]:
         at = 0
@@ -172,37 +190,62 @@ class Packer:
             at += len(ids) // 4
         self.next_id += 1
 
-    def add(self, doc, ids: bytes) -> Iterator[tuple]:
-        total, width, start = len(ids) // 4, self.capacity, 0
-        while total - start >= width:
-            yield from self.close([(doc, start, ids[4 * start : 4 * (start + width)], total)])
+    def take(self, level: int) -> tuple[list, int]:
+        pieces, fill = self.windows[level].pop()
+        self.count[level] -= 1
+        self.fill[level] = self.windows[level][-1][1] if self.windows[level] else 0
+        self.open -= 1
+        return pieces, fill
+
+    def put(self, pieces: list, fill: int) -> None:
+        level = -(-fill // self.unit)
+        self.windows.setdefault(level, []).append((pieces, fill))
+        self.count[level] += 1
+        self.fill[level] = fill
+        self.open += 1
+
+    def add(self, doc, ids: bytes, start: int = 0, total: int | None = None) -> Iterator[tuple]:
+        """Place a document, or the rest of one from ``start`` on."""
+        width, end = self.capacity, start + len(ids) // 4
+        total, first = end if total is None else total, start
+        if self.short:
+            pieces, gap = self.short
+            cut = min(gap, end - start)
+            pieces.append((doc, start, ids[: 4 * cut], total))
+            start += cut
+            self.short = (pieces, gap - cut) if cut < gap else None
+            if self.short is None:
+                yield from self.close(pieces)
+        while end - start >= width:
+            a = 4 * (start - first)
+            yield from self.close([(doc, start, ids[a : a + 4 * width], total)])
             start += width
-        size = total - start
-        if not size:
+        if start == end:
             return
-        at = self.level(size)
-        pieces = self.windows[at].pop() if at else []
-        self.count[at] -= at > 0
-        pieces.append((doc, start, ids[4 * start :], total))
-        if at + size == width:
-            self.open -= at > 0
+        at = self.level(end - start)
+        pieces, fill = self.take(at) if at else ([], 0)
+        pieces.append((doc, start, ids[4 * (start - first) :], total))
+        fill += end - start
+        if fill == width:
             yield from self.close(pieces)
+        elif fill > width - self.unit:
+            self.short = pieces, width - fill
         else:
-            self.open += at == 0
-            self.count[at + size] += 1
-            self.windows.setdefault(at + size, []).append(pieces)
+            self.put(pieces, fill)
             if self.open > OPEN_WINDOWS:
-                yield from self.join_fullest()
+                fullest = int(np.flatnonzero(self.count)[-1])
+                if self.last:
+                    yield from self.join_fullest()
+                else:
+                    self.left += self.take(fullest)[0]
 
     def join_fullest(self) -> Iterator[tuple]:
         """The two fullest windows joined: one full window and what is left over, at its own level."""
         both, size = [], 0
         for _ in range(2):
-            level = int(np.flatnonzero(self.count)[-1])
-            both += self.windows[level].pop()
-            self.count[level] -= 1
-            size += level
-        self.open -= 2
+            pieces, fill = self.take(int(np.flatnonzero(self.count)[-1]))
+            both += pieces
+            size += fill
         if size >= self.capacity:
             now, room = [], self.capacity
             while room:
@@ -215,25 +258,31 @@ class Packer:
             size -= self.capacity
             yield from self.close(now)
         if size:
-            self.windows.setdefault(size, []).append(both)
-            self.count[size] += 1
-            self.open += 1
+            self.put(both, size)
+
+    def leave(self) -> list[tuple]:
+        """The documents of all open windows, which are no longer open."""
+        out, self.left = [*(self.short[0] if self.short else []), *self.left], []
+        self.short = None
+        for level in sorted(self.windows, reverse=True):
+            for pieces, _ in self.windows[level]:
+                out += pieces
+        self.windows, self.open = {}, 0
+        self.count[:] = 0
+        self.fill[:] = 0
+        return out
 
     def join_open(self) -> Iterator[tuple]:
         left: list = []
         size = 0
-        for at in sorted(self.windows, reverse=True):
-            for pieces in self.windows[at]:
-                for doc, start, ids, total in pieces:
-                    while size + len(ids) // 4 >= self.capacity:
-                        cut = self.capacity - size
-                        yield from self.close([*left, (doc, start, ids[: 4 * cut], total)])
-                        left, size, start, ids = [], 0, start + cut, ids[4 * cut :]
-                    if ids:
-                        left.append((doc, start, ids, total))
-                        size += len(ids) // 4
-        self.windows, self.open = {}, 0
-        self.count[:] = 0
+        for doc, start, ids, total in self.leave():
+            while size + len(ids) // 4 >= self.capacity:
+                cut = self.capacity - size
+                yield from self.close([*left, (doc, start, ids[: 4 * cut], total)])
+                left, size, start, ids = [], 0, start + cut, ids[4 * cut :]
+            if ids:
+                left.append((doc, start, ids, total))
+                size += len(ids) // 4
         while size:
             width = 1 << (size.bit_length() - 1)
             now, need = [], width
@@ -248,16 +297,22 @@ class Packer:
             yield from self.close(now)
 
 
-def _pack(path: str, capacity: int, end_id: int):
-    kinds = [pa.int64()] * 7
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+KINDS = [pa.int64()] * 7
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+
 
+def _pack(path: str, capacity: int, end_id: int, unit: int):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(columns[:7], KINDS, strict=True)), pa.array(columns[7], pa.binary())], [*NAMES, "ids"])
 
     def run(batches):
         encoder, end = WordEncoder.of(path), np.array([end_id], "<u4").tobytes()
-        packer, out = Packer(capacity, TaskContext.get().partitionId() << 33), []
+        packer, out = Packer(capacity, TaskContext.get().partitionId() << 33, unit, last=False), []
         for batch in batches:
             raw, offsets = kernels.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
@@ -266,11 +321,30 @@ def _pack(path: str, capacity: int, end_id: int):
                 for doc, got in zip(ids[a:b], got_rows, strict=True):
                     out += packer.add(doc, got + end)
                 if len(out) >= 4096:
-                    yield batch_of(out)
+                    yield batch_of([(*row, None) for row in out])
                     out = []
-        out += packer.join_open()
         if out:
-            yield batch_of(out)
+            yield batch_of([(*row, None) for row in out])
+        left = packer.leave()
+        for a in range(0, len(left), 512):
+            yield batch_of([(doc, start, len(ids) // 4, 0, total, -1, 0, ids) for doc, start, ids, total in left[a : a + 512]])
+
+    return run
+
+
+def _pack_rest(capacity: int, unit: int):
+    def run(batches):
+        # above the ids that the first pass gives
+        packer, out = Packer(capacity, 1 << 62 | TaskContext.get().partitionId() << 33, unit), []
+        for batch in batches:
+            for doc, start, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+                out += packer.add(doc, ids, start, total)
+            if out:
+                yield _batch_of(out)
+                out = []
+        out = list(packer.join_open())
+        if out:
+            yield _batch_of(out)
 
     return run
 
@@ -278,11 +352,14 @@ def _pack(path: str, capacity: int, end_id: int):
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    No shuffle: a task packs what it reads, and a sequence_id carries the number of its partition. A null
-    text is empty and gives its end id alone; a null doc_id stays null; repeated rows are packed each.
-    ``ids_crc32`` is over the piece's ids as little-endian unsigned 32-bit numbers. A long text fills windows of its own
-    before its rest is placed; of equally good levels the fullest is taken. An empty table gives no rows.
+    A task packs what it reads; only what it leaves open is exchanged, with its ids. A sequence_id carries the number of its partition. A
+    null text is empty and gives its end id alone; a null doc_id stays null; repeated rows are packed each. ``ids_crc32`` is over the
+    piece's ids as little-endian unsigned 32-bit numbers. A long text fills windows of its own before its rest is
+    placed; of equally good levels the fullest is taken. An empty table gives no rows. Other columns play no part.
     """
     docs = unclashed(docs, id_col, text_col)
     plain = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"))
-    return plain.mapInArrow(_pack(tokenizer_path, capacity, end_id), SCHEMA)
+    first = stored(plain.mapInArrow(_pack(tokenizer_path, capacity, end_id, UNIT), f"{SCHEMA}, ids binary"), "packed")
+    rest = first.where("ids IS NOT NULL")
+    again = rest.repartition(-(-rest.count() // SECOND) or 1).mapInArrow(_pack_rest(capacity, UNIT), SCHEMA)
+    return first.where("ids IS NULL").drop("ids").unionByName(again)

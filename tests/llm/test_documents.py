@@ -531,6 +531,52 @@ def test_a_bound_on_open_windows_keeps_the_levels(spark, sf, monkeypatch):
     check_pieces(rows, {i: x.tolist() for i, x in ids.items()}, 64)
 
 
+@pytest.mark.parametrize("tasks", [1, 8, 200])
+def test_most_windows_are_closed_by_the_rule(tasks):
+    """Ten thousand documents dealt to so many tasks: what the rule closes, in either pass, and long documents' own windows are over nine tenths."""
+    rng = random.Random(tasks)
+    sizes = [min(30_000, int(rng.lognormvariate(6.4, 1.0)) + 1) for _ in range(10_000)]
+    done = own = 0
+    left, second = [], packing.Packer(4096, 1 << 62, packing.UNIT)
+
+    def count(rows):
+        return sum(r[2] for r in rows if not (r[2] == 4096 and r[6] == 0)), sum(r[2] for r in rows if r[2] == 4096 and r[6] == 0)
+
+    for k in range(tasks):
+        packer, rows = packing.Packer(4096, k << 33, packing.UNIT, last=False), []
+        for i in range(k, len(sizes), tasks):
+            rows += packer.add(i, bytes(4 * sizes[i]))
+        left += packer.leave()
+        d, o = count(rows)
+        done, own = done + d, own + o
+    rows = [x for doc, start, ids, total in left for x in second.add(doc, ids, start, total)]
+    d, o = count(rows)
+    done, own, joined = done + d, own + o, sum(x[2] for x in second.join_open())
+    assert done + own + joined == sum(sizes)
+    assert done > 0.8 * (sum(sizes) - own) and joined < 0.1 * sum(sizes)
+
+
+def test_level_of_units_minimises_the_sum_of_squares():
+    """With 32 tokens to a level: the windows that stand to be filled are compared by their true fills."""
+    rng = random.Random(3)
+    packer = packing.Packer(4096, 0, 32)
+    for _ in range(2000):
+        size = rng.randint(1, 3000)
+        counts, up = packer.count.copy(), lambda n: -(-n // 32)
+
+        def after(level, counts=counts, size=size, up=up):
+            c, fill = counts.copy(), size + (int(packer.fill[level]) if level else 0)
+            if level:
+                c[level] -= 1
+            if fill <= 4096 - 32:
+                c[up(fill)] += 1
+            return int((c**2).sum())
+
+        options = [h for h in range(len(counts)) if h == 0 or counts[h] and packer.fill[h] + size <= 4096]
+        assert packer.level(size) == max(options, key=lambda h: (-after(h), h))
+        list(packer.add(0, bytes(4 * size)))
+
+
 def test_level_minimises_the_sum_of_squares():
     rng = random.Random(2)
     packer = packing.Packer(32, 0)
