@@ -80,7 +80,7 @@ def test_odd_documents(spark, sf):
 @pytest.mark.parametrize("name", list(llm.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     result = con.execute(llm.oracle_sql()[name])
     names = [x[0] for x in result.description]
