@@ -87,3 +87,44 @@ def test_stages_take_odd_columns(spark, sf):
         keep = [len(ODD) + k for k in range(len(docs.columns))]
         assert sorted(repr([r[k] for k in keep]) for r in got.collect()) == sorted(repr(list(r)) for r in plain.collect())
         assert stage(spark, empty(odd), sf).collect() == []
+
+
+def test_toxicity_from_plain_compressions(spark):
+    """Scores recomputed text by text: windows by a regular expression, lengths from zstandard itself, the logistic by hand."""
+    import math
+    import random
+    import re
+
+    import zstandard
+
+    rng = random.Random(9)
+    bad = ["idiot", "worthless", "disgusting", "pathetic"]
+    rows = []
+    for i in range(240):
+        w = ["".join(rng.choice(["th", "er", "on", "an", "re", "ti"]) for _ in range(rng.randint(1, 4))) for _ in range(90)]
+        for _ in range(6 * (i % 5 == 0)):
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "Odd\tTEXT, é — " * 40), (903, "x" * 700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    contents = [zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (model.ordinary, model.toxic + model.ordinary)]
+    settings = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=4, search_log=5, window_log=15, hash_log=14, chain_log=14, target_length=24, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda which, x: len(zstandard.ZstdCompressor(compression_params=settings, dict_data=contents[which]).compress(x))
+
+    def plain_score(text):
+        data = bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        cells = {}
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            a, _ = cells.get(m.start() // 128, (m.start(), 0))
+            cells[m.start() // 128] = (a, m.end())
+        gains = [size(0, data[a:b]) - size(1, data[a:b]) for a, b in cells.values()]
+        some = [sum(g >= k for g in gains) for k in (1, 2)]
+        features = [1, *(math.log1p(n) for n in some), some[0] / max(1, len(gains)), min(max([0, *gains]), 8) / 4, math.log1p(len(gains)) / 4]
+        return 1 / (1 + math.exp(-sum(x * w for x, w in zip(features, model.weights, strict=True))))
+
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys() and all(abs(got[i] - plain_score(t)) < 1e-9 for i, t in texts.items())
+    names = docs.columns
+    assert toxicity.below(docs, model, 0.5).columns == names and {r.doc_id for r in toxicity.below(docs, model, 0.5).collect()} == {i for i, s in got.items() if s < 0.5}
