@@ -17,7 +17,7 @@ from tamarack.operators import beams, encoding, epochs, evaluation, finalise, la
 from tamarack.plans import tasks
 from tamarack.sources import entries, files, services, versions
 from tamarack.sources.scratch import scratch, stored
-from tamarack.streaming import incremental
+from tamarack.streaming import incremental, paced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -799,3 +799,17 @@ def arriving_translations(spark, sf_dir):
 def raw_points_sample(spark, sf_dir):
     """A sampling operator: at most a thousand raw points for the evaluations during training."""
     return encoding.raw_points(_points(spark, sf_dir), sample=True).select("idx")
+
+
+@query(f"WITH {QA}, {FLAT} SELECT DISTINCT id, 'naam van ' || id AS label FROM flat WHERE id NOT LIKE '%7'")
+def paced_labels(spark, sf_dir):
+    """Labels asked for by a stream that keeps its pace in state: half of the requests arrive, the run stops, the others arrive and it goes on."""
+    source, sink, checkpoint = (scratch(spark, x) for x in ("requests", "answers", "lanes"))
+    ids = labels.distinct_ids(qa_ids(qa(spark, sf_dir)))
+    requests = stored(labels.labelling_queries(relations.chunked(ids, F.col("id"), 500), "nl"), "requests")
+    rows = requests.select(F.concat(F.lit("lane "), (F.col("chunk") % 3).cast("string")).alias("lane"), "chunk", "query")
+    every = rows.count()
+    for half, wanted in ((rows.where("chunk % 2 = 0"), 1), (rows.where("chunk % 2 = 1"), every)):
+        half.write.mode("append").parquet(source)
+        found = paced.work_through(spark, source, EchoClient, sink, checkpoint, wanted, pause=0.0)
+    return found.where("pos >= 0").select("id", "label")
