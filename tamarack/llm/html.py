@@ -8,8 +8,8 @@ host's distinct pages covers its tokens. A block whose every token is covered is
 stands; unique runs stay.
 
 Hosts above ``SHARD`` bytes never meet in one task. Their parsed pages are stored once; a run on half of a host's
-distinct pages is on half of those that some task reads, so each task names its own such runs, and these few are then
-counted exactly over the whole host.
+distinct pages is on half of some group's wherever they are dealt into groups, so groups of ``DENSE`` pages or more, most of
+them what one task reads of a host, name their own such runs, and these few are then counted exactly over the whole host.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import kernels
-from tamarack.llm.shared import column, stored, unclashed
+from tamarack.llm.shared import column, spread_join, stored, unclashed
 
 #: Tokens of a run (a power of two), pages that must hold it at least, and bytes of HTML of a host that one task takes whole.
 RUN, PAGES, SHARD = 8, 3, 2 << 20
 #: Runs that a task of a large host's pages holds before it names those on half of what it holds.
 HELD = 2_000_000
+#: Pages of a host that make a group whose shared runs are named, and candidate runs in one list at about.
+DENSE, LISTED = 32, 4096
 #: Large hosts that are broadcast at most; with more of them the pages are shuffled to their hosts' sizes.
 HOSTS = 50_000
 
@@ -243,41 +245,78 @@ def page_runs(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray]
     return out, block
 
 
-def _named(batches):
-    """(host, run): the runs on half of the distinct pages of a host among those held at once."""
-    held: dict[str, list[np.ndarray]] = {}
+def _shared_runs(pages: list[np.ndarray]) -> np.ndarray:
+    """The runs on half of ``pages``, each the distinct runs of one: at most twice as many as a page has on average."""
+    runs, n = np.unique(np.concatenate(pages), return_counts=True)
+    return runs[2 * n >= len(pages)].view(np.int64)
 
-    def flush():
-        for host, pages in held.items():
-            runs, n = np.unique(np.concatenate(pages), return_counts=True)
-            runs = runs[2 * n >= len(pages)].view(np.int64)
-            for a in range(0, len(runs), 1 << 16):
-                part = runs[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part)], ["host", "run"])
-        held.clear()
 
-    size = 0
-    for batch in batches:
-        for host, texts in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-            held.setdefault(host, []).append(np.unique(page_runs(texts)[0]))
-            size += len(held[host][-1])
-            if size > HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
+def _named(dense: int):
+    """(host, run, page) of batches of pages: the runs on half of the distinct pages of a host among those held at once,
+    or, of a host with fewer than ``dense`` among them, each page's runs in one value."""
+
+    def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+
+        def flush():
+            for host, pages in held.items():
+                if len(pages) < dense:
+                    blobs = [runs.tobytes() for runs in pages if len(runs)]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(blobs), pa.string()), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["host", "run", "page"])
+                    continue
+                runs = _shared_runs(pages)
+                for a in range(0, len(runs), 1 << 16):
+                    part = runs[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part), pa.nulls(len(part), pa.binary())], ["host", "run", "page"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for host, texts in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                held.setdefault(host, []).append(np.unique(page_runs(texts)[0]))
+                size += len(held[host][-1])
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+def _named_together(table: pa.Table) -> pa.Table:
+    """(host, run): the runs on half of one group of a host's pages."""
+    runs = _shared_runs([np.frombuffer(x, np.uint64) for x in table["page"].to_pylist()])
+    return pa.table({"host": pa.array([table["host"][0].as_py()] * len(runs), pa.string()), "run": pa.array(runs)})
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """(host, part, runs): every run that may be on half of a host's distinct pages, in lists of a few thousand.
+
+    However a host's pages are dealt into groups, such a run is on half of the pages of some group. A task takes those it
+    reads as a group where there are enough of them; the pages of hosts that it hardly meets go, as hashes, to groups of
+    their host's, so that a group of a page or two does not name all that it holds.
+    """
+    named = stored(distinct.mapInArrow(_named(DENSE), "host string, run long, page binary"), "named")
+    alone = named.where("page IS NOT NULL").select("host", "page", F.monotonically_increasing_id().alias("at"))
+    sizes = stored(alone.groupBy("host").agg(F.count("*").alias("pages")), "thin")
+    grouped = spread_join(alone, sizes, ["host"], "pages").withColumn("slice", F.expr(f"pmod(xxhash64(at), greatest(1, pages div {2 * DENSE}))"))
+    together = grouped.groupBy("host", "slice").applyInArrow(_named_together, "host string, run long")
+    runs = stored(named.where("run IS NOT NULL").select("host", "run").unionByName(together).distinct(), "candidates")
+    many = runs.groupBy("host").agg(F.count("*").alias("many"))
+    return runs.join(many, "host").groupBy("host", F.expr(f"pmod(run, many div {LISTED} + 1)").alias("part")).agg(F.collect_list("run").alias("runs"))
 
 
 def _counted(batches):
-    """(host, run, n): the pages of a batch that hold each named run of their host."""
+    """(host, run, n): the pages of a batch that hold each run of the list beside them."""
     for batch in batches:
-        hits: dict[str, list[np.ndarray]] = {}
-        named: dict[str, np.ndarray] = {}
+        hits: dict[tuple, list[np.ndarray]] = {}
+        named: dict[tuple, np.ndarray] = {}
         runs = batch.column("runs")
-        for i, (host, texts) in enumerate(zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), strict=True)):
-            if host not in named:
-                named[host] = runs[i].values.to_numpy().view(np.uint64)
-            hits.setdefault(host, []).append(np.intersect1d(page_runs(texts)[0], named[host]))
-        for host, pages in hits.items():
+        for i, (host, part, texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "part", "blocks")), strict=True)):
+            if (host, part) not in named:
+                named[host, part] = runs[i].values.to_numpy().view(np.uint64)
+            hits.setdefault((host, part), []).append(np.intersect1d(page_runs(texts)[0], named[host, part]))
+        for (host, _), pages in hits.items():
             found, n = np.unique(np.concatenate(pages), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["host", "run", "n"])
 
@@ -309,10 +348,11 @@ def _large(pages: DataFrame) -> DataFrame:
     first = stored(parsed.groupBy("host", "same").agg(F.min("key").alias("first")), "firsts")
     copies = stored(parsed.select("host", "same", "key").join(first, ["host", "same"]).where("key <> first").select("key"), "copies")
     distinct = parsed.join(copies, "key", "left_anti").select("host", "blocks")
-    named = stored(distinct.mapInArrow(_named, "host string, run long").groupBy("host").agg(F.collect_set("run").alias("runs")), "named")
+    named = stored(_candidates(distinct), "lists")
     counted = distinct.join(named, "host").mapInArrow(_counted, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
     total = first.groupBy("host").agg(F.count("*").alias("total"))
     common = counted.join(total, "host").where((F.col("n") >= PAGES) & (2 * F.col("n") >= F.col("total")))
+    # of these a host has at most twice as many as one of its pages holds on average: they stand on half of the pages
     common = stored(common.groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
     return parsed.join(common, "host", "left").select("page_id", "url", "host", "blocks", "inside", "runs").mapInArrow(_stripped, "page_id long, url string, text string")
 

@@ -104,6 +104,33 @@ def test_large_hosts_are_counted_whole(spark, monkeypatch):
     assert all(note not in text for _, _, text, _ in whole) and sum(rare in text for _, _, text, _ in whole) == 76
 
 
+def test_tasks_of_few_pages_do_not_name_all_their_runs(spark, monkeypatch):
+    note = "we use small files to make this place better for all who come here"
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(h * 1000 + i, f"https://h{h}.example/{i}", f"<body><div><p>{note}</p><p>{words(h * 1000 + i)}</p></div>") for h in range(2) for i in range(24)]
+    rows += [(5000 + i, f"https://h0.example/s{i}", f"<body><div><p>short {i}</p></div>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    whole = sorted(map(tuple, html.extract(pages).collect()))
+    assert all(note not in text for _, _, text, _ in whole)
+    monkeypatch.setattr(html, "SHARD", 400)
+    kept = {}
+    plain = html.stored
+    monkeypatch.setattr(html, "stored", lambda df, tag: kept.setdefault(tag, plain(df, tag)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # a stored table's small files stay tasks of their own
+    try:
+        for dense, listed in ((32, 4096), (1, 256), (10**6, 3)):  # groups from many tasks, of one task's few pages, and short lists
+            kept.clear()
+            monkeypatch.setattr(html, "DENSE", dense)
+            monkeypatch.setattr(html, "LISTED", listed)
+            assert sorted(map(tuple, html.extract(pages).collect())) == whole
+            many = kept["candidates"].count()
+            assert many > 500 if dense == 1 else many < 30  # what a page or two hold is named, or only what many share
+            assert max(len(r.runs) for r in kept["lists"].collect()) <= (512 if dense == 1 else 30)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_odd_pages(spark):
     long = "<article>" + "".join(f"<p>para {i} of a long page</p>" for i in range(20_000))
     rows = [(1, None, None, 1), (None, "x", "<p>a", 1), (2, "https://h.example", "", 1), (3, "https://h.example", long, 1), (3, "https://h.example", long, 1)]
