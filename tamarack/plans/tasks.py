@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tamarack import schemas
 from tamarack.functions import text
-from tamarack.operators import finalise, labels, masking, relations, validation
+from tamarack.operators import encoding, evaluation, finalise, labels, masking, relations, validation
 from tamarack.sources import files, services
+from tamarack.sources.scratch import stored
 
 
 def translate(source: DataFrame, done: DataFrame, make, language: str, per_chunk: int = 1000) -> DataFrame:
@@ -85,23 +86,54 @@ def label_into(ids: DataFrame, sink: str, make, language: str, per_request: int
     return saved_by_chunk(chunks.select("id", "chunk"), work, sink, at_once)
 
 
+def encode_stage(spark: SparkSession, texts: str, output: str, stage: str, language: str, lengths: tuple[int, int] = (64, 64)) -> None:
+    """Write a stage's encoded points, in the columns that it reads, to ``output``/points-<stage>.
+
+    The training stage first numbers the words of its own questions and queries and keeps both lists beside the points; the others
+    read them there, so that a word has one id in all stages and words that training never met are unknown.
+    """
+    points = files.read_parallel(spark, *files.parallel_paths(texts, stage, language))
+    if stage == "train":
+        points = stored(points, "points")
+        for column in ("nl", "ql"):
+            encoding.vocabulary(points, column, None).write.mode("overwrite").parquet(f"{output}/words-{column}")
+    known = [spark.read.parquet(f"{output}/words-{column}") for column in ("nl", "ql")]
+    encoding.tensors(encoding.data_points(points, *known, *lengths, stage), stage).write.mode("overwrite").parquet(f"{output}/points-{stage}")
+
+
+def evaluate_stage(spark: SparkSession, texts: str, beams: str, output: str, stage: str, language: str) -> DataFrame:
+    """(n, bleu) of a stage: the best of its beams (seq, rank, tokens), a table that a model or ``beams`` made, against its true queries.
+
+    ``output`` holds the word lists of ``encode_stage``; predictions and true queries go there as text, the score as ``score-<stage>``.
+    A point without beams is not scored, beams without a point neither.
+    """
+    truths = files.read_parallel(spark, *files.parallel_paths(texts, stage, language)).select("idx", "ql")
+    words = spark.read.parquet(f"{output}/words-ql")
+    score = evaluation.epoch(spark.read.parquet(beams), words, truths, lambda pairs: files.write_evaluation(pairs, output, stage))
+    score.coalesce(1).write.mode("overwrite").parquet(f"{output}/score-{stage}")
+    return spark.read.parquet(f"{output}/score-{stage}")
+
+
 def finalise_dataset(pairs: DataFrame, split: str, fraction: float) -> DataFrame:
     return finalise.partitioned(finalise.finished(pairs), split, fraction)
 
 
-TASKS = ("translate", "replace-special-symbols", "replace-errors", "question-ids", "label", "mask", "finalise", "validate-translation", "validate-masking")
+TASKS = ("translate", "replace-special-symbols", "replace-errors", "question-ids", "label", "mask", "finalise", "validate-translation", "validate-masking", "encode", "evaluate")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tamarack", description="Dataset tasks over JSON files in any store that Spark reads.")
     p.add_argument("task", choices=TASKS)
     p.add_argument("--input", required=True)
-    p.add_argument("--other", help="replacements, reference, or translations")
+    p.add_argument("--other", help="replacements, reference, translations, or a table of beams")
     p.add_argument("--ids")
     p.add_argument("--labels")
     p.add_argument("--output")
     p.add_argument("--service", help="the label endpoint's address, or module:factory of a translator")
     p.add_argument("--per-chunk", type=int)
+    p.add_argument("--stage", choices=schemas.STAGES, default="train")
+    p.add_argument("--in-length", type=int, default=64)
+    p.add_argument("--out-length", type=int, default=64)
     p.add_argument("--split", choices=schemas.SPLITS, default="train")
     p.add_argument("--language", choices=schemas.LANGUAGES, default="nl")
     p.add_argument("--fraction", type=float, default=0.1)
@@ -145,6 +177,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.task == "validate-translation":
         needed(args, "other")
         validation.validate_translation(files.read_texts(spark, args.input, "error"), files.read_texts(spark, args.other, "error")).show()
+    elif args.task == "encode":
+        needed(args, "output")
+        encode_stage(spark, args.input, args.output, args.stage, args.language, (args.in_length, args.out_length))
+    elif args.task == "evaluate":
+        needed(args, "other", "output")
+        evaluate_stage(spark, args.input, args.other, args.output, args.stage, args.language).show()
     else:
         needed(args, "other")
         validation.validate_masking(files.read_pairs(spark, args.input), files.read_pairs(spark, args.other)).show()

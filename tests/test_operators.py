@@ -259,6 +259,32 @@ def test_command_line(spark, tmp_path):
         tasks.main(["mask", "--input", "x"], spark)
 
 
+def test_stages_are_encoded_and_evaluated(spark, tmp_path):
+    said = {"train": ["ask where q1 p1 q2", "select var_1 where q1 p2 var_1", "ask where q3 p1 q2"], "test": ["ask where q3 p1 q1", "select var_1 where q9 p2 var_1"]}
+    for stage, lines in said.items():
+        (tmp_path / f"{stage}-nl.txt").write_text("".join(f"is {x} so ?\n" for x in lines))
+        (tmp_path / f"{stage}-sparql.txt").write_text("".join(x + "\n" for x in lines))
+    texts, out = str(tmp_path), str(tmp_path / "out")
+    lengths = ["--in-length", "12", "--out-length", "9"]
+    for stage in ("train", "test"):
+        tasks.main(["encode", "--input", texts, "--output", out, "--stage", stage, *lengths], spark)
+    words = {r.token: r.id for r in spark.read.parquet(f"{out}/words-ql").collect()}
+    assert sorted(words.values()) == list(range(4, 4 + len({w for x in said["train"] for w in x.split()})))
+    train, test = (spark.read.parquet(f"{out}/points-{stage}").orderBy("idx").collect() for stage in said)
+    assert [r.out_ids for r in train] == [([1, *(words[w] for w in x.split()), 2] + [0] * 9)[:9] for x in said["train"]]
+    assert test[0].asDict().keys() == {"idx", "inp_ids", "inp_att_mask"} and 3 in test[1].inp_ids  # a word that training never met
+    beams = [(r.idx, 0, r.out_ids) for r in train] + [(r.idx, 1, [1, 2]) for r in train]
+    spark.createDataFrame(beams, "seq long, rank int, tokens array<int>").write.parquet(f"{out}/beams")
+    tasks.main(["evaluate", "--input", texts, "--other", f"{out}/beams", "--output", out, "--stage", "train"], spark)
+    assert [(r.n, round(r.bleu, 6)) for r in spark.read.parquet(f"{out}/score-train").collect()] == [(3, 100.0)]
+    assert rows(files.numbered_lines(spark, f"{out}/train-predicted.txt", "line")) == rows(files.numbered_lines(spark, f"{out}/train-ground-truth.txt", "line"))
+    # the same beams against other queries: only points that have both are scored, and not all of them well
+    score = tasks.evaluate_stage(spark, texts, f"{out}/beams", out, "test", "nl").first()
+    assert score.n == 2 and 0 <= score.bleu < 100
+    with pytest.raises(SystemExit):
+        tasks.main(["evaluate", "--input", texts, "--output", out], spark)
+
+
 def test_stream_resumes(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "uid int, question string"
