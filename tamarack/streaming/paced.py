@@ -93,7 +93,7 @@ def answered(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def work_through(spark: SparkSession, source: str, make: Callable, sink: str, checkpoint: str, requests: int, pause: float = 3.0, wait: float = 5.0, most: float = 600.0) -> DataFrame:
-    """Run until ``requests`` have been answered, at most so many seconds, and return ``answered``."""
+    """Run until ``requests`` have been answered and return ``answered``; an error after ``most`` seconds, with what is answered kept."""
     query, began = start(spark, source, make, sink, checkpoint, pause, wait), time.monotonic()
     try:
         while time.monotonic() - began < most:
@@ -106,6 +106,8 @@ def work_through(spark: SparkSession, source: str, make: Callable, sink: str, ch
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
             time.sleep(0.2)
+        else:
+            raise TimeoutError(f"fewer than {requests} requests were answered in {most} seconds")
     finally:
         query.stop()
     return answered(spark, sink)

@@ -3,6 +3,8 @@
 import time
 from pathlib import Path
 
+import pytest
+
 from tamarack.sources.services import Busy
 from tamarack.streaming import paced
 
@@ -35,6 +37,9 @@ def test_requests_keep_their_pace_and_survive_a_stop(spark, tmp_path):
     answered = {r[0] for r in rows}
     assert answered == set(range(6))
     assert {(k, p, i, x) for k, p, i, x in rows} == {(k, p, f"Q{k}", x) for k in range(6) for p, x in ((0, f"label of Q{k}"), (1, "another"))}
+    with pytest.raises(TimeoutError):  # there is no seventh
+        paced.work_through(spark, source, make, sink, checkpoint, 7, pause=0.5, wait=1.0, most=3)
+    assert paced.answered(spark, sink).count() == every.count()
     asked = [float(line.split()[0]) for line in Path(log).read_text().splitlines()]
     assert asked[1] - asked[0] >= 0.8  # it waited when it was told to
     gaps = [b - a for a, b in zip(asked[1:], asked[2:])]
