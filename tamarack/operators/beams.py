@@ -25,7 +25,7 @@ def top_beams(scores: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(logprobs: DataFrame, k: int) -> DataFrame:
-    """(seq, n, rows): the steps of each sequence, counted from 1, with what each of the first k beams may go on with.
+    """(seq, n, rows): the steps of each sequence, counted from 1, with what each of the beams 0 to k - 1 may go on with.
 
     A beam's successors among the k best of all beams are among its own k best, or as good as those once scores are
     added and rounded, or the first k tokens where nothing tells them apart any more.
@@ -34,9 +34,12 @@ def candidates(logprobs: DataFrame, k: int) -> DataFrame:
     edge = -F.get(best, F.least(F.lit(k), F.size("logprobs")) - 1) - NEAR
     some = F.filter(F.transform("logprobs", lambda x, i: F.struct(i.cast("int").alias("token"), x.alias("lp"))), lambda c: (c["lp"] >= F.col("edge")) | (c["token"] < k))
     each = logprobs.withColumn("edge", edge).select("seq", "step", "beam", some.alias("options"))
-    place = F.row_number().over(Window.partitionBy("seq", "step").orderBy("beam"))
-    few = each.withColumn("place", place).where(F.col("place") <= k)
-    steps = few.groupBy("seq", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "options"))), lambda x: x["options"]).alias("rows"))  # k at most
+    few = each.where(F.col("beam").between(0, k - 1))
+    none = F.array().cast("array<struct<token:int,lp:double>>")
+    # a beam's options stand at its number, so that one without any leaves the others where they are
+    own = lambda found, b: F.coalesce(F.get(F.filter(found, lambda x: x["beam"] == b), F.lit(0))["options"], none)
+    steps = few.groupBy("seq", "step").agg(F.collect_list(F.struct("beam", "options")).alias("found"))  # k at most
+    steps = steps.select("seq", "step", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda b: own(F.col("found"), b)).alias("rows"))
     return steps.withColumn("n", F.row_number().over(Window.partitionBy("seq").orderBy("step"))).select("seq", "n", "rows")
 
 
@@ -44,7 +47,7 @@ def candidates(logprobs: DataFrame, k: int) -> DataFrame:
 SEARCH = """WITH RECURSIVE search(seq, n, beams, finished, best_ended) MAX RECURSION LEVEL {{level}} AS (
   SELECT seq, 0, array(named_struct('score', CAST(0 AS DOUBLE), 'token', {start}, 'dep', 0)), 0, false FROM (SELECT seq FROM {{steps}} WHERE n = 1)
   UNION ALL
-  SELECT seq, n, beams, finished + size(filter(beams, b -> b.token = {end})), best_ended OR coalesce(beams[0].token = {end}, false) FROM (
+  SELECT seq, n, beams, finished + size(filter(beams, b -> b.token = {end})), best_ended OR coalesce(get(beams, 0).token = {end}, false) FROM (
     SELECT s.seq, t.n, s.finished, s.best_ended, transform(slice(array_sort(flatten(transform(slice(t.rows, 1, size(s.beams)), (options, i) ->
       transform(options, c -> named_struct('loss', -(CASE WHEN s.n > 0 AND s.beams[i].token = {end} THEN {improbable} ELSE s.beams[i].score + c.lp END), 'dep', i, 'token', c.token))))), 1, {k}),
       x -> named_struct('score', -x.loss, 'token', x.token, 'dep', x.dep)) AS beams
