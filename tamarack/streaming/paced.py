@@ -23,11 +23,14 @@ ANSWERS = "lane string, chunk long, pos long, id string, label string"
 #: Spark keeps timers in this store only.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+#: Seconds that a lane goes on asking in one batch. What a batch has asked for is asked for again if it is broken off.
+TURN = 2.0
+
 _FREE = StructType([StructField("at", LongType())])
 
 
 class Lane(StatefulProcessor):
-    """One lane: asks for what is pending, the oldest first, one request for each time that it is woken."""
+    """One lane: asks for what is pending, the oldest first, each time that it is woken: until it has to pause, or its turn is over."""
 
     def __init__(self, make: Callable, pause: float, wait: float):
         self.make, self.pause, self.wait, self.client = make, pause, wait, None
@@ -48,23 +51,28 @@ class Lane(StatefulProcessor):
         yield from self.ask(key, timerValues)
 
     def ask(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        now = int(timerValues.getCurrentProcessingTimeInMs())
-        if not self.free.exists() or self.free.get()[0] <= now:
-            first = min((k[0] for k in self.pending.keys()), default=None)
-            if first is None:
-                return
+        began = time.monotonic()
+        clock = int(timerValues.getCurrentProcessingTimeInMs())
+        now = lambda: clock + int(1000 * (time.monotonic() - began))
+        free = self.free.get()[0] if self.free.exists() else clock
+        left = sorted(k[0] for k in self.pending.keys()) if free <= clock else []  # read once, not for each request
+        while left and free <= now() and time.monotonic() - began < TURN:  # pauses are the timer's
+            first = left[0]
             try:
                 got = self.client.bindings(self.pending.getValue((first,))[0])
-                self.pending.removeKey((first,))
-                self.free.update((now + int(1000 * self.pause),))
-                # a row without an id says that the request was answered
-                yield pd.DataFrame({"lane": [key[0]] * (len(got) + 1), "chunk": [first] * (len(got) + 1), "pos": range(-1, len(got)), "id": [None, *(i for i, _ in got)], "label": [None, *(x for _, x in got)]})
             except Busy:
-                self.free.update((now + int(1000 * self.wait),))
+                free = now() + int(1000 * self.wait)
+                break
+            self.pending.removeKey((first,))
+            left.pop(0)
+            free = now() + int(1000 * self.pause)
+            # a row without an id says that the request was answered
+            yield pd.DataFrame({"lane": [key[0]] * (len(got) + 1), "chunk": [first] * (len(got) + 1), "pos": range(-1, len(got)), "id": [None, *(i for i, _ in got)], "label": [None, *(x for _, x in got)]})
+        self.free.update((free,))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if next(iter(self.pending.keys()), None) is not None:
-            self.handle.registerTimer(max(now + 1, self.free.get()[0]))
+            self.handle.registerTimer(max(now() + 1, free))
 
     def close(self) -> None:
         pass

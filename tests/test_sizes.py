@@ -2,9 +2,9 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from tamarack.plans import queries as core
+from tamarack.streaming import paced
 
 
 @pytest.mark.parametrize("name", ["beam_two_steps", "beam_search", "beam_search_greedy_ends"])
@@ -19,3 +19,17 @@ def test_beams_with_gaps(spark, sf, tmp_path, name):
     got = [tuple(r[c] for c in columns) for r in core.queries()[name](spark, str(tmp_path)).collect()]
     key = lambda rows: sorted((s, r, round(x, 5), t) for s, r, x, t in rows)
     assert key(got) == key(want)
+
+
+class Echo:
+    def bindings(self, query):
+        return [(query, f"label of {query}")]
+
+
+def test_a_lane_asks_more_than_once_in_a_batch(spark, tmp_path):
+    """Without a pause, requests are not worth a batch each."""
+    source, sink, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.createDataFrame([("one", k, f"Q{k}") for k in range(60)], paced.REQUESTS).write.parquet(source)
+    found = paced.work_through(spark, source, Echo, sink, checkpoint, 60, pause=0.0, most=300)
+    assert sorted(r.chunk for r in found.where("pos = 0").collect()) == list(range(60))
+    assert len([x for x in (tmp_path / "state" / "commits").iterdir() if x.name.isdigit()]) < 20
