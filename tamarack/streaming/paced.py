@@ -52,10 +52,9 @@ class Lane(StatefulProcessor):
 
     def ask(self, key, timerValues) -> Iterator[pd.DataFrame]:
         began = time.monotonic()
-        clock = int(timerValues.getCurrentProcessingTimeInMs())
-        now = lambda: clock + int(1000 * (time.monotonic() - began))
-        free = self.free.get()[0] if self.free.exists() else clock
-        left = sorted(k[0] for k in self.pending.keys()) if free <= clock else []  # read once, not for each request
+        now = lambda: int(1000 * time.time())  # noqa: E731 - the batch's own clock was read when it began
+        free = self.free.get()[0] if self.free.exists() else 0
+        left = sorted(k[0] for k in self.pending.keys()) if free <= now() else []  # read once, not for each request
         while left and free <= now() and time.monotonic() - began < TURN:  # pauses are the timer's
             first = left[0]
             try:
@@ -72,7 +71,7 @@ class Lane(StatefulProcessor):
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if next(iter(self.pending.keys()), None) is not None:
-            self.handle.registerTimer(max(now() + 1, free))
+            self.handle.registerTimer(max(int(timerValues.getCurrentProcessingTimeInMs()) + 1, free))
 
     def close(self) -> None:
         pass
