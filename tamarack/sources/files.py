@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from tamarack import schemas
 from tamarack.operators import relations
 from tamarack.sources import entries, versions
+from tamarack.sources.scratch import stored
 
 
 def _path(spark: SparkSession, path: str):
@@ -31,6 +32,12 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength()
 
 
+def parts(spark: SparkSession, path: str) -> int:
+    """How many files with something in them a file of many parts has."""
+    fs, at = _path(spark, path)
+    return sum(s.isFile() and s.getLen() > 0 and s.getPath().getName()[0] not in "._" for s in fs.listStatus(at))
+
+
 def ensure_directory(spark: SparkSession, path: str) -> None:
     fs, at = _path(spark, path)
     fs.mkdirs(at)
@@ -64,8 +71,10 @@ def read_map(spark: SparkSession, path: str, value: str = "string", missing: str
         if missing == "empty":
             return spark.createDataFrame([], f"pos long, key string, value {value}")
         raise FileNotFoundError(path)
-    if size(spark, path) > RANGE:
+    if size(spark, path) > RANGE or parts(spark, path) > 1:
         rows = versions.read_map(spark, path, value)
+        if parts(spark, path) > 1:  # places start anew in each file
+            return relations.ranked(rows, F.col("order"), "pos").select("pos", "key", "value")
         return rows.select("order.pos", "key", "value")
     whole = spark.read.text(path, wholetext=True)
     fine = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("{"), F.from_json("value", f"map<string,{value}>"))
@@ -105,18 +114,24 @@ def read_lists(spark: SparkSession, path: str, key: str, values: str, missing: s
 def write_map(rows: DataFrame, key: str, value: Column, path: str) -> None:
     """One JSON object in one file, keys in the order of their bytes: the exchange format of small maps.
 
-    It stands in place of all that was there. A file is one task's work, so above MOST_ENTRIES rows it is an error;
-    ``versions.write_parts`` writes any number.
+    It stands in place of all that was there. A file is one task's work, so above MOST_ENTRIES rows there is an object in each of
+    many files, keys in the same order over all of them; ``read_map`` reads either.
     """
-    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} rows for one JSON object: write its parts instead")
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), value.alias("value"))))
-    rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
     spark = rows.sparkSession
+    rows = stored(rows.select(F.col(key).cast("string").alias("key"), value.alias("value")), "entries")  # counted, sampled and written, but made once
+    if rows.count() > MOST_ENTRIES:
+        versions.write_parts(rows, "key", F.col("value"), path, "overwrite")
+    else:
+        _write_object(rows, path)
     if exists(spark, versions.versions_of(path)):
         versions.replaced(spark, path, [path])
 
 
+def _write_object(rows: DataFrame, path: str) -> None:
+    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
+    rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_texts(rows: DataFrame, path: str) -> None:
     write_map(rows, "uid", F.col("question"), path)
 

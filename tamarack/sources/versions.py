@@ -70,13 +70,13 @@ def _bracketed(opens: str, closes: str):
     return run
 
 
-def write_parts(rows: DataFrame, key: str, value: Column, folder: str) -> None:
+def write_parts(rows: DataFrame, key: str, value: Column, folder: str, mode: str = "errorifexists") -> None:
     """A JSON object from each task, an entry a line, keys in order over all of them: for maps of any size."""
     named = rows.select(F.col(key).cast("string").alias("_key"), value.alias("_value"))
     dealt = named.repartitionByRange("_key").sortWithinPartitions("_key")
     entry = F.to_json(F.create_map("_key", "_value"), {"ignoreNullFields": "false"})
     lines = dealt.select(entry.alias("e")).select(F.expr("substr(e, 2, length(e) - 2)").alias("value"))
-    lines.mapInArrow(_bracketed("{", "}"), "value string").write.text(folder)
+    lines.mapInArrow(_bracketed("{", "}"), "value string").write.mode(mode).text(folder)
 
 
 def write_list_parts(rows: DataFrame, order: str, folder: str) -> None:

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tamarack.plans import queries as core
+from tamarack.sources import files
 from tamarack.streaming import paced
 
 
@@ -33,3 +35,21 @@ def test_a_lane_asks_more_than_once_in_a_batch(spark, tmp_path):
     found = paced.work_through(spark, source, Echo, sink, checkpoint, 60, pause=0.0, most=300)
     assert sorted(r.chunk for r in found.where("pos = 0").collect()) == list(range(60))
     assert len([x for x in (tmp_path / "state" / "commits").iterdir() if x.name.isdigit()]) < 20
+
+
+def test_more_pairs_than_one_object_holds(spark, tmp_path, monkeypatch):
+    """A map too large for one task's file is written in parts, replaces what was there and is read back in the same order."""
+    path, rows = str(tmp_path / "pairs.json"), spark.range(300).select(F.col("id").alias("uid"), F.concat(F.lit("q"), "id").alias("q"), F.concat(F.lit("a"), "id").alias("a"))
+    read = lambda: [(r.uid, r.q, r.a) for r in files.read_pairs(spark, path).orderBy("pos").collect()]
+    want = [(k, f"q{k}", f"a{k}") for k in sorted(range(300), key=str)]
+    files.write_pairs(rows.limit(3), path)
+    monkeypatch.setattr(files, "MOST_ENTRIES", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_pairs(rows.repartition(4), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert read() == want and len(list((tmp_path / "pairs.json").glob("part-*"))) > 1
+    monkeypatch.setattr(files, "MOST_ENTRIES", 1000)
+    files.write_pairs(rows, path)
+    assert read() == want
