@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,32 +21,47 @@ def evaluation_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return joined.select("idx", text.words_of(text.prediction_joined(F.col("sentence"))).alias("pred"), F.array(text.words_of(F.col("ql"))).alias("refs"))
 
 
+def clipped(pred: list[str], refs: list[list[str] | None], n: int) -> int:
+    """How many of a sentence's n-grams its references hold, each no more often than the reference that holds it most often."""
+    of = lambda words: Counter(zip(*(words[k:] for k in range(n)), strict=False))
+    theirs = [of(r) for r in refs if r is not None]
+    return sum(min(c, max((t[g] for t in theirs), default=0)) for g, c in of(pred).items())
+
+
+def _summed(names: list[str], orders: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row of sums for each batch: of its rows, of the columns that are named, and of clipped n-grams by order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [0] * orders
+            differ = pa.Table.from_batches([batch.select(["p", "r"])])
+            for pair in differ.filter(pc.is_valid(differ["p"])).to_pylist():
+                for n in range(orders):
+                    found[n] += clipped(pair["p"], pair["r"] or [], n + 1)
+            sums = [pc.sum(batch.column(k)).as_py() or 0 for k in names]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (batch.num_rows, *sums, *found)], ["pairs", *names, *(f"hit{n}" for n in range(1, orders + 1))])
+
+    return run
+
+
 def scores(pairs: DataFrame, orders: int = 4) -> DataFrame:
     """(n, bleu): the number of pairs (idx, pred, refs) and their corpus BLEU times 100, uniform weights, unsmoothed.
 
-    One pass: a pair becomes a row for each n-gram of each side, and beside those one for each sum that the score needs, all
-    of them dealt by idx, where n-grams are counted and clipped without another exchange. What meets in one place is a
-    row for each order and sum. A sentence that is one of its references has all of its n-grams there, so they need not be
-looked at. The closest reference length counts, the shorter of two.
+    One pass without an exchange of pairs: each row has all that its sums need. Those of lengths are Spark's own; the n-grams of a pair are counted
+    and clipped where it is read, and what leaves a task is a row of sums for each batch. A sentence that is one of its
+    references has all of its n-grams there, so they need not be looked at. The closest reference length counts, the shorter of two.
     """
-    def grams(column):
-        one = lambda n: F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(0), F.size(column) - n), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(column, i + 1, F.lit(n)), "\x1f").alias("g"), F.lit(1).cast("long").alias("v")))).otherwise(F.array().cast("array<struct<n:int,g:string,v:bigint>>"))
-        return F.flatten(F.array(*[one(n) for n in range(1, orders + 1)]))
-
     hyp = F.size("pred")
     nearest = F.array_sort(F.transform("refs", lambda r: F.struct(F.abs(F.size(r) - hyp).alias("d"), F.size(r).alias("l"))))[0]["l"]
     # as the library counts: a sentence shorter than n still has one n-gram in the total
     same = F.coalesce(F.exists("refs", lambda r: r == F.col("pred")), F.lit(False))
     plain = {f"plain{n}": F.when(same, F.greatest(F.lit(0), hyp - n + 1)).otherwise(0) for n in range(1, orders + 1)}
-    sums = {"pairs": F.lit(1), "ours": hyp, "theirs": nearest, **{f"total{n}": F.greatest(F.lit(1), hyp - n + 1) for n in range(1, orders + 1)}, **plain}
-    told = F.array(*[F.struct(F.lit(0).alias("n"), F.lit(k).alias("g"), v.cast("long").alias("v")) for k, v in sums.items()])
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.when(same, told).otherwise(F.concat(grams(F.col("pred")), told)).alias("x"))), F.when(~same, F.transform("refs", lambda t, i: F.struct(i.alias("r"), grams(t).alias("x")))).otherwise(F.array().cast("array<struct<r:int,x:array<struct<n:int,g:string,v:bigint>>>>")))
-    each = pairs.repartition("idx").select("idx", F.explode(sides).alias("s")).select("idx", "s.r", F.explode("s.x").alias("x"))
-    counted = each.groupBy("idx", "x.n", "x.g", "r").agg(F.sum("x.v").alias("c")).groupBy("idx", "n", "g")
-    ours, theirs = F.sum(F.when(F.col("r") < 0, F.col("c"))), F.max(F.when(F.col("r") >= 0, F.col("c")))
-    clipped = counted.agg(F.coalesce(ours, F.lit(0)).alias("ours"), F.coalesce(theirs, F.lit(0)).alias("theirs"))
-    met = clipped.groupBy(F.when(F.col("n") == 0, F.col("g")).otherwise(F.concat(F.lit("hit"), F.col("n").cast("string"))).alias("k")).agg(F.sum(F.when(F.col("n") == 0, F.col("ours")).otherwise(F.least("ours", "theirs"))).alias("v"))
-    row = met.agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0)).alias(k) for k in (*sums, *(f"hit{n}" for n in range(1, orders + 1)))])
+    sums = {"ours": hyp, "theirs": nearest, **{f"total{n}": F.greatest(F.lit(1), hyp - n + 1) for n in range(1, orders + 1)}, **plain}
+    hits = [f"hit{n}" for n in range(1, orders + 1)]
+    # a pair's texts go to the helper only where it differs from its references
+    told = pairs.select(*[v.cast("long").alias(k) for k, v in sums.items()], F.when(~same, F.col("pred")).alias("p"), F.when(~same, F.col("refs")).alias("r"))
+    kinds = ", ".join(f"{k} long" for k in ("pairs", *sums, *hits))
+    met = told.mapInArrow(_summed(list(sums), orders), kinds)
+    row = met.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("pairs", *sums, *hits)])
     row = row.withColumns({f"hit{n}": F.col(f"hit{n}") + F.col(f"plain{n}") for n in range(1, orders + 1)})
     logs = [F.log(F.when(F.col(f"hit{n}") > 0, F.col(f"hit{n}") / F.col(f"total{n}")).otherwise(F.lit(2.2250738585072014e-308))) for n in range(1, orders + 1)]
     brevity = F.when(F.col("ours") > F.col("theirs"), 1.0).when(F.col("ours") == 0, 0.0).otherwise(F.exp(1 - F.col("theirs") / F.nullif(F.col("ours"), F.lit(0))))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack.operators import beams, evaluation
 from tamarack.plans import queries as core
 from tamarack.sources import files
 from tamarack.streaming import paced
@@ -53,3 +54,26 @@ def test_more_pairs_than_one_object_holds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "MOST_ENTRIES", 1000)
     files.write_pairs(rows, path)
     assert read() == want
+
+
+def test_scores_exchange_no_pairs(spark):
+    """Pairs are scored where they lie, repeated ids each on their own."""
+    rows = [(0, ["a", "b", "c", "d", "e"], [["a", "b", "c", "x"], ["d", "e", "a", "b"]]), (0, ["a", "a", "a"], [["a", "a"]]), (1, ["b"], [["b"]])]
+    pairs = spark.createDataFrame(rows, "idx long, pred array<string>, refs array<array<string>>")
+    scored = evaluation.scores(pairs)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan
+    got = scored.first()
+    hits, totals = (5 + 2 + 1, 3 + 1, 1, 0), (5 + 3 + 1, 4 + 2 + 1, 3 + 1 + 1, 2 + 1 + 1)
+    assert got.n == 3 and [sum(evaluation.clipped(p, r, n) for _, p, r in rows) for n in range(1, 5)] == list(hits)
+    assert got.bleu < 1e-60 and evaluation.scores(pairs, 2).first().bleu == pytest.approx(100 * (hits[0] / totals[0] * hits[1] / totals[1]) ** 0.5)
+
+
+def test_sentences_of_common_and_rare_words(spark, monkeypatch):
+    """Words beyond the common ones, ids without a word and empty beams."""
+    monkeypatch.setattr(beams, "COMMON", 2)
+    words = spark.createDataFrame([(k, f"w{k}") for k in range(1, 9)], "id long, token string")
+    found = [(0, 0, [1, 5, 2, 6, 1]), (1, 0, [2, 1, 99, 7]), (2, 0, []), (3, 0, [8, 0, 1]), (4, 0, [99]), (0, 1, [3])]
+    frame = spark.createDataFrame(found, "seq long, rank int, tokens array<long>")
+    got = {r.seq: r.sentence for r in beams.sentences(frame, words).collect()}
+    assert got == {0: "w1 w5 w2 w6 w1", 1: "w2 w1 w7", 2: "", 3: "w8", 4: ""}
