@@ -108,9 +108,23 @@ def padded(beams: DataFrame, length: int, pad: int = 0) -> DataFrame:
     return beams.withColumn("tokens", arrays.padded(F.col("tokens"), length, pad))
 
 
+#: Words that are looked up by a broadcast of them alone: the commonest ones.
+COMMON = 20_000
+
+
 def sentences(beams: DataFrame, words: DataFrame, pad: int = 0) -> DataFrame:
-    """(seq, sentence): the best beam cut at the padding id, its ids as words."""
-    best = beams.where("rank = 0").select("seq", arrays.before(F.col("tokens"), pad).alias("t"))
-    flat = best.select("seq", F.posexplode_outer("t").alias("pos", "id")).join(words, "id", "left")
-    out = flat.groupBy("seq").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("l"))
-    return out.select("seq", F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("sentence"))
+    """(seq, sentence): the best beam cut at the padding id, its ids as words.
+
+    Most places hold one of few words. Those are joined where their sequence's row lies, and only rare words' ids travel to the
+    vocabulary, each with its sequence and place.
+    """
+    best = stored(beams.where("rank = 0").select("seq", arrays.before(F.col("tokens"), pad).alias("t")), "best")
+    counts = best.select(F.explode("t").alias("id")).groupBy("id").count()
+    top = counts.orderBy(F.desc("count"), "id").limit(COMMON)
+    common = F.broadcast(top.join(words.select("id", "token"), "id", "left").select("id", "token", F.lit(True).alias("common")))
+    flat = best.repartition("seq").select("seq", F.posexplode_outer("t").alias("pos", "id")).join(common, "id", "left")
+    rare = best.select("seq", F.posexplode("t").alias("pos", "id")).join(common.select("id"), "id", "left_anti")
+    found = rare.join(words.select("id", "token"), "id").select("seq", F.struct("pos", "token").alias("x")).groupBy("seq").agg(F.collect_list("x").alias("rare"))
+    near = flat.groupBy("seq").agg(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token"))).alias("l"))
+    both = near.join(found, "seq", "left").select("seq", F.array_sort(F.concat("l", F.coalesce("rare", F.array().cast("array<struct<pos:int,token:string>>")))).alias("l"))
+    return both.select("seq", F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("sentence"))

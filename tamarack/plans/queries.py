@@ -604,11 +604,11 @@ def _epoch_sql(third: int) -> str:
 def evaluation_epoch(spark, sf_dir):
     """An epoch from best beams to its score: beams become sentences, meet the truth, and are compared."""
     sentences = qa(spark, sf_dir).select(F.col("uid").alias("idx"), text.prediction_joined(text.answer_finished(F.col("a"))).alias("t"))
-    words = sentences.select(F.explode(F.concat(text.words_of(F.col("t")), F.array(F.lit("extra"), F.lit("word")))).alias("token")).distinct()
-    words = words.select("token", (F.abs(F.xxhash64("token")) + 1).alias("id"))
-    flat = sentences.select("idx", F.posexplode(F.concat(text.words_of(F.col("t")), F.when(F.col("idx") % 3 == 0, F.array(F.lit("extra"), F.lit("word"))).otherwise(F.array().cast("array<string>")))).alias("pos", "token"))
-    ids = flat.join(words, "token").groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l"))
-    best = ids.select(F.col("idx").alias("seq"), F.lit(0).alias("rank"), F.transform("l", lambda x: x["id"]).alias("tokens"))
+    sentences = stored(sentences, "sentences")  # its patterns are matched once, not for each of its three uses
+    number = lambda token: F.abs(F.xxhash64(token)) + 1
+    extra = F.when(F.col("idx") % 3 == 0, F.array(F.lit("extra"), F.lit("word"))).otherwise(F.array().cast("array<string>"))
+    words = sentences.select(F.explode(F.concat(text.words_of(F.col("t")), F.array(F.lit("extra"), F.lit("word")))).alias("token")).distinct().select("token", number("token").alias("id"))
+    best = sentences.select(F.col("idx").alias("seq"), F.lit(0).alias("rank"), F.transform(F.concat(text.words_of(F.col("t")), extra), number).alias("tokens"))
     return evaluation.epoch(best, words, sentences.select("idx", F.col("t").alias("ql"))).select("n", F.round("bleu", 6).alias("bleu"))
 
 
