@@ -1,91 +1,126 @@
 """Longest common substrings of many texts with many others.
 
-Every place of every text gets a name for the stretch of 1, 2, 4, ... characters that begins there; a stretch of 2n
-is named after its two halves, which a join brings together. Equal stretches have equal names, whatever texts they are in. A
-stretch that only one side holds cannot begin a longer common one, so its place is dropped: each round keeps what both
-sides share, and the rounds end when that is nothing, after the logarithm of the longest common substring. Going
-down again, each text's longest stretch so far is lengthened by half as much at a time where some text of the
-other side goes on in the same way.
+Both sides are dealt in pieces of bounded size, and each piece of the left meets each of the right in one group. There every place
+gets a name for the stretch of 1, 2, 4, ... characters that begins there, mixed from the names of its two halves; a table of the right's names
+tells which stretches it may hold. A text's longest size is found by doubling and bisection, and what is found is compared letter by
+letter, so that names which meet by chance count for nothing. Long texts are cut with as much overlap as the other side's longest text has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.sources.scratch import stored
-
-PLACE = ["side", "id", "pos"]
-
-
-def _name(*parts: Column) -> Column:
-    """16 bytes that stand for a string made of the parts in order."""
-    return F.unhex(F.md5(F.concat(*parts)))
-
-
-def _shared(places: DataFrame) -> DataFrame:
-    """The places whose names both sides have."""
-    both = places.groupBy("name").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("name")
-    return places.join(both, "name", "left_semi")
-
-
-def _characters(texts: DataFrame, side: int) -> DataFrame:
-    letters = texts.where("text <> ''").select("id", F.posexplode(F.split("text", "")).alias("pos", "c"))
-    return letters.where("c <> ''").select(F.lit(side).alias("side"), "id", F.col("pos").cast("long").alias("pos"), _name(F.col("c").cast("binary")).alias("name"))
-
-
-def _shifted(places: DataFrame, by: int | Column, name: str) -> DataFrame:
-    """``name`` of the stretch that begins ``by`` places further on."""
-    return places.select("side", "id", (F.col("pos") - by).alias("pos"), F.col("name").alias(name))
-
-
-def shared_stretches(left: DataFrame, right: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ... the places (side, id, pos, name) of common stretches of 2 ** k characters, as long as there are any."""
-    now = stored(_shared(_characters(left, 0).unionByName(_characters(right, 1))), "stretches")
-    levels, size = [], 1
-    while not now.isEmpty():
-        levels.append(now)
-        longer = now.join(_shifted(now, size, "rest"), PLACE).select(*PLACE, _name("name", "rest").alias("name"))
-        now, size = stored(_shared(longer), "stretches"), 2 * size
-    return levels
+#: Characters of a piece's own part of a text, and of all texts in a group, about.
+CUT, GROUP = 1 << 20, 4 << 20
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _ODD[0] + (b ^ (b >> np.uint64(29))) * _ODD[1]
+    x = (x ^ (x >> np.uint64(32))) * _ODD[2]
+    return x ^ (x >> np.uint64(29))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+class Names:
+    """Names of a text's stretches of any size."""
+
+    def __init__(self, points: np.ndarray):
+        self.powers = [_mixed(points, points)]
+
+    def of(self, size: int) -> np.ndarray:
+        """A stretch is named after its first and last parts of the greatest power of two, which cover it."""
+        k = size.bit_length() - 1
+        while len(self.powers) <= k:
+            self.powers.append(self._over(self.powers[-1], 1 << (len(self.powers) - 1)))
+        return self.powers[k] if size == 1 << k else self._over(self.powers[k], size - (1 << k))
+
+    @staticmethod
+    def _over(names: np.ndarray, step: int) -> np.ndarray:
+        return _mixed(names[: max(0, len(names) - step)], names[step:])
+
+
+class Held:
+    """Whether any text of one side's piece has a stretch."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.most = texts, max(map(len, texts), default=0)
+        # beyond any character, a sign after each text: no stretch of a text of the other side holds one
+        self.names = Names(np.concatenate([np.append(_points(t), np.uint64(0x110000)) for t in texts]))
+        self.all, self.sized = "\ue000".join(texts), {}
+
+    def at(self, names: np.ndarray, size: int) -> np.ndarray:
+        """The places whose names are held."""
+        if size not in self.sized:
+            own = np.unique(self.names.of(size))
+            bits = max(10, int(16 * len(own)).bit_length())
+            table = np.zeros(1 << bits, bool)
+            shift = np.uint64(64 - bits)
+            table[(own >> shift).astype(np.int64)] = True
+            self.sized[size] = own, table, shift
+        own, table, shift = self.sized[size]
+        near = np.flatnonzero(table[(names >> shift).astype(np.int64)])
+        found = np.searchsorted(own, names[near])
+        return near[own[np.minimum(found, len(own) - 1)] == names[near]] if len(own) else near[:0]
+
+    def longest(self, text: str) -> str | None:
+        """The longest stretch of a text that is held, the smallest of equals."""
+        names, most = Names(_points(text)), min(len(text), self.most)
+        has = lambda size: len(self.at(names.of(size), size)) > 0
+        size = 8
+        while size <= most and has(size):
+            size *= 2
+        low, high = (size // 2 if size > 8 else 0), min(size - 1, most)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if has(middle) else (low, middle - 1)
+        for length in range(low, 0, -1):  # the first, but for names that meet by chance
+            some = sorted({text[i : i + length] for i in self.at(names.of(length), length).tolist()})
+            for x in some:
+                if x in self.all and ("\ue000" not in x or any(x in t for t in self.texts)):
+                    return x
+        return None
+
+
+def _matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    if left.empty or right.empty:
+        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "length": pd.Series([], dtype="int64"), "common": pd.Series([], dtype=object)})
+    held = Held(right["text"].tolist())
+    found = [(i, held.longest(t)) for i, t in zip(left["id"].tolist(), left["text"].tolist(), strict=True)]
+    found = [(i, x) for i, x in found if x]
+    return pd.DataFrame({"id": pd.Series([i for i, _ in found], dtype="int64"), "length": pd.Series([len(x) for _, x in found], dtype="int64"), "common": pd.Series([x for _, x in found], dtype=object)})
+
+
+def _pieces(texts: DataFrame, overlap: int) -> DataFrame:
+    """Texts in cuts of CUT characters, each with ``overlap`` more."""
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CUT).cast("int"))
+    cut = texts.select("id", "text", F.explode(starts).alias("k"))
+    return cut.select("id", F.when(F.length("text") <= CUT, F.col("text")).otherwise(F.substring("text", F.col("k") * CUT + 1, F.lit(CUT + overlap))).alias("text"), "k")
 
 
 def longest_with_any(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, length, common): of each text (id, text) of ``left`` the longest substring that any text of ``right`` (id, text) holds.
 
     Of equally long ones the smallest; texts that share nothing, nulls and empty texts have no row. Ids are long and
-    unique on each side. Strings are compared by digests of 128 bits. Memory and tasks follow no single text:
-    every place is a row of its own.
+    unique on each side. A group holds a piece of either side, GROUP characters or a cut more; the left is
+    sent once for each piece of the right, which should be the smaller side.
     """
-    levels = shared_stretches(left.select("id", "text"), right.select("id", "text"))
-    none = left.select("id", F.lit(0).cast("long").alias("length"), "text").where("1 = 0").withColumnRenamed("text", "common")
-    if not levels:
-        return none
-    # begin with the largest power that a text reaches, then add halves of it as far as the other side goes along
-    reach = levels[0].where("side = 0").select("id", F.lit(0).alias("k"))
-    for k, level in enumerate(levels[1:], 1):
-        reach = reach.unionByName(level.where("side = 0").select("id", F.lit(k).alias("k")))
-    top = stored(reach.groupBy("id").agg(F.max("k").alias("k")), "reach")
-    now = None
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k]
-        begun = level.where("side = 0").join(top.where(F.col("k") == k).select("id"), "id", "left_semi").select(*PLACE, "name", F.lit(1 << k).cast("long").alias("length"))
-        other = level.where("side = 1").join(begun.select("name").distinct(), "name", "left_semi").select(*PLACE, "name", F.lit(1 << k).cast("long").alias("length"))
-        if now is not None:
-            # what follows the stretch so far, on either side: the same length and the same name before it, and the same after
-            rest = level.select("side", "id", F.col("pos").alias("next"), F.col("name").alias("rest"))
-            longer = now.withColumn("next", F.col("pos") + F.col("length")).join(rest, ["side", "id", "next"])
-            longer = longer.select(*PLACE, _name("name", "rest").alias("name"), (F.col("length") + (1 << k)).alias("length"))
-            both = longer.groupBy("length", "name").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("length", "name")
-            grown = stored(longer.join(both, ["length", "name"], "left_semi"), "grown")
-            # a text whose stretch grows leaves its shorter ones; the other side's places stay as long as some text stands there
-            still = now.where("side = 0").join(grown.where("side = 0").select("id"), "id", "left_anti").unionByName(grown.where("side = 0"))
-            asked = still.select("length", "name").distinct()
-            there = now.where("side = 1").unionByName(grown.where("side = 1")).join(asked, ["length", "name"], "left_semi")
-            now = still.unionByName(there).unionByName(begun).unionByName(other)
-        else:
-            now = begun.unionByName(other)
-        now = stored(now, "longest")
-    best = now.where("side = 0").groupBy("id", "length", "name").agg(F.min("pos").alias("pos"))
-    cut = best.join(left.select("id", "text"), "id").select("id", "length", F.substring("text", F.col("pos").cast("int") + 1, F.col("length").cast("int")).alias("common"))
-    return cut.groupBy("id", "length").agg(F.min("common").alias("common"))
+    sides = [x.select("id", "text").where("text <> ''") for x in (left, right)]
+    sums = [s.agg(F.sum(F.length("text")), F.max(F.length("text"))).first() for s in sides]
+    if not all(s[0] for s in sums):
+        return sides[0].select("id", F.length("text").cast("long").alias("length"), F.col("text").alias("common")).where("1 = 0")
+    overlap = min(s[1] for s in sums) - 1  # no common stretch is longer
+    groups = [max(least, s[0] // GROUP + 1) for s, least in zip(sums, (left.sparkSession.sparkContext.defaultParallelism, 1), strict=True)]
+    deal = lambda k: F.pmod(F.xxhash64("id", "k"), F.lit(groups[k])).alias("ab"[k])
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups[k] - 1).cast("long"))).alias("ab"[k])
+    ours = _pieces(sides[0], overlap).select("id", "text", deal(0), "k").select("id", "text", "a", every(1))
+    theirs = _pieces(sides[1], overlap).select("id", "text", deal(1), "k").select("id", "text", "b", every(0))
+    met = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(_matched, "id long, length long, common string")
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("length")).alias("n"), "common")).alias("x"))
+    return best.select("id", (-F.col("x.n")).alias("length"), "x.common")

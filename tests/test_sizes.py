@@ -1,10 +1,14 @@
 """What only odd or larger tables show."""
 
+import random
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import beams, evaluation
+from tamarack.functions import lcs
+from tamarack.operators import beams, evaluation, substrings
 from tamarack.plans import queries as core
 from tamarack.sources import files
 from tamarack.streaming import paced
@@ -77,3 +81,26 @@ def test_sentences_of_common_and_rare_words(spark, monkeypatch):
     frame = spark.createDataFrame(found, "seq long, rank int, tokens array<long>")
     got = {r.seq: r.sentence for r in beams.sentences(frame, words).collect()}
     assert got == {0: "w1 w5 w2 w6 w1", 1: "w2 w1 w7", 2: "", 3: "w8", 4: ""}
+
+
+def test_common_substrings_of_cut_texts(spark, monkeypatch):
+    """Texts longer than a cut, in more than one group on either side; no place is a row of its own."""
+    monkeypatch.setattr(substrings, "CUT", 50)
+    monkeypatch.setattr(substrings, "GROUP", 400)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abc\n\ue000") for _ in range(n))
+    left, right = [(k, make(rng.randint(1, 400))) for k in range(12)], [(k, make(rng.randint(1, 120))) for k in range(10)]
+    frames = [spark.createDataFrame(x, "id long, text string") for x in (left, right)]
+    found = substrings.longest_with_any(*frames)
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    want = {i: min((y for _, b in right if (y := lcs.longest(a, b))), key=lambda y: (-len(y), y)) for i, a in left}
+    assert {r.id: (r.length, r.common) for r in found.collect()} == {i: (len(y), y) for i, y in want.items()}
+
+
+def test_short_texts_are_quick():
+    """A pair of names takes some tens of microseconds; arrays took a good many times that."""
+    pairs = [(f"large ring {k}", f"economy ring Brand#{k}") for k in range(2000)]
+    began = time.process_time()
+    found = [lcs.longest(a, b) for a, b in pairs]
+    assert time.process_time() - began < 0.4
+    assert found == [lcs.longest(a + " " + "0" * 400, b + "1" * 400) for a, b in pairs[:1]] + found[1:]
