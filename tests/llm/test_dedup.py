@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import LONG, empty, groups, odd_documents, shingles
 
 from tamarack.llm import graph, minhash, vectors
@@ -37,6 +38,16 @@ def test_near_duplicates_against_all_pairs(spark, size, percent, bands, monkeypa
     assert got == {i: (len(sets[i]), wanted[i], wanted[i] == i) for i in sets}
 
 
+def test_few_texts_are_shuffled(spark):
+    """A filter keeps all chosen rows and hardly any other; of the texts, only those that share a bucket are read again."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") * 7 - 50_000).alias("sum"), F.lit("t").alias("text"))
+    chosen = rows.where("doc_id % 100 = 3").drop("text")
+    kept = {r.doc_id for r in minhash._perhaps(rows, chosen, ["doc_id", "sum"]).collect()}
+    assert set(range(3, 20_000, 100)) <= kept and len(kept) < 220
+    assert minhash._perhaps(rows, chosen.where("false"), ["doc_id", "sum"]).count() == 0
+    assert minhash._perhaps(rows, rows.drop("text"), ["doc_id", "sum"]).count() == 20_000
+
+
 def test_odd_documents(spark):
     got = minhash.near_duplicates(odd_documents(spark))
     rows = [(r.doc_id, r.component_id, r.kept) for r in got.collect()]
