@@ -138,20 +138,20 @@ def read_block(record: bytes) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray,
     return {"part": part, "block": block, "goes_on": bool(goes_on), "first": first}, ids, *(np.frombuffer(x, k) for x, k in zip(parts[planes:], ("<u4", "<i8", "u1"), strict=True))
 
 
-#: A byte that UTF-8 never holds: it parts words.
-BREAK = 0xFF
 #: What parts words in one call of the library, where it is a pre-token of its own, and how many words it parts.
 PART, PART_WORDS = " \x01", 256
 #: First bytes of characters among which there is white space, or that are none.
 DOUBTFUL = np.zeros(256, bool)
 DOUBTFUL[[*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3, *range(0x80, 0xC0)]] = True
 
-MARK = bytes([BREAK])
 #: ASCII letters and digits, and signs that end a pre-token of them; an apostrophe may begin one of letters.
 ALNUM, SIGN = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[[c for c in range(0x80) if chr(c).isalnum()]] = True
 SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
+#: ASCII characters that are no white space.
+SURE = bytes(c for c in range(0x80) if not chr(c).isspace())
+
 _encoders: dict[str, ByteEncoder] = {}
 
 
@@ -173,7 +173,6 @@ class ByteEncoder(dict):
         self.call = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
         self.part = np.frombuffer(self.call([PART])[0], "<u4")
         self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        self.new: set[bytes] = set()
 
     @classmethod
     def of(cls, path: str) -> ByteEncoder:
@@ -182,40 +181,46 @@ class ByteEncoder(dict):
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def __missing__(self, word: bytes) -> None:
-        self.new.add(word)
-
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words, many to a call: the library's cost of a call is above that of a word.
 
         A word goes with others if it begins with white space and does not end with any, so that it meets PART as it would meet a word.
         """
-        texts = {w: w.decode() for w in words}
-        alone = [w for w, t in texts.items() if t[0] not in " \n" or t[-1].isspace() or "\x01" in t or len(w) > CACHED_BYTES]
-        out = dict(zip(alone, self.call([texts.pop(w) for w in alone]), strict=True))
-        together, mark, width = list(texts), self.part[-1], len(self.part)
+        alone = [w for w in words if w[0] not in b" \n" or not (w[-1] in SURE or not w.decode()[-1].isspace()) or b"\x01" in w or len(w) > CACHED_BYTES]
+        out = dict(zip(alone, self.call([w.decode() for w in alone]), strict=True))
+        together, mark, width, part = [w for w in words if w not in out] if alone else words, self.part[-1], len(self.part), PART.encode()
         groups = [together[a : a + PART_WORDS] for a in range(0, len(together), PART_WORDS)]
-        for group, data in zip(groups, self.call([PART.join(map(texts.get, g)) for g in groups]), strict=True):
-            ends = np.flatnonzero(np.frombuffer(data, "<u4") == mark).tolist()
-            stops = [*(4 * (e - width + 1) for e in ends), len(data)]
-            out.update(zip(group, (data[a:b] for a, b in zip([0, *(4 * e + 4 for e in ends)], stops, strict=True)), strict=True))
+        for group, data in zip(groups, self.call([part.join(g).decode() for g in groups]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == mark)
+            starts, stops = [0, *(4 * ends + 4).tolist()], [*(4 * (ends - (width - 1))).tolist(), len(data)]
+            out.update(zip(group, map(data.__getitem__, map(slice, starts, stops)), strict=True))
         return out
 
     def ids(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.__getitem__, words))
-        if self.new:
-            new, self.new = list(self.new), set()
-            got = self.learn(new)
+        found = list(map(self.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = {words[i] for i in missing}
+            got = self.learn(list(new))
+            for i in missing:
+                found[i] = got[words[i]]
             if len(self) > CACHE_WORDS:
                 self.clear()
-                got |= self.learn(list(set(words) - got.keys()))
             self.update(got)
-            found = list(map(self.__getitem__, words))
             for w in new:
                 if len(w) > CACHED_BYTES:
                     del self[w]
         return found
 
+    def encoded(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of the words between bounds, one after the other, and where each word's begin and the last one's end."""
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        _, at, data = words.dictionary.buffers()
+        data, at = data.to_pybytes() if data else b"", np.frombuffer(at, np.int64, len(words.dictionary) + 1).tolist()
+        out = pa.array(self.ids(list(map(data.__getitem__, map(slice, at, at[1:])))), pa.large_binary()).take(words.indices)
+        _, at, data = out.buffers()
+        return (data.to_pybytes() if data else b""), np.frombuffer(at, np.int64, len(out) + 1)
+
     def texts(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """The ids of each text of a slice."""
         if len(self.special) and any(s in (data := raw.tobytes()) for s in self.special):
@@ -226,13 +231,12 @@ class ByteEncoder(dict):
             for a, b in itertools.pairwise(offsets.tolist()):
                 yield b"".join(self.stretches(raw[a:b]))
         else:
-            cut = parted(raw)
-            data, ends = np.insert(raw, cut, BREAK).tobytes(), (offsets + np.searchsorted(cut, offsets)).tolist()
-            each = [[w for w in data[a:b].split(MARK) if w] if a < b else [] for a, b in itertools.pairwise(ends)]
-            found, a = self.ids([w for words in each for w in words]), 0
-            for words in each:
-                yield b"".join(found[a : a + len(words)])
-                a += len(words)
+            held = np.zeros(len(raw) + 1, bool)
+            held[parted(raw)] = held[offsets] = True
+            bounds = np.flatnonzero(held)
+            data, at = self.encoded(raw, bounds)
+            for a, b in itertools.pairwise(at[np.searchsorted(bounds, offsets)].tolist()):
+                yield data[a:b]
 
     def stretches(self, raw: np.ndarray) -> Iterator[bytes]:
         """The ids of one text that may be long, a stretch of words at a time."""
@@ -241,7 +245,7 @@ class ByteEncoder(dict):
             k = int(np.searchsorted(cut, a + CHUNK_BYTES))
             b = int(cut[k]) if k < len(cut) else len(raw)
             within = cut[np.searchsorted(cut, a, "right") : k] - a
-            yield b"".join(self.ids([w for w in np.insert(raw[a:b], within, BREAK).tobytes().split(MARK) if w]))
+            yield self.encoded(raw[a:b], np.concatenate([[0], within, [b - a]]))[0]
             a = b
 
 

@@ -37,6 +37,16 @@ def test_words_of_the_byte_encoder_are_the_librarys():
     assert got == [x[:-1].tobytes() for x in encoded(texts)]
 
 
+def test_a_word_of_a_slice_is_looked_up_once():
+    encoder, asked = tokenfile.ByteEncoder(BYTES), []
+    plain = encoder.ids
+    encoder.ids = lambda words: asked.append(len(words)) or plain(words)
+    texts = ["one two, one " * 500, "", "two\u00a0 two\u3000 \u00e9 \x01 three\x1f four", " ", "two one"]
+    raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    assert [list(np.frombuffer(x, "<u4")) for x in encoder.texts(raw, offsets)] == [list(np.frombuffer(encoder.call([t])[0], "<u4")) for t in texts]
+    assert sum(asked) < 30
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 def test_planes_round_trip(planes):
     rng = np.random.default_rng(3)
