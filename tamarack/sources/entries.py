@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,25 @@ STRETCHES = "file string, block long, text binary"
 SPACE = b" \t\r\n"
 
 
+#: Bytes that may open or close a string or a bracket.
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b'"{}[]')] = True
+
+
+def _signs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the signs of a batch stand, which are quotes that are not escaped, and what each bracket adds to the depth. A backslash never escapes a comma."""
+    where = np.flatnonzero(SIGNS[raw])
+    found = raw[where]
+    quotes = found == 0x22
+    slashes = raw == 0x5C
+    if slashes.any():
+        last = np.maximum.accumulate(np.where(slashes, -1, np.arange(len(raw))))  # the last byte that is none
+        before = np.maximum(where - 1, 0)
+        quotes &= ~((where > 0) & slashes[before] & ((before - last[before]) % 2 == 1))
+    opens, closes = (found == 0x7B) | (found == 0x5B), (found == 0x7D) | (found == 0x5D)
+    return where, quotes, opens.astype(np.int64) - closes
+
+
 class Scan:
     """Reads one range's stretches: in a string or not, and how deep."""
 
@@ -29,19 +49,12 @@ class Scan:
         self.inside, self.depth = inside, depth
 
     def read(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the end of each stretch of a batch: is it in a string, and how deep. A backslash never escapes a comma."""
-        escaped = np.zeros(len(raw) + 1, bool)
-        slashes = raw == 0x5C
-        if slashes.any():
-            at = np.arange(len(raw))
-            last = np.maximum.accumulate(np.where(slashes, -1, at))  # the last byte that is none
-            runs = at - last
-            escaped[1:] = slashes & (runs % 2 == 1)
-        quotes = (raw == 0x22) & ~escaped[:-1]
+        """Of the end of each stretch of a batch: is it in a string, and how deep."""
+        where, quotes, steps = _signs(raw)
         inside = (np.cumsum(quotes) + self.inside) % 2 == 1
-        steps = (((raw == 0x7B) | (raw == 0x5B)).astype(np.int64) - ((raw == 0x7D) | (raw == 0x5D))) * ~inside
-        depth = np.cumsum(steps) + self.depth
-        insides, depths = np.concatenate([[self.inside], inside])[ends], np.concatenate([[self.depth], depth])[ends]
+        depth = np.cumsum(steps * ~inside) + self.depth
+        at = np.searchsorted(where, ends)
+        insides, depths = np.concatenate([[self.inside], inside])[at], np.concatenate([[self.depth], depth])[at]
         if len(ends):
             self.inside, self.depth = bool(insides[-1]), int(depths[-1])
         return insides, depths
@@ -57,21 +70,21 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """Stretches of one range in a row: (file and range, first, end)."""
-    keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True))
-    a = 0
-    for k in range(1, len(keys) + 1):
-        if k == len(keys) or keys[k] != keys[a]:
-            yield keys[a], a, k
-            a = k
+    file, block, new = batch.column("file"), batch.column("block").to_numpy(), np.ones(len(batch), bool)
+    if len(batch) > 1:
+        new[1:] = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+    firsts = np.flatnonzero(new).tolist()
+    for a, b in zip(firsts, [*firsts[1:], len(batch)], strict=True):
+        yield (file[a].as_py(), int(block[a])), a, b
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, scans = None, ()
+    now, odd, plain, quoted = None, False, 0, 0
     names = ["file", "block", "odd", "plain", "quoted"]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*now, int(scans[0].inside), scans[0].depth, scans[1].depth), kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*now, int(odd), plain, quoted), kinds, strict=True)], names)
 
     for batch in batches:
         raw, at = _buffers(batch.column("text"))
@@ -79,9 +92,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != now:
                 if now is not None:
                     yield row()
-                now, scans = key, (Scan(), Scan(inside=True))
-            for s in scans:
-                s.read(raw[at[a] : at[b]], at[a + 1 : b + 1] - at[a])
+                now, odd, plain, quoted = key, False, 0, 0
+            _, quotes, steps = _signs(raw[at[a] : at[b]])
+            inside = (np.cumsum(quotes) + odd) % 2 == 1
+            # what is in a string for one beginning is outside for the other
+            plain, quoted = plain + int(steps[~inside].sum()), quoted + int(steps[inside].sum())
+            odd = bool((quotes.sum() + odd) % 2)
     if now is not None:
         yield row()
 
@@ -94,9 +110,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     head = True
 
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
         raw, at = _buffers(batch.column("text"))
-        data, begins = raw.tobytes(), batch.column("inside")
+        begins = batch.column("inside")
         for key, a, b in _runs(batch):
             if key != now:
                 if held:
@@ -105,20 +124,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 scan = Scan(begins[a].as_py(), batch.column("depth")[a].as_py())
                 # a range begins with an entry where the one before it ended with a comma between two, or a file begins
                 head = not scan.inside and scan.depth <= 1
-            insides, depths = scan.read(raw[at[a] : at[b]], at[a + 1 : b + 1] - at[a])
-            borders = (~insides & (depths <= 1)).tolist()
-            for k in range(a, b):
-                held.append(data[at[k] : at[k + 1]])
-                if borders[k - a]:
-                    out.append((*now, place, head, True, b",".join(held)))
-                    held, head, place = [], True, place + 1
+            part, ends = raw[at[a] : at[b]], at[a + 1 : b + 1] - at[a]
+            insides, depths = scan.read(part, ends)
+            # the stretches with their commas between them; an entry reaches from one border to the next
+            data, start = np.insert(part, ends[:-1], 0x2C).tobytes(), 0
+            for end in (ends + np.arange(b - a))[~insides & (depths <= 1)].tolist():
+                out.append((*now, place, head, True, b",".join([*held, data[start:end]]) if held else data[start:end]))
+                held, head, place, start = [], True, place + 1, end + 1
+            if start <= len(data):
+                held.append(data[start:])
         if len(out) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-            out = []
+            yield rows()
+            out.clear()
     if held:
         out.append((*now, place, head, False, b",".join(held)))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        yield rows()
 
 
 def entries(spark: SparkSession, paths: str | list[str], opens: str = "{") -> DataFrame:
@@ -146,7 +167,7 @@ def entries(spark: SparkSession, paths: str | list[str], opens: str = "{") -> Da
     joined = chain.groupBy("file", "entry_no").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("text").cast("string").alias("text")))), lambda x: x["text"]), ",").alias("entry"))
     every = whole.unionByName(joined.select("file", "pos", "entry"))
     ends = every.groupBy("file").agg(F.min("pos").alias("first"), F.max("pos").alias("end"))
-    bare = F.regexp_replace("entry", r"^\s+|\s+$", "")
+    bare = F.btrim("entry", F.lit(" \t\n\x0b\f\r"))
     stripped = F.when(F.col("pos") == F.col("first"), F.when(bare.startswith(opens), F.substr(bare, F.lit(2))).when(bare == "", bare).otherwise(F.raise_error(F.concat(F.lit(wanted), F.col("file"))))).otherwise(bare)
     placed = every.join(F.broadcast(ends), "file").withColumn("entry", stripped)  # a row for each file
     closing = F.when(F.col("pos") == F.col("end"), F.when(F.col("entry").endswith(closes), F.expr("left(entry, length(entry) - 1)")).when(F.col("entry") == "", F.col("entry")).otherwise(F.raise_error(F.concat(F.lit(wanted), F.col("file"))))).otherwise(F.col("entry"))
